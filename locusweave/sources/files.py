@@ -145,7 +145,7 @@ def hmm_hits(spark: SparkSession, path: str, evalue: float = 1e-5, score: float
 def collinearity(spark: SparkSession, path: str) -> DataFrame:
     """Gene pairs of `## Alignment N: ... a&b plus|minus` blocks: alignment, contig_a, contig_b,
     orientation, gene_a, gene_b, evalue.  A file is one ordered text (wholetext), a block its split."""
-    blocks = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"(?m)^## Alignment ")).alias("b")).filter(F.col("b").rlike(r"^\d+:"))
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^## Alignment ")).alias("b")).filter(F.col("b").rlike(r"^\d+:"))
     head = F.substring_index("b", "\n", 1)
     pairs = blocks.select(
         F.regexp_extract(head, r"^(\d+):", 1).cast("int").alias("alignment"), F.regexp_extract(head, r"(\S+)&(\S+)\s+(plus|minus)", 1).alias("contig_a"),
