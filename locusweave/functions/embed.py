@@ -42,7 +42,10 @@ def windows(seq: str, size: int = 1024, overlap: int = 256) -> list[str]:
 
 
 def embed_one(seq: str, model: Model, dim: int, how: str = "mean", size: int = 1024, overlap: int = 256) -> np.ndarray:
-    """Pooled vector; long sequences are embedded in windows (weighted: by window length). Zero on failure."""
+    """Pooled vector; long sequences are embedded in windows (weighted: by window length). Zero on failure and
+    for an empty sequence."""
+    if not seq:
+        return np.zeros(dim)
     try:
         parts = windows(seq, size, overlap)
         pooled = np.vstack([pool(x, "max" if how == "max" else "mean") for x in model(parts)])

@@ -186,7 +186,7 @@ def duckdb_proteins(spark: SparkSession, path: str) -> DataFrame:
     import duckdb
 
     with duckdb.connect(path, read_only=True) as con:
-        rows = con.execute("SELECT protein_id, contig_id, bin_id, start, end_coord, strand FROM proteins").fetch_arrow_table()
+        rows = con.execute("SELECT protein_id, contig_id, bin_id, start, end_coord, strand FROM proteins").fetchdf()
     df = spark.createDataFrame(rows).withColumnsRenamed({"protein_id": "gene_id", "bin_id": "sample_id", "end_coord": "end"})
     return df.withColumn("strand", F.when(F.col("strand") == "-", -1).otherwise(1))
 
@@ -199,8 +199,8 @@ def duckdb_annotations(spark: SparkSession, path: str, source: str | None = None
         have = [r[0] for r in con.execute("SELECT column_name FROM information_schema.columns WHERE table_name = 'annotations'").fetchall()]
         accession = next((c for c in ACCESSION_COLUMNS if c in have), "NULL")
         more = ", ".join(c if c in have else f"CAST(NULL AS {t}) AS {c}" for c, t in (("description", "VARCHAR"), ("evalue", "DOUBLE"), ("score", "DOUBLE")))
-        rows = con.execute(f"SELECT protein_id, source, {accession} AS accession, {more} FROM annotations").fetch_arrow_table()
-    df = spark.createDataFrame(rows)
+        rows = con.execute(f"SELECT protein_id, source, {accession} AS accession, {more} FROM annotations").fetchall()
+    df = spark.createDataFrame(rows, "protein_id string, source string, accession string, description string, evalue double, score double")
     return df.filter(F.col("source") == source) if source else df
 
 
