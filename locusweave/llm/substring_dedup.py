@@ -4,8 +4,7 @@ Level one looks at runs of half the window.  Of each window only one such run, i
 minimizer (the run with the least hash), is looked up, so equal windows always look up
 the same run; a run that occurs once in the corpus rules out every window it stands
 for.  What is repeated at that length alone is extended to the whole window and looked
-up again, now exactly (128-bit window hashes) and with its earliest start.  Longer
-repeats are followed by doubling on (`longest_repeats`), until no candidate survives.
+up again, now exactly (96-bit window hashes) and with its earliest start.
 
 Documents are dealt into blocks of some MB by a hash of doc_id.  A block sends each
 distinct run or window once, with its first place, so a passage that a third of all
@@ -86,8 +85,9 @@ def _sampled_runs(blocks: DataFrame, window: int) -> DataFrame:
 
 
 def _extended(blocks: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """(g1, g2, block, doc, start): whole windows whose sampled run is repeated; each distinct
-    one once per block, with its first place there."""
+    """(g1, g2, block, doc, twice): whole windows whose sampled run is repeated, each distinct one
+    once per block, with the first document it starts in there.  g1 (64 bits) tells windows of
+    one block apart, g1 and g2 (96 bits) those of the corpus."""
     half = window // 2
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -101,33 +101,33 @@ def _extended(blocks: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
                 runs = window_hashes(h, half)
                 starts = np.flatnonzero(ok & _isin(runs, known)[minimizers(runs, window - half + 1)])
                 if len(starts):
-                    ends = np.cumsum(count)
-                    doc = np.searchsorted(ends, starts, "right")
-                    pos = starts - (ends - count)[doc]
-                    rows.append((window_hashes(h, window, 1)[starts], window_hashes(h, window, 2)[starts], doc + first, pos))
-        g1, g2, doc, pos = map(np.concatenate, zip(*rows)) if rows else [np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)] * 2
-        _, at = np.unique(g1 ^ (g2 << np.uint64(1)), return_index=True)  # the first place of each
+                    doc = np.searchsorted(np.cumsum(count), starts, "right")
+                    rows.append((window_hashes(h, window, 1)[starts], window_hashes(h, window, 2)[starts], doc + first))
+        g1, g2, doc = map(np.concatenate, zip(*rows)) if rows else [np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)]
+        _, at, n = np.unique(g1, return_index=True, return_counts=True)  # the first place of each
         block = left["block"][0].as_py() if left.num_rows else 0
         return pa.table({
-            "g1": g1[at].view(np.int64), "g2": g2[at].view(np.int64), "block": np.full(len(at), block),
-            "doc": pa.array([ids[i] for i in doc[at]], pa.int64()), "ord": doc[at].astype(np.int32), "start": pos[at].astype(np.int32),
+            "g1": g1[at].view(np.int64), "g2": (g2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), "block": np.full(len(at), block),
+            "doc": pa.array([ids[i] for i in doc[at]], pa.int64()), "twice": n > 1,
         })
 
     return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(
-        run, "g1 bigint, g2 bigint, block bigint, doc bigint, ord int, start int"
+        run, "g1 bigint, g2 int, block bigint, doc bigint, twice boolean"
     )
 
 
-def repeated_windows(blocks: DataFrame, window: int) -> DataFrame:
-    """(block, g1): windows of the block of which an earlier one starts in another block."""
+def _candidates(blocks: DataFrame, window: int) -> DataFrame:
     sampled = _sampled_runs(blocks, window)
-    by_run = Window.partitionBy("h")
-    repeated = (
-        sampled.withColumn("n", F.count("*").over(by_run)).filter("n > 1 or twice").select("block", "h")
-    )
-    places = _extended(blocks, repeated, window)
-    first = Window.partitionBy("g1", "g2").orderBy(F.col("doc").asc_nulls_last(), "block", "ord", "start")
-    return places.withColumn("n", F.row_number().over(first)).filter("n > 1").select("block", "g1", "g2")
+    repeated = sampled.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 or twice")
+    return _extended(blocks, repeated.select("block", "h"), window)
+
+
+def later_windows(blocks: DataFrame, window: int) -> DataFrame:
+    """(block, g1): windows of the block of which an earlier one starts in another block.  A window
+    arrives once per block, and equal doc_ids lie in one block, so document order decides."""
+    first = Window.partitionBy("g1", "g2").orderBy(F.col("doc").asc_nulls_last(), "block")
+    places = _candidates(blocks, window).drop("twice")
+    return places.withColumn("n", F.row_number().over(first)).filter("n > 1").select("block", "g1")
 
 
 def remove_repeats(
@@ -136,16 +136,15 @@ def remove_repeats(
     """One row per row of docs: id_col, n_words, n_removed, kept_sha256, kept_text (the words
     outside repeated windows, joined by one space)."""
     blocks = _blocks(docs, id_col, text_col)
-    later = repeated_windows(blocks, window)
+    later = later_windows(blocks, window)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _ordered(left) if left.num_rows else ([], [])
-        key = np.sort((right["g1"].to_numpy() ^ (right["g2"].to_numpy() << 1)).view(np.uint64))
+        key = np.sort(right["g1"].to_numpy().view(np.uint64))
         keys, spans, held = [], [], []
         for first, h, count, ok in _scan(texts, window):
-            g = window_hashes(h, window, 1) ^ (window_hashes(h, window, 2) << np.uint64(1))
             held.append((first, count, np.flatnonzero(ok)))
-            keys.append(g[held[-1][2]])
+            keys.append(window_hashes(h, window, 1)[held[-1][2]])
         every = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         order = np.argsort(every, kind="stable")
         gone = np.zeros(len(every), bool)
