@@ -4,7 +4,8 @@ Level one looks at runs of half the window.  Of each window only one such run, i
 minimizer (the run with the least hash), is looked up, so equal windows always look up
 the same run; a run that occurs once in the corpus rules out every window it stands
 for.  What is repeated at that length alone is extended to the whole window and looked
-up again, now exactly (96-bit window hashes) and with its earliest start.
+up again, now exactly (96-bit window hashes) and with its earliest start.  Longer
+repeats are followed by doubling on (`longest_repeats`), until no candidate survives.
 
 Documents are dealt into blocks of some MB by a hash of doc_id.  A block sends each
 distinct run or window once, with its first place, so a passage that a third of all
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import as_bytes, estimated_bytes, parts
+from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts
 from locusweave.llm.words import chunks, inside, minimizers, window_hashes, word_hashes
 
 BLOCK = 6 << 20  # stored bytes of a block
@@ -130,6 +131,12 @@ def later_windows(blocks: DataFrame, window: int) -> DataFrame:
     return places.withColumn("n", F.row_number().over(first)).filter("n > 1").select("block", "g1")
 
 
+def repeated_windows(blocks: DataFrame, window: int) -> DataFrame:
+    """(block, g1): windows of the block that start anywhere else too."""
+    again = F.count("*").over(Window.partitionBy("g1", "g2"))
+    return _candidates(blocks, window).withColumn("n", again).filter("n > 1 or twice").select("block", "g1")
+
+
 def remove_repeats(
     docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -179,3 +186,63 @@ def remove_repeats(
         run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     )
     return out.withColumnRenamed("doc_id", id_col)
+
+
+def longest_repeats(
+    docs: DataFrame, start: int = 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id_col, level, first_word, n_words): passages that windows of `level` words repeated somewhere
+    cover, for level start, 2*start, ... until no candidate survives.
+
+    Only passages in which two adjoining windows of a level are repeated go on to the next
+    level, as texts of their own, so each level reads what the last one left."""
+    left = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.lit(0).cast("bigint").alias("_at"), F.col(text_col).alias("_text"))
+    told, level = [], start
+    while True:
+        found = materialize(_level(left, level), "repeats")
+        told.append(found.filter("not going").select(F.col("_id").alias(id_col), F.lit(level).alias("level"), F.col("_at").alias("first_word"), F.col("n").alias("n_words")))
+        left = found.filter("going").select("_id", "_at", "_text")
+        if left.isEmpty():
+            break
+        level *= 2
+    out = told[0]
+    for one in told[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def _level(texts: DataFrame, window: int) -> DataFrame:
+    """Passages of texts(_id, _at, _text) covered by repeated windows (going false, no text), and those that can
+    hold a repeated window of twice the length (going true)."""
+    n = parts(estimated_bytes(texts), BLOCK, 2)
+    blocks = texts.select("_id", "_at", "_text", F.pmod(F.xxhash64("_id", "_at"), F.lit(4 * n)).alias("block")).repartition(n, "block")
+    again = repeated_windows(blocks, window)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, ats, docs = left["_id"].to_pylist(), left["_at"].to_pylist(), as_bytes(left["_text"])
+        key = np.sort(right["g1"].to_numpy().view(np.uint64))
+        rows = []
+        for first, h, count, ok in _scan(docs, window) if len(key) else ():
+            hit = np.zeros(len(h) + window, bool)
+            hit[: len(ok)] = ok & _isin(window_hashes(h, window, 1), key)
+            ends = np.cumsum(count)
+            for i, (e, m) in enumerate(zip(ends.tolist(), count.tolist())):
+                mine = hit[e - m : e]
+                words = None
+                for going, starts, size in ((False, mine, window), (True, mine[:-window] & mine[window:] if m > window else mine[:0], 2 * window)):
+                    at = np.flatnonzero(starts)
+                    if not len(at):
+                        continue
+                    cuts = np.flatnonzero(np.diff(at) > size) + 1
+                    for run_ in np.split(at, cuts):
+                        a, b = int(run_[0]), int(run_[-1]) + size
+                        words = words or docs[first + i].split()
+                        text = b" ".join(words[a:b]).decode() if going else None
+                        rows.append((ids[first + i], ats[first + i] + a, b - a, going, text))
+        cols = list(zip(*rows)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_id", "_at", "n", "going", "_text"])
+
+    return blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(
+        run, "_id bigint, _at bigint, n bigint, going boolean, _text string"
+    )
