@@ -6,11 +6,11 @@ shingles within NEAR_RADIUS bits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusweave.llm import decontaminate, language_id, simhash_dedup, source_mix, token_output
-from locusweave.llm.common import shared_path
+from locusweave.llm.common import fresh, shared_path
 from locusweave.llm.queries import vocabulary
 
 #: A pair with a similarity of 0.9 differs in 6.7 of 64 bits on average.
@@ -18,41 +18,55 @@ NEAR_RADIUS = 7
 #: Least share of the main language of a document that stays.
 LEAST_SHARE = 0.5
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a main language go."""
-    told = language_id.identify(docs, keep=docs.columns)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    labelled = docs.filter(~language_id.held_out("doc_id") & F.col("lang").isNotNull())
+    model = language_id.learn(labelled, "doc_id", "text", "lang")
+    pred, score, langs = (fresh(docs, n) for n in ("_pred", "_score", "_langs"))
+    told = language_id.predict(docs, model, names=(pred, score, langs))
+    return told.filter((F.col(pred) != "und") & (F.col(score) >= LEAST_SHARE)).drop(pred, score, langs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least doc_id stays (of its repeated rows one)."""
+    """Of each group the document with the least doc_id stays, of its repeated rows one.  A document
+    without an id goes if its group has one with an id; else one row of each such text stays."""
     named = simhash_dedup.near_duplicates(docs.select("doc_id", "text"), width=5, radius=NEAR_RADIUS)
-    stay = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    stay = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    own = fresh(docs, "_own")
+    kept = kept.withColumn(own, F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(""))
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    leaks = decontaminate.contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak"), "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs["text"]) == leaks["text_hash"])
+    return docs.join(leaks, same, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the last copy is cut after the words taken."""
-    mixed = source_mix.mix_sources(docs).filter("taken > 0").select("doc_id", "size", "taken").distinct()
-    copies = mixed.withColumn(
-        "_take", F.explode(F.transform(F.sequence(F.lit(0), F.expr("(taken - 1) div size")), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size"))))
+    """Each document as often as the mix takes it; the last copy is cut after the words taken.
+    Repeated rows take one share each."""
+    at, key, row, size, take = (fresh(docs, n) for n in ("_at", "_key", "_row", "_size", "_take"))
+    text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    mixed = source_mix.mix_sources(docs).select(
+        F.col("_at").alias(at), text_id.alias(key), F.col("size").alias(size), F.col("taken").alias(take)
+    )
+    mixed = mixed.withColumn(row, F.row_number().over(Window.partitionBy(at, key).orderBy(F.col(take).desc())))
+    copies = F.transform(
+        F.sequence(F.lit(0), F.floor((F.col(take) - 1) / F.col(size))), lambda i: F.least(F.col(size), F.col(take) - i * F.col(size))
     )
-    met = docs.join(copies, "doc_id")
+    mixed = mixed.filter(F.col(take) > 0).withColumn(take, F.explode(copies))
+    placed = docs.withColumn(at, source_mix.seeded(docs)).withColumn(key, text_id)
+    placed = placed.withColumn(row, F.row_number().over(Window.partitionBy(at, key).orderBy("source")))
+    met = placed.join(mixed, [at, key, row])
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    head = F.array_join(F.slice(pieces, F.lit(1), (F.col("_take") + lead).cast("int")), "")
-    text = F.when(F.col("_take") < F.col("size"), head).otherwise(F.col("text"))
-    return met.withColumn("text", text).select(*docs.columns)
+    head = F.array_join(F.slice(pieces, F.lit(1), (F.col(take) + lead).cast("int")), "")
+    return met.withColumn("text", F.when(F.col(take) < F.col(size), head).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

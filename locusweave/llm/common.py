@@ -57,6 +57,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return size
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not got, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(size: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(size / each))
 

@@ -88,7 +88,8 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """One row per document and item that it contains: id_col, item_id, n_windows, first_word, similarity."""
+    """One row per document (id and text) and item that it contains: id_col, item_id, n_windows, first_word,
+    similarity, text_hash (xxhash64 of the text)."""
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).withColumn("n", F.size("w"))
     items = items.filter("n > 0").withColumn("k", F.least("n", F.lit(WIDTH)))
     shingled = F.array().cast("array<bigint>")
@@ -108,9 +109,9 @@ def contaminated(
     if found is None:
         found = _matches(texts, items, known, WIDTH, similarity, radius)
     return (
-        found.groupBy("_id", "item")
+        found.groupBy("_id", "_th", "item")
         .agg(F.count("*").alias("n_windows"), F.min("s").alias("first_word"), F.max("similarity").alias("similarity"))
-        .withColumnsRenamed({"_id": id_col, "item": item_col})
+        .select(F.col("_id").alias(id_col), F.col("item").alias(item_col), "n_windows", "first_word", "similarity", F.col("_th").alias("text_hash"))
     )
 
 
@@ -153,4 +154,4 @@ def _matches(texts: DataFrame, items: DataFrame, known: DataFrame, k: int, simil
     where = pairs["_id"].eqNullSafe(cut["_id"]) & (pairs["_th"] == cut["_th"]) & (pairs["n"] == cut["n"]) & (pairs["s"] == cut["s"])
     checked = pairs.join(cut.drop("wfp"), where).select(pairs["_id"], pairs["_th"], pairs["s"], pairs["item"], "wsh")
     checked = checked.join(items.select("item", "sh"), "item").withColumn("similarity", _similarity(F.col("wsh"), F.col("sh")))
-    return checked.filter(F.col("similarity") >= similarity).select("_id", "item", "s", "similarity")
+    return checked.filter(F.col("similarity") >= similarity).select("_id", "_th", "item", "s", "similarity")

@@ -112,27 +112,31 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def predict(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns of keep (all if None), lang_pred, score and langs (the mixture as text)."""
+def predict(
+    docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "langs")
+) -> DataFrame:
+    """docs' columns of keep (all if None), then prediction, score and mixture (as text) under names,
+    which keep must not hold."""
     langs, p = model
     keep = docs.columns if keep is None else keep
     kinds = dict(docs.select(*keep).dtypes)
 
     def run(table: pa.Table) -> pa.Table:
         texts = table["_text"].to_pylist()
-        names, scores, mixture = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
+        told, scores, mixture = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
         real = [i for i, t in enumerate(texts) if langs and t and _has_letter(t)]
         for i in range(0, len(real), 32):
             some = real[i : i + 32]
             pi = infer(features([texts[j] for j in some]), p)
             for j, row in zip(some, pi):
                 k = int(row.argmax())
-                names[j], scores[j] = langs[k], min(1.0, float(row[k]))
+                told[j], scores[j] = langs[k], min(1.0, float(row[k]))
                 mixture[j] = ",".join(f"{langs[x]}:{row[x]:.3f}" for x in np.flatnonzero(row >= 0.0005))
         out = {c: table[f"c{i}"] for i, c in enumerate(keep)}
-        return pa.table(list(out.values()) + [pa.array(names), pa.array(scores, pa.float64()), pa.array(mixture)], names=[*keep, "lang_pred", "score", "langs"])
+        made = [pa.array(told, pa.string()), pa.array(scores, pa.float64()), pa.array(mixture, pa.string())]
+        return pa.table([*out.values(), *made], names=[*keep, *names])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, langs string"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` string"])
     inputs = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     return docs.select(*inputs, F.col(text_col).alias("_text")).mapInArrow(per_table(run), schema)
 

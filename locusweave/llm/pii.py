@@ -4,8 +4,8 @@ Base detectors read the raw text.  Where a text shows a disguise, transducers re
 it - homoglyphs and foreign digits to ASCII, invisible characters to nothing, spelled
 digits to digits, "(at)" and "dot" forms to @ and . - while every output character keeps the
 source span it came from; the same detectors read the rewritten text and their spans are
-mapped back.  An added span holds at least one rewritten place and overlaps no base
-span of its kind.
+mapped back.  An added span holds at least one rewritten place and overlaps no base span of
+its kind, unless it completes one that hidden characters cut short.
 
 All scans are linear in the text: starts are anchored at @, + or the first digit of a
 run.  Offsets are code points, ends exclusive.  A null text counts as empty; repeated
@@ -101,7 +101,7 @@ _BRACKETED = re.compile(r"[(\[{<][ \t]*(?:at|dot|@|\.)[ \t]*[)\]}>]", re.I)
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, _GLYPH))) + _INVISIBLE + "！-～]|(?![0-9])\\d")
 _UNIT = re.compile(rf"{_WORD}|dot|point", re.I)
 
-Pieces = list[tuple[str, int, int]]
+Pieces = list[tuple[str, int, int, bool]]
 
 
 def glyphs(text: str) -> tuple[str, list[int], list[bool]]:
@@ -126,14 +126,15 @@ def glyphs(text: str) -> tuple[str, list[int], list[bool]]:
 
 
 def disguises(text: str) -> Pieces:
-    """Second transducer: pieces (output, start, end) that replace text; the rest is copied."""
+    """Second transducer: pieces (output, start, end, glued) that replace text; the rest is copied, but for
+    what stands between a glued piece and the one before."""
     found: Pieces = []
     for m in _RULES.finditer(text):
         if m.lastgroup == "run":
-            for u in _UNIT.finditer(m[0]):
-                found.append((_DIGITS.get(u[0].lower(), "."), m.start() + u.start(), m.start() + u.end()))
+            for i, u in enumerate(_UNIT.finditer(m[0])):
+                found.append((_DIGITS.get(u[0].lower(), "."), m.start() + u.start(), m.start() + u.end(), i > 0))
         else:
-            found.append(({"at": "@", "dot": ".", "plus": "+"}[m.lastgroup], m.start(), m.end()))
+            found.append(({"at": "@", "dot": ".", "plus": "+"}[m.lastgroup], m.start(), m.end(), False))
     return found
 
 
@@ -150,33 +151,34 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
     if not _disguised(text):
         return {}
     first, at, odd = glyphs(text)
-    pieces = disguises(first)
-    out, begin, end, changed = [], [], [], []
+    out, begin, end = [], [], []
+    how: list[int] = []  # of each output character: 0 as it was, 1 a glyph, 2 a disguise
     i = 0
 
     def copy(stop: int) -> None:
         out.append(first[i:stop])
         begin.extend(at[i:stop])
         end.extend(x + 1 for x in at[i:stop])
-        changed.extend(odd[i:stop])
+        how.extend(map(int, odd[i:stop]))
 
-    for new, a, b in pieces:
-        # what separates the digits of a spelled run goes with them
-        if not (changed and changed[-1] and i < a and first[i:a].strip(" \t-,.") == "" and new.isdigit() and out[-1][-1:].isdigit()):
+    for new, a, b, glued in disguises(first):
+        if not glued:
             copy(a)
         out.append(new)
         begin.append(at[a])
         end.append(at[b - 1] + 1)
-        changed.append(True)
+        how.append(2)
         i = b
     copy(len(first))
     added: dict[str, list[tuple[int, int]]] = {}
     for kind, spans in base_spans("".join(out)).items():
         for a, b in spans:
-            if any(changed[a:b]):
-                s, e = begin[a], end[b - 1]
-                if not any(x < e and s < y for x, y in base[kind]):
-                    added.setdefault(kind, []).append((s, e))
+            most = max(how[a:b])
+            s, e = begin[a], end[b - 1]
+            met = [(x, y) for x, y in base[kind] if x < e and s < y]
+            # a base span that hidden characters cut short is completed; no other overlap is added
+            if most and (not met or most == 1 and all(s <= x and y <= e for x, y in met) and (s, e) not in met):
+                added.setdefault(kind, []).append((s, e))
     return added
 
 

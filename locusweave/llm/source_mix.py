@@ -69,6 +69,11 @@ def apportion(parties: DataFrame, within: list[str], votes: str, seats: str, key
     return out.drop("_v", "_half", "_low", "_high", "_rest", "_won")
 
 
+def seeded(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The place of a document in the seeded order: a hash of seed, id and text."""
+    return F.xxhash64(F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit("")), docs[text_col])
+
+
 def mix_sources(
     docs: DataFrame, seed: int = 17, most: int = 3, weights: tuple[int, ...] = (1, 2, 3),
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -77,7 +82,7 @@ def mix_sources(
     order _at (equal rows share it)."""
     sized = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("_at"),
+        seeded(docs, seed, id_col, text_col).alias("_at"),
     )
     sized = materialize(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
