@@ -13,9 +13,11 @@ rows."""
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,64 +35,99 @@ PARQUET = {
     "parquet.enable.dictionary": "true",
     "parquet.writer.version": "PARQUET_2_0",
 }
-_TAIL = ".,;:!?"
 _loaded: dict[str, Encoder] = {}
+_MARKS = frozenset(".,;:!?")  # one of them after letters at the end of a piece is tokenized on its own
+_CONTROL = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
+
+
+def _byte_level() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of texts as little-endian uint32, through a bounded cache of space-separated pieces.
 
-    Valid for tokenizers whose normalizer and pre-tokenizer act on each such piece alone
-    (checked for the file on a probe when it is loaded)."""
+    Valid for tokenizers whose normalizer and pre-tokenizer act on each piece alone; the file's
+    normalizer must lower-case.  Latin-1 texts are lower-cased as a whole; pieces of letters go
+    straight to the file's BPE model, other pieces and texts through the whole tokenizer."""
 
-    LIMIT = 300_000
+    LIMIT = 400_000  # pieces in each of two cache generations
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.alphabet = _byte_level()
 
-    @staticmethod
-    def _split(piece: str) -> tuple[str, str]:
-        """A piece as lower-cased core and punctuation tail where that can't change its ids."""
-        core = piece.rstrip(_TAIL)
-        if core and core[-1].isalpha() and "<" not in piece and (core.isascii() or max(core) < "ƀ"):
-            return core.lower(), piece[len(core) :]
-        return piece, ""
-
-    def _encode(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            some = pieces[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.cores[p] = np.array(e.ids, "<u4").tobytes()
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in made]
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.cache) > self.LIMIT:
-            self.cache.clear()
-        if len(self.cores) > self.LIMIT:
-            self.cores.clear()
-        pieces = [p for p in pieces if p not in self.cache]
-        halves = [self._split(p) for p in pieces]
-        new = {x for both in halves for x in both if x} - self.cores.keys()
-        self._encode(list(new))
-        get = self.cores.get
-        self.cache.update((p, get(a, b"") + get(b, b"")) for p, (a, b) in zip(pieces, halves))
+        """Put all pieces into the young generation."""
+        if len(self.young) > self.LIMIT:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = pieces.difference(young)
+        new = missing.difference(old)
+        young.update((p, old[p]) for p in missing.difference(new))
+        marked = {p: p[:-1] for p in new if p[-1] in _MARKS and p[:-1].isalpha() and p.islower()}
+        cores = set(marked.values()).difference(young)
+        unknown = cores.difference(old)
+        young.update((p, old[p]) for p in cores.difference(unknown))
+        new = new.difference(marked) | unknown | _MARKS.difference(young)
+        fast = [p for p in new if p.isalpha() and p.islower()]
+        slow = list(new.difference(fast))
+        alphabet, model = self.alphabet, self.tokenizer.model.tokenize
+        raw = [p if p.isascii() else p.encode().decode("latin-1").translate(alphabet) for p in fast]
+        ids = [[t.id for t in model(r)] for r in raw]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(accumulate([4 * len(i) for i in ids]))
+        young.update({p: flat[a:b] for p, a, b in zip(fast, [0, *ends], ends)})
+        for i in range(0, len(slow), 5000):
+            young.update(zip(slow[i : i + 5000], self._slow(slow[i : i + 5000])))
+        young.update({p: young[core] + young[p[-1]] for p, core in marked.items()})
+
+    @staticmethod
+    def _pieces(text: str) -> list[str] | None:
+        """Lower-cased pieces, or None for a text that is encoded as a whole."""
+        if "<" in text or any(c in text for c in _CONTROL):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return text.lower().split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text.  The cycle collector rests meanwhile: it would walk the cache again and again."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         begin = 0
         while begin < len(texts):
             stop, size = begin, 0
-            while stop < len(texts) and size < 4_000_000:
+            while stop < len(texts) and size < 2_000_000:
                 size += len(texts[stop]) + 1
                 stop += 1
-            lists = [t.split() for t in texts[begin:stop]]
-            self.learn(set().union(*lists))
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, words)) for words in lists]
+            lists = [self._pieces(t) for t in texts[begin:stop]]
+            self.learn(set().union(*filter(None, lists)))
+            get = self.young.__getitem__
+            odd = iter(self._slow([t for t, w in zip(texts[begin:stop], lists) if w is None]))
+            out += [next(odd) if w is None else b"".join(map(get, w)) for w in lists]
             begin = stop
         return out
 
