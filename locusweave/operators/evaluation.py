@@ -110,3 +110,60 @@ def marker_status(members: DataFrame, markers: list[str], least: int) -> DataFra
     every = members.select("block_id").distinct().join(good, "block_id", "left")
     sides = F.coalesce("sides", F.lit(0))
     return every.select("block_id", F.when(sides == 2, "both").when(sides == 1, "one").otherwise("none").alias("status"))
+
+
+def adjusted_mutual_information(labels: DataFrame, a: str, b: str) -> float:
+    """AMI from the contingency table (its cells come to the driver: labels must be few)."""
+    import math
+
+    cells = {(r[0], r[1]): r[2] for r in labels.groupBy(a, b).count().collect()}
+    rows: dict = {}
+    cols: dict = {}
+    for (x, y), n in cells.items():
+        rows[x], cols[y] = rows.get(x, 0) + n, cols.get(y, 0) + n
+    total = sum(rows.values())
+    entropy = lambda m: -sum(v / total * math.log(v / total) for v in m.values())
+    mutual = sum(n / total * math.log(n * total / (rows[x] * cols[y])) for (x, y), n in cells.items())
+    lg = math.lgamma
+    expected = 0.0
+    for p in rows.values():
+        for q in cols.values():
+            for n in range(max(1, p + q - total), min(p, q) + 1):
+                log_p = lg(p + 1) + lg(q + 1) + lg(total - p + 1) + lg(total - q + 1) - lg(total + 1) - lg(n + 1) - lg(p - n + 1) - lg(q - n + 1) - lg(total - p - q + n + 1)
+                expected += n / total * math.log(n * total / (p * q)) * math.exp(log_p)
+    top = (entropy(rows) + entropy(cols)) / 2
+    return 1.0 if top == expected else (mutual - expected) / (top - expected)
+
+
+def pair_count_check(blocks: DataFrame, expected: dict[str, int], tolerance: float = 0.0) -> DataFrame:
+    """blocks(species_pair) against expected counts: pair, n, expected, ok."""
+    spark = blocks.sparkSession
+    want = spark.createDataFrame(sorted(expected.items()), "species_pair string, expected long")
+    got = blocks.groupBy("species_pair").agg(F.count("*").alias("n"))
+    met = want.join(got, "species_pair", "full").na.fill(0)
+    return met.withColumn("ok", F.abs(F.col("n") - F.col("expected")) <= tolerance * F.col("expected"))
+
+
+def marker_purity(members: DataFrame, clusters: DataFrame, markers: DataFrame, least: int = 8, cap: int = 10_000) -> DataFrame:
+    """Per cluster: blocks with at least `least` distinct markers as a share of its blocks; clusters over cap are flagged."""
+    met = members.select("block_id", "gene_id").join(markers.select("gene_id", "marker"), "gene_id")
+    good = met.groupBy("block_id").agg(F.countDistinct("marker").alias("m")).filter(F.col("m") >= least).select("block_id", F.lit(1).alias("_g"))
+    told = clusters.join(good, "block_id", "left").groupBy("cluster_id").agg(F.count("*").alias("size"), F.coalesce(F.sum("_g"), F.lit(0)).alias("curated"))
+    return told.withColumn("purity", F.col("curated") / F.col("size")).withColumn("over_cap", F.col("size") > cap)
+
+
+def cluster_coverage(members: DataFrame, required: list[str], ribosomal: str = "ribosomal") -> DataFrame:
+    """Per cluster: share of required genomes, share of ribosomal genes; the best cluster is the first by
+    (coverage, ribosomal share, size, -id)."""
+    told = members.groupBy("cluster_id").agg(
+        F.count("*").alias("size"), (F.countDistinct(F.when(F.col("genome").isin(required), F.col("genome"))) / len(required)).alias("coverage"),
+        F.avg(F.coalesce(F.lower("annotation").contains(ribosomal), F.lit(False)).cast("int")).alias("ribosomal_share"),
+    )
+    best = told.agg(F.max_by("cluster_id", F.struct("coverage", "ribosomal_share", "size", -F.col("cluster_id"))).alias("_best"))
+    return told.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("cluster_id") == F.col("_best")).drop("_best")
+
+
+def search_recall(found: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
+    """found(query, rank, genome), truth(query, genome): share of true (query, genome) within the first k blocks."""
+    first = found.groupBy("query", "genome").agg(F.min("rank").alias("rank"))
+    return recall_at(truth.select("query", "genome").distinct().join(first, ["query", "genome"], "left"), ks)

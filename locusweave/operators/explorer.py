@@ -100,3 +100,68 @@ def merge_assignments(first: DataFrame, second: DataFrame, least: int = 2) -> Da
     met = first.join(fill, "block_id", "full")
     own = F.coalesce("cluster_id", F.lit(0))
     return met.select("block_id", F.when(own > 0, own).otherwise(F.coalesce("fill", F.lit(0))).alias("cluster_id"))
+
+
+def cluster_type(mean_length: str | None = None, size: str | None = None) -> Column:
+    """Cluster type by mean length (as blocks) or by size (above 100, above 1000)."""
+    if mean_length is not None:
+        return size_bucket(mean_length)
+    return F.when(F.col(size) > 1000, "large").when(F.col(size) > 100, "medium").otherwise("small")
+
+
+def with_species(blocks: DataFrame, samples: DataFrame) -> DataFrame:
+    """blocks with both sides' species, their unordered pair and is_cross_genus; complains about unmapped genomes."""
+    out = blocks
+    for side in ("query", "target"):
+        look = samples.select(F.col("sample_id").alias(f"{side}_genome"), F.col("species").alias(f"{side}_species"))
+        out = out.join(look, f"{side}_genome", "left")
+    missing = out.filter(F.col("query_species").isNull() | F.col("target_species").isNull()).limit(1).collect()
+    if missing:
+        raise ValueError(f"no species for {missing[0]['query_genome']} or {missing[0]['target_genome']}")
+    genus = lambda c: F.split(c, " ")[0]
+    pair = F.concat_ws("-", F.array_sort(F.array("query_species", "target_species")))
+    return out.withColumn("species_pair", pair).withColumn("is_cross_genus", genus("query_species") != genus("target_species"))
+
+
+def export_best(blocks: DataFrame, score: str, identity: str, length: str, n: int = 1000) -> dict[str, DataFrame]:
+    """High identity and long; longer than the 95th percentile; top n by score."""
+    p95 = blocks.agg(F.percentile(length, F.lit(0.95)).alias("_p95"))
+    return {
+        "high_identity": blocks.filter((F.col(identity) > 0.9) & (F.col(length) > 5000)),
+        "longest": blocks.join(F.broadcast(p95), F.col(length) > F.col("_p95")).drop("_p95"),
+        "top_score": blocks.orderBy(F.col(score).desc(), "block_id").limit(n),
+    }
+
+
+def cluster_extent(blocks: DataFrame, mappings: DataFrame, genes: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """Per cluster: contigs (query and target counted apart), distinct genes, distinct domain lists."""
+    contigs = blocks.groupBy(cluster).agg((F.countDistinct("query_contig") + F.countDistinct("target_contig")).alias("n_contigs"))
+    met = mappings.join(blocks.select("block_id", cluster), "block_id").join(genes.select("gene_id", "pfam_domains"), "gene_id")
+    held = met.groupBy(cluster).agg(F.countDistinct("gene_id").alias("n_genes"), F.countDistinct(F.when(F.col("pfam_domains") != "", F.col("pfam_domains"))).alias("n_domain_lists"))
+    return contigs.join(held, cluster, "left").na.fill(0)
+
+
+def pair_genome_counts(pairs: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """Micro pairs: distinct genomes and contigs over both sides per cluster."""
+    side = lambda s: F.struct(F.col(f"{s}_genome_id").alias("g"), F.col(f"{s}_contig_id").alias("c"))
+    rows = pairs.select(cluster, F.explode(F.array(side("query"), side("target"))).alias("x"))
+    return rows.groupBy(cluster).agg(F.countDistinct("x.g").alias("n_genomes"), F.countDistinct("x").alias("n_contigs"))
+
+
+def star_schema(genes: DataFrame, blocks: DataFrame, clusters: DataFrame, mappings: DataFrame) -> dict[str, DataFrame]:
+    """The browser's tables: genomes, contigs, genes, blocks, clusters, assignments, mappings."""
+    from locusweave.functions.expr import identity
+    from locusweave.operators.genes import contig_rollup, genome_rollup
+
+    wide = blocks.withColumn("identity", identity("chain_score", "n_anchors")).withColumn("block_type", size_bucket("n_anchors"))
+    return {
+        "genomes": genome_rollup(genes), "contigs": contig_rollup(genes),
+        "genes": genes.select("gene_id", F.col("sample_id").alias("genome_id"), "contig_id", "start", "end", "strand", (F.col("end") - F.col("start") + 1).alias("gene_length")),
+        "syntenic_blocks": wide, "clusters": clusters.withColumn("cluster_type", cluster_type(mean_length="mean_chain_length")),
+        "cluster_assignments": blocks.filter("cluster_id > 0").select("block_id", "cluster_id"), "gene_block_mappings": mappings,
+    }
+
+
+def register_views(tables: dict[str, DataFrame]) -> None:
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)

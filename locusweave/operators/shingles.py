@@ -188,3 +188,17 @@ def project(vectors: DataFrame, mean: np.ndarray, comp: np.ndarray, vector: str
 
     schema = ", ".join(f"`{f.name}` {'array<float>' if f.name == vector else f.dataType.simpleString()}" for f in vectors.schema.fields)
     return vectors.mapInPandas(run, schema)
+
+
+def drop_top_components(vectors: DataFrame, n: int, vector: str = "emb") -> DataFrame:
+    """All-but-the-top: the mean and the n leading components removed, unit norm."""
+    mean, comp, _ = pca(vectors, n, vector)
+    keep = np.eye(comp.shape[1]) - comp.T @ comp
+    return project(vectors, mean, keep, vector)
+
+
+def standardised(vectors: DataFrame, vector: str = "emb") -> DataFrame:
+    """Each dimension centred and divided by its deviation (from distributed sums), unit norm."""
+    mean, comp, share = pca(vectors, 1 << 30, vector)
+    var = vectors.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+    return project(vectors, mean, np.diag(1 / np.sqrt(np.maximum(var, 1e-12))), vector)

@@ -173,3 +173,14 @@ def explorer_summary(pairs: DataFrame, consensus_rows: DataFrame, size: int) ->
     label = F.when(F.col("agree") >= 0.6, "strong").when(F.col("agree") >= 0.4, "mixed").otherwise("weak")
     quality = 0.5 * F.col("median_coverage") + 0.3 * F.col("agree") + 0.2 * F.least(F.lit(1.0), F.log1p(F.lit(float(size))) / 5)
     return row.withColumn("direction", label).withColumn("quality", fixed(quality))
+
+
+def block_consensus(seq: DataFrame, block: str, role: str, at: str, strand: str, token: str = "token") -> DataFrame:
+    """Per block the tokens that both sides hold: mean place on each side and whether strands agree."""
+    order = Window.partitionBy(block, role).orderBy(at)
+    n = F.count("*").over(Window.partitionBy(block, role))
+    placed = seq.withColumn("_i", F.row_number().over(order) - 1).withColumn("_p", F.when(n > 1, F.col("_i") / (n - 1)).otherwise(0.0))
+    first = placed.groupBy(block, role, token).agg(F.min_by("_p", "_i").alias("p"), F.min_by(strand, "_i").alias("s"))
+    side = lambda r: F.max(F.when(F.col(role) == r, F.struct("p", "s")))
+    both = first.groupBy(block, token).agg(side("query").alias("q"), side("target").alias("t")).filter("q IS NOT NULL AND t IS NOT NULL")
+    return both.select(block, token, F.col("q.p").alias("query_pos"), F.col("t.p").alias("target_pos"), (F.col("q.s") == F.col("t.s")).alias("same_strand"))

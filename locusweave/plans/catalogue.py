@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions import expr as X
 from locusweave.operators import anchors as A
-from locusweave.operators import architecture, chains, clusters, evaluation, explorer, genes, graph, intervals, shingles, statistics, store, tokens
+from locusweave.operators import architecture, chains, clusters, communities, evaluation, explorer, genes, graph, intervals, regions, shingles, statistics, store, tokens
 
 TAU = 0.2
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -852,3 +852,159 @@ def g33_merge_hierarchy(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").filter("o_orderkey > 2 AND o_orderkey < 2000").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 3").alias("parent"))
     told = clusters.merge_hierarchy(rows)
     return told.drop("parent").join(rows, "child")
+
+
+# --- regions and communities
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT p_brand AS gene_id FROM part), w AS (SELECT l_orderkey AS block_id, 'x_' || (l_linenumber % 2) || '_Brand#' || (l_partkey % 40) AS name FROM lineitem),
+    t AS (SELECT block_id, name, gene_id FROM w JOIN g ON g.gene_id = string_split(name, '_')[3]) SELECT DISTINCT block_id, name, gene_id, 2 AS trim FROM t"""
+)
+def j10_trimmed_ids(spark, sf_dir):
+    name = F.concat(F.lit("x_"), F.col("l_linenumber") % 2, F.lit("_Brand#"), F.col("l_partkey") % 40)
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), name.alias("name"))
+    return regions.match_trimmed_ids(wanted, table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene_id")))
+
+
+@query(
+    f"""WITH {IV}, l AS (SELECT id, user_id, s, e FROM iv WHERE event_type = 'click'), x AS (SELECT user_id, s, e, min(id) AS o FROM iv WHERE event_type = 'view' GROUP BY 1, 2, 3),
+    y AS (SELECT user_id, s, min(id) AS o FROM iv WHERE event_type = 'view' GROUP BY 1, 2) SELECT l.id, coalesce(x.o, y.o) AS other_id FROM l LEFT JOIN x USING (user_id, s, e) LEFT JOIN y USING (user_id, s)"""
+)
+def j25_coordinate_match(spark, sf_dir):
+    iv = event_intervals(spark, sf_dir)
+    return regions.match_coordinates(iv.filter("event_type = 'click'"), iv.filter("event_type = 'view'").withColumnRenamed("id", "other_id"), ["user_id"])
+
+
+@query(
+    f"""WITH {IV} SELECT a.id, b.id AS other_id FROM iv a JOIN iv b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND a.s < b.e AND b.s < a.e
+    AND least(a.e, b.e) - greatest(a.s, b.s) >= 0.5 * least(a.e - a.s, b.e - b.s)"""
+)
+def j26_overlap_match(spark, sf_dir):
+    iv = event_intervals(spark, sf_dir)
+    return regions.match_overlap(iv.filter("event_type = 'click'"), iv.filter("event_type = 'view'").withColumnRenamed("id", "other_id"), ["user_id"], WIDTH)
+
+
+@query(
+    f"""WITH {RANGES}, side AS (SELECT genome_a AS g, part, a_start AS s, a_end AS e FROM pred UNION ALL SELECT genome_b, part, b_start, b_end FROM pred),
+    a AS (SELECT DISTINCT gt.rid FROM gt JOIN side ON g = genome_a AND side.part = gt.part AND greatest(0, least(a_end, e) - greatest(a_start, s) + 1) / (a_end - a_start + 1) >= 0.5),
+    b AS (SELECT DISTINCT gt.rid FROM gt JOIN side ON g = genome_b AND side.part = gt.part AND greatest(0, least(b_end, e) - greatest(b_start, s) + 1) / (b_end - b_start + 1) >= 0.5),
+    c AS (SELECT DISTINCT gt_id AS rid FROM met WHERE fa >= 0.5 AND fb >= 0.5)
+    SELECT gt.rid AS gt_id, gt.rid IN (SELECT rid FROM a) AS covered_a, gt.rid IN (SELECT rid FROM b) AS covered_b, gt.rid IN (SELECT rid FROM c) AS strict FROM gt"""
+)
+def j21_side_coverage(spark, sf_dir):
+    every = user_ranges(spark, sf_dir).withColumn("contig_a", F.col("part")).withColumn("contig_b", F.col("part"))
+    truth = every.filter("event_type = 'purchase'").withColumnRenamed("rid", "gt_id")
+    return regions.coverage_of_sides(truth, every.filter("event_type IN ('view', 'error')"))
+
+
+@query(
+    """WITH o AS (SELECT s_suppkey AS operon_id, s_nationkey % 5 AS genus FROM supplier), g AS (SELECT n_nationkey AS genome, n_regionkey AS genus FROM nation),
+    h AS (SELECT DISTINCT l_suppkey AS operon_id, c_nationkey AS genome FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'R'),
+    t AS (SELECT o.operon_id, count(*) AS n_genomes, count(h.genome) AS n_reached FROM o JOIN g ON g.genus <> o.genus LEFT JOIN h ON h.operon_id = o.operon_id AND h.genome = g.genome GROUP BY 1)
+    SELECT operon_id, n_genomes, n_reached, floor(n_reached / n_genomes * 10000 + 0.5) / 10000 AS share FROM t"""
+)
+def j27_cross_genus_coverage(spark, sf_dir):
+    operons = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("operon_id"), (F.col("s_nationkey") % 5).alias("genus"))
+    genomes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("genome"), F.col("n_regionkey").alias("genus"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    hits = lines.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("l_suppkey").alias("operon_id"), F.col("c_nationkey").alias("genome"))
+    return regions.cross_genus_coverage(operons, genomes, hits).withColumn("share", X.fixed("share"))
+
+
+@query(
+    f"""WITH {IV}, p AS (SELECT user_id, event_type, s, e, e - s + 1 AS n, CASE WHEN id % 7 = 0 THEN -1 ELSE 1 END AS o FROM iv WHERE event_type IN ('view', 'click')),
+    g AS (SELECT *, s - lag(e) OVER (PARTITION BY user_id ORDER BY s, e) - 1 AS gap FROM p), t AS (SELECT user_id, count(*) AS n_parts, count(DISTINCT o) AS turns, max(gap) AS max_gap, avg(n) AS m FROM g GROUP BY 1)
+    SELECT user_id, n_parts, CASE WHEN turns > 1 THEN 'inversion' WHEN max_gap > 10 THEN 'insertion' WHEN m < 2 THEN 'over_fragmentation' ELSE 'moderate_gap' END AS kind FROM t"""
+)
+def w14_fragmentation_types(spark, sf_dir):
+    iv = event_intervals(spark, sf_dir).filter("event_type IN ('view', 'click')")
+    parts = iv.select("user_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), (F.col("end") - F.col("start") + 1).alias("n"), F.when(F.col("id") % 7 == 0, -1).otherwise(1).alias("orientation"))
+    return regions.fragmentation_types(parts, "user_id").drop("max_gap")
+
+
+@query(
+    f"""WITH {IV}, m AS (SELECT *, max(s) OVER (PARTITION BY user_id ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+    f AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 7 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS isl FROM m),
+    runs AS (SELECT user_id, min(s) AS start, max(s) AS "end", count(DISTINCT event_type) AS n_names FROM f GROUP BY user_id, isl),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n_names DESC, start) AS k FROM runs) SELECT user_id, start, "end", n_names FROM k WHERE k = 1"""
+)
+def w21_best_runs(spark, sf_dir):
+    return regions.best_runs(event_intervals(spark, sf_dir), ["user_id"], "start", "event_type", 6)
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS set_id, l_partkey * 10000 + l_suppkey AS item FROM lineitem), m AS (SELECT item, min(set_id) AS v FROM s GROUP BY 1),
+    e AS (SELECT DISTINCT set_id AS u, v FROM s JOIN m USING (item) WHERE set_id <> v), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+    r(node, root) AS (SELECT DISTINCT set_id, set_id FROM s UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v) SELECT node AS set_id, min(root) AS root FROM r GROUP BY 1"""
+)
+def g31_sets_joined(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("set_id"), (F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("item"))
+    return regions.sets_joined(rows)
+
+
+@query()
+def g32_orthogroup_blocks(spark, sf_dir):
+    seq = event_sequence(spark, sf_dir).withColumn("token", F.concat_ws(":", "token", F.col("pos") % 8))
+    w = Window.partitionBy("user_id").orderBy("pos")
+    pairs = seq.select(F.col("token").alias("a"), F.lead("token").over(w).alias("b"), F.col("user_id").alias("genome")).filter("b IS NOT NULL")
+    species = seq.select(F.col("user_id").alias("genome"), (F.col("user_id") % 12).alias("species")).distinct()
+    return regions.orthogroup_blocks(pairs, species, 9).drop("orthogroups")
+
+
+@query()
+def g14_token_clusters(spark, sf_dir):
+    return communities.token_clusters(document_tokens(spark, sf_dir), tau=0.3, k=5, ban=0.99)
+
+
+@query()
+def g22_reciprocal_graph(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return communities.reciprocal_graph(A.nearest_exact(v, v, 11), 10).withColumn("w", X.fixed("w"))
+
+
+@query()
+def g26_all_but_the_top(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
+    return shingles.drop_top_components(v, 3).select("vec_id", X.fixed(X.norm("emb"), 3).alias("norm"))
+
+
+@query()
+def g27_comparative_edges(spark, sf_dir):
+    v = genes_view(spark, sf_dir).filter("position_index < 12").withColumn("domains", F.array((F.col("start") % 7000).cast("string")))
+    rows = v.select("contig_id", "sample_id", F.col("gene_id").alias("id"), F.col("position_index").alias("idx"), "emb", "domains").withColumnRenamed("contig_id", "view")
+    return regions.comparative_edges(rows.filter("sample_id = 'g0'"), rows.filter("sample_id = 'g1'"), 0.3)
+
+
+@query(
+    f"""WITH {SEQ}, x AS (SELECT user_id, CASE WHEN pos % 2 = 0 THEN 'query' ELSE 'target' END AS role, token, strand, pos FROM seq WHERE pos < 12),
+    p AS (SELECT *, row_number() OVER (PARTITION BY user_id, role ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY user_id, role) AS n FROM x),
+    f AS (SELECT user_id, role, token, arg_min(CASE WHEN n > 1 THEN i / (n - 1) ELSE 0.0 END, i) AS p, arg_min(strand, i) AS s FROM p GROUP BY 1, 2, 3)
+    SELECT q.user_id, q.token, {r('q.p')} AS query_pos, {r('t.p')} AS target_pos, q.s = t.s AS same_strand FROM f q JOIN f t ON q.user_id = t.user_id AND q.token = t.token AND q.role = 'query' AND t.role = 'target'"""
+)
+def a28_block_consensus(spark, sf_dir):
+    seq = event_sequence(spark, sf_dir).filter("pos < 12").withColumn("role", F.when(F.col("pos") % 2 == 0, "query").otherwise("target"))
+    told = tokens.block_consensus(seq, "user_id", "role", "pos", "strand")
+    return told.withColumns({c: X.fixed(c) for c in ("query_pos", "target_pos")})
+
+
+@query(
+    f"""WITH {EXPLORER}, g AS (SELECT l_orderkey AS block_id, l_partkey AS gene_id FROM lineitem) SELECT cluster_id, count(DISTINCT query_locus) + count(DISTINCT target_locus) AS n_contigs,
+    count(DISTINCT gene_id) AS n_genes, count(DISTINCT p_type) AS n_domain_lists FROM bl JOIN g USING (block_id) JOIN part ON p_partkey = gene_id GROUP BY 1"""
+)
+def a17_cluster_extent(spark, sf_dir):
+    rows = order_blocks(spark, sf_dir).withColumnsRenamed({"query_locus": "query_contig", "target_locus": "target_contig"})
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_partkey").alias("gene_id"))
+    used = rows.join(lines, "block_id", "left_semi")
+    return explorer.cluster_extent(used, lines, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("pfam_domains")))
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey AS block_id, o_custkey % 30 AS cluster_id FROM orders), k AS (SELECT l_orderkey AS block_id FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2)
+    SELECT cluster_id, count(*) AS size, count(k.block_id) AS curated, floor(count(k.block_id) / count(*) * 10000 + 0.5) / 10000 AS purity, count(*) > 500 AS over_cap FROM c LEFT JOIN k ON k.block_id = c.block_id GROUP BY 1"""
+)
+def a36_marker_purity(spark, sf_dir):
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_partkey").alias("gene_id"))
+    markers = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("gene_id"), F.col("p_partkey").alias("marker"))
+    named = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), (F.col("o_custkey") % 30).alias("cluster_id"))
+    return evaluation.marker_purity(members, named, markers, 2, 500).withColumn("purity", X.fixed("purity"))
