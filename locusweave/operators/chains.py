@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.operators.anchors import PAIR
+from locusweave.operators.graph import cut
 
 BLOCK = (
     "query_genome string, target_genome string, query_contig string, target_contig string, rank int, "
@@ -83,32 +84,34 @@ def select_chains(chains: list[tuple[float, int, int, int, int]]) -> list[int]:
 
 
 def pair_blocks(pdf: pd.DataFrame, pair: list[str], max_gap: int | None, min_size: int, scale: float, select: bool = True) -> pd.DataFrame:
+    """Blocks of one contig pair."""
+    columns = ("query_idx", "target_idx", "similarity", "query_gene_id", "target_gene_id")
+    data = [pdf[c].to_numpy() for c in columns]
+    reverse = pdf["rev"].to_numpy()
     found = []
     for rev in (False, True):
-        part = pdf[pdf["rev"] == rev].sort_values("query_idx", kind="stable")
-        if len(part) < min_size:
+        at = np.flatnonzero(reverse == rev)
+        if len(at) < min_size:
             continue
-        q, t, sim = part["query_idx"].to_numpy(), part["target_idx"].to_numpy(), part["similarity"].to_numpy()
+        at = at[np.argsort(data[0][at], kind="stable")]
+        q, t, sim, qg, tg = (c[at] for c in data)
         for chain in chain_program(q, t, sim, rev, max_gap, min_size, scale):
-            found.append((float(np.cumsum(sim[chain])[-1]), q[chain].min(), q[chain].max(), t[chain].min(), t[chain].max(), part.iloc[chain], -1 if rev else 1))
+            cq, ct = q[chain], t[chain]
+            found.append((float(np.cumsum(sim[chain])[-1]), int(cq.min()), int(cq.max()), int(ct.min()), int(ct.max()), -1 if rev else 1, cq, ct, qg[chain], tg[chain]))
     kept = select_chains([f[:5] for f in found]) if select else range(len(found))
-    key = [pdf[c].iloc[0] for c in pair]
+    key = [pdf[c].iat[0] for c in pair]
     rows = []
     for rank, i in enumerate(kept):
-        score, a, b, c, d, part, turn = found[i]
-        rows.append([
-            *key, rank, a, b, c, d, len(part), score, turn, sorted(part["query_idx"].tolist()), sorted(part["target_idx"].tolist()),
-            sorted(part["query_gene_id"].tolist()), sorted(part["target_gene_id"].tolist()),
-        ])
-    names = [f.split(" ")[0] for f in BLOCK.split(", ")]
-    return pd.DataFrame(rows, columns=names)
+        score, a, b, c, d, turn, *members = found[i]
+        rows.append([*key, rank, a, b, c, d, len(members[0]), score, turn, *(sorted(m.tolist()) for m in members)])
+    return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in BLOCK.split(", ")])
 
 
 def blocks(anchors: DataFrame, max_gap: int | None = 2, min_size: int = 2, gap_penalty: float = 0.0, select: bool = True, first_id: int = 0) -> DataFrame:
     """Non-overlapping collinear blocks; block_id follows contig pair, then acceptance."""
     ready = prepared(anchors, min_size).select(*PAIR, "rev", "query_idx", "target_idx", "query_gene_id", "target_gene_id", "similarity")
     found = ready.groupBy(*PAIR).applyInPandas(lambda pdf: pair_blocks(pdf, PAIR, max_gap, min_size, gap_penalty, select), BLOCK)
-    return number_blocks(found, first_id)
+    return number_blocks(cut(found), first_id)
 
 
 def number_blocks(found: DataFrame, first_id: int = 0) -> DataFrame:

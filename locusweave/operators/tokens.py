@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.functions.expr import fixed
+from locusweave.operators.graph import cut
 
 
 def explode_list(df: DataFrame, column: str, sep: str, to: str = "token") -> DataFrame:
@@ -56,7 +57,7 @@ def percentile_ban(df: DataFrame, p: float) -> DataFrame:
 def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_max: int | None = None, tau: float = 0.0) -> DataFrame:
     """(a < b, jaccard): IDF-weighted Jaccard of documents by an inverted index; tokens of one document can't
     join anything and weigh only in the totals, df_max leaves out frequent ones."""
-    rows = tokens.select(F.col(doc).alias("doc"), "token").distinct()
+    rows = cut(tokens.select(F.col(doc).alias("doc"), "token").distinct())  # read four times below
     n = rows.agg(F.countDistinct("doc").alias("n"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     df = df.filter(F.col("df") <= df_max) if df_max else df
@@ -150,19 +151,32 @@ def sub_blocks(anchors: DataFrame, block: str, q: str, t: str, gap: int = 10) ->
 
 
 def coherence(anchors: DataFrame, block: str, q: str, t: str) -> DataFrame:
-    """Diagonal coherence: order violations, largest gaps, median absolute deviation of t - q and t + q."""
-    w = Window.partitionBy(block).orderBy(q, t)
-    step = anchors.withColumn("_dt", F.col(t) - F.lag(t).over(w)).withColumn("_dq", F.col(q) - F.lag(q).over(w))
-    told = step.groupBy(block).agg(
-        F.count("*").alias("n"), F.count_if(F.col("_dt") < 0).alias("down"), F.count_if(F.col("_dt") > 0).alias("up"),
-        F.max(F.abs("_dt")).alias("max_gap_t"), F.max("_dq").alias("max_gap_q"),
-        F.median(F.col(t) - F.col(q)).alias("mid_minus"), F.median(F.col(t) + F.col(q)).alias("mid_plus"),
+    """Diagonal coherence: order violations, largest gaps, median absolute deviation of t - q and t + q.
+
+    A block's anchors are one sorted array (a contig bounds them), so one shuffle serves all measures."""
+
+    def median(x):
+        s = F.array_sort(x)
+        n = F.size(s)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+    def bound(x, f):
+        """f of x, x computed once."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def deviation(a, sign):
+        line = F.transform(a, lambda x: (x["t"] + sign * x["q"]).cast("double"))
+        return bound(line, lambda v: bound(median(v), lambda m: median(F.transform(v, lambda x: F.abs(x - m)))))
+
+    held = anchors.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(F.col(q).alias("q"), F.col(t).alias("t")))).alias("a")).withColumn("n", F.size("a").cast("bigint"))
+    steps = F.zip_with(F.slice("a", F.lit(2), F.size("a")), F.col("a"), lambda x, y: F.struct((x["t"] - y["t"]).alias("t"), (x["q"] - y["q"]).alias("q")))
+    held = held.withColumn("d", F.filter(steps, lambda x: x["t"].isNotNull()))
+    count = lambda test: F.size(F.filter("d", test)).cast("bigint")
+    out = held.select(
+        block, "n", F.array_max(F.transform("d", lambda x: F.abs(x["t"]))).alias("max_gap_t"), F.array_max(F.transform("d", lambda x: x["q"])).alias("max_gap_q"),
+        F.least(count(lambda x: x["t"] > 0), count(lambda x: x["t"] < 0)).alias("violations"), F.least(deviation(F.col("a"), -1), deviation(F.col("a"), 1)).alias("mad"),
     )
-    spread = anchors.join(told.select(block, "mid_minus", "mid_plus"), block).groupBy(block).agg(
-        F.median(F.abs(F.col(t) - F.col(q) - F.col("mid_minus"))).alias("mad_minus"), F.median(F.abs(F.col(t) + F.col(q) - F.col("mid_plus"))).alias("mad_plus")
-    )
-    out = told.join(spread, block).withColumn("violations", F.least("up", "down")).withColumn("mad", F.least("mad_minus", "mad_plus"))
-    return out.withColumn("coherent", (F.col("violations") <= 0.1 * F.col("n")) & (F.col("mad") < 3)).drop("mid_minus", "mid_plus", "up", "down", "mad_minus", "mad_plus")
+    return out.withColumn("coherent", (F.col("violations") <= 0.1 * F.col("n")) & (F.col("mad") < 3))
 
 
 def explorer_summary(pairs: DataFrame, consensus_rows: DataFrame, size: int) -> DataFrame:

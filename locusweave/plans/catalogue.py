@@ -142,7 +142,7 @@ def blocks_view(spark, sf_dir) -> DataFrame:
 
 def clustered_blocks(spark, sf_dir) -> DataFrame:
     found = graph.cut(blocks_view(spark, sf_dir))
-    return found.join(clusters.cluster_blocks(found), "block_id")
+    return graph.cut(found.join(clusters.cluster_blocks(found), "block_id"))
 
 
 @query()
@@ -189,13 +189,13 @@ def g7_merged_clusters(spark, sf_dir):
 
 @query()
 def a6_run_summary(spark, sf_dir):
-    found = graph.cut(clustered_blocks(spark, sf_dir))
+    found = clustered_blocks(spark, sf_dir)
     return clusters.run_summary(found, clusters.cluster_summary(found), genes_view(spark, sf_dir))
 
 
 def _architecture(name: str, key: str):
     def run(spark, sf_dir):
-        return architecture.run(graph.cut(clustered_blocks(spark, sf_dir)), genes_view(spark, sf_dir))[name]
+        return architecture.run(clustered_blocks(spark, sf_dir), genes_view(spark, sf_dir))[name]
 
     run.__name__ = key
     return query()(run)
