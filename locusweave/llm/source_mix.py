@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from locusweave.llm.common import WORD, materialize
 
-SHARD = 20_000  # documents aimed at in a shard
+SHARD = 1_000  # documents aimed at in a shard
+MOST_SHARDS = 100_000  # of a source; beyond that its shards grow
 
 
 def word_count(text: Column) -> Column:
@@ -95,7 +96,7 @@ def mix_sources(
     quotas = apportion(aimed, [], "target", "blocks", "_key").withColumnRenamed("quota", "source_quota")
     quotas = quotas.join(
         per_source.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"), "_docs"), "_key"
-    ).select("_key", "source_size", "target", "block", "source_quota", F.ceil(F.col("_docs") / SHARD).alias("_shards"))
+    ).select("_key", "source_size", "target", "block", "source_quota", F.least(F.ceil(F.col("_docs") / SHARD), F.lit(MOST_SHARDS)).alias("_shards"))
     quotas = materialize(quotas, "mix-quotas")
     placed = sized.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     placed = placed.join(quotas, "_key").withColumn("_shard", F.pmod(F.xxhash64("_at"), F.col("_shards")))
