@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from locusweave.llm.common import as_bytes, estimated_bytes, parts, shared_path
 
-CAPACITY = 16 << 20  # bytes of entries in a bucket before it splits
+CAPACITY = 1 << 20  # bytes of entries in a bucket before it splits
+MOST_BUCKETS = 1 << 20  # the driver's directory stays of some MB: beyond, capacity grows with the input
+TASK = 16 << 20  # stored bytes of an owner task
 HELD = 48 << 20  # bytes of texts a scan task holds before it writes its groups
 STEP = 10  # key bits that one refinement of the counts adds
 ENTRY = "uid bigint, rep bigint, doc_id bigint, text_sha256 string, key bigint, body binary, n bigint, best bigint, best_uid bigint"
@@ -187,7 +189,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None
 ) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
@@ -198,7 +200,7 @@ def exact_duplicates(
     ).partitionBy("kind").parquet(path)
     every = spark.read.schema(ENTRY + ", kind string").parquet(path)
     entries = every.filter("kind = 'entry'")
-    directory = build_directory(entries, capacity)
+    directory = build_directory(entries, capacity or max(CAPACITY, 4 * estimated_bytes(docs) // MOST_BUCKETS))
     lows = np.array(directory.lows(), np.int64)
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,7 @@ def exact_duplicates(
 
     kinds = "key bigint, body binary, rep bigint, n bigint, best bigint, best_uid bigint"
     dealt = entries.select("key", "body", "rep", "n", "best", "best_uid").mapInArrow(owned, kinds + ", bucket bigint")
-    size = max(parts(estimated_bytes(docs), CAPACITY), min(len(lows), 4))
+    size = max(parts(estimated_bytes(docs), TASK), min(len(lows), 4))
     classes = (
         dealt.repartition(size, "bucket")
         .drop("bucket")
