@@ -948,8 +948,8 @@ def g32_orthogroup_blocks(spark, sf_dir):
     seq = event_sequence(spark, sf_dir).withColumn("token", F.concat_ws(":", "token", F.col("pos") % 8))
     w = Window.partitionBy("user_id").orderBy("pos")
     pairs = seq.select(F.col("token").alias("a"), F.lead("token").over(w).alias("b"), F.col("user_id").alias("genome")).filter("b IS NOT NULL")
-    species = seq.select(F.col("user_id").alias("genome"), (F.col("user_id") % 12).alias("species")).distinct()
-    return regions.orthogroup_blocks(pairs, species, 9).drop("orthogroups")
+    species = seq.select(F.col("user_id").alias("genome"), (F.col("user_id") % 6).alias("species")).distinct()
+    return regions.orthogroup_blocks(pairs, species, 3).drop("orthogroups")
 
 
 @query()
