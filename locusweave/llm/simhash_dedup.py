@@ -25,17 +25,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts, per_table, sorted_groups
-from locusweave.llm.components import connected_components
+from locusweave.llm.words import mix
+from locusweave.operators.graph import connected_components
 
 TILE = 2048  # fingerprints that one comparison holds on a side
 BUCKET = 2048  # fingerprints aimed at in a bucket
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """64-bit SimHash of one text: A-Z lower-cased, shingles of width words, repeats count."""
+def _majority(h: np.ndarray) -> int:
+    """Bits that more than half of the hashes set."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(h), 4096):
+        part = h[i : i + 4096].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, width: int, copies: int = 1) -> list[int]:
+    """64-bit SimHashes of one text: A-Z lower-cased, shingles of width words, repeats count.
+    The first is over the XXH64 hashes themselves, the others over remixed ones."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * copies
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     stop = np.cumsum(size + 1) - 1
@@ -45,23 +56,26 @@ def fingerprint(text: bytes, width: int) -> int:
     h = np.fromiter(
         [digest(line[a:b], 42) for a, b in zip(begin, stop[k - 1 :].tolist())], np.uint64, len(begin)
     )
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(h), 4096):
-        part = h[i : i + 4096].view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
+    return [_majority(mix(h, c) if c else h) for c in range(copies)]
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp bigint) of every row."""
+def _names(copies: int) -> list[str]:
+    return ["fp", *(f"fp{c}" for c in range(1, copies))]
+
+
+def fingerprints(
+    docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", copies: int = 1
+) -> DataFrame:
+    """(id_col, fp bigint, and fp1, fp2, ... for further copies) of every row."""
+    names = _names(copies)
 
     def run(table: pa.Table) -> pa.Table:
-        fp = np.array([fingerprint(t, width) for t in as_bytes(table["_text"])], np.uint64)
-        return pa.table({id_col: table[id_col], "fp": fp.view(np.int64)})
+        found = np.array([fingerprint(t, width, copies) for t in as_bytes(table["_text"])], np.uint64).reshape(-1, copies)
+        return pa.table({id_col: table[id_col]} | {n: np.ascontiguousarray(found[:, c]).view(np.int64) for c, n in enumerate(names)})
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(
-        per_table(run), f"`{id_col}` {kind}, fp bigint"
+        per_table(run), ", ".join([f"`{id_col}` {kind}", *(f"{n} bigint" for n in names)])
     )
 
 
@@ -76,20 +90,23 @@ def block_sets(radius: int, n: int) -> tuple[int, list[tuple[int, ...]], int]:
     return m, list(combinations(range(m), equal)), used
 
 
-def _keys(nodes: DataFrame, radius: int, n: int) -> DataFrame:
+def _keys(nodes: DataFrame, radius: int, n: int, copies: int) -> DataFrame:
+    """(key, node, fp, fp1, ...): fp is the copy that the key was cut from, the others follow."""
     m, sets, used = block_sets(radius, n)
     edges = [64 * i // m for i in range(m + 1)]
-    out = []
-    for number, chosen in enumerate(sets):
-        each, rest = divmod(used, len(chosen))
-        key = F.lit(number).cast("bigint")
-        for place, b in enumerate(chosen):
-            take = each + (place < rest)
-            if take:
-                part = F.shiftrightunsigned("fp", edges[b]).bitwiseAND(F.lit((1 << take) - 1))
-                key = F.shiftleft(key, take).bitwiseOR(part)
-        out.append(key)
-    return nodes.select("fp", F.explode(F.array(*out)).alias("key"))
+    names, out = _names(copies), []
+    for copy in range(copies):
+        turned = [F.col(names[(copy + i) % copies]).alias(names[i]) for i in range(copies)]
+        for number, chosen in enumerate(sets):
+            each, rest = divmod(used, len(chosen))
+            key = F.lit(copy << 12 | number).cast("bigint")
+            for place, b in enumerate(chosen):
+                take = each + (place < rest)
+                if take:
+                    part = F.shiftrightunsigned(names[copy], edges[b]).bitwiseAND(F.lit((1 << take) - 1))
+                    key = F.shiftleft(key, take).bitwiseOR(part)
+            out.append(F.struct(key.alias("key"), "node", *turned))
+    return nodes.select(F.explode(F.array(*out)).alias("x")).select("x.*")
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
@@ -165,20 +182,24 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.
             yield rows[at] + q, cols[at] * 64 + lane
 
 
-def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, least fp of its local component) for the fingerprints of one bucket that link.
-    side: of two tiles, which are compared with each other; equal throughout in a single one."""
-    one, two = (fp, fp) if side.min() == side.max() else (fp[side == 0], fp[side == 1])
-    base = 0 if one is two else len(one)
-    every = one if one is two else np.concatenate([one, two])
-    label = np.arange(len(every))
-    order = np.argsort(every.view(np.int64), kind="stable")
-    every = every[order]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    for i, j in close_pairs(one, two, radius):
-        i, j = place[i], place[j + base]
-        while True:
+def _spanning(
+    node: np.ndarray, fps: list[np.ndarray], side: np.ndarray, radius: int, total: int | None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its local component) for the rows of one bucket that link.  side: of two tiles, which
+    are compared with each other; equal throughout in a single one."""
+    order = np.argsort(node, kind="stable")
+    node, side, fps = node[order], side[order], [f[order] for f in fps]
+    if side[0] == side.min() == side.max():
+        one = two = np.arange(len(node))
+    else:
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    label = np.arange(len(node))
+    for i, j in close_pairs(fps[0][one], fps[0][two], radius):
+        i, j = one[i], two[j]
+        if total is not None:
+            far = sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int32) for f in fps)
+            i, j = i[far <= total], j[far <= total]
+        while len(i):
             a, b = label[i], label[j]
             low, high = np.minimum(a, b), np.maximum(a, b)
             if (low == high).all():
@@ -187,23 +208,26 @@ def _spanning(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray
             while (label[label] != label).any():
                 label = label[label]
     linked = np.flatnonzero(label != np.arange(len(label)))
-    return every[linked], every[label[linked]]
+    return node[linked], node[label[linked]]
+
 
+def links(nodes: DataFrame, radius: int, n: int, size: int, copies: int = 1, total: int | None = None) -> DataFrame:
+    """Edges (u, v) between nodes(node, fp, fp1, ...), at least one spanning tree of each component.
 
-def links(nodes: DataFrame, radius: int, n: int, size: int) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints of nodes(fp), at least one spanning tree of
-    each component within radius; n: number of nodes; size: partitions."""
-    keyed = _keys(nodes, radius, n)
+    Two nodes link if some copy of their fingerprints is within radius and (if given) all copies together
+    are within total.  n: number of nodes; size: partitions."""
+    names = _names(copies)
+    keyed = _keys(nodes, radius, n, copies)
     hot = keyed.groupBy("key").count().filter(F.col("count") > TILE)
     tiles = F.coalesce(F.ceil(F.col("count") / TILE), F.lit(1)).cast("int")
     dealt = (
         keyed.join(hot, "key", "left")
         .withColumn("t", tiles)
-        .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("t")).cast("int"))
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
         .select(
             "key", F.least("tile", "o").alias("lo"), F.greatest("tile", "o").alias("hi"),
-            (F.col("tile") > F.col("o")).cast("int").alias("side"), "fp",
+            (F.col("tile") > F.col("o")).cast("int").alias("side"), "node", *names,
         )
         .repartition(size, "key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi")
@@ -212,26 +236,32 @@ def links(nodes: DataFrame, radius: int, n: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["key", "lo", "hi"]):
             if group.num_rows > 1:
-                fp = group["fp"].to_numpy().view(np.uint64)
-                a, b = _spanning(fp, group["side"].to_numpy(), radius)
+                fps = [group[f].to_numpy().view(np.uint64) for f in names]
+                a, b = _spanning(group["node"].to_numpy(), fps, group["side"].to_numpy(), radius, total)
                 if len(a):
-                    yield pa.record_batch({"u": a.view(np.int64), "v": b.view(np.int64)})
+                    yield pa.record_batch({"u": a, "v": b})
 
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", copies: int = 1, total: int | None = None
 ) -> DataFrame:
-    """One row per document: id_col, fp (bigint), component_id: the least id_col reachable
-    over links of at most radius bits."""
-    held = materialize(fingerprints(docs, width, id_col, text_col), "simhash-fp")
-    nodes = materialize(held.groupBy("fp").agg(F.min(id_col).alias("_rep")), "simhash-nodes")
+    """One row per document: id_col, fp (bigint), component_id: the least id_col reachable over links.
+
+    With one copy a link is a pair of fingerprints within radius bits.  Further copies (fingerprints over
+    remixed shingle hashes) lower the chance to miss a similar pair, and `total` bounds the distance over all of
+    them, which lowers the chance to link a dissimilar one; nodes are then named by a 64-bit hash of their copies."""
+    names = _names(copies)
+    held = fingerprints(docs, width, id_col, text_col, copies)
+    held = materialize(held.withColumn("_node", F.col("fp") if copies == 1 else F.xxhash64(*names)), "simhash-fp")
+    nodes = held.groupBy(F.col("_node").alias("node")).agg(F.min(id_col).alias("_rep"), *[F.min(f).alias(f) for f in names])
+    nodes = materialize(nodes, "simhash-nodes")
     n = nodes.count()
     size = parts(estimated_bytes(docs), 16 << 20, 4)
-    roots = connected_components(links(nodes.select("fp"), radius, n, size))
-    linked = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
+    roots = connected_components(links(nodes.drop("_rep"), radius, n, size, copies, total))
+    linked = nodes.select("node", "_rep").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("_rep").alias("_least"))
-    named = linked.join(least, "root").select("fp", "_least")
-    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("_least", "_rep").alias("component_id"))
-    return held.join(label, "fp").select(id_col, "fp", "component_id")
+    named = linked.join(least, "root").select("node", "_least")
+    label = nodes.join(named, "node", "left").select(F.col("node").alias("_node"), F.coalesce("_least", "_rep").alias("component_id"))
+    return held.join(label, "_node").select(id_col, "fp", "component_id")

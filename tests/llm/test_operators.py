@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from locusweave.llm import chat_format, common, decontaminate, exact_dedup, language_id, license_scan, pii, simhash_dedup, source_mix, substring_dedup, token_output
-from locusweave.llm.components import connected_components
 from locusweave.llm.queries import QUERIES, vocabulary
+from locusweave.operators.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block long, fp long, key string, size long, _id long, _text string, n int, rep int"
 WORDS = [f"w{i}" for i in range(400)]
@@ -343,6 +343,21 @@ def test_simhash_dedup(docs):
     assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == want
 
 
+def test_simhash_copies(spark):
+    rng = np.random.default_rng(6)
+    words = [f"v{i}" for i in range(5000)]
+    texts = []
+    for _ in range(40):
+        w = list(rng.choice(words, 300))
+        texts.append(" ".join(w))
+        for at in (40, 120, 200):
+            w[at] = "edit"
+        texts.append(" ".join(w))  # similarity 0.9 in shingles of five
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(df, 5, 7, copies=3, total=34).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got) and sum(got[i] == i - 1 for i in range(1, 80, 2)) >= 36
+
+
 @pytest.mark.parametrize("radius", [0, 3, 4, 7, 12])
 def test_bit_sliced_pairs(radius):
     rng = np.random.default_rng(radius)
@@ -367,7 +382,7 @@ def test_links_lose_no_pair(spark, monkeypatch, radius, bucket, tile):
             fp.add(y)
     fp = sorted(fp)
     signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fp]
-    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    nodes = spark.createDataFrame([(x, x) for x in signed], "node long, fp long")
     got = {r.node: r.root for r in connected_components(simhash_dedup.links(nodes, radius, len(fp), 4)).collect()}
     parent = {x: x for x in signed}
 
