@@ -455,25 +455,27 @@ def s19_gene_domains_in_order(spark, sf_dir):
     return tokens.gene_domains_in_order(hits)
 
 
-SEQ = """seq AS (SELECT user_id, event_type AS token, CASE WHEN value >= 30 THEN 1 ELSE -1 END AS strand,
+SEQ = """seq AS (SELECT user_id, event_type AS token, CAST(floor(value / 10) AS BIGINT) AS v, CASE WHEN value >= 30 THEN 1 ELSE -1 END AS strand,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"""
 
 
 def event_sequence(spark, sf_dir) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(
-        "user_id", F.col("event_type").alias("token"), F.when(F.col("value") >= 30, 1).otherwise(-1).alias("strand"), (F.row_number().over(order) - 1).alias("pos")
+        "user_id", F.col("event_type").alias("token"), F.floor(F.col("value") / 10).alias("v"), F.when(F.col("value") >= 30, 1).otherwise(-1).alias("strand"), (F.row_number().over(order) - 1).alias("pos")
     )
 
 
 @query(
-    f"""WITH {SEQ}, x AS (SELECT DISTINCT user_id, token FROM seq WHERE pos < 3), y AS (SELECT DISTINCT user_id, token FROM seq WHERE pos BETWEEN 3 AND 5)
+    f"""WITH {SEQ}, h AS (SELECT user_id, token || ':' || v AS token, 2 * pos < count(*) OVER (PARTITION BY user_id) AS first_half FROM seq),
+    x AS (SELECT DISTINCT user_id, token FROM h WHERE first_half), y AS (SELECT DISTINCT user_id, token FROM h WHERE NOT first_half)
     SELECT u.user_id AS block_id, count(y.token) AS n_shared FROM (SELECT DISTINCT user_id FROM seq) u LEFT JOIN x ON x.user_id = u.user_id
     LEFT JOIN y ON y.user_id = x.user_id AND y.token = x.token GROUP BY 1"""
 )
 def j16_token_intersection(spark, sf_dir):
-    seq = event_sequence(spark, sf_dir).withColumnRenamed("user_id", "block_id")
-    return tokens.token_intersection(seq.filter("pos < 3"), seq.filter("pos BETWEEN 3 AND 5"), seq.select("block_id").distinct())
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    seq = event_sequence(spark, sf_dir).withColumn("half", 2 * F.col("pos") < n).withColumn("token", F.concat_ws(":", "token", "v")).withColumnRenamed("user_id", "block_id")
+    return tokens.token_intersection(seq.filter("half"), seq.filter("NOT half"), seq.select("block_id").distinct())
 
 
 TOK = "tok AS (SELECT DISTINCT doc_id AS doc, unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS token FROM documents)"
@@ -734,14 +736,14 @@ def k7_store_append(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT o_orderkey AS block_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 20 END AS c FROM orders WHERE o_orderkey % 5 <> 0), s AS (SELECT o_orderkey AS block_id, o_custkey % 700 AS c FROM orders WHERE o_orderkey % 4 <> 0),
+    """WITH f AS (SELECT o_orderkey AS block_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 20 END AS c FROM orders WHERE o_orderstatus <> 'P'), s AS (SELECT o_orderkey AS block_id, o_custkey % 700 AS c FROM orders WHERE o_orderpriority <> '5-LOW'),
     big AS (SELECT c FROM s WHERE c > 0 GROUP BY 1 HAVING count(*) >= 8), fill AS (SELECT s.* FROM s JOIN big USING (c))
     SELECT coalesce(f.block_id, fill.block_id) AS block_id, CASE WHEN coalesce(f.c, 0) > 0 THEN f.c ELSE coalesce(fill.c, 0) END AS cluster_id FROM f FULL JOIN fill ON f.block_id = fill.block_id"""
 )
 def u5_merge_assignments(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    first = orders.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("block_id"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 20 END").alias("cluster_id"))
-    second = orders.filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("block_id"), (F.col("o_custkey") % 700).alias("cluster_id"))
+    first = orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("block_id"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 20 END").alias("cluster_id"))
+    second = orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("block_id"), (F.col("o_custkey") % 700).alias("cluster_id"))
     return explorer.merge_assignments(first, second, 8)
 
 
@@ -778,16 +780,15 @@ def j15_star_join(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT DISTINCT o_custkey AS gt, o_orderpriority || o_orderstatus AS item FROM orders WHERE o_custkey < 200), p AS (SELECT DISTINCT l_suppkey AS pred, o_orderpriority || o_orderstatus AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 7),
+    """WITH t AS (SELECT o_custkey AS gt, o_orderkey AS item FROM orders), p AS (SELECT o_custkey * 3 + ascii(o_orderstatus) % 3 AS pred, o_orderkey AS item FROM orders),
     a AS (SELECT gt, count(*) AS na FROM t GROUP BY 1), b AS (SELECT pred, count(*) AS nb FROM p GROUP BY 1), m AS (SELECT gt, pred, count(*) AS n_shared FROM t JOIN p USING (item) GROUP BY 1, 2)
-    SELECT gt, pred, n_shared, floor(n_shared / (na + nb - n_shared) * 10000 + 0.5) / 10000 AS jaccard FROM m JOIN a USING (gt) JOIN b USING (pred) WHERE n_shared / (na + nb - n_shared) >= 0.7"""
+    SELECT gt, pred, n_shared, floor(n_shared / (na + nb - n_shared) * 10000 + 0.5) / 10000 AS jaccard FROM m JOIN a USING (gt) JOIN b USING (pred) WHERE n_shared / (na + nb - n_shared) >= 0.5 OR n_shared >= 3"""
 )
 def j31_set_matches(spark, sf_dir):
-    item = F.concat("o_orderpriority", "o_orderstatus").alias("item")
     orders = table(spark, sf_dir, "orders")
-    truth = orders.filter("o_custkey < 200").select(F.col("o_custkey").alias("gt"), item)
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    return evaluation.set_matches(truth, lines.select(F.col("l_suppkey").alias("pred"), item), 0.7, 10**9).withColumn("jaccard", X.fixed("jaccard"))
+    truth = orders.select(F.col("o_custkey").alias("gt"), F.col("o_orderkey").alias("item"))
+    parts = orders.select((F.col("o_custkey") * 3 + F.ascii("o_orderstatus") % 3).alias("pred"), F.col("o_orderkey").alias("item"))
+    return evaluation.set_matches(truth, parts).withColumn("jaccard", X.fixed("jaccard"))
 
 
 @query(
@@ -844,12 +845,12 @@ def g16_k_core(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE mm AS (SELECT o_orderkey AS child, o_orderkey // 3 AS parent FROM orders WHERE o_orderkey > 2 AND o_orderkey < 2000), up(child, root, depth) AS (
+    """WITH RECURSIVE mm AS (SELECT o_orderkey AS child, o_orderkey // 16 AS parent FROM orders WHERE o_orderkey // 16 <> o_orderkey), up(child, root, depth) AS (
       SELECT child, parent, 1 FROM mm UNION ALL SELECT up.child, mm.parent, depth + 1 FROM up JOIN mm ON up.root = mm.child),
     t AS (SELECT child, max(depth) AS depth, arg_max(root, depth) AS root FROM up GROUP BY 1) SELECT t.child, mm.parent, t.root, t.depth FROM t JOIN mm ON mm.child = t.child"""
 )
 def g33_merge_hierarchy(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey > 2 AND o_orderkey < 2000").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 3").alias("parent"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 16").alias("parent")).filter("parent <> child")
     told = clusters.merge_hierarchy(rows)
     return told.drop("parent").join(rows, "child")
 
@@ -971,19 +972,19 @@ def g26_all_but_the_top(spark, sf_dir):
 
 @query()
 def g27_comparative_edges(spark, sf_dir):
-    v = genes_view(spark, sf_dir).filter("position_index < 12").withColumn("domains", F.array((F.col("start") % 7000).cast("string")))
+    v = genes_view(spark, sf_dir).withColumn("domains", F.array((F.col("start") % 7000).cast("string")))
     rows = v.select("contig_id", "sample_id", F.col("gene_id").alias("id"), F.col("position_index").alias("idx"), "emb", "domains").withColumnRenamed("contig_id", "view")
     return regions.comparative_edges(rows.filter("sample_id = 'g0'"), rows.filter("sample_id = 'g1'"), 0.3)
 
 
 @query(
-    f"""WITH {SEQ}, x AS (SELECT user_id, CASE WHEN pos % 2 = 0 THEN 'query' ELSE 'target' END AS role, token, strand, pos FROM seq WHERE pos < 12),
+    f"""WITH {SEQ}, x AS (SELECT user_id, CASE WHEN pos % 2 = 0 THEN 'query' ELSE 'target' END AS role, token || ':' || v AS token, strand, pos FROM seq),
     p AS (SELECT *, row_number() OVER (PARTITION BY user_id, role ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY user_id, role) AS n FROM x),
     f AS (SELECT user_id, role, token, arg_min(CASE WHEN n > 1 THEN i / (n - 1) ELSE 0.0 END, i) AS p, arg_min(strand, i) AS s FROM p GROUP BY 1, 2, 3)
     SELECT q.user_id, q.token, {r('q.p')} AS query_pos, {r('t.p')} AS target_pos, q.s = t.s AS same_strand FROM f q JOIN f t ON q.user_id = t.user_id AND q.token = t.token AND q.role = 'query' AND t.role = 'target'"""
 )
 def a28_block_consensus(spark, sf_dir):
-    seq = event_sequence(spark, sf_dir).filter("pos < 12").withColumn("role", F.when(F.col("pos") % 2 == 0, "query").otherwise("target"))
+    seq = event_sequence(spark, sf_dir).withColumn("token", F.concat_ws(":", "token", "v")).withColumn("role", F.when(F.col("pos") % 2 == 0, "query").otherwise("target"))
     told = tokens.block_consensus(seq, "user_id", "role", "pos", "strand")
     return told.withColumns({c: X.fixed(c) for c in ("query_pos", "target_pos")})
 
@@ -1000,11 +1001,11 @@ def a17_cluster_extent(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT o_orderkey AS block_id, o_custkey % 30 AS cluster_id FROM orders), k AS (SELECT l_orderkey AS block_id FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2)
+    """WITH c AS (SELECT o_orderkey AS block_id, o_custkey % 30 AS cluster_id FROM orders), k AS (SELECT l_orderkey AS block_id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 16 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2)
     SELECT cluster_id, count(*) AS size, count(k.block_id) AS curated, floor(count(k.block_id) / count(*) * 10000 + 0.5) / 10000 AS purity, count(*) > 500 AS over_cap FROM c LEFT JOIN k ON k.block_id = c.block_id GROUP BY 1"""
 )
 def a36_marker_purity(spark, sf_dir):
     members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block_id"), F.col("l_partkey").alias("gene_id"))
-    markers = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("gene_id"), F.col("p_partkey").alias("marker"))
+    markers = table(spark, sf_dir, "part").filter("p_size <= 16").select(F.col("p_partkey").alias("gene_id"), F.col("p_partkey").alias("marker"))
     named = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("block_id"), (F.col("o_custkey") % 30).alias("cluster_id"))
     return evaluation.marker_purity(members, named, markers, 2, 500).withColumn("purity", X.fixed("purity"))
