@@ -108,7 +108,7 @@ def merge_contained(blocks: DataFrame, threshold: float = 0.8, reciprocal: float
     if not merged:
         return blocks, {}
     table = spark.createDataFrame(sorted(merged.items()), "cluster_id int, _into int")
-    out = blocks.join(F.broadcast(table), "cluster_id", "left").withColumn("cluster_id", F.coalesce("_into", "cluster_id")).drop("_into")
+    out = blocks.join(table, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_into", "cluster_id")).drop("_into")
     return out, merged
 
 
