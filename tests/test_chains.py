@@ -95,3 +95,22 @@ def test_permuted_input_gives_the_same_blocks(spark):
     a = chains.blocks(anchors(spark, rows)).orderBy("block_id").collect()
     b = chains.blocks(anchors(spark, rows[::-1]).repartition(3)).orderBy("block_id").collect()
     assert a == b
+
+
+def test_ground_truth_chains_may_share_anchors():
+    q, t = np.array([0, 1, 2, 3, 3]), np.array([0, 1, 2, 3, 1])
+    found = chains.gt_chain_program(q, t, 2, 2)
+    assert [0, 1, 2, 3] in found
+    assert any(q[c[0]] < q[c[-1]] and t[c[0]] > t[c[-1]] for c in found)  # an inverted one through a used anchor
+
+
+def test_greedy_selection_against_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        rows = [(float(rng.integers(0, 9)), *(int(x) for p in ((a, a + rng.integers(0, 5)), (b, b + rng.integers(0, 5))) for x in p)) for a, b in rng.integers(0, 20, (12, 2))]
+        kept: list[int] = []
+        for i in sorted(range(12), key=lambda i: -rows[i][0]):
+            meets = lambda k, lo, hi: rows[k][lo] <= rows[i][hi] and rows[i][lo] <= rows[k][hi]  # noqa: E731, B023
+            if not any(meets(k, 1, 2) or meets(k, 3, 4) for k in kept):
+                kept.append(i)
+        assert chains.select_chains(rows) == kept
