@@ -20,7 +20,7 @@ NEAR_COPIES = 3
 NEAR_RADIUS = 7
 NEAR_TOTAL = 32
 #: Least share of the main language of a document that stays.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 1 / 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
