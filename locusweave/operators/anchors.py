@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusweave.operators.genes import strand
+
 TILE = 2048
 HIT = "i bigint, j bigint, sim double"
 
@@ -97,10 +99,8 @@ def nearest_ivf(queries: DataFrame, base: DataFrame, k: int, nprobe: int = 16, r
 
 
 def orientation(a: Column, b: Column) -> Column:
-    """+1 for equal strands, -1 for different ones, 0 where neither side knows a strand."""
-    known = a.isNotNull() | b.isNotNull()
-    fill = lambda s: F.when(F.coalesce(s, F.lit(1)) == 0, 1).otherwise(F.coalesce(s, F.lit(1)))
-    return F.when(~known, 0).when(fill(a) == fill(b), 1).otherwise(-1)
+    """+1 for equal strands, -1 for different ones, 0 where the tables have no strands."""
+    return F.when(a.isNull() | b.isNull(), 0).when(a == b, 1).otherwise(-1)
 
 
 _SIDE = ("idx", "genome", "contig", "gene_id")
@@ -109,7 +109,7 @@ _SIDE = ("idx", "genome", "contig", "gene_id")
 def _sided(genes: DataFrame, key: str, side: str) -> DataFrame:
     return genes.select(
         F.col("_id").alias(key), F.col("position_index").alias(f"{side}_idx"), F.col("sample_id").alias(f"{side}_genome"),
-        F.col("contig_id").alias(f"{side}_contig"), F.col("gene_id").alias(f"{side}_gene_id"), F.col("strand").alias(f"{side}_strand"),
+        F.col("contig_id").alias(f"{side}_contig"), F.col("gene_id").alias(f"{side}_gene_id"), strand(genes).alias(f"{side}_strand"),
     )
 
 

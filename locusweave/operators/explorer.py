@@ -151,12 +151,12 @@ def pair_genome_counts(pairs: DataFrame, cluster: str = "cluster_id") -> DataFra
 def star_schema(genes: DataFrame, blocks: DataFrame, clusters: DataFrame, mappings: DataFrame) -> dict[str, DataFrame]:
     """The browser's tables: genomes, contigs, genes, blocks, clusters, assignments, mappings."""
     from locusweave.functions.expr import identity
-    from locusweave.operators.genes import contig_rollup, genome_rollup
+    from locusweave.operators.genes import contig_rollup, genome_rollup, strand
 
     wide = blocks.withColumn("identity", identity("chain_score", "n_anchors")).withColumn("block_type", size_bucket("n_anchors"))
     return {
         "genomes": genome_rollup(genes), "contigs": contig_rollup(genes),
-        "genes": genes.select("gene_id", F.col("sample_id").alias("genome_id"), "contig_id", "start", "end", "strand", (F.col("end") - F.col("start") + 1).alias("gene_length")),
+        "genes": genes.select("gene_id", F.col("sample_id").alias("genome_id"), "contig_id", "start", "end", strand(genes).alias("strand"), (F.col("end") - F.col("start") + 1).alias("gene_length")),
         "syntenic_blocks": wide, "clusters": clusters.withColumn("cluster_type", cluster_type(mean_length="mean_chain_length")),
         "cluster_assignments": blocks.filter("cluster_id > 0").select("block_id", "cluster_id"), "gene_block_mappings": mappings,
     }

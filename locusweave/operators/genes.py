@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REQUIRED = ("sample_id", "contig_id", "gene_id", "start", "end")
@@ -22,7 +22,14 @@ def checked(df: DataFrame) -> DataFrame:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"genes lack {', '.join(missing)}")
-    return df if "strand" in df.columns else df.withColumn("strand", F.lit(None).cast("int"))
+    return df
+
+
+def strand(df: DataFrame) -> Column:
+    """+1 or -1; an unknown strand (null, 0) of a table that has strands is +1, a table without them gives null."""
+    if "strand" not in df.columns:
+        return F.lit(None).cast("int")
+    return F.when(df["strand"] < 0, -1).otherwise(1)
 
 
 def position_index(genes: DataFrame) -> DataFrame:

@@ -27,6 +27,14 @@ def test_own_genome_counts_in_k(spark):
     assert {r.orientation for r in crowded.collect()} == {-1}
 
 
+def test_orientation_with_unknown_and_without_strands(spark):
+    rows = [("g1", "c", "a", 0, 1, None, 0, [1.0, 0.0]), ("g2", "c", "b", 0, 1, 0, 0, [1.0, 0.1]), ("g3", "c", "d", 0, 1, -1, 0, [1.0, 0.2])]
+    g = spark.createDataFrame(rows, "sample_id string, contig_id string, gene_id string, start long, end long, strand int, position_index int, emb array<float>")
+    turn = lambda t: {(r.query_gene_id, r.target_gene_id): r.orientation for r in anchors.cross_genome_anchors(t, 5, 0.5).collect()}
+    assert turn(g) == {("a", "b"): 1, ("a", "d"): -1, ("b", "d"): -1}
+    assert set(turn(g.drop("strand")).values()) == {0}
+
+
 def test_merge_assignments(spark):
     a = spark.createDataFrame([(1, 5), (2, 0), (3, 0)], "block_id long, cluster_id int")
     b = spark.createDataFrame([(2, 9), (3, 8), (4, 9)], "block_id long, cluster_id int")
