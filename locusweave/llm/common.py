@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,18 @@ def parts(size: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(size / each))
 
 
+BATCH = 16 << 20  # bytes of an Arrow batch that goes to Python
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches are held to BATCH bytes (long texts make the default of 64 MB
+    batches heavy: a task holds several copies of one)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name) or "") or BATCH + 1) > BATCH:
+        conf.set(name, str(BATCH))
+    return df
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import as_bytes, estimated_bytes, parts, shared_path
+from locusweave.llm.common import as_bytes, estimated_bytes, parts, shared_path, small_batches
 
 CAPACITY = 1 << 20  # bytes of entries in a bucket before it splits
 MOST_BUCKETS = 1 << 20  # the driver's directory stays of some MB: beyond, capacity grows with the input
@@ -194,7 +194,7 @@ def exact_duplicates(
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     path = shared_path(spark, "exact-index")
-    source = docs.select(F.col(id_col).cast("bigint"), F.col(text_col))
+    source = small_batches(docs).select(F.col(id_col).cast("bigint"), F.col(text_col))
     source.mapInArrow(_entries, ENTRY).withColumn("kind", F.when(F.col("uid").isNull(), "entry").otherwise("member")).write.option(
         "compression", "zstd"
     ).partitionBy("kind").parquet(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import as_bytes, per_table
+from locusweave.llm.common import as_bytes, per_table, small_batches
 from locusweave.llm.words import chunks, mix, window_hashes, word_hashes
 
 WIDTH = 5
@@ -132,6 +132,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
             "containment": pa.array([r[4] for r in rows], pa.float64()),
         })
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
+    return small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
         per_table(run), f"`{id_col}` {kind}, license string, first_word bigint, n_windows bigint, containment double"
     )

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts, per_table, sorted_groups
+from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts, per_table, small_batches, sorted_groups
 from locusweave.llm.words import mix
 from locusweave.operators.graph import connected_components
 
@@ -74,7 +74,7 @@ def fingerprints(
         return pa.table({id_col: table[id_col]} | {n: np.ascontiguousarray(found[:, c]).view(np.int64) for c, n in enumerate(names)})
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(
+    return small_batches(docs).select(id_col, F.col(text_col).alias("_text")).mapInArrow(
         per_table(run), ", ".join([f"`{id_col}` {kind}", *(f"{n} bigint" for n in names)])
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts
+from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts, small_batches
 from locusweave.llm.words import chunks, inside, minimizers, window_hashes, word_hashes
 
 BLOCK = 6 << 20  # stored bytes of a block
@@ -58,7 +58,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = parts(estimated_bytes(docs), BLOCK, 2)
     place = F.coalesce(F.xxhash64(id_col), F.lit(0)) if id_col else F.lit(0)
     place = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(place)
-    return docs.select(
+    return small_batches(docs).select(
         F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"),
         F.pmod(place, F.lit(4 * n)).alias("block"),
     ).repartition(n, "block")
