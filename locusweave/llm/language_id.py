@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import per_table
+from locusweave.llm.common import per_table, small_batches
 
 BUCKETS = 8192
 SAMPLE = 5_000  # labelled rows aimed at for each language
@@ -121,8 +121,10 @@ def predict(
     keep = docs.columns if keep is None else keep
     kinds = dict(docs.select(*keep).dtypes)
 
+    read = f"c{keep.index(text_col)}" if text_col in keep else "_text"  # a kept text is sent once
+
     def run(table: pa.Table) -> pa.Table:
-        texts = table["_text"].to_pylist()
+        texts = table[read].to_pylist()
         told, scores, mixture = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
         real = [i for i, t in enumerate(texts) if langs and t and _has_letter(t)]
         for i in range(0, len(real), 32):
@@ -138,7 +140,9 @@ def predict(
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` string"])
     inputs = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-    return docs.select(*inputs, F.col(text_col).alias("_text")).mapInArrow(per_table(run), schema)
+    if text_col not in keep:
+        inputs.append(F.col(f"`{text_col}`").alias("_text"))
+    return small_batches(docs).select(*inputs).mapInArrow(per_table(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
