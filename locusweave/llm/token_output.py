@@ -13,18 +13,18 @@ rows."""
 
 from __future__ import annotations
 
-import gc
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import estimated_bytes, parts, shared_path
+from locusweave.llm.common import estimated_bytes, parts, shared_path, small_batches
+from locusweave.llm.words import word_spans
 
 PARQUET = {
     "compression": "zstd",
@@ -37,7 +37,9 @@ PARQUET = {
 }
 _loaded: dict[str, Encoder] = {}
 _MARKS = frozenset(".,;:!?")  # one of them after letters at the end of a piece is tokenized on its own
-_CONTROL = "\x1c\x1d\x1e\x1f"  # white space for str.split, not for the tokenizer
+_CONTROL = "\x1c\x1d\x1e\x1f"  # white space by some counts, not for the tokenizer
+_LATIN_SPACE = np.zeros(256, bool)
+_LATIN_SPACE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = True
 
 
 def _byte_level() -> dict[int, int]:
@@ -51,83 +53,112 @@ class Encoder:
     """Ids of texts as little-endian uint32, through a bounded cache of space-separated pieces.
 
     Valid for tokenizers whose normalizer and pre-tokenizer act on each piece alone; the file's
-    normalizer must lower-case.  Latin-1 texts are lower-cased as a whole; pieces of letters go
-    straight to the file's BPE model, other pieces and texts through the whole tokenizer."""
+    normalizer must lower-case.  Latin-1 texts are lower-cased as a whole and cut into pieces by their
+    bytes; the pieces of a chunk are looked up by 64-bit hash in sorted arrays (about 30 bytes a piece).  New pieces
+    of letters go straight to the file's BPE model, other pieces and texts through the whole tokenizer."""
 
-    LIMIT = 400_000  # pieces in each of two cache generations
+    LIMIT = 500_000  # pieces kept
+    CHUNK = 500_000  # characters encoded at a time
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.alphabet = _byte_level()
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS}
+        self.clock = 0
+        self.clear()
 
-    def _slow(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Put all pieces into the young generation."""
-        if len(self.young) > self.LIMIT:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = pieces.difference(young)
-        new = missing.difference(old)
-        young.update((p, old[p]) for p in missing.difference(new))
-        marked = {p: p[:-1] for p in new if p[-1] in _MARKS and p[:-1].isalpha() and p.islower()}
-        cores = set(marked.values()).difference(young)
-        unknown = cores.difference(old)
-        young.update((p, old[p]) for p in cores.difference(unknown))
-        new = new.difference(marked) | unknown | _MARKS.difference(young)
-        fast = [p for p in new if p.isalpha() and p.islower()]
-        slow = list(new.difference(fast))
+    def clear(self) -> None:
+        self.keys, self.used = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat = np.empty(0, np.uint32)
+
+    def _slow(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces that are not known yet."""
         alphabet, model = self.alphabet, self.tokenizer.model.tokenize
-        raw = [p if p.isascii() else p.encode().decode("latin-1").translate(alphabet) for p in fast]
-        ids = [[t.id for t in model(r)] for r in raw]
-        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate([4 * len(i) for i in ids]))
-        young.update({p: flat[a:b] for p, a, b in zip(fast, [0, *ends], ends)})
-        for i in range(0, len(slow), 5000):
-            young.update(zip(slow[i : i + 5000], self._slow(slow[i : i + 5000])))
-        young.update({p: young[core] + young[p[-1]] for p, core in marked.items()})
+        out: list = [None] * len(pieces)
+        slow = []
+        for i, p in enumerate(pieces):
+            core, tail = (p[:-1], self.marks[p[-1]]) if p[-1] in _MARKS else (p, [])
+            if core.isalpha() and core.islower():
+                raw = core if core.isascii() else core.encode().decode("latin-1").translate(alphabet)
+                out[i] = [t.id for t in model(raw)] + tail
+            else:
+                slow.append(i)
+        for begin in range(0, len(slow), 5000):
+            some = slow[begin : begin + 5000]
+            for i, ids in zip(some, self._slow([pieces[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _shrink(self) -> None:
+        """Keep the half of the pieces that was used last."""
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        at, size = self.at[keep], self.size[keep].astype(np.int64)
+        begin = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
+        self.keys, self.used, self.at, self.size = self.keys[keep], self.used[keep], begin, self.size[keep]
+
+    def _learn(self, joined: bytes, start: np.ndarray, stop: np.ndarray, key: np.ndarray) -> None:
+        """Put sorted new keys, whose pieces lie at start..stop, into the cache."""
+        pieces = [joined[a:b].decode("latin-1") for a, b in zip(start.tolist(), stop.tolist())]
+        ids = self._new(pieces)
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        at = np.cumsum(size, dtype=np.int64) - size + len(self.flat)
+        place = np.searchsorted(self.keys, key)
+        self.keys, self.at = np.insert(self.keys, place, key), np.insert(self.at, place, at)
+        self.size, self.used = np.insert(self.size, place, size), np.insert(self.used, place, self.clock)
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _known(self, docs: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts."""
+        joined, start, stop, h, count = word_spans(docs, _LATIN_SPACE)
+        key, first, back = np.unique(h, return_index=True, return_inverse=True)
+        self.clock += 1
+        if len(self.keys) > self.LIMIT:
+            self._shrink()
+        place = np.searchsorted(self.keys, key)
+        new = place == len(self.keys)
+        new[~new] = self.keys[place[~new]] != key[~new]
+        if new.any():
+            self._learn(joined, start[first[new]], stop[first[new]], key[new])
+            place = np.searchsorted(self.keys, key)
+        self.used[place] = self.clock
+        at, size = self.at[place][back], self.size[place][back].astype(np.int64)
+        begin = np.cumsum(size) - size
+        total = int(size.sum())
+        raw = self.flat[np.repeat(at - begin, size) + np.arange(total)].astype("<u4", copy=False).tobytes()
+        edge = np.concatenate((begin, [total]))[np.concatenate(([0], np.cumsum(count)))] * 4
+        return [raw[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist())]
 
     @staticmethod
-    def _pieces(text: str) -> list[str] | None:
-        """Lower-cased pieces, or None for a text that is encoded as a whole."""
+    def _plain(text: str) -> bytes | None:
+        """Lower-cased Latin-1 bytes, or None for a text that is encoded as a whole."""
         if "<" in text or any(c in text for c in _CONTROL):
             return None
         try:
-            text.encode("latin-1")
+            return text.lower().encode("latin-1")
         except UnicodeEncodeError:
             return None
-        return text.lower().split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text.  The cycle collector rests meanwhile: it would walk the cache again and again."""
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         begin = 0
         while begin < len(texts):
             stop, size = begin, 0
-            while stop < len(texts) and size < 2_000_000:
+            while stop < len(texts) and size < self.CHUNK:
                 size += len(texts[stop]) + 1
                 stop += 1
-            lists = [self._pieces(t) for t in texts[begin:stop]]
-            self.learn(set().union(*filter(None, lists)))
-            get = self.young.__getitem__
-            odd = iter(self._slow([t for t, w in zip(texts[begin:stop], lists) if w is None]))
-            out += [next(odd) if w is None else b"".join(map(get, w)) for w in lists]
+            plain = [self._plain(t) for t in texts[begin:stop]]
+            known = iter(self._known([p for p in plain if p is not None]))
+            odd = iter(self._slow([t for t, p in zip(texts[begin:stop], plain) if p is None]))
+            out += [next(known) if p is not None else np.array(next(odd), "<u4").tobytes() for p in plain]
             begin = stop
         return out
 
@@ -145,7 +176,7 @@ def write_tokens(
     """Write (part, doc_id, local_start, n_tokens, token_ids) in ascending id_col order under path."""
     n = parts(estimated_bytes(docs), 6 << 20)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
+    dealt = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
     dealt = dealt.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +184,7 @@ def write_tokens(
 
         part, at, coder = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         for whole in batches:
-            step = max(1, int(whole.num_rows * min(1.0, 8e6 / max(1, whole.nbytes))))
+            step = max(1, int(whole.num_rows * min(1.0, 4e6 / max(1, whole.nbytes))))
             for i in range(0, whole.num_rows, step):
                 batch = whole.slice(i, step)
                 texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -35,19 +35,23 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word of all docs in order, number of words of each doc)."""
-    buf = np.frombuffer(b" ".join([*docs, b""]) or b" ", np.uint8)
-    space = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
+def word_spans(docs: list[bytes], space: np.ndarray = _SPACE):
+    """(joined docs, start and stop of every word in it, hash of every word, number of words of each doc)."""
+    joined = b" ".join([*docs, b""]) or b" "
+    buf = np.frombuffer(joined, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space[buf])).view(np.int8)))
     start, stop = edge[0::2], edge[1::2]
     p, q = _pows(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_CHAR[buf] * p[: len(buf)], out=total[1:])
     h = mix((total[stop] - total[start]) * q[start])
     ends = np.cumsum([len(d) + 1 for d in docs], dtype=np.int64)
-    count = np.diff(np.searchsorted(start, ends, "left"), prepend=0)
-    return h, count
+    return joined, start, stop, h, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
+
+
+def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of all docs in order, number of words of each doc)."""
+    return word_spans(docs)[3:]
 
 
 def window_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
