@@ -1,24 +1,19 @@
 """Corpus preparation: five stages over documents, each written as Parquet and reread.
 
 All stages but the last return the columns of documents; what a stage drops is gone
-for the next one.  The near-duplicate stage compares NEAR_COPIES independent fingerprints
-of five-word shingles: a pair links if one of them is within NEAR_RADIUS bits and all
-together are within NEAR_TOTAL."""
+for the next one.  The near-duplicate stage links texts whose sets of five-word shingles have a
+similarity of NEAR_SIMILARITY or more; each link is verified exactly."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusweave.llm import decontaminate, language_id, simhash_dedup, source_mix, token_output
+from locusweave.llm import decontaminate, language_id, set_dedup, source_mix, token_output
 from locusweave.llm.common import fresh, shared_path
 from locusweave.llm.queries import vocabulary
 
-#: A pair with a similarity of 0.9 differs in 6.7 of 64 bits on average, one of 0.8 in 9.7.  Three tries
-#: find nine tenths of the near copies; 32 of 192 bits keep pairs well below 0.8 apart.
-NEAR_COPIES = 3
-NEAR_RADIUS = 7
-NEAR_TOTAL = 32
+NEAR_SIMILARITY = 0.8
 #: Least share of the main language of a document that stays.
 LEAST_SHARE = 1 / 3
 
@@ -35,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the least doc_id stays, of its repeated rows one.  A document
     without an id goes if its group has one with an id; else one row of each such text stays."""
-    named = simhash_dedup.near_duplicates(docs.select("doc_id", "text"), width=5, radius=NEAR_RADIUS, copies=NEAR_COPIES, total=NEAR_TOTAL)
+    named = set_dedup.similar_groups(docs.select("doc_id", "text"), width=5, similarity=NEAR_SIMILARITY)
     stay = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
     own = fresh(docs, "_own")
@@ -88,7 +83,7 @@ STAGES = [
     ("token_output", write_token_ids),
 ]
 
-#: Fingerprint components and EM have no SQL form; tests compare stages with brute force.
+#: Similarity components and EM have no SQL form; tests compare stages with brute force.
 ORACLE_SQL = None
 
 

@@ -64,3 +64,39 @@ def test_empty_corpus(spark, docs, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         none_out = stage(spark, none, sf_dir)
         assert none_out.count() == 0, name
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    """Pairs around 0.8, among them repeated lines, short texts and a group that is linked in a chain."""
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [None, "", " two words ", "Two  words"]
+    for i in range(60):
+        words = list(rng.choice(vocab, rng.integers(30, 200)))
+        words += words[:20] * 3 if i % 7 == 0 else []
+        texts.append(" ".join(words))
+        for share in (0.005, 0.01, 0.02, 0.022, 0.03, 0.05):
+            some = [str(rng.choice(vocab)) if rng.random() < share else w for w in words]
+            texts.append(" ".join(some))
+            words = some if i % 3 == 0 else words
+    texts += [" ".join(vocab[:8]), " ".join(vocab[:9]), " ".join(vocab[:200]), " ".join(vocab[:200] + vocab[:100])]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == [i for i in range(len(texts)) if find(i) == i] and 70 < len(got) < 300
