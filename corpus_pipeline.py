@@ -28,13 +28,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least doc_id stays, of its repeated rows one.  A document
-    without an id goes if its group has one with an id; else one row of each such text stays."""
+    """Of each group one row stays: the least doc_id (none comes last), then the least hash of the text.
+    Rows count as repeated if id and text are equal."""
     named = set_dedup.similar_groups(docs.select("doc_id", "text"), width=5, similarity=NEAR_SIMILARITY)
-    stay = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    stay = named.filter(first).select(F.col("doc_id").alias("_stay"), "text_hash").distinct()
     own = fresh(docs, "_own")
-    kept = kept.withColumn(own, F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise(""))
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    kept = hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["_stay"]) & (hashed[own] == stay["text_hash"]), "left_semi")
     return kept.dropDuplicates(["doc_id", own]).drop(own)
 
 

@@ -100,3 +100,11 @@ def test_near_duplicate_stage_against_brute_force(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
     assert got == [i for i in range(len(texts)) if find(i) == i] and 70 < len(got) < 300
+
+
+def test_near_duplicate_stage_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (1, a), (3, c), (None, c + " more"), (None, "alone without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()))
+    assert got == [(0, "alone without an id"), (1, a), (1, b), (3, c)]
