@@ -2,7 +2,7 @@
 
 Base detectors read the raw text.  Where a text shows a disguise, transducers rewrite
 it - homoglyphs and foreign digits to ASCII, invisible characters to nothing, spelled
-digits to digits, "(at)" and "dot" forms to @ and . - while every output character keeps the
+digits next to other digits or spelled ones to digits, "(at)" and "dot" forms to @ and . - while every output character keeps the
 source span it came from; the same detectors read the rewritten text and their spans are
 mapped back.  An added span holds at least one rewritten place and overlaps no base span of
 its kind, unless it completes one that hidden characters cut short.
@@ -89,17 +89,20 @@ _DIGITS = {
 }
 _WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
 _OPEN, _CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
-# Two of the longest digit words would be rare by chance; the run must hold seven to be rewritten.
-_SPELLED = re.compile(rf"\b{_WORD}(?:(?:[ \t]*[-,.][ \t]*|[ \t]+)(?:(?:dot|point)[ \t]+)?{_WORD}){{6,}}\b", re.I)
+_UNITS = rf"(?:{_WORD}|[0-9]+)\b"
+_BETWEEN = rf"(?:{_OPEN}(?:dot|point|\.){_CLOSE}|[ \t]*[-,.][ \t]*|[ \t]+)(?:(?:dot|point)[ \t]+)?"
+# Two or more digit words or numbers; one is rewritten if it holds a word.  What makes an identifier is left to the detectors.
+_SPELLED = re.compile(rf"\b{_UNITS}(?:{_BETWEEN}{_UNITS})++", re.I)
+_DIGIT_WORD = re.compile(_WORD, re.I)
 _RULES = re.compile(
     rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|[ \t]+at[ \t]+(?=[a-z0-9-]+(?:[ \t]+(?:dot|\.)[ \t]+|{_OPEN}dot{_CLOSE})[a-z]))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])[ \t]+dot[ \t]+(?=[a-z0-9]))"
-    rf"|(?P<plus>\bplus[ \t]+(?={_WORD}\b))|(?P<run>{_SPELLED.pattern})",
+    rf"|(?P<plus>\bplus[ \t]+(?={_WORD}\b|[0-9]+{_BETWEEN}{_UNITS}))|(?P<run>{_SPELLED.pattern})",
     re.I,
 )
 _BRACKETED = re.compile(r"[(\[{<][ \t]*(?:at|dot|@|\.)[ \t]*[)\]}>]", re.I)
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, _GLYPH))) + _INVISIBLE + "！-～]|(?![0-9])\\d")
-_UNIT = re.compile(rf"{_WORD}|dot|point", re.I)
+_UNIT = re.compile(rf"{_WORD}|dot|point|[0-9]|(?<=\S)\.(?=\S)|(?<=[(\[{{<])[ \t]*\.[ \t]*(?=[)\]}}>])", re.I)
 
 Pieces = list[tuple[str, int, int, bool]]
 
@@ -121,7 +124,7 @@ def glyphs(text: str) -> tuple[str, list[int], list[bool]]:
                 new = str(unicodedata.decimal(ch))
         out.append(new)
         at.append(i)
-        changed.append(new != ch or bool(at[:-1]) and at[-2] != i - 1)
+        changed.append(new != ch or len(at) > 1 and at[-2] != i - 1)
     return "".join(out), at, changed
 
 
@@ -131,8 +134,13 @@ def disguises(text: str) -> Pieces:
     found: Pieces = []
     for m in _RULES.finditer(text):
         if m.lastgroup == "run":
-            for i, u in enumerate(_UNIT.finditer(m[0])):
-                found.append((_DIGITS.get(u[0].lower(), "."), m.start() + u.start(), m.start() + u.end(), i > 0))
+            if m[0].isascii() and not any(map(str.isalpha, m[0])):
+                continue
+            units = [(u[0] if u[0].isdigit() else _DIGITS.get(u[0].lower(), "."), u) for u in _UNIT.finditer(m[0])]
+            if sum(d == "." for d, _ in units) != 3:  # points that only part the digits
+                units = [(d, u) for d, u in units if u[0] != "."]
+            for i, (d, u) in enumerate(units):
+                found.append((d, m.start() + u.start(), m.start() + u.end(), i > 0))
         else:
             found.append(({"at": "@", "dot": ".", "plus": "+"}[m.lastgroup], m.start(), m.end(), False))
     return found
@@ -144,7 +152,13 @@ def _disguised(text: str) -> bool:
     low = text.lower()
     if " dot " in low or any(b in low for b in "([{<") and _BRACKETED.search(low):
         return True
-    return bool(_SPELLED.search(low))
+    phone = "+" in low or "plus" in low
+    return any(_DIGIT_WORD.search(m[0]) and (phone or _may_identify(m[0])) for m in _SPELLED.finditer(low))
+
+
+def _may_identify(run: str) -> bool:
+    """Whether a run without a plus has the points of an address or the digits of a card."""
+    return run.count(".") + run.count("dot") + run.count("point") >= 3 or sum(1 for _ in _UNIT.finditer(run)) >= 16
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:

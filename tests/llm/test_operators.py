@@ -173,6 +173,16 @@ def test_pii_disguises(text, found):
     assert (at, at + len(found)) in [s for v in more.values() for s in v], more
 
 
+@pytest.mark.parametrize("kind,text,found", [
+    ("ip", "ip one two seven dot zero dot zero dot one end", "one two seven dot zero dot zero dot one"), ("ip", "eight dot eight dot eight dot eight", "eight dot eight dot eight dot eight"),
+    ("ip", "at one two seven (dot) zero (dot) zero (dot) one", "one two seven (dot) zero (dot) zero (dot) one"), ("ip", "on 8.8.8.eight x", "8.8.8.eight"),
+    ("phone", "call +44 20 seven nine four six 0958 now", "+44 20 seven nine four six 0958"), ("phone", "plus one five five five 010 zero nine nine", "plus one five five five 010 zero nine nine"),
+])
+def test_pii_short_and_mixed_runs(kind, text, found):
+    at = text.index(found)
+    assert pii.added_spans(text, pii.base_spans(text)) == {kind: [(at, at + len(found))]}
+
+
 def test_pii_leaves_plain_text():
     for text in ("meet me at noon at the one two three place", "that dot is one dot", "the [at] sign", "he was born in Москва"):
         assert pii.added_spans(text, pii.base_spans(text)) == {}
