@@ -61,7 +61,7 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57
 
 def _shingles(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the shingles of all docs, number per doc)."""
-    h, count = word_hashes([d.translate(_PLAIN) for d in docs])
+    h, _, count = word_hashes([d.translate(_PLAIN) for d in docs])
     every = window_hashes(h, WIDTH)
     keep = np.ones(len(h), bool)
     ends = np.cumsum(count)

@@ -1,11 +1,10 @@
 """Repeated-passage removal by level-wise doubling.
 
-Level one looks at runs of half the window.  Of each window only one such run, its
-minimizer (the run with the least hash), is looked up, so equal windows always look up
-the same run; a run that occurs once in the corpus rules out every window it stands
-for.  What is repeated at that length alone is extended to the whole window and looked
-up again, now exactly (96-bit window hashes) and with its earliest start.  Longer
-repeats are followed by doubling on (`longest_repeats`), until no candidate survives.
+Levels are runs of a quarter of the window, of half of it and of the whole.  A level below the window looks up one run
+for each window that is left, its minimizer (the run with the least hash), so equal windows always look up the same
+run, and a run that occurs once in the corpus rules out every window it stands for.  What is repeated at that length
+alone is extended to twice that length and looked up again; whole windows are looked up each, by 128 hash bits, with
+their earliest start.  Longer repeats are followed by doubling on (`longest_repeats`), until no candidate survives.
 
 Documents are dealt into blocks of some MB by a hash of doc_id.  A block sends each
 distinct run or window once, with its first place, so a passage that a third of all
@@ -13,7 +12,8 @@ rows share arrives as one row per block.
 
 Defined cases: null or empty text has no words; equal windows inside one document
 count, the earlier start stays; rows with the same doc_id count as documents in order
-of their text; a null doc_id comes after all others; extra columns are ignored."""
+of their text; a null doc_id comes after all others; extra columns are ignored; a very long text makes
+its block as large as itself (about 60 bytes of memory a word); an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -40,10 +40,10 @@ def _ordered(table: pa.Table) -> tuple[list, list[bytes]]:
 
 
 def _scan(docs: list[bytes], k: int):
-    """Per chunk: (first doc, word hashes, words per doc, window starts inside documents)."""
+    """Per chunk: (first doc, both word hashes, words per doc, window starts inside documents)."""
     for first, some in chunks(docs):
-        h, count = word_hashes(some)
-        yield first, h, count, inside(count, k)
+        h, g, count = word_hashes(some)
+        yield first, h, g, count, inside(count, k)
 
 
 def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -60,67 +60,72 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     place = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(place)
     return small_batches(docs).select(
         F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"),
-        F.pmod(place, F.lit(4 * n)).alias("block"),
+        F.pmod(place, F.lit(4 * n)).cast("int").alias("block"),
     ).repartition(n, "block")
 
 
-def _sampled_runs(blocks: DataFrame, window: int) -> DataFrame:
-    """(h, block): runs of half the window that stand for windows, once per block; twice where
-    the block itself repeats it."""
-    half = window // 2
+def _alive(h: np.ndarray, ok: np.ndarray, window: int, run: int, known: np.ndarray | None) -> np.ndarray:
+    """ok without the windows whose minimizer of run words is not known."""
+    if known is None:
+        return ok
+    return ok & _isin(window_hashes(h, run), known)[minimizers(window_hashes(h, run), window - run + 1)]
+
+
+def _sampled(table: pa.Table, window: int, run: int, below: int, known: np.ndarray | None) -> pa.Table:
+    """(h, block, twice): the runs that stand for a block's windows left by the level below; twice where the block
+    itself repeats one."""
+    found = []
+    for _, h, _, _, ok in _scan(_ordered(table)[1], window):
+        if len(ok) and (left := _alive(h, ok, window, below, known)).any():
+            runs = window_hashes(h, run)
+            found.append(runs[np.unique(minimizers(runs, window - run + 1)[left])])
+    h, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+    block = table["block"][0].as_py() if table.num_rows else 0
+    return pa.table({"h": h.view(np.int64), "block": pa.array([block] * len(h), pa.int32()), "twice": n > 1})
+
+
+def _whole(table: pa.Table, window: int, below: int, known: np.ndarray | None) -> pa.Table:
+    """(g1, g2, block, doc, twice): the windows left by the level below, each distinct one once, with the first document
+    it starts in here."""
+    ids, docs = _ordered(table) if table.num_rows else ([], [])
+    rows = []
+    for first, h, g, count, ok in _scan(docs, window):
+        starts = np.flatnonzero(_alive(h, ok, window, below, known)) if len(ok) else ok
+        if len(starts):
+            doc = np.searchsorted(np.cumsum(count), starts, "right")
+            rows.append((window_hashes(h, window, 1)[starts], window_hashes(g, window, 2)[starts], doc + first))
+    g1, g2, doc = map(np.concatenate, zip(*rows)) if rows else [np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)]
+    _, at, n = np.unique(g1, return_index=True, return_counts=True)  # the first place of each
+    block = table["block"][0].as_py() if table.num_rows else 0
+    return pa.table({
+        "g1": g1[at].view(np.int64), "g2": g2[at].view(np.int64), "block": pa.array([block] * len(at), pa.int32()),
+        "doc": pa.array([ids[i] for i in doc[at]], pa.int64()), "twice": n > 1,
+    })
 
-    def run(table: pa.Table) -> pa.Table:
-        _, docs = _ordered(table)
-        found = []
-        for _, h, _, ok in _scan(docs, window):
-            if len(ok):
-                runs = window_hashes(h, half)
-                at = np.unique(minimizers(runs, window - half + 1)[ok])
-                found.append(runs[at])
-        every = np.concatenate(found) if found else np.empty(0, np.uint64)
-        h, n = np.unique(every, return_counts=True)
-        block = table["block"][0].as_py()
-        return pa.table({"h": h.view(np.int64), "block": np.full(len(h), block), "twice": n > 1})
-
-    return blocks.groupBy("block").applyInArrow(run, "h bigint, block bigint, twice boolean")
 
+def _candidates(blocks: DataFrame, window: int) -> DataFrame:
+    """(g1, g2, block, doc, twice) of the windows whose runs of every level are repeated.  g1 (64 bits) tells windows of
+    one block apart, g1 and g2 (128 bits) those of the corpus."""
+    known, below = None, 0
+    for run in [r for r in (window // 4, window // 2) if r]:
+        sampled = _of_blocks(blocks, known, _sampled, "h bigint, block int, twice boolean", window, run, below)
+        known = sampled.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 or twice").select("block", "h")
+        below = run
+    return _of_blocks(blocks, known, _whole, "g1 bigint, g2 bigint, block int, doc bigint, twice boolean", window, below)
 
-def _extended(blocks: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """(g1, g2, block, doc, twice): whole windows whose sampled run is repeated, each distinct one
-    once per block, with the first document it starts in there.  g1 (64 bits) tells windows of
-    one block apart, g1 and g2 (96 bits) those of the corpus."""
-    half = window // 2
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.sort(right["h"].to_numpy().view(np.uint64))
-        ids, docs = _ordered(left) if left.num_rows else ([], [])
-        rows = []
-        if len(known):
-            for first, h, count, ok in _scan(docs, window):
-                if not len(ok):
-                    continue
-                runs = window_hashes(h, half)
-                starts = np.flatnonzero(ok & _isin(runs, known)[minimizers(runs, window - half + 1)])
-                if len(starts):
-                    doc = np.searchsorted(np.cumsum(count), starts, "right")
-                    rows.append((window_hashes(h, window, 1)[starts], window_hashes(h, window, 2)[starts], doc + first))
-        g1, g2, doc = map(np.concatenate, zip(*rows)) if rows else [np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)]
-        _, at, n = np.unique(g1, return_index=True, return_counts=True)  # the first place of each
-        block = left["block"][0].as_py() if left.num_rows else 0
-        return pa.table({
-            "g1": g1[at].view(np.int64), "g2": (g2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), "block": np.full(len(at), block),
-            "doc": pa.array([ids[i] for i in doc[at]], pa.int64()), "twice": n > 1,
-        })
+def _of_blocks(blocks: DataFrame, known: DataFrame | None, fn, kind: str, *sizes: int) -> DataFrame:
+    """fn(block, *sizes, hashes known in it or None) of every block."""
 
-    return blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(
-        run, "g1 bigint, g2 int, block bigint, doc bigint, twice boolean"
-    )
+    def alone(table: pa.Table) -> pa.Table:
+        return fn(table, *sizes, None)
 
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        return fn(left if right.num_rows else left.slice(0, 0), *sizes, np.sort(right["h"].to_numpy().view(np.uint64)))
 
-def _candidates(blocks: DataFrame, window: int) -> DataFrame:
-    sampled = _sampled_runs(blocks, window)
-    repeated = sampled.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 or twice")
-    return _extended(blocks, repeated.select("block", "h"), window)
+    if known is None:
+        return blocks.groupBy("block").applyInArrow(alone, kind)
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(met, kind)
 
 
 def later_windows(blocks: DataFrame, window: int) -> DataFrame:
@@ -148,8 +153,8 @@ def remove_repeats(
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _ordered(left) if left.num_rows else ([], [])
         key = np.sort(right["g1"].to_numpy().view(np.uint64))
-        keys, spans, held = [], [], []
-        for first, h, count, ok in _scan(texts, window):
+        keys, held = [], []
+        for first, h, _, count, ok in _scan(texts, window):
             held.append((first, count, np.flatnonzero(ok)))
             keys.append(window_hashes(h, window, 1)[held[-1][2]])
         every = np.concatenate(keys) if keys else np.empty(0, np.uint64)
@@ -215,14 +220,14 @@ def _level(texts: DataFrame, window: int) -> DataFrame:
     """Passages of texts(_id, _at, _text) covered by repeated windows (going false, no text), and those that can
     hold a repeated window of twice the length (going true)."""
     n = parts(estimated_bytes(texts), BLOCK, 2)
-    blocks = texts.select("_id", "_at", "_text", F.pmod(F.xxhash64("_id", "_at"), F.lit(4 * n)).alias("block")).repartition(n, "block")
+    blocks = texts.select("_id", "_at", "_text", F.pmod(F.xxhash64("_id", "_at"), F.lit(4 * n)).cast("int").alias("block")).repartition(n, "block")
     again = repeated_windows(blocks, window)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, ats, docs = left["_id"].to_pylist(), left["_at"].to_pylist(), as_bytes(left["_text"])
         key = np.sort(right["g1"].to_numpy().view(np.uint64))
         rows = []
-        for first, h, count, ok in _scan(docs, window) if len(key) else ():
+        for first, h, _, count, ok in _scan(docs, window) if len(key) else ():
             hit = np.zeros(len(h) + window, bool)
             hit[: len(ok)] = ok & _isin(window_hashes(h, window, 1), key)
             ends = np.cumsum(count)

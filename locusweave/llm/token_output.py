@@ -54,8 +54,10 @@ class Encoder:
 
     Valid for tokenizers whose normalizer and pre-tokenizer act on each piece alone; the file's
     normalizer must lower-case.  Latin-1 texts are lower-cased as a whole and cut into pieces by their
-    bytes; the pieces of a chunk are looked up by 64-bit hash in sorted arrays (about 30 bytes a piece).  New pieces
-    of letters go straight to the file's BPE model, other pieces and texts through the whole tokenizer."""
+    bytes; the pieces of a chunk are looked up by hash in sorted arrays (about 40 bytes a piece) and must agree in a second
+    hash: pieces of up to seven bytes are their own hash, longer ones have 128 bits of XXH3.  A chunk with a piece that agrees
+    in the first one only goes through the whole tokenizer, as do texts beyond Latin-1.  New pieces of letters go straight
+    to the file's BPE model, other pieces through the whole tokenizer."""
 
     LIMIT = 500_000  # pieces kept
     CHUNK = 500_000  # characters encoded at a time
@@ -71,7 +73,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.used = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.keys, self.check, self.used = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
         self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
 
@@ -102,9 +104,9 @@ class Encoder:
         at, size = self.at[keep], self.size[keep].astype(np.int64)
         begin = np.cumsum(size) - size
         self.flat = self.flat[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
-        self.keys, self.used, self.at, self.size = self.keys[keep], self.used[keep], begin, self.size[keep]
+        self.keys, self.check, self.used, self.at, self.size = self.keys[keep], self.check[keep], self.used[keep], begin, self.size[keep]
 
-    def _learn(self, joined: bytes, start: np.ndarray, stop: np.ndarray, key: np.ndarray) -> None:
+    def _learn(self, joined: bytes, start: np.ndarray, stop: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
         """Put sorted new keys, whose pieces lie at start..stop, into the cache."""
         pieces = [joined[a:b].decode("latin-1") for a, b in zip(start.tolist(), stop.tolist())]
         ids = self._new(pieces)
@@ -112,13 +114,13 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         at = np.cumsum(size, dtype=np.int64) - size + len(self.flat)
         place = np.searchsorted(self.keys, key)
-        self.keys, self.at = np.insert(self.keys, place, key), np.insert(self.at, place, at)
+        self.keys, self.check, self.at = np.insert(self.keys, place, key), np.insert(self.check, place, check), np.insert(self.at, place, at)
         self.size, self.used = np.insert(self.size, place, size), np.insert(self.used, place, self.clock)
         self.flat = np.concatenate([self.flat, flat])
 
     def _known(self, docs: list[bytes]) -> list[bytes]:
         """Ids of lower-cased Latin-1 texts."""
-        joined, start, stop, h, count = word_spans(docs, _LATIN_SPACE)
+        joined, start, stop, h, g, count = word_spans(docs, _LATIN_SPACE)
         key, first, back = np.unique(h, return_index=True, return_inverse=True)
         self.clock += 1
         if len(self.keys) > self.LIMIT:
@@ -127,8 +129,10 @@ class Encoder:
         new = place == len(self.keys)
         new[~new] = self.keys[place[~new]] != key[~new]
         if new.any():
-            self._learn(joined, start[first[new]], stop[first[new]], key[new])
+            self._learn(joined, start[first[new]], stop[first[new]], key[new], g[first[new]])
             place = np.searchsorted(self.keys, key)
+        if not np.array_equal(self.check[place][back], g):
+            return [np.array(ids, "<u4").tobytes() for ids in self._slow([d.decode("latin-1") for d in docs])]
         self.used[place] = self.clock
         at, size = self.at[place][back], self.size[place][back].astype(np.int64)
         begin = np.cumsum(size) - size

@@ -1,30 +1,21 @@
-"""Vectorised word and word-window hashing over byte buffers (numpy only)."""
+"""Vectorised word and word-window hashing over byte buffers.
+
+A word has two 64-bit hashes.  Words of up to seven bytes are one integer (bytes and length), which two bijective mixers
+turn into the hashes, so such words never collide; longer ones take the two halves of their XXH3-128.  Windows are
+hashed by doubling: a run of 2k words mixes the hashes of its two runs of k, so no window hash is a linear sum that
+texts could be made to cancel."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_B), -1, 1 << 64))
-_rng = np.random.default_rng(20)
-_CHAR = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _pows(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n; kept and grown by doubling."""
-    got = _powers.get(0)
-    if got is None or len(got[0]) < n:
-        m = 1 << max(16, int(n - 1).bit_length())
-        p = np.full(m, _B, np.uint64)
-        q = np.full(m, _INV, np.uint64)
-        p[0] = q[0] = 1
-        got = _powers[0] = (np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64))
-    return got
+_SHORT = 7  # bytes of a word that is its own integer
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(_SHORT + 1)], np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -36,33 +27,44 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def word_spans(docs: list[bytes], space: np.ndarray = _SPACE):
-    """(joined docs, start and stop of every word in it, hash of every word, number of words of each doc)."""
-    joined = b" ".join([*docs, b""]) or b" "
+    """(joined docs, start and stop of every word in it, two hashes of every word, number of words of each doc)."""
+    joined = b" ".join([*docs, b"       "])
     buf = np.frombuffer(joined, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space[buf])).view(np.int8)))
     start, stop = edge[0::2], edge[1::2]
-    p, q = _pows(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_CHAR[buf] * p[: len(buf)], out=total[1:])
-    h = mix((total[stop] - total[start]) * q[start])
+    size = stop - start
+    first = np.ndarray(len(buf) - 7, "<u8", joined, strides=(1,))[np.minimum(start, len(buf) - 8)]  # the eight bytes from each start on
+    short = np.minimum(size, _SHORT)
+    value = (first & _MASK[short]) | (short.astype(np.uint64) << np.uint64(56))
+    h, g = mix(value), mix(value, 1)
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        digest = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(start[long].tolist(), stop[long].tolist())]), np.uint64)
+        h[long], g[long] = both[0::2], both[1::2]
     ends = np.cumsum([len(d) + 1 for d in docs], dtype=np.int64)
-    return joined, start, stop, h, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
+    return joined, start, stop, h, g, np.diff(np.searchsorted(start, ends, "left"), prepend=0)
 
 
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word of all docs in order, number of words of each doc)."""
+def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two 64-bit hashes of every word of all docs in order, number of words of each doc)."""
     return word_spans(docs)[3:]
 
 
+def _joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    return mix(a ^ mix(b, salt + 2) * np.uint64(0xD6E8FEB86659FD93), salt)
+
+
 def window_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hash of each run of k consecutive entries of h (runs over document ends too)."""
-    n = len(h)
-    if n < k:
+    """Hash of each run of k consecutive entries of h (runs over document ends too), by doubling."""
+    if len(h) < k:
         return np.empty(0, np.uint64)
-    p, q = _pows(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((mix(h, salt) if salt else h) * p[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * q[: n - k + 1], salt)
+    runs, size = h, 1
+    for bit in bin(k)[3:]:
+        runs, size = _joined(runs[:-size], runs[size:], salt), 2 * size
+        if bit == "1":
+            runs, size = _joined(runs[:-1], h[size:], salt), size + 1
+    return runs
 
 
 def inside(count: np.ndarray, k: int) -> np.ndarray:

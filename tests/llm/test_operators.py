@@ -83,6 +83,46 @@ def test_longest_repeats(spark):
     assert got == [(1, 20, 2, 90), (1, 40, 2, 90), (1, 80, 2, 90), (2, 20, 0, 90), (2, 40, 0, 90), (2, 80, 0, 90)]
 
 
+def thue_morse(n):
+    """Two words of n letters that differ in every place and whose linear hashes with odd factors agree modulo 2**64."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_are_told_apart(spark):
+    one, two = thue_morse(1024)
+    rest = [f"r{i}" for i in range(19)]
+    df = spark.createDataFrame([(1, " ".join([one, *rest])), (2, " ".join([two, *rest]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+    from locusweave.llm.words import window_hashes, word_hashes
+
+    x, y = thue_morse(2048)  # as sequences of words
+    h, g, _ = word_hashes([" ".join(x).encode() + b" " + " ".join(y).encode()])
+    assert len({int(window_hashes(w, 2048, s)[i]) for w, s in ((h, 1), (g, 2)) for i in (0, 2048)}) == 4
+    coder = token_output.Encoder(vocabulary())
+    texts = [f"{one} {two}", two, one]
+    want = [np.array(e.ids, "<u4").tobytes() for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert coder.encode(texts) == want
+
+
+def test_hashes_of_short_words_are_injective():
+    from locusweave.llm.words import word_hashes
+
+    words = [b"a", b"a\x00", b"\x00", b"\x00a", b"abcdefg", b"abcdefg\x00", b"abcdefgh", b"bcdefgh", b"z"]
+    h, g, n = word_hashes([b" ".join(words), b" ".join(reversed(words))])
+    assert n.tolist() == [9, 9] and len(set(h.tolist())) == len(set(g.tolist())) == 9
+    assert h[:9].tolist() == h[9:][::-1].tolist() and g[:9].tolist() == g[9:][::-1].tolist()
+
+
+def test_pieces_that_share_a_hash_fall_back(monkeypatch):
+    coder = token_output.Encoder(vocabulary())
+    spans = token_output.word_spans
+    monkeypatch.setattr(token_output, "word_spans", lambda *a: [x & np.uint64(3) if i == 3 else x for i, x in enumerate(spans(*a))])
+    texts = ["several different pieces here", "and more of them", "here"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert coder.encode(texts) == want and coder.encode(texts[::-1]) == want[::-1]
+
+
 def test_language_id(spark, docs, sf_dir):
     got = language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id", "lang"]).toPandas()
     out = got[got.held_out]
