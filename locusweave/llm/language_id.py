@@ -3,13 +3,14 @@
 Per-language byte-trigram likelihoods are counted on a bounded, hash-chosen sample of labelled
 rows.  A document is a mixture of languages: expectation-maximisation over its whole
 text estimates the proportions, once with all languages and then for nested sets of the
-most probable ones; the set with the best penalised likelihood (BIC) is selected and its
-largest share is the prediction.  All documents of a batch are solved together as matrix
-products.
+most probable ones, of every size up to the number of languages with a share worth the name (NEGLIGIBLE); the set with the best
+penalised likelihood (BIC) is selected and its largest share is the prediction.  Each document is solved by itself, in
+double precision over its own trigrams, so its result depends on nothing but its text and the model.
 
 Defined cases: null text, or text without a letter, gives `und` with score 0; ties go
 to the language first by code point; rows repeat as they come; extra columns are
-ignored; without any labelled row every document is `und`."""
+ignored; without any labelled row every document is `und`; a very long text is counted whole (4 bytes of memory
+a byte, several times); an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -22,8 +23,9 @@ from locusweave.llm.common import per_table, small_batches
 
 BUCKETS = 8192
 SAMPLE = 5_000  # labelled rows aimed at for each language
-ROUNDS = 12
-LARGEST_SET = 4
+ROUNDS, MORE_ROUNDS = 30, 10  # of EM at most, over all languages and over a set
+SETTLED = 1e-5  # EM ends when no share moves more
+NEGLIGIBLE = 1e-4  # share under which a language is in no set
 
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -49,7 +51,7 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((0, BUCKETS), np.float32)
+        return [], np.zeros((0, BUCKETS))
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / sizes[lang])))])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     chosen = labelled.filter(draw < F.element_at(share, F.col(lang_col))).select(
@@ -71,36 +73,41 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     seen = np.full((len(langs), BUCKETS), 0.5)
     for lang, slot, n in rows:
         seen[langs.index(lang), slot] += n
-    return langs, (seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
+    return langs, seen / seen.sum(axis=1, keepdims=True)
+
+
+def _em(pi: np.ndarray, p: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
+    """Proportions pi after EM; weight: the share of each trigram of the document, p: its probability by language."""
+    for _ in range(rounds):
+        new = pi * (p @ (weight / (pi @ p)))
+        moved = np.abs(new - pi).max()
+        pi = new
+        if moved < SETTLED:
+            break
+    return pi
 
 
 def infer(counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """(texts, languages) proportions under the selected language set; zero outside it."""
-    used = np.flatnonzero(counts.any(axis=0))
-    c, p = counts[:, used].astype(np.float32), np.ascontiguousarray(p[:, used])
-    n = np.maximum(c.sum(axis=1, keepdims=True), 1)
-    langs = len(p)
-
-    def em(pi: np.ndarray, rounds: int) -> np.ndarray:
-        for _ in range(rounds):
-            pi = pi * ((c / np.maximum(pi @ p, 1e-30)) @ p.T) / n
-            pi = pi / np.maximum(pi.sum(axis=1, keepdims=True), 1e-30)
-        return pi
-
-    full = em(np.full((len(c), langs), 1 / langs, np.float32), ROUNDS)
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-    best, chosen = np.full(len(c), -np.inf), full
-    for k in range(1, min(langs, LARGEST_SET) + 1):
-        pi = np.where(rank < k, np.maximum(full, 1e-6), 0)
-        pi = pi / pi.sum(axis=1, keepdims=True)
+    """(languages,) proportions of one document under the selected language set; zero outside it.
+    counts: of each bucket, p: (languages, buckets) probabilities."""
+    used = np.flatnonzero(counts)
+    langs, n = len(p), counts.sum()
+    if not len(used):
+        return np.full(langs, 1 / langs)
+    c, p = counts[used].astype(np.float64), np.maximum(p[:, used], 1e-30)
+    weight = c / n
+    full = _em(np.full(langs, 1 / langs), p, weight, ROUNDS)
+    order = np.argsort(-full, kind="stable")
+    best, chosen = -np.inf, full
+    for k in range(1, max(1, int((full >= NEGLIGIBLE).sum())) + 1):
+        some = order[:k]
+        pi = full[some] / full[some].sum()
         if k > 1:
-            pi = em(pi.astype(np.float32), 4)
-        fit = (c * np.log(np.maximum(pi @ p, 1e-30))).sum(axis=1) - 0.5 * (k - 1) * np.log(n[:, 0])
-        better = fit > best
-        if not better.any():
-            break
-        best = np.where(better, fit, best)
-        chosen = np.where(better[:, None], pi, chosen)
+            pi = _em(pi, p[some], weight, MORE_ROUNDS)
+        fit = float(c @ np.log(pi @ p[some])) - 0.5 * (k - 1) * np.log(n)
+        if fit > best:
+            best, chosen = fit, np.zeros(langs)
+            chosen[some] = pi
     return chosen
 
 
@@ -129,10 +136,10 @@ def predict(
         real = [i for i, t in enumerate(texts) if langs and t and _has_letter(t)]
         for i in range(0, len(real), 32):
             some = real[i : i + 32]
-            pi = infer(features([texts[j] for j in some]), p)
-            for j, row in zip(some, pi):
+            for j, counts in zip(some, features([texts[j] for j in some])):
+                row = infer(counts, p)
                 k = int(row.argmax())
-                told[j], scores[j] = langs[k], min(1.0, float(row[k]))
+                told[j], scores[j] = langs[k], round(min(1.0, float(row[k])), 9)
                 mixture[j] = ",".join(f"{langs[x]}:{row[x]:.3f}" for x in np.flatnonzero(row >= 0.0005))
         out = {c: table[f"c{i}"] for i, c in enumerate(keep)}
         made = [pa.array(told, pa.string()), pa.array(scores, pa.float64()), pa.array(mixture, pa.string())]

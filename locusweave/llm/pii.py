@@ -1,15 +1,16 @@
 """Personal data with offset-preserving deobfuscation.
 
-Base detectors read the raw text.  Where a text shows a disguise, transducers rewrite
-it - homoglyphs and foreign digits to ASCII, invisible characters to nothing, spelled
-digits next to other digits or spelled ones to digits, "(at)" and "dot" forms to @ and . - while every output character keeps the
-source span it came from; the same detectors read the rewritten text and their spans are
+Base detectors read the raw text.  Transducers rewrite what is disguised while every output character keeps the source
+span it came from: homoglyphs and foreign digits to ASCII, invisible characters to nothing; digit words next to other digits or
+digit words to digits; at and dot to @ and . in brackets, between underscores or between blanks (at between blanks or
+underscores only before a host with a dot).  The same detectors read the rewritten text and their spans are
 mapped back.  An added span holds at least one rewritten place and overlaps no base span of
 its kind, unless it completes one that hidden characters cut short.
 
-All scans are linear in the text: starts are anchored at @, + or the first digit of a
-run.  Offsets are code points, ends exclusive.  A null text counts as empty; repeated
-rows are scanned each; extra columns are ignored."""
+All scans are linear in the text: they are anchored at @, +, a bracket, a digit, a digit word or the words at, dot
+and plus, and look at the blanks next to those only.  Offsets are code points, ends exclusive.  A null text counts as empty;
+repeated rows are scanned each; extra columns are ignored; a very long text is scanned whole, in one task; an empty table
+gives no rows."""
 
 from __future__ import annotations
 
@@ -88,19 +89,20 @@ _DIGITS = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
 }
 _WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
-_OPEN, _CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
+_OPEN, _CLOSE = r"[ \t]*+[(\[{<][ \t]*+", r"[ \t]*+[)\]}>][ \t]*+"
 _UNITS = rf"(?:{_WORD}|[0-9]+)\b"
 _BETWEEN = rf"(?:{_OPEN}(?:dot|point|\.){_CLOSE}|[ \t]*[-,.][ \t]*|[ \t]+)(?:(?:dot|point)[ \t]+)?"
 # Two or more digit words or numbers; one is rewritten if it holds a word.  What makes an identifier is left to the detectors.
 _SPELLED = re.compile(rf"\b{_UNITS}(?:{_BETWEEN}{_UNITS})++", re.I)
 _DIGIT_WORD = re.compile(_WORD, re.I)
-_RULES = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|[ \t]+at[ \t]+(?=[a-z0-9-]+(?:[ \t]+(?:dot|\.)[ \t]+|{_OPEN}dot{_CLOSE})[a-z]))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[a-z0-9])[ \t]+dot[ \t]+(?=[a-z0-9]))"
-    rf"|(?P<plus>\bplus[ \t]+(?={_WORD}\b|[0-9]+{_BETWEEN}{_UNITS}))|(?P<run>{_SPELLED.pattern})",
-    re.I,
-)
-_BRACKETED = re.compile(r"[(\[{<][ \t]*(?:at|dot|@|\.)[ \t]*[)\]}>]", re.I)
+_PLUS = re.compile(rf"\bplus[ \t]++(?={_WORD}\b|[0-9]++{_BETWEEN}{_UNITS})")
+# Marks in lower-cased text: the word at or dot, or a bracketed sign; what stands around them is looked at in _mark.
+_MARKS = (
+    re.compile(r"at(?<=[ \t(\[{<_]at)(?=[ \t)\]}>_])"), re.compile(r"dot(?<=[ \t(\[{<_]dot)(?=[ \t)\]}>_])"),
+    re.compile(r"[@.](?<=[ \t(\[{<][@.])(?=[ \t)\]}>])"),
+)
+# What must follow at between blanks or underscores: a host name and a written or disguised dot.
+_HOSTLIKE = re.compile(rf"[A-Za-z0-9-]++(?:\.[a-z]{{2,}}|(?i:_dot_|[ \t]++dot[ \t]++|{_OPEN}(?:dot|\.){_CLOSE})[A-Za-z])")
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, _GLYPH))) + _INVISIBLE + "！-～]|(?![0-9])\\d")
 _UNIT = re.compile(rf"{_WORD}|dot|point|[0-9]|(?<=\S)\.(?=\S)|(?<=[(\[{{<])[ \t]*\.[ \t]*(?=[)\]}}>])", re.I)
 
@@ -128,43 +130,82 @@ def glyphs(text: str) -> tuple[str, list[int], list[bool]]:
     return "".join(out), at, changed
 
 
+def _blanks(text: str, at: int, step: int) -> int:
+    """The end of the blanks before (step -1) or from (step 1) a place."""
+    while (0 < at if step < 0 else at < len(text)) and text[at - 1 if step < 0 else at] in " \t":
+        at += step
+    return at
+
+
+def _mark(text: str, a: int, b: int) -> tuple[str, int, int, bool] | None:
+    """The piece for a word or sign at, dot, @ or . at a..b, or None if nothing around it makes it a disguise."""
+    what = "@" if text[a] in "aA@" else "."
+    left, right = _blanks(text, a, -1), _blanks(text, b, 1)
+    if left and text[left - 1] in "([{<" and right < len(text) and text[right] in ")]}>":
+        return what, _blanks(text, left - 1, -1), _blanks(text, right + 1, 1), False
+    if b - a == 1:
+        return None  # a sign that is no disguise
+    if a and text[a - 1] == "_" and b < len(text) and text[b] == "_":
+        left, right = a - 1, b + 1
+    elif left == a or right == b:
+        return None
+    if not left or right == len(text):
+        return None
+    if what == "@":
+        fits = text[left - 1] in _LOCAL and _HOSTLIKE.match(text, right)
+    else:
+        fits = all(c.isascii() and c.isalnum() for c in (text[left - 1], text[right]))
+    return (what, left, right, False) if fits else None
+
+
+def _lower(text: str) -> str:
+    """Lower case, place by place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def disguises(text: str) -> Pieces:
     """Second transducer: pieces (output, start, end, glued) that replace text; the rest is copied, but for
     what stands between a glued piece and the one before."""
+    low = _lower(text)
+    marks = [m for rule in _MARKS for x in rule.finditer(low) if (m := _mark(text, *x.span()))]
+    marks += [("+", *x.span(), False) for x in _PLUS.finditer(low)]
+    runs = [m for m in _SPELLED.finditer(low) if _DIGIT_WORD.search(m[0])]
+    if not marks and not ("+" in low and runs) and not any(_may_identify(m[0]) for m in runs):
+        return []
+    groups: list[Pieces] = []
+    for m in runs:
+        units = [(u[0] if u[0].isdigit() else _DIGITS.get(u[0], "."), u) for u in _UNIT.finditer(m[0])]
+        if sum(d == "." for d, _ in units) != 3:  # points that only part the digits
+            units = [(d, u) for d, u in units if u[0] != "."]
+        groups.append([(d, m.start() + u.start(), m.start() + u.end(), i > 0) for i, (d, u) in enumerate(units)])
+    groups += [[m] for m in marks]
     found: Pieces = []
-    for m in _RULES.finditer(text):
-        if m.lastgroup == "run":
-            if m[0].isascii() and not any(map(str.isalpha, m[0])):
-                continue
-            units = [(u[0] if u[0].isdigit() else _DIGITS.get(u[0].lower(), "."), u) for u in _UNIT.finditer(m[0])]
-            if sum(d == "." for d, _ in units) != 3:  # points that only part the digits
-                units = [(d, u) for d, u in units if u[0] != "."]
-            for i, (d, u) in enumerate(units):
-                found.append((d, m.start() + u.start(), m.start() + u.end(), i > 0))
-        else:
-            found.append(({"at": "@", "dot": ".", "plus": "+"}[m.lastgroup], m.start(), m.end(), False))
+    done, busy = 0, sorted((g[0][1], g[-1][2]) for g in groups if len(g) > 1)
+    at = 0
+    for g in sorted(groups, key=lambda g: (g[0][1], -g[-1][2])):
+        begin, end = g[0][1], g[-1][2]
+        if begin < done < end and len(g) == 1 and text[done] in "([{<" and not text[begin:done].strip(" \t"):  # blanks that the mark before has taken
+            g, begin = [(g[0][0], done, end, False)], done
+        while at < len(busy) and busy[at][1] <= begin:
+            at += 1
+        if begin >= done and (len(g) > 1 or at == len(busy) or end <= busy[at][0]):
+            found += g
+            done = end
     return found
 
 
-def _disguised(text: str) -> bool:
-    if not text.isascii() and _ODD.search(text):
-        return True
-    low = text.lower()
-    if " dot " in low or any(b in low for b in "([{<") and _BRACKETED.search(low):
-        return True
-    phone = "+" in low or "plus" in low
-    return any(_DIGIT_WORD.search(m[0]) and (phone or _may_identify(m[0])) for m in _SPELLED.finditer(low))
-
-
 def _may_identify(run: str) -> bool:
     """Whether a run without a plus has the points of an address or the digits of a card."""
     return run.count(".") + run.count("dot") + run.count("point") >= 3 or sum(1 for _ in _UNIT.finditer(run)) >= 16
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-    if not _disguised(text):
+    hidden = not text.isascii() and _ODD.search(text)
+    first, at, odd = glyphs(text) if hidden else (text, range(len(text)), bytes(len(text)))
+    pieces = disguises(first)
+    if not pieces and not hidden:
         return {}
-    first, at, odd = glyphs(text)
     out, begin, end = [], [], []
     how: list[int] = []  # of each output character: 0 as it was, 1 a glyph, 2 a disguise
     i = 0
@@ -175,7 +216,7 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
         end.extend(x + 1 for x in at[i:stop])
         how.extend(map(int, odd[i:stop]))
 
-    for new, a, b, glued in disguises(first):
+    for new, a, b, glued in pieces:
         if not glued:
             copy(a)
         out.append(new)
@@ -186,12 +227,18 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
     copy(len(first))
     added: dict[str, list[tuple[int, int]]] = {}
     for kind, spans in base_spans("".join(out)).items():
+        met = 0
         for a, b in spans:
             most = max(how[a:b])
             s, e = begin[a], end[b - 1]
-            met = [(x, y) for x, y in base[kind] if x < e and s < y]
+            while met < len(base[kind]) and base[kind][met][1] <= s:
+                met += 1
+            until = met
+            while until < len(base[kind]) and base[kind][until][0] < e:
+                until += 1
+            over = base[kind][met:until]
             # a base span that hidden characters cut short is completed; no other overlap is added
-            if most and (not met or most == 1 and all(s <= x and y <= e for x, y in met) and (s, e) not in met):
+            if most and (not over or most == 1 and all(s <= x and y <= e for x, y in over) and (s, e) not in over):
                 added.setdefault(kind, []).append((s, e))
     return added
 

@@ -133,15 +133,76 @@ def test_language_id(spark, docs, sf_dir):
 
 
 def test_language_mixture():
-    p = np.full((3, language_id.BUCKETS), 1e-6, np.float32)
+    p = np.full((3, language_id.BUCKETS), 1e-6)
     for i in range(3):
         p[i, i * 10 : i * 10 + 10] = 0.1
     counts = np.zeros((2, language_id.BUCKETS), int)
     counts[0, 0:10], counts[0, 10:20], counts[1, 20:30] = 60, 20, 50
-    pi = language_id.infer(counts, p)
+    pi = [language_id.infer(c, p) for c in counts]
     assert np.allclose(pi[0], [0.75, 0.25, 0], atol=0.01) and np.allclose(pi[1], [0, 0, 1], atol=0.01)
 
 
+def test_five_languages_in_one_text():
+    p = np.full((6, language_id.BUCKETS), 1e-7)
+    for i in range(6):
+        p[i, i * 10 : i * 10 + 10] = 0.1
+    counts = np.zeros(language_id.BUCKETS, int)
+    counts[:50] = 40
+    assert np.allclose(language_id.infer(counts, p), [0.2] * 5 + [0], atol=1e-3)
+
+
+def brute_mixture(text, p):
+    """The mixture of one text by plain EM, trigram by trigram, over sets of each size."""
+    low = re.sub(rb"[\x00-\x60\x7b-\x7f]", b" ", text.lower().encode("utf-8", "replace"))
+    line, count = b" " + low + b" ", {}
+    for i in range(len(low)):
+        gram = line[i : i + 3]
+        if gram[1:2] != b" " and (gram[:1] != b" " or gram[2:] != b" "):
+            slot = (int.from_bytes(gram, "big") * 2654435761 & 0xFFFFFFFF) >> 19
+            count[slot] = count.get(slot, 0) + 1
+    slots, c = np.array(list(count), int), np.array(list(count.values()), float)
+    if not len(c):
+        return None
+
+    def em(pi, rows, rounds):
+        for _ in range(rounds):
+            share = pi[:, None] * p[np.ix_(rows, slots)]
+            pi = (share / share.sum(axis=0) * c).sum(axis=1) / c.sum()
+        return pi
+
+    full = em(np.full(len(p), 1 / len(p)), np.arange(len(p)), 30)
+    order = sorted(range(len(p)), key=lambda i: (-full[i], i))
+    best = None
+    for k in range(1, len(p) + 1):
+        rows = np.array(order[:k])
+        pi = em(full[rows] / full[rows].sum(), rows, 10) if k > 1 else np.ones(1)
+        fit = (c * np.log(pi @ p[np.ix_(rows, slots)])).sum() - 0.5 * (k - 1) * np.log(c.sum())
+        if best is None or fit > best[0]:
+            best = fit, dict(zip(rows.tolist(), pi))
+    return best[1]
+
+
+def test_language_against_brute_force(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, p = language_id.learn(df.filter(~language_id.held_out("doc_id") & F.col("lang").isNotNull()), "doc_id", "text", "lang")
+    rows_ = df.collect()
+    mixed = [" ".join((a.text or "")[:150] for a in rows_[i : i + 9]) for i in range(0, 60, 3)]
+    texts = {r.doc_id: r.text for r in rows_} | {-1 - i: t for i, t in enumerate(mixed)}
+    more = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for parts in (1, 7):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(more.repartition(parts), (langs, p), keep=["doc_id"]).collect()}
+        if parts == 1:
+            first = got
+    assert got == first and len(got) == len(texts)
+    for i, text in texts.items():
+        pi = brute_mixture(text, p) if text and any(map(str.isalpha, text)) else None
+        if pi is None:
+            assert got[i][0] == "und" or not pi
+            continue
+        most = max(pi, key=lambda k: (pi[k], -k))
+        assert got[i][0] == langs[most] and abs(got[i][1] - pi[most]) < 2e-3, (i, got[i], pi)
+
+
 def test_exact_dedup(docs, monkeypatch):
     data = [(r[0], r[1] or "") for r in rows()]
     for capacity in (exact_dedup.CAPACITY, 300):
@@ -223,6 +284,81 @@ def test_pii_short_and_mixed_runs(kind, text, found):
     assert pii.added_spans(text, pii.base_spans(text)) == {kind: [(at, at + len(found))]}
 
 
+@pytest.mark.parametrize("kind,text,found", [
+    ("phone", "x +1 five five five 010 0199", "+1 five five five 010 0199"), ("email", "by john_at_example_dot_com, ok", "john_at_example_dot_com"),
+    ("email", "by john at example.com now", "john at example.com"), ("card", "no four one one one 1111 1111 1111.", "four one one one 1111 1111 1111"),
+    ("email", "x\tat\ty\tdot\tcom", "x\tat\ty\tdot\tcom"), ("email", "JO (AT) Ex.com (Dot) uk", "JO (AT) Ex.com (Dot) uk"),
+])
+def test_pii_more_disguises(kind, text, found):
+    at = text.index(found)
+    assert pii.added_spans(text, pii.base_spans(text)) == {kind: [(at, at + len(found))]}
+
+
+@pytest.mark.parametrize("unit", [" ", "( ", "at ", "(at) (dot) ", "x dot ", "john_at_", "x@", "+1 ", "one ", "a at b.c ", "a@b.c ", "\t(", "(dot", "1 one dot "])
+def test_pii_time_is_linear(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit)) + "x (at) y.z"
+    began = time.process_time()
+    pii.added_spans(text, pii.base_spans(text))
+    assert time.process_time() - began < 8  # seconds; half of it is usual at most, a square would be minutes
+
+
+def naive_added(text):
+    """Rewriting by plain patterns, one place after another, each output character with its source span."""
+    low = text.lower()
+    blank, op, cl = "[ \t]*", "[(\\[{<]", "[)\\]}>]"
+    dot = f"(?:{blank}{op}{blank}(?:dot|[.]){blank}{cl}{blank}|_dot_|[ \t]+dot[ \t]+)"
+    rules = [
+        ("@", f"{blank}{op}{blank}(?:at|@){blank}{cl}{blank}"), (".", f"{blank}{op}{blank}(?:dot|[.]){blank}{cl}{blank}"),
+        ("@", f"(?<=[a-z0-9._%+-])(?:_at_|[ \t]+at[ \t]+)(?=[a-z0-9-]+(?:[.][a-z][a-z]|{dot}[a-z]))"), (".", "(?<=[a-z0-9])(?:_dot_|[ \t]+dot[ \t]+)(?=[a-z0-9])"),
+    ]
+    out, i = [], 0
+    while i < len(text):
+        for new, rule in rules:
+            m = re.compile(rule).match(low, i)
+            if m:
+                out.append((new, i, m.end(), True))
+                i = m.end()
+                break
+        else:
+            out.append((text[i], i, i + 1, False))
+            i += 1
+    found = {}
+    base = plain_spans(text)
+    for kind, spans in plain_spans("".join(o[0] for o in out)).items():
+        for a, b in spans:
+            s, e = out[a][1], out[b - 1][2]
+            if any(o[3] for o in out[a:b]) and not any(x < e and s < y for x, y in base[kind]):
+                found.setdefault(kind, []).append((s, e))
+    return found
+
+
+def test_pii_added_spans_against_plain_patterns():
+    rng = np.random.default_rng(6)
+    parts = [" ", " ", "\t", "at", "dot", "(", ")", "[", "]", "_", "jo", "ex", "com", "@", ".", "_at_", "_dot_", " at ", " dot ", "(at)", " (dot) ", "x.y", "that", "-"]
+    some = 0
+    for _ in range(8000):
+        text = "".join(rng.choice(parts, rng.integers(3, 16)))
+        got = pii.added_spans(text, pii.base_spans(text))
+        assert got == naive_added(text), text
+        some += bool(got)
+    assert some > 200
+
+
+def test_pii_query_columns(spark):
+    texts = ["a@b.cd, 10.0.0.1 and +1 555 010 9999", "no (at) ex (dot) org 4111 1111 1111 1111", None, "", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        text = texts[r.doc_id] or ""
+        base = plain_spans(text)
+        listed = lambda d: ",".join(f"{k}:{a}:{b}" for k in BASE for a, b in sorted(d.get(k, [])))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(base[k]) for k in BASE]
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        more = naive_added(text)
+        assert r.spans == listed({k: base[k] + more.get(k, []) for k in BASE}) and r.n_added == sum(map(len, more.values()))
+
+
 def test_pii_leaves_plain_text():
     for text in ("meet me at noon at the one two three place", "that dot is one dot", "the [at] sign", "he was born in Москва"):
         assert pii.added_spans(text, pii.base_spans(text)) == {}
