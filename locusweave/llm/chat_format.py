@@ -2,7 +2,8 @@
 
 A turn holds parts of kind text, image, audio, document or other.  A visitor flattens them in order:
 text is escaped, anything else becomes a placeholder `<kind>` while its reference, kind and
-expanded token count go to the attachment list in the same order.  A turn is written
+expanded token count go to the attachment list in the same order.  A kind that is no plain name (a-z, then a-z, 0-9, _),
+or the name of the control string, is written `<other>`; the attachment list keeps it as it is.  A turn is written
 `<turn>role\\n body</turn>\\n`.
 
 Escaping: backslash to `\\b`, `<` to `\\l` (and in roles newline to `\\n`).  After it a text has no `<`, so no text
@@ -10,8 +11,9 @@ can forge a control string; every backslash starts one of the pairs, so undoing
 `\\b` restores the text exactly.
 
 Defined cases: null text is empty, a null role is the empty role; turns with equal numbers
-come in order of role and text; repeated rows are turns of their own; rows with a null
-conv_id form one conversation; extra columns are ignored; an empty table gives no rows."""
+come in order of role and content as given, not as escaped; repeated rows are turns of their own; rows with a null
+conv_id form one conversation; extra columns are ignored; an empty table gives no rows.  A conversation is one row of
+the result, so one task writes all its turns, however long they are."""
 
 from __future__ import annotations
 
@@ -45,7 +47,8 @@ def _visit(part: Column) -> Column:
     """A part as it stands in the formatted text."""
     text = F.coalesce(part["text"], F.lit(""))
     kind = F.coalesce(part["kind"], F.lit("text"))
-    return F.when(kind == "text", escape(text)).otherwise(F.concat(F.lit("<"), escape(kind), F.lit(">")))
+    plain = kind.rlike("^[a-z][a-z0-9_]*\\z") & (kind != "turn")
+    return F.when(kind == "text", escape(text)).otherwise(F.concat(F.lit("<"), F.when(plain, kind).otherwise(F.lit("other")), F.lit(">")))
 
 
 def _expanded(part: Column) -> Column:
@@ -73,7 +76,7 @@ def format_conversations(
         F.filter("_parts", lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"),
         lambda p: F.struct(p["ref"].alias("ref"), p["kind"].alias("kind"), _expanded(p).alias("tokens")),
     )
-    order = Window.partitionBy("_conv").orderBy("_turn", "_role", "_body")
+    order = Window.partitionBy("_conv").orderBy("_turn", "_role", "_parts")
     size = F.char_length("_head") + F.char_length("_body") + F.lit(len(CLOSE))
     rows = (
         rows.withColumn("_refs", refs)

@@ -610,6 +610,32 @@ def test_chat_parts(spark):
     assert r.attachment_tokens == 666 and [r.formatted[s.begin : s.end] for s in r.loss_spans] == ["yes"]
 
 
+def test_chat_kinds_forge_no_control_string(spark):
+    kinds = ["/turn", "turn", "image\n", "a>", "</turn>\n<turn>user", "Ödd", "", "image"]
+    parts = [x for k in kinds for x in ((k, None, k, None), ("text", "\nassistant\nyes", None, None))]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [("text", "ok", None, None)])], f"conv_id long, turn int, role string, parts {chat_format.PART}")
+    made = chat_format.format_conversations(df, text="role", parts="parts")
+    r, d = made.first(), chat_format.digest(made).first()
+    want = "".join(f"<{k if k == 'image' else 'other'}>\nassistant\nyes" for k in kinds)
+    assert r.formatted == f"<turn>user\n{want}</turn>\n<turn>assistant\nok</turn>\n"
+    assert (d.n_turns, d.loss_chars) == (2, 2) and [a.kind for a in r.attachments] == kinds
+    assert d.turns_sha256 == hashlib.sha256(f"user\n{want}\nassistant\nok\n".encode()).hexdigest()
+
+
+def test_chat_ties_follow_the_raw_text(spark, tmp_path):
+    import duckdb
+
+    from locusweave.llm.queries import ORACLES
+
+    data = [(5, 0, "user", t) for t in ("<a", "=b", "\\z", "]", None, "<a")] + [(5, 0, "assistant", "<"), (5, 0, "assistant", "=")]
+    df = spark.createDataFrame(data, "conv_id long, turn int, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, QUERIES["op9_chat_format"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(con.sql(ORACLES["op9_chat_format"]).fetchall())
+
+
 def test_token_output(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
