@@ -87,6 +87,18 @@ ORACLES: dict[str, str] = {
       SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op3_exact_dedup": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
       SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON g.t = d.t""",
+    "op6_decontaminate": r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+      b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+      items AS (SELECT item_id, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS m FROM b WHERE len(w) > 0),
+      grams AS (SELECT item_id, k, m, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS c FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM items) GROUP BY ALL),
+      texts AS (SELECT doc_id, k, len(w) - k + 1 AS size, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS gram
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM items) WHERE len(w) >= k)),
+      hits AS (SELECT doc_id, item_id, pos, gram, c, m, least(m, size) AS span, size FROM texts JOIN grams USING (k, gram)),
+      starts AS (SELECT DISTINCT doc_id, item_id, least(pos, size - span) AS s, span, m FROM hits),
+      held AS (SELECT doc_id, item_id, s, starts.m, starts.span, gram, least(count(*), any_value(c)) AS n
+        FROM starts JOIN hits USING (doc_id, item_id) WHERE pos BETWEEN s AND s + starts.span - 1 GROUP BY doc_id, item_id, s, starts.m, starts.span, gram),
+      win AS (SELECT doc_id, item_id, s, sum(held.n) / (m + span - sum(held.n)) AS similarity FROM held GROUP BY doc_id, item_id, s, m, span)
+      SELECT doc_id, item_id, count(*) AS n_windows, min(s) AS first_word, max(similarity) AS similarity FROM win WHERE similarity >= 0.8 GROUP BY doc_id, item_id""",
     "op9_chat_format": rf"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
       SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
