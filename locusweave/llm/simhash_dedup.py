@@ -123,17 +123,29 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into a, into b) within radius bits, by carry-save bit-sliced counters."""
     planes = _planes(b)
-    width = max(2, (radius + 1).bit_length())
-    top = 1 << width
+    width = max(3, (radius + 1).bit_length())
     tail = (_ALL >> np.uint64(-len(b) % 64)) if len(b) % 64 else _ALL
     asked = np.unpackbits(a.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
 
+    def save(x, y, z):
+        """Three words of equal weight as (carry, sum)."""
+        half = x ^ y
+        return (x & y) | (half & z), half ^ z
+
     def add(count, over, x):
-        for level in range(width):
-            carry = count[level] & x
-            count[level] ^= x
-            x = carry
-        over |= x
+        """Eight planes into the counters: a tree of carry-save adders up to the eights, which then ripple on."""
+        ones, twos, fours = count[:3]
+        pair, ones = save(ones, x[0], x[1])
+        pair_, ones = save(ones, x[2], x[3])
+        four, twos = save(twos, pair, pair_)
+        pair, ones = save(ones, x[4], x[5])
+        pair_, ones = save(ones, x[6], x[7])
+        four_, twos = save(twos, pair, pair_)
+        carry, fours = save(fours, four, four_)
+        count[:3] = ones, twos, fours
+        for level in range(3, width):
+            carry, count[level] = carry & count[level], carry ^ count[level]
+        over |= carry
 
     def exceeds(count, over):
         """Lanes whose counter is more than radius, compared bit by bit from the top."""
@@ -154,11 +166,10 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.
         over = np.zeros(shape, np.uint64)
         rows = cols = None
         for b0 in range(0, 64, 8):
-            for bit in range(b0, b0 + 8):
-                x = planes[bit][None, :] ^ flip[:, bit][:, None] if rows is None else planes[bit][cols] ^ flip[rows, bit]
-                add(count, over, x)
-            if b0 < 8 and radius < top - 1 and radius >= 8:
-                continue
+            x = [planes[bit][None, :] ^ flip[:, bit][:, None] if rows is None else planes[bit][cols] ^ flip[rows, bit] for bit in range(b0, b0 + 8)]
+            add(count, over, x)
+            if b0 < 8 and radius >= 8:
+                continue  # no lane can exceed it yet
             gone = exceeds(count, over)
             if rows is None:
                 alive = gone != _ALL

@@ -65,8 +65,13 @@ def test_empty_corpus(spark, docs, sf_dir):
         none_out = stage(spark, none, sf_dir)
         assert none_out.count() == 0, name
 
-def test_near_duplicate_stage_against_brute_force(spark):
-    """Pairs around 0.8, among them repeated lines, short texts and a group that is linked in a chain."""
+@pytest.mark.parametrize("tile", [4096, 5])
+def test_near_duplicate_stage_against_brute_force(spark, monkeypatch, tile):
+    """Pairs around 0.8, among them repeated lines, short texts, a group that is linked in a chain and a large one, which
+    takes several rounds of leaders and a comparison across tiles where tiles are small."""
+    from locusweave.llm import set_dedup
+
+    monkeypatch.setattr(set_dedup, "TILE", tile)
     rng = np.random.default_rng(8)
     vocab = [f"w{i}" for i in range(3000)]
     texts = [None, "", " two words ", "Two  words"]
@@ -78,6 +83,9 @@ def test_near_duplicate_stage_against_brute_force(spark):
             some = [str(rng.choice(vocab)) if rng.random() < share else w for w in words]
             texts.append(" ".join(some))
             words = some if i % 3 == 0 else words
+    large = list(rng.choice(vocab, 120))
+    for _ in range(150):
+        texts.append(" ".join(str(rng.choice(vocab)) if rng.random() < 0.02 else w for w in large))
     texts += [" ".join(vocab[:8]), " ".join(vocab[:9]), " ".join(vocab[:200]), " ".join(vocab[:200] + vocab[:100])]
 
     def shingles(text):
@@ -102,6 +110,27 @@ def test_near_duplicate_stage_against_brute_force(spark):
     assert got == [i for i in range(len(texts)) if find(i) == i] and 70 < len(got) < 300
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_labels_against_all_pairs(similarity):
+    from locusweave.llm.set_dedup import similar_labels
+    from locusweave.llm.simhash_dedup import _majority
+
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 63, 60, dtype=np.uint64) for _ in range(8)]
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.0, 0.05, 0.1, 0.3]), rng.integers(0, 1 << 63, 60, dtype=np.uint64), base[i % 8])) for i in range(300)]
+    fps = np.array([_majority(s) for s in sets], np.uint64)
+    got = similar_labels(sets, fps, np.arange(300), np.arange(300), similarity, radius=64)
+    want = np.arange(300)
+    for i in range(300):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+    assert (got == want).all() and 8 < len(set(got.tolist())) < 300
+    if similarity >= 0.8:  # at the radius of the stage
+        assert (similar_labels(sets, fps, np.arange(300), np.arange(300), similarity) == want).all()
+
+
 def test_near_duplicate_stage_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (1, b), (2, b), (1, a), (3, c), (None, c + " more"), (None, "alone without an id")]
