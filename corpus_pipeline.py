@@ -32,11 +32,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows count as repeated if id and text are equal."""
     named = set_dedup.similar_groups(docs.select("doc_id", "text"), width=5, similarity=NEAR_SIMILARITY)
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
-    stay = named.filter(first).select(F.col("doc_id").alias("_stay"), "text_hash").distinct()
-    own = fresh(docs, "_own")
-    hashed = docs.withColumn(own, F.xxhash64("text"))
-    kept = hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["_stay"]) & (hashed[own] == stay["text_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", own]).drop(own)
+    key, own = fresh(docs, "_key"), fresh(docs, "_own")
+    named_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    stay = named.filter(first).select(named_id.alias(key), F.col("text_hash").alias(own)).distinct()
+    hashed = docs.withColumns({key: named_id, own: F.xxhash64("text")})
+    return hashed.join(stay, [key, own], "left_semi").dropDuplicates([key, own]).drop(key, own)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
