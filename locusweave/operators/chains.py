@@ -6,6 +6,8 @@ double columns of that pair."""
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from locusweave.operators.anchors import PAIR
 from locusweave.operators.graph import cut
+from locusweave.operators.numbering import running_total
 
 BLOCK = (
     "query_genome string, target_genome string, query_contig string, target_contig string, rank int, "
@@ -38,48 +41,86 @@ def prepared(anchors: DataFrame, min_size: int = 2, pair: list[str] = PAIR) -> D
     return out.drop("_n", "_r", "_strand")
 
 
+def _steps(q: np.ndarray, t: np.ndarray, max_gap: int, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, cost) of all pairs that may follow each other in a chain, by later, then the nearest earlier first.
+
+    q rises, so a predecessor stands at most max_gap + 1 places before; each distance is one array operation."""
+    later, earlier, cost = [], [], []
+    for d in range(1, min(max_gap + 1, len(q) - 1) + 1):
+        gap_q, gap_t = q[d:] - q[:-d] - 1, t[d:] - t[:-d] - 1
+        at = np.flatnonzero((gap_q <= max_gap) & (gap_t >= 0) & (gap_t <= max_gap))
+        later.append(at + d)
+        earlier.append(at)
+        cost.append(scale * np.log2(np.maximum(gap_q[at], gap_t[at]) + 1) if scale > 0 else np.zeros(len(at)))
+    if not later:
+        return (np.empty(0, int),) * 2 + (np.empty(0),)
+    later, earlier, cost = map(np.concatenate, (later, earlier, cost))
+    order = np.lexsort((-earlier, later))
+    return later[order], earlier[order], cost[order]
+
+
+def _longest(q: np.ndarray, t: np.ndarray, sim: np.ndarray, max_gap: int | None, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, score, predecessor or -1) of the best chain that ends in each anchor: the longest, of equal lengths the one with the
+    larger score, of equal scores the nearest predecessor."""
+    n = len(q)
+    length, score, before = np.ones(n, int), sim.astype(float), np.full(n, -1)
+    if max_gap is None:  # every earlier anchor may precede
+        for i in range(1, n):
+            gap_t = t[i] - t[:i] - 1
+            fits = np.flatnonzero(gap_t >= 0)
+            if len(fits):
+                fits = fits[length[fits] == length[fits].max()]
+                cost = scale * np.log2(np.maximum(q[i] - q[fits] - 1, gap_t[fits]) + 1) if scale > 0 else 0.0
+                reach = score[fits] + sim[i] - cost
+                best = fits[np.flatnonzero(reach == reach.max())[-1]]
+                length[i], score[i], before[i] = length[best] + 1, reach.max(), best
+        return length, score, before
+    later, earlier, cost = _steps(q, t, max_gap, scale)
+    edge = np.searchsorted(later, np.arange(n + 1)).tolist()
+    for i in np.unique(later).tolist():
+        some = earlier[edge[i] : edge[i + 1]]
+        reach = score[some] + sim[i] - cost[edge[i] : edge[i + 1]]
+        best = np.lexsort((-some, -reach, -length[some]))[0]
+        length[i], score[i], before[i] = length[some[best]] + 1, reach[best], some[best]
+    return length, score, before
+
+
 def chain_program(q: np.ndarray, t: np.ndarray, sim: np.ndarray, rev: bool, max_gap: int | None, min_size: int, scale: float) -> list[list[int]]:
     """Chains (lists of indices) of anchors sorted by q, which has no repeats.
 
-    best[i] is the longest chain that ends in i, of equal lengths the one with the larger score, of equal
-    scores the nearest predecessor.  Chains are read off longest first; a chain
-    that is cut short by taken anchors takes its own even if it is too small to keep."""
+    Chains are read off longest first (then by score, then by place); a chain that is cut short by taken anchors takes its own
+    even if it is too small to keep."""
     n = len(q)
-    length, score, before = [1] * n, sim.tolist(), [-1] * n
-    own = sim.tolist()
-    qs, ts = q.tolist(), (-t if rev else t).tolist()
-    for i in range(n):
-        qi, ti = qs[i], ts[i]
-        for j in range(i - 1, -1, -1):
-            gap_q = qi - qs[j] - 1
-            if max_gap is not None and gap_q > max_gap:
-                break
-            gap_t = ti - ts[j] - 1
-            if gap_t < 0 or max_gap is not None and gap_t > max_gap:
-                continue
-            cost = scale * np.log2(max(gap_q, gap_t) + 1) if scale > 0 else 0.0
-            reach = score[j] + own[i] - cost
-            if length[j] + 1 > length[i] or length[j] + 1 == length[i] and reach > score[i]:
-                length[i], score[i], before[i] = length[j] + 1, reach, j
-    taken, chains = [False] * n, []
-    for end in sorted(range(n), key=lambda i: (-length[i], -score[i])):
+    length, score, before = _longest(q, -t if rev else t, sim, max_gap, scale)
+    taken, chains, back = [False] * n, [], before.tolist()
+    for end in np.lexsort((np.arange(n), -score, -length)).tolist():
         at, chain = end, []
         while at >= 0 and not taken[at]:
             taken[at] = True
             chain.append(at)
-            at = before[at]
+            at = back[at]
         if len(chain) >= min_size:
             chains.append(chain[::-1])
     return chains
 
 
+def _free(held: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether an interval meets none of held, which are disjoint and sorted."""
+    at = bisect_right(held, (start, end))
+    return (at == 0 or held[at - 1][1] < start) and (at == len(held) or held[at][0] > end)
+
+
 def select_chains(chains: list[tuple[float, int, int, int, int]]) -> list[int]:
     """Indices accepted greedily by score: a chain whose query or target interval meets an accepted one goes."""
     kept: list[int] = []
+    queries: list[tuple[int, int]] = []
+    targets: list[tuple[int, int]] = []
     for i in sorted(range(len(chains)), key=lambda i: -chains[i][0]):
         _, a, b, c, d = chains[i]
-        if all((a > f or b < e) and (c > h or d < g) for _, e, f, g, h in (chains[k] for k in kept)):
+        if _free(queries, a, b) and _free(targets, c, d):
             kept.append(i)
+            insort(queries, (a, b))
+            insort(targets, (c, d))
     return kept
 
 
@@ -115,29 +156,28 @@ def blocks(anchors: DataFrame, max_gap: int | None = 2, min_size: int = 2, gap_p
 
 
 def number_blocks(found: DataFrame, first_id: int = 0) -> DataFrame:
-    """Sequential block_id without one global sort of the blocks: contig pairs are numbered by a
-    running sum of their counts, blocks within by rank."""
+    """Sequential block_id: contig pairs are numbered by a running sum of their counts, blocks within by rank."""
     counts = found.groupBy(*PAIR).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*PAIR).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    starts = running_total(counts, PAIR, "_n", "_before").drop("_n")
     return found.join(starts, PAIR).withColumn("block_id", F.col("_before") + F.col("rank") + F.lit(first_id)).drop("_before", "rank")
 
 
 def gt_chain_program(q: np.ndarray, t: np.ndarray, max_gap: int, min_size: int) -> list[list[int]]:
     """Ground-truth variant: longest runs only, both directions, read off from the end without
-    stopping at anchors that an earlier chain holds."""
+    stopping at anchors that an earlier chain holds.  Query places may repeat."""
     out = []
     for sign in (1, -1):
         order = np.lexsort((sign * t, q))
         qs, ts = q[order], sign * t[order]
         n = len(qs)
         length, before = np.ones(n, int), np.full(n, -1)
+        low, high = np.searchsorted(qs, qs - max_gap - 1, "left"), np.searchsorted(qs, qs, "left")
         for i in range(n):
-            for j in range(i - 1, -1, -1):
-                if qs[i] - qs[j] - 1 > max_gap:
-                    break
-                if qs[i] > qs[j] and 0 <= ts[i] - ts[j] - 1 <= max_gap and length[j] + 1 > length[i]:
-                    length[i], before[i] = length[j] + 1, j
+            gap = ts[i] - ts[low[i] : high[i]] - 1
+            fits = low[i] + np.flatnonzero((gap >= 0) & (gap <= max_gap))
+            if len(fits):
+                best = fits[np.flatnonzero(length[fits] == length[fits].max())[-1]]
+                length[i], before[i] = length[best] + 1, best
         used: set[int] = set()
         for end in sorted(range(n), key=lambda i: -length[i]):
             if end in used or length[end] < min_size:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.operators import graph
 from locusweave.operators.intervals import block_sides, jaccard_edges
+from locusweave.operators.numbering import numbered_rows
 
 
 def cluster_blocks(blocks: DataFrame, tau: float = 0.3, mutual_k: int = 5, support: int = 2, width: int = 16) -> DataFrame:
@@ -17,7 +19,7 @@ def cluster_blocks(blocks: DataFrame, tau: float = 0.3, mutual_k: int = 5, suppo
     roots = graph.components_of(blocks.select(F.col("block_id").alias("node")), graph.mutual_top_k(edges, mutual_k))
     named = roots.select(F.col("node").alias("block_id"), "root")
     wide = sides.join(named, "block_id").groupBy("root").agg(F.countDistinct("genome").alias("genomes")).filter(F.col("genomes") >= support)
-    ids = wide.withColumn("cluster_id", F.row_number().over(Window.orderBy("root"))).select("root", "cluster_id")
+    ids = numbered_rows(wide.select("root"), ["root"], "cluster_id", 1).withColumn("cluster_id", F.col("cluster_id").cast("int"))
     return named.join(ids, "root", "left").select("block_id", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
 
 
@@ -42,11 +44,6 @@ def run_summary(blocks: DataFrame, clusters: DataFrame, genes: DataFrame) -> Dat
     return genes.agg(F.count("*").alias("num_genes")).crossJoin(anchors).crossJoin(big)  # three single rows
 
 
-def footprints(members: DataFrame) -> DataFrame:
-    """members(cluster, key..., pos) without repeats, of clusters with at least two blocks."""
-    return members.distinct()
-
-
 def containment_candidates(foot: DataFrame, genome: str = "genome", place: tuple[str, ...] = ("genome", "contig", "pos"), threshold: float = 0.8, reciprocal: float = 0.5) -> DataFrame:
     """(small, large, overlap, small_shared, large_shared) of cluster pairs that share places.
 
@@ -69,61 +66,64 @@ def containment_candidates(foot: DataFrame, genome: str = "genome", place: tuple
     return out.filter((F.col("overlap") / F.col("small_shared") >= threshold) & (F.col("overlap") / F.col("large_shared") >= reciprocal))
 
 
-def resolve_merges(candidates: list[tuple[int, int, int]], sizes: dict[int, int]) -> dict[int, int]:
-    """{cluster: cluster it ends in} for candidates (small, large, large_shared) in order.
-
-    Each small keeps the large with the greatest large_shared (first of equals); merges are then
-    applied one by one between current roots, the original sizes deciding who joins whom."""
-    best: dict[int, tuple[int, int]] = {}
-    for small, large, shared in candidates:
-        if small not in best or shared > best[small][1]:
-            best[small] = (large, shared)
-    parent: dict[int, int] = {}
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(child, parent) of one component of the chosen containments(small, large, small_size, large_size), applied one by one
+    in their order between the clusters that the two have become; the original sizes decide which of those stays."""
+    became: dict[int, int] = {}
+    size: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while x in parent:
-            x = parent[x]
-        return x
+    def now(c: int) -> int:
+        while c in became:
+            c = became[c]
+        return c
 
-    for small, (large, _) in best.items():
-        a, b = root(small), root(large)
+    for r in pdf.sort_values("place").itertuples():
+        size[r.small], size[r.large] = r.small_size, r.large_size
+    for r in pdf.sort_values("place").itertuples():
+        a, b = now(r.small), now(r.large)
         if a != b:
-            child, kept = (a, b) if sizes.get(a, 0) <= sizes.get(b, 0) else (b, a)
-            parent[child] = kept
-    return {c: root(c) for c in parent}
-
-
-def merge_contained(blocks: DataFrame, threshold: float = 0.8, reciprocal: float = 0.5) -> tuple[DataFrame, dict[int, int]]:
-    """blocks with contained clusters merged, and the merge map.  Only the candidate pairs of
-    clusters come to the driver; the sequential resolution runs there."""
-    spark = blocks.sparkSession
+            gone, kept = (a, b) if size[a] <= size[b] else (b, a)
+            became[gone] = kept
+    return pd.DataFrame({"child": list(became), "parent": [now(c) for c in became]}, columns=["child", "parent"])
+
+
+def resolve_merges(candidates: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(child, parent) from candidates(small, large, large_shared) and sizes(cluster, n).
+
+    Each small goes with the large of greatest large_shared; the chosen pairs are taken in the order of (lesser id, greater id,
+    small) of each small's first candidate.  Pairs of different components never touch, so each component is one task."""
+    pair = F.struct(F.least("small", "large").alias("lo"), F.greatest("small", "large").alias("hi"), "small", "large")
+    ranked = candidates.withColumn("place", pair)
+    best = Window.partitionBy("small").orderBy(F.col("large_shared").desc(), "place")
+    chosen = ranked.withColumn("first", F.min("place").over(Window.partitionBy("small"))).withColumn("r", F.row_number().over(best)).filter("r = 1")
+    chosen = graph.cut(chosen.select("small", "large", F.col("first.lo"), F.col("first.hi"), F.col("first.large").alias("at")))
+    roots = graph.connected_components(chosen.select(F.col("small").alias("u"), F.col("large").alias("v")))
+    named = chosen.join(roots.withColumnRenamed("node", "small"), "small")
+    for side in ("small", "large"):
+        named = named.join(sizes.select(F.col("cluster").alias(side), F.col("n").alias(f"{side}_size")), side)
+    named = named.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("lo", "hi", "small", "at")))
+    return named.select("root", "small", "large", "small_size", "large_size", "place").groupBy("root").applyInPandas(_merged, "child int, parent int")
+
+
+def merge_contained(blocks: DataFrame, threshold: float = 0.8, reciprocal: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """blocks with contained clusters merged, and the merge map (child, parent)."""
     many = blocks.filter("cluster_id > 0").groupBy("cluster_id").count().filter("count >= 2").select("cluster_id")
     sides = block_sides(blocks).join(blocks.join(many, "cluster_id", "left_semi").select("block_id", F.col("cluster_id").alias("cluster")), "block_id")
-    foot = sides.select("cluster", "genome", "contig", F.explode(F.sequence("start", "end")).alias("pos")).distinct()
+    foot = graph.cut(sides.select("cluster", "genome", "contig", F.explode(F.sequence("start", "end")).alias("pos")).distinct())
     found = containment_candidates(foot, threshold=threshold, reciprocal=reciprocal)
-    rows = sorted((min(r[0], r[1]), max(r[0], r[1]), r[0], r[1], r[4]) for r in found.collect())
-    named = {r[2] for r in rows} | {r[3] for r in rows}
-    sizes = {r[0]: r[1] for r in foot.groupBy("cluster").count().filter(F.col("cluster").isin(sorted(named))).collect()} if named else {}
-    merged = resolve_merges([r[2:] for r in rows], sizes)
-    if not merged:
-        return blocks, {}
-    table = spark.createDataFrame(sorted(merged.items()), "cluster_id int, _into int")
-    out = blocks.join(table, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_into", "cluster_id")).drop("_into")
-    return out, merged
-
-
-def merge_hierarchy(merge_map: DataFrame) -> DataFrame:
-    """merge_map(child, parent) -> child, parent, root, depth, by a recursive query."""
-    merge_map.createOrReplaceTempView("_merge_map")
-    return merge_map.sparkSession.sql("""
-        WITH RECURSIVE up(child, parent, root, depth) AS (
-            SELECT child, parent, parent, 1 FROM _merge_map
-            UNION ALL
-            SELECT up.child, up.parent, m.parent, up.depth + 1 FROM up JOIN _merge_map m ON up.root = m.child
-        )
-        SELECT child, max_by(parent, depth) AS parent, max_by(root, depth) AS root, max(depth) AS depth FROM up GROUP BY child
-    """)
-
-
-
-
+    merged = graph.cut(resolve_merges(found.select("small", "large", "large_shared"), foot.groupBy("cluster").agg(F.count("*").alias("n"))))
+    table = merged.select(F.col("child").alias("cluster_id"), F.col("parent").alias("_into"))
+    return blocks.join(table, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_into", "cluster_id")).drop("_into"), merged
+
+
+def merge_hierarchy(merge_map: DataFrame, rounds: int = 24) -> DataFrame:
+    """merge_map(child, parent) -> child, parent, root, depth, by pointer doubling: each round doubles the steps that a row has taken.
+    A map with a cycle is an error."""
+    now = graph.cut(merge_map.select("child", "parent", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("depth")))
+    for _ in range(rounds):
+        on = now.select(F.col("child").alias("root"), F.col("root").alias("_on"), F.col("depth").alias("_more"))
+        step = now.join(on, "root", "left")
+        if step.filter("_on IS NOT NULL").isEmpty():
+            return now
+        now = graph.cut(step.select("child", "parent", F.coalesce("_on", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+    raise ValueError("the merge map has a cycle")

@@ -41,7 +41,7 @@ def run_chain_pipeline(gene_table: DataFrame, output: str, config: ChainConfig =
     merged, merge_map = clusters.merge_contained(blocks.join(premerge, "block_id"), config.merge_threshold, config.merge_reciprocal)
     clustered = stage("clustered_blocks", lambda: genes.block_bp_ranges(merged, placed))
     summary = stage("clusters", lambda: clusters.cluster_summary(clustered))
-    spark.createDataFrame(sorted(merge_map.items()), "child_cluster int, merged_into int").write.mode("overwrite").parquet(f"{output}/merge_map")
+    merge_map.select(F.col("child").alias("child_cluster"), F.col("parent").alias("merged_into")).write.mode("overwrite").parquet(f"{output}/merge_map")
     store.write_csv(clustered.filter("cluster_id > 0"), f"{output}/blocks_csv")
     store.write_csv(summary, f"{output}/clusters_csv")
     store.write_tables(architecture.run(clustered, placed, config.min_cluster_size, config.max_slots), f"{output}/architecture")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from locusweave.operators import chains
 
@@ -12,27 +13,35 @@ def program(pairs, max_gap=2, min_size=2, scale=0.0, rev=False, sims=None):
     return chains.chain_program(q, t, np.array(sims or [0.95] * len(pairs)), rev, max_gap, min_size, scale)
 
 
-def test_empty_and_single():
-    assert program([]) == [] and program([(0, 0)]) == []
-
-
-def test_forward_and_inverted():
-    assert max(map(len, program([(i, i) for i in range(5)]))) == 5
-    assert max(map(len, program([(i, 3 - i) for i in range(4)], rev=True))) == 4
-
-
-@pytest.mark.parametrize("pairs,n", [([(0, 0), (4, 4)], 0), ([(0, 0), (3, 3)], 1)])
-def test_gap(pairs, n):
-    assert len(program(pairs)) == n
-
-
-def test_no_gap_limit():
-    assert len(program([(0, 0), (400, 400)], max_gap=None)) == 1
-
-
-def test_penalty_keeps_chains():
-    for scale in (0, 1):
-        assert program([(0, 0), (1, 1), (2, 2)], 6, 2, scale) and program([(0, 0), (3, 3), (6, 6)], 6, 2, scale)
+def definition(q, t, sim, rev, max_gap, scale):
+    """Length and score of the best chain that ends in each anchor, by the definition."""
+    best = []
+    for i in range(len(q)):
+        options = [(1, sim[i])]
+        for j in range(i):
+            gq, gt = q[i] - q[j] - 1, (t[j] - t[i] if rev else t[i] - t[j]) - 1
+            if gt >= 0 and (max_gap is None or max(gq, gt) <= max_gap):
+                options.append((best[j][0] + 1, best[j][1] + sim[i] - scale * np.log2(max(gq, gt) + 1)))
+        best.append(max(options))
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.data(), st.integers(0, 16), st.booleans(), st.sampled_from([None, 0, 1, 2, 5]), st.sampled_from([0.0, 0.3]))
+def test_program_follows_the_definition(data, n, rev, max_gap, scale):
+    q = np.cumsum(data.draw(st.lists(st.integers(1, 3), min_size=n, max_size=n))).astype(int)
+    t = np.array(data.draw(st.lists(st.integers(0, 15), min_size=n, max_size=n)), int)
+    sim = np.array(data.draw(st.lists(st.sampled_from([0.5, 0.75, 1.0]), min_size=n, max_size=n)), float)
+    length, score, before = chains._longest(q, -t if rev else t, sim, max_gap, scale)
+    want = definition(q, t, sim, rev, max_gap, scale)
+    assert length.tolist() == [w[0] for w in want] and np.allclose(score, [w[1] for w in want])
+    found = chains.chain_program(q, t, sim, rev, max_gap, 1, scale)
+    assert sorted(i for c in found for i in c) == list(range(n))
+    for c in found:
+        assert all(before[b] == a for a, b in zip(c, c[1:]))
+        step = np.diff(-t[c] if rev else t[c])
+        assert (step > 0).all() and (max_gap is None or (step <= max_gap + 1).all() and (np.diff(q[c]) <= max_gap + 1).all())
+    assert [len(c) >= 3 for c in chains.chain_program(q, t, sim, rev, max_gap, 3, scale)] == [True] * sum(len(c) >= 3 for c in found)
 
 
 def test_discarded_chain_takes_its_anchors():
@@ -67,15 +76,33 @@ def anchors(spark, rows):
     return spark.createDataFrame([(q, t, "g1", "g2", "c1", "c2", f"a{q}", f"b{t}", s, o) for q, t, s, o in rows], names)
 
 
-def test_overlap_prefers_score(spark):
-    rows = [(0, 0, 0.99, 1), (1, 1, 0.99, 1), (2, 2, 0.99, 1), (1, 2, 0.8, -1), (2, 1, 0.8, -1)]
-    got = chains.blocks(anchors(spark, rows)).collect()
-    assert [(r.n_anchors, r.orientation) for r in got] == [(3, 1)]
-
-
-def test_disjoint_blocks_and_ids(spark):
-    got = chains.blocks(anchors(spark, [(0, 0, 0.9, 1), (1, 1, 0.9, 1), (5, 5, 0.9, 1), (6, 6, 0.9, 1)]), first_id=100).orderBy("block_id").collect()
-    assert [r.block_id for r in got] == [100, 101] and [r.query_start for r in got] == [0, 5]
+@pytest.mark.parametrize("seed", range(4))
+def test_accepted_blocks_of_a_pair_are_disjoint(spark, seed):
+    """Random anchors with planted runs: accepted blocks never meet on either side, come by score, and count from first_id;
+    every rejected one meets an accepted one with at least its score."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(a), int(b), 0.8, int(rng.choice([1, -1]))) for a, b in rng.integers(0, 60, (80, 2))]
+    for _ in range(6):
+        q, t, turn = *rng.integers(0, 50, 2), rng.choice([1, -1])
+        rows += [(int(q + i), int(t + turn * i) if turn > 0 else int(t + 8 - i), float(rng.uniform(0.85, 1)), int(turn)) for i in range(rng.integers(2, 9))]
+    table = anchors(spark, rows)
+    got = chains.blocks(table, first_id=7).orderBy("block_id").collect()
+    every = chains.blocks(table, select=False).collect()
+    meets = lambda x, y: (x.query_start <= y.query_end and y.query_start <= x.query_end) or (x.target_start <= y.target_end and y.target_start <= x.target_end)
+    assert [r.block_id for r in got] == list(range(7, 7 + len(got))) and len(got) > 3
+    assert not any(meets(x, y) for i, x in enumerate(got) for y in got[:i])
+    assert all(x.chain_score >= y.chain_score for x, y in zip(got, got[1:]))
+    assert all(any(meets(x, y) and y.chain_score >= x.chain_score for y in got) for x in every)
+
+
+def test_blocks_of_many_pairs_are_numbered_in_order(spark):
+    rng = np.random.default_rng(5)
+    table = None
+    for g in range(12):
+        part = anchors(spark, [(i, i, 0.9, 1) for i in range(int(rng.integers(2, 40)))]).withColumn("target_genome", F.lit(f"t{g:02d}"))
+        table = part if table is None else table.unionByName(part)
+    got = chains.blocks(table, first_id=100).orderBy("block_id").collect()
+    assert [r.block_id for r in got] == list(range(100, 112)) and [r.target_genome for r in got] == [f"t{g:02d}" for g in range(12)]
 
 
 def test_without_strands_directions_compete(spark):
