@@ -6,6 +6,8 @@ the later of the two starts, so no duplicate arises and no distinct is needed.""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,25 @@ def overlap_join(left: DataFrame, right: DataFrame, key: list[str], width: int,
     return a.join(b, [*key, "_bin"]).filter(meets).drop("_bin")
 
 
+def bin_width(*frames: tuple[DataFrame, str]) -> int:
+    """About twice the mean length of the intervals (prefix_start, prefix_end) of some tables: an interval then covers one or two bins
+    on the average."""
+    total = None
+    for df, prefix in frames:
+        one = df.select((F.col(f"{prefix}_end") - F.col(f"{prefix}_start") + 1).cast("double").alias("n"))
+        total = one if total is None else total.unionByName(one)
+    return max(1, math.ceil(2 * (total.agg(F.avg("n")).first()[0] or 1)))
+
+
+def _by_side(truth: DataFrame, blocks: DataFrame, side: str, width: int) -> DataFrame:
+    """Rows of truth (all columns) and blocks (columns p_...) of one genome pair whose intervals of a side overlap."""
+    pair = ["genome_a", "genome_b"]
+    left = truth.withColumns({"l_start": F.col(f"{side}_start"), "l_end": F.col(f"{side}_end")})
+    right = blocks.withColumnsRenamed({c: f"p_{c}" for c in blocks.columns if c not in pair})
+    right = right.withColumns({"r_start": F.col(f"p_{side}_start"), "r_end": F.col(f"p_{side}_end")})
+    return overlap_join(left, right, pair, width).drop("l_start", "l_end", "r_start", "r_end")
+
+
 def overlap_pairs(sides: DataFrame, key: list[str], width: int, id_col: str = "id") -> DataFrame:
     """Distinct id pairs (u < v) of which some interval of sides(id, key, start, end) overlaps."""
     left = sides.select(F.col(id_col).alias("a"), *key, F.col("start").alias("l_start"), F.col("end").alias("l_end"))
@@ -104,56 +125,62 @@ def both_directions(ranges: DataFrame, *more: str) -> DataFrame:
     return ranges.select(*RANGE, *more).unionByName(back)
 
 
-def range_recall(truth: DataFrame, blocks: DataFrame, share: float = 0.5) -> DataFrame:
+def _share(side: str) -> Column:
+    return overlap_fraction(f"{side}_start", f"{side}_end", f"p_{side}_start", f"p_{side}_end")
+
+
+def range_recall(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int | None = None) -> DataFrame:
     """Per row of truth(gt_id, RANGE): strict (one block covers both sides), independent (each side by
-    some block) and any (one side), with the best shares of each side; contigs are not looked at."""
-    found = both_directions(blocks).withColumnsRenamed({c: f"p_{c}" for c in RANGE})
-    same = (F.col("genome_a") == F.col("p_genome_a")) & (F.col("genome_b") == F.col("p_genome_b"))
-    met = truth.join(found, same, "left")
-    a = F.coalesce(overlap_fraction("a_start", "a_end", "p_a_start", "p_a_end"), F.lit(0.0))
-    b = F.coalesce(overlap_fraction("b_start", "b_end", "p_b_start", "p_b_end"), F.lit(0.0))
-    told = met.groupBy("gt_id").agg(F.max(a).alias("best_a"), F.max(b).alias("best_b"), F.max(((a >= share) & (b >= share)).cast("int")).alias("strict"))
-    return told.withColumn("independent", ((F.col("best_a") >= share) & (F.col("best_b") >= share)).cast("int")).withColumn(
+    some block) and any (one side), with the best shares of each side; contigs are not looked at.  share is above 0."""
+    truth, found = truth.select("gt_id", *RANGE), both_directions(blocks)
+    none, zero = F.lit(0.0), F.lit(0)
+    told = truth.select("gt_id", none.alias("a"), none.alias("b"), zero.alias("strict"))
+    for side in ("a", "b"):
+        met = _by_side(truth, found, side, width or bin_width((truth, side), (found, side)))
+        both = ((_share("a") >= share) & (_share("b") >= share)).cast("int")
+        told = told.unionByName(met.select("gt_id", _share("a").alias("a"), _share("b").alias("b"), both.alias("strict")))
+    out = told.groupBy("gt_id").agg(F.max("a").alias("best_a"), F.max("b").alias("best_b"), F.max("strict").alias("strict"))
+    return out.withColumn("independent", ((F.col("best_a") >= share) & (F.col("best_b") >= share)).cast("int")).withColumn(
         "any", ((F.col("best_a") >= share) | (F.col("best_b") >= share)).cast("int")
     )
 
 
-def best_match(truth: DataFrame, blocks: DataFrame, share: float = 0.5) -> DataFrame:
+def best_match(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int | None = None) -> DataFrame:
     """Per truth row the block with the largest smaller-side overlap, as a share of the smaller
-    range; contigs must agree (contig_a, contig_b beside RANGE).  precision and F1 follow from it."""
+    range; contigs must agree (contig_a, contig_b beside RANGE).  precision and F1 follow from it.  share is above 0."""
     extra = ["block_id", "contig_a", "contig_b"]
-    back = both_directions(blocks.select(*RANGE, "block_id", "contig_a", "contig_b"), *extra)
-    found = back.withColumnsRenamed({c: f"p_{c}" for c in [*RANGE, "contig_a", "contig_b"]})
-    same = (F.col("genome_a") == F.col("p_genome_a")) & (F.col("genome_b") == F.col("p_genome_b"))
+    found = both_directions(blocks.select(*RANGE, "block_id", "contig_a", "contig_b"), *extra)
     contigs = F.array_sort(F.array("contig_a", "contig_b")) == F.array_sort(F.array("p_contig_a", "p_contig_b"))
 
     def smaller(s: str) -> Column:
         least = F.least(F.col(f"{s}_end") - F.col(f"{s}_start"), F.col(f"p_{s}_end") - F.col(f"p_{s}_start")) + 1
         return overlap(f"{s}_start", f"{s}_end", f"p_{s}_start", f"p_{s}_end") / least
 
-    both = F.least(smaller("a"), smaller("b"))
-    best = truth.join(found, same & contigs).withColumn("score", both).groupBy("gt_id").agg(F.max("score").alias("score"), F.max_by("block_id", F.struct("score", -F.col("block_id"))).alias("block_id"))
-    return truth.select("gt_id").join(best.filter(F.col("score") >= share), "gt_id", "left")
+    met = _by_side(truth, found, "a", width or bin_width((truth, "a"), (found, "a"))).filter(contigs)
+    met = met.withColumn("score", F.least(smaller("a"), smaller("b"))).filter(F.col("score") >= share)
+    best = met.groupBy("gt_id").agg(F.max("score").alias("score"), F.max_by("p_block_id", F.struct("score", -F.col("p_block_id"))).alias("block_id"))
+    return truth.select("gt_id").join(best, "gt_id", "left")
 
 
-def best_cover(truth: DataFrame, blocks: DataFrame, share: float = 0.5) -> DataFrame:
-    """Per truth row the smallest block (by both spans, then block_id) that covers share of both sides."""
-    found = both_directions(blocks, "block_id").withColumnsRenamed({c: f"p_{c}" for c in RANGE})
-    same = (F.col("genome_a") == F.col("p_genome_a")) & (F.col("genome_b") == F.col("p_genome_b"))
-    covers = (overlap_fraction("a_start", "a_end", "p_a_start", "p_a_end") >= share) & (overlap_fraction("b_start", "b_end", "p_b_start", "p_b_end") >= share)
+def best_cover(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int | None = None) -> DataFrame:
+    """Per truth row the smallest block (by both spans, then block_id) that covers share (above 0) of both sides."""
+    found = both_directions(blocks, "block_id")
+    met = _by_side(truth, found, "a", width or bin_width((truth, "a"), (found, "a"))).filter((_share("a") >= share) & (_share("b") >= share))
     span = F.col("p_a_end") - F.col("p_a_start") + F.col("p_b_end") - F.col("p_b_start") + 2
     own = F.col("a_end") - F.col("a_start") + F.col("b_end") - F.col("b_start") + 2
-    met = truth.join(found, same).filter(covers).withColumn("span", span).withColumn("own", own)
-    return met.groupBy("gt_id").agg(F.min_by("block_id", F.struct("span", "block_id")).alias("block_id"), F.min("span").alias("span"), F.first("own").alias("own")).withColumn(
+    met = met.withColumn("span", span).withColumn("own", own)
+    return met.groupBy("gt_id").agg(F.min_by("p_block_id", F.struct("span", "p_block_id")).alias("block_id"), F.min("span").alias("span"), F.first("own").alias("own")).withColumn(
         "size_ratio", F.col("span") / F.col("own")
     )
 
 
-def containers(blocks: DataFrame, least: int = 2) -> DataFrame:
-    """Blocks that hold at least `least` other blocks of their genome pair on both sides."""
-    small = blocks.withColumnsRenamed({c: f"s_{c}" for c in [*RANGE[2:], "block_id"]})
-    inside = (F.col("a_start") <= F.col("s_a_start")) & (F.col("s_a_end") <= F.col("a_end")) & (F.col("b_start") <= F.col("s_b_start")) & (F.col("s_b_end") <= F.col("b_end"))
-    met = blocks.join(small, ["genome_a", "genome_b"]).filter(inside & (F.col("block_id") != F.col("s_block_id")))
+def containers(blocks: DataFrame, least: int = 2, width: int | None = None) -> DataFrame:
+    """Blocks that hold at least `least` other blocks of their genome pair on both sides; an inner block meets the others in the one
+    bin where its first side starts."""
+    blocks = blocks.select("block_id", *RANGE)
+    inner = blocks.withColumns({"last": F.col("a_end"), "a_end": F.col("a_start")})
+    inside = (F.col("p_last") <= F.col("a_end")) & (F.col("b_start") <= F.col("p_b_start")) & (F.col("p_b_end") <= F.col("b_end"))
+    met = _by_side(blocks, inner, "a", width or bin_width((blocks, "a"))).filter(inside & (F.col("block_id") != F.col("p_block_id")))
     return met.groupBy("block_id").agg(F.count("*").alias("n_inside")).filter(F.col("n_inside") >= least)
 
 

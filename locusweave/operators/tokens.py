@@ -54,17 +54,40 @@ def percentile_ban(df: DataFrame, p: float) -> DataFrame:
     return df.join(F.broadcast(cutoff), F.col("df") >= F.col("cutoff")).select("token", "df", "cutoff")
 
 
-def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_max: int | None = None, tau: float = 0.0) -> DataFrame:
-    """(a < b, jaccard): IDF-weighted Jaccard of documents by an inverted index; tokens of one document can't
-    join anything and weigh only in the totals, df_max leaves out frequent ones."""
+def set_classes(tokens: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, rep, size): documents with equal token sets, their least one and their number."""
+    listed = tokens.select(F.col(doc).alias("doc"), "token").distinct().groupBy("doc").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("token"))), 256).alias("_set"))
+    same = listed.groupBy("_set").agg(F.min("doc").alias("rep"), F.count("*").alias("size"))
+    return listed.join(same, "_set").select("doc", "rep", "size")
+
+
+def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_max: int | None = None, tau: float = 0.0, among: DataFrame | None = None) -> DataFrame:
+    """(a < b, jaccard): IDF-weighted Jaccard of documents by an inverted index, tau or more; tokens of one document can't
+    join anything and weigh only in the totals, df_max leaves out frequent ones.  among(doc) names the documents to compare, all count for
+    the frequencies.
+
+    With tau above 0 only tokens of a document's prefix are joined: rarest first, up to the point from which on the rest
+    weighs less than tau of the whole.  Pairs of similarity tau share one of them, so none is lost, and what all documents hold
+    joins nothing; the shared weight of candidates is then summed exactly."""
     rows = cut(tokens.select(F.col(doc).alias("doc"), "token").distinct())  # read four times below
     n = rows.agg(F.countDistinct("doc").alias("n"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     df = df.filter(F.col("df") <= df_max) if df_max else df
+    rows = rows.join(among.select("doc"), "doc", "left_semi") if among is not None else rows
     weighed = rows.join(df, "token").crossJoin(F.broadcast(n)).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
     total = weighed.groupBy("doc").agg(F.sum("idf").alias("total"))
-    index = weighed.filter(F.col("df") >= df_min).select("token", "doc", "idf")
-    met = index.select("token", F.col("doc").alias("a"), "idf").join(index.select("token", F.col("doc").alias("b")), "token").filter("a < b")
+    index = weighed.filter(F.col("df") >= df_min)
+    if tau > 0:
+        weighed = cut(weighed.select("doc", "token", "df", "idf"))
+        rest = Window.partitionBy("doc").orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        whole = F.sum("idf").over(Window.partitionBy("doc"))
+        lead = weighed.withColumn("_rest", F.sum("idf").over(rest)).withColumn("_all", whole)
+        lead = lead.filter((F.col("_rest") >= tau * F.col("_all") - 1e-9) & (F.col("df") >= df_min))
+        near = lead.select("token", F.col("doc").alias("a")).join(lead.select("token", F.col("doc").alias("b")), "token").filter("a < b").select("a", "b").distinct()
+        index = weighed.filter(F.col("df") >= df_min)
+        met = near.join(index.select(F.col("doc").alias("a"), "token", "idf"), "a").join(index.select(F.col("doc").alias("b"), "token"), ["b", "token"])
+    else:
+        met = index.select("token", F.col("doc").alias("a"), "idf").join(index.select("token", F.col("doc").alias("b")), "token").filter("a < b")
     shared = met.groupBy("a", "b").agg(F.sum("idf").alias("shared"))
     both = shared.join(total.withColumnsRenamed({"doc": "a", "total": "ta"}), "a").join(total.withColumnsRenamed({"doc": "b", "total": "tb"}), "b")
     j = F.col("shared") / (F.col("ta") + F.col("tb") - F.col("shared"))

@@ -25,17 +25,19 @@ class ChainConfig:
     merge_reciprocal: float = 0.5
     min_cluster_size: int = 3
     max_slots: int = 50
-    index: str = "exact"  # or ivf
-    nprobe: int = 16
+    index: str = "auto"  # see anchors.INDEXES
+    nprobe: int = 32
+
+    def search(self):
+        return anchors.index_search(self.index, self.nprobe)
 
 
 def run_chain_pipeline(gene_table: DataFrame, output: str, config: ChainConfig = ChainConfig()) -> DataFrame:
     """Run all stages and return the one-row summary."""
     spark: SparkSession = gene_table.sparkSession
     placed = genes.position_index(genes.fold_vectors(genes.checked(gene_table)))
-    search = anchors.nearest_exact if config.index == "exact" else lambda q, b, k: anchors.nearest_ivf(q, b, k, config.nprobe)
     stage = lambda name, build: store.stage(spark, f"{output}/{name}", build)
-    found = stage("anchors", lambda: anchors.cross_genome_anchors(placed, config.k, config.similarity, search))
+    found = stage("anchors", lambda: anchors.cross_genome_anchors(placed, config.k, config.similarity, config.search()))
     blocks = stage("blocks", lambda: chains.blocks(found, config.max_gap, config.min_size, config.gap_penalty))
     premerge = stage("premerge", lambda: clusters.cluster_blocks(blocks, config.jaccard, config.mutual_k, config.support))
     merged, merge_map = clusters.merge_contained(blocks.join(premerge, "block_id"), config.merge_threshold, config.merge_reciprocal)
@@ -50,5 +52,5 @@ def run_chain_pipeline(gene_table: DataFrame, output: str, config: ChainConfig =
 
 def search_locus(locus: DataFrame, gene_table: DataFrame, config: ChainConfig = ChainConfig(), max_results: int = 50) -> DataFrame:
     """Blocks between a locus and all other genomes, best first."""
-    found = chains.blocks(anchors.locus_anchors(locus, gene_table, config.k, config.similarity), config.max_gap, config.min_size, config.gap_penalty)
+    found = chains.blocks(anchors.locus_anchors(locus, gene_table, config.k, config.similarity, config.search()), config.max_gap, config.min_size, config.gap_penalty)
     return found.orderBy(F.col("chain_score").desc(), "block_id").limit(max_results)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from locusweave.operators import anchors, evaluation, explorer, intervals, shingles, statistics, tokens
 
@@ -8,15 +9,46 @@ def vectors(spark, n=300, dim=16, seed=1):
     return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<float>")
 
 
-def test_nearest_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(anchors, "TILE", 64)
-    x, df = vectors(spark)
+def exact(x, k):
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    want = {(i, int(j)) for i in range(len(u)) for j in np.argsort(-(u @ u.T)[i], kind="stable")[:5]}
-    assert {(r.i, r.j) for r in anchors.nearest_exact(df, df, 5).collect()} == want
-    found = anchors.nearest_ivf(df, df, 5, 16)
-    assert evaluation.ann_recall(anchors.nearest_exact(df, df, 5), found).first().recall >= 0.9
+    return {(i, int(j)) for i in range(len(u)) for j in np.argsort(-(u @ u[i]), kind="stable")[:k]}
+
+
+def test_nearest_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "TILE_BYTES", 64 * 16 * 8)
+    monkeypatch.setattr(anchors, "SLICE", 700)
+    x, df = vectors(spark)
+    got = anchors.nearest_exact(df, df.repartition(3), 5).collect()
+    assert {(r.i, r.j) for r in got} == exact(x, 5) and sorted({r["rank"] for r in got}) == [1, 2, 3, 4, 5]
+    assert {(r.i, r.j) for r in anchors.index_search("exact")(df, df, 5).collect()} == exact(x, 5)
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)], "id long, v array<float>")
+    got = {}
+    for r in anchors.nearest_exact(df, df, 3).collect():
+        got.setdefault(r.i, []).append((r["rank"], r.j))
+    assert all([j for _, j in sorted(v)] == [i % 2, i % 2 + 2, i % 2 + 4] for i, v in got.items())
+    none = df.limit(0)
+    assert anchors.nearest_exact(none, df, 3).count() == 0 == anchors.nearest_exact(df, none, 3).count()
+
+
+@pytest.mark.parametrize("index,least", [("ivf_flat", 0.95), ("ivf_sq", 0.9), ("ivf_pq", 0.6)])
+def test_index_recall_over_many_cells(spark, monkeypatch, index, least):
+    """6,400 vectors around 400 centres in 80 cells, 8 of them visited."""
+    monkeypatch.setattr(anchors, "CELL_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((400, 32)), 16, axis=0) + 0.35 * rng.standard_normal((6400, 32))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    found = anchors.index_search(index, 8)(df, df, 10)
+    truth = spark.createDataFrame(sorted(exact(x, 10)), "i long, j long")
+    assert evaluation.ann_recall(truth, found).first().recall >= least
+
+
+def test_unknown_index_is_an_error():
+    with pytest.raises(ValueError):
+        anchors.index_search("tree")
 
 
 def test_own_genome_counts_in_k(spark):
