@@ -177,13 +177,16 @@ def sets_joined(sets: DataFrame, tau: float = 0.5, shared: int = 1) -> DataFrame
 
 def orthogroup_blocks(pairs: DataFrame, species: DataFrame, least: int = 2) -> DataFrame:
     """Neighbouring orthogroup pairs(a, b, genome) seen in at least `least` species -> components with their
-    species coverage: (root, size, n_species)."""
+    species coverage: (root, size, n_species, orthogroups), root being the least orthogroup."""
     named = pairs.join(species.select("genome", "species"), "genome")
     kept = named.groupBy("a", "b").agg(F.countDistinct("species").alias("n")).filter(F.col("n") >= least)
     ids = kept.select(F.explode(F.array("a", "b")).alias("og")).distinct().withColumn("node", F.xxhash64("og"))
     edges = kept.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
     roots = ids.join(graph.connected_components(edges), "node").select("og", "root")
     cover = named.join(kept.select("a", "b"), ["a", "b"], "left_semi").select(F.explode(F.array("a", "b")).alias("og"), "species").distinct()
-    return roots.join(cover, "og").groupBy("root").agg(F.countDistinct("og").alias("size"), F.countDistinct("species").alias("n_species"), F.array_sort(F.collect_set("og")).alias("orthogroups"))
+    told = roots.join(cover, "og").groupBy("root").agg(
+        F.min("og").alias("_least"), F.countDistinct("og").alias("size"), F.countDistinct("species").alias("n_species"), F.array_sort(F.collect_set("og")).alias("orthogroups")
+    )
+    return told.select(F.col("_least").alias("root"), "size", "n_species", "orthogroups")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from locusweave.functions import expr as X
 from locusweave.operators import anchors as A
 from locusweave.operators import architecture, chains, clusters, communities, evaluation, explorer, genes, graph, intervals, regions, shingles, statistics, store, tokens
+from locusweave.plans import pipeline
+from locusweave.plans.chain_sql import blocks_sql, chains_sql, clusters_sql, components_sql, loci_sql, merged_sql
 
 TAU = 0.2
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -145,63 +147,112 @@ def clustered_blocks(spark, sf_dir) -> DataFrame:
     return graph.cut(found.join(clusters.cluster_blocks(found), "block_id"))
 
 
-@query()
+_SCORE = r("score")
+_LISTS = ("anchor_query_ids", "anchor_target_ids", "anchor_query_gene_ids", "anchor_target_gene_ids")
+
+
+def _joined_lists(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in _LISTS})
+
+
+@query(
+    f"""WITH RECURSIVE {blocks_sql(ANCHORS)} SELECT block_id, {_GROUP}, query_start, query_end, target_start, target_end, n_anchors, {_SCORE} AS chain_score, orientation, {", ".join(_LISTS)} FROM blocks"""
+)
 def g1_blocks(spark, sf_dir):
-    return blocks_view(spark, sf_dir).withColumn("chain_score", X.fixed("chain_score"))
+    return _joined_lists(blocks_view(spark, sf_dir)).withColumn("chain_score", X.fixed("chain_score"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {chains_sql(ANCHORS, 5, 0.5)} SELECT row_number() OVER (ORDER BY {_GROUP}, rev, prio) - 1 AS block_id, {_GROUP}, n_anchors, {_SCORE} AS chain_score, CASE WHEN rev THEN -1 ELSE 1 END AS orientation FROM chain"""
+)
 def g1_chains_concave_gaps(spark, sf_dir):
     found = chains.blocks(A.cross_genome_anchors(genes_view(spark, sf_dir), 50, TAU), max_gap=5, gap_penalty=0.5, select=False)
     return found.select("block_id", *A.PAIR, "n_anchors", X.fixed("chain_score").alias("chain_score"), "orientation")
 
 
-@query()
+LOCUS = f"""{GENES}, l AS (SELECT * FROM genes WHERE sample_id = 'g0' AND contig_id = 'c0' AND position_index < 10), near_ AS (
+      SELECT l.position_index AS query_idx, b.position_index AS target_idx, l.sample_id AS query_genome, b.sample_id AS target_genome, l.contig_id AS query_contig, b.contig_id AS target_contig,
+        l.gene_id AS query_gene_id, b.gene_id AS target_gene_id, list_cosine_similarity(l.emb, b.emb) AS similarity, CASE WHEN l.strand = b.strand THEN 1 ELSE -1 END AS orientation,
+        row_number() OVER (PARTITION BY l.gene_id ORDER BY list_cosine_similarity(l.emb, b.emb) DESC) AS r FROM l CROSS JOIN genes b),
+    anchors AS (SELECT * EXCLUDE (r) FROM near_ WHERE r <= 60 AND similarity >= {TAU} AND target_genome <> 'g0')"""
+
+
+@query(
+    f"""WITH RECURSIVE {blocks_sql(LOCUS)} SELECT block_id, {_GROUP}, query_start, query_end, target_start, target_end, n_anchors, {_SCORE} AS chain_score, orientation, {", ".join(_LISTS)}
+    FROM blocks ORDER BY score DESC, block_id LIMIT 50"""
+)
 def g13_locus_search(spark, sf_dir):
     every = genes_view(spark, sf_dir)
     locus = every.filter("sample_id = 'g0' AND contig_id = 'c0' AND position_index < 10")
-    found = chains.blocks(A.locus_anchors(locus, every, 50, TAU), max_gap=2)
-    return found.orderBy(F.col("chain_score").desc(), "block_id").limit(50)
+    found = pipeline.search_locus(locus, every, pipeline.ChainConfig(similarity=TAU))
+    return _joined_lists(found).withColumn("chain_score", X.fixed("chain_score"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {blocks_sql(ANCHORS)} SELECT block_id, coalesce(a.start, 0) AS query_start_bp, coalesce(b."end", 0) AS query_end_bp, coalesce(c.start, 0) AS target_start_bp, coalesce(d."end", 0) AS target_end_bp
+    FROM blocks LEFT JOIN genes a ON a.sample_id = query_genome AND a.contig_id = query_contig AND a.position_index = query_start LEFT JOIN genes b ON b.sample_id = query_genome AND b.contig_id = query_contig AND b.position_index = query_end
+    LEFT JOIN genes c ON c.sample_id = target_genome AND c.contig_id = target_contig AND c.position_index = target_start LEFT JOIN genes d ON d.sample_id = target_genome AND d.contig_id = target_contig AND d.position_index = target_end"""
+)
 def j5_block_bp_ranges(spark, sf_dir):
     found = genes.block_bp_ranges(blocks_view(spark, sf_dir), genes_view(spark, sf_dir))
     return found.select("block_id", "query_start_bp", "query_end_bp", "target_start_bp", "target_end_bp")
 
 
-@query()
+@query(f"WITH RECURSIVE {clusters_sql(ANCHORS)} SELECT block_id, cluster_id, n_anchors FROM clustered")
 def g6_block_clusters(spark, sf_dir):
     return clustered_blocks(spark, sf_dir).select("block_id", "cluster_id", "n_anchors")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {clusters_sql(ANCHORS)}, spot AS (SELECT DISTINCT cluster_id, genome, contig || ':' || unnest(range(s, e + 1)) AS p FROM sides JOIN clustered USING (block_id) WHERE cluster_id > 0),
+    held AS (SELECT cluster_id, genome, '"' || genome || '":["' || string_agg(p, '","' ORDER BY p) || '"]' AS l FROM spot GROUP BY 1, 2),
+    genes_ AS (SELECT cluster_id, count(*) AS genome_support, '{{' || string_agg(l, ',' ORDER BY genome) || '}}' AS genes FROM held GROUP BY 1)
+    SELECT cluster_id, count(*) AS size, any_value(genome_support) AS genome_support, {r('avg(n_anchors)', 2)} AS mean_chain_length, any_value(genes) AS genes FROM clustered JOIN genes_ USING (cluster_id) GROUP BY 1"""
+)
 def a4_block_cluster_summary(spark, sf_dir):
-    found = clusters.cluster_summary(clustered_blocks(spark, sf_dir))
-    return found.withColumn("genes", F.to_json("genes"))
+    found = clustered_blocks(spark, sf_dir)
+    mean = found.groupBy("cluster_id").agg(X.fixed(F.avg("n_anchors"), 2).alias("mean_chain_length"))
+    told = clusters.cluster_summary(found).withColumn("genes", F.to_json("genes"))
+    return told.drop("mean_chain_length").join(mean, "cluster_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {merged_sql(ANCHORS)} SELECT block_id, cluster_id FROM merged")
 def g7_merged_clusters(spark, sf_dir):
     merged, _ = clusters.merge_contained(clustered_blocks(spark, sf_dir))
     return merged.select("block_id", "cluster_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {clusters_sql(ANCHORS)}, c AS (SELECT cluster_id, count(*) AS size, (SELECT count(DISTINCT genome) FROM sides JOIN clustered k USING (block_id) WHERE k.cluster_id = x.cluster_id) AS support
+      FROM clustered x WHERE cluster_id > 0 GROUP BY 1)
+    SELECT (SELECT count(*) FROM genes) AS num_genes, (SELECT count(*) FROM blocks) AS num_blocks, (SELECT sum(n_anchors) FROM blocks) AS num_anchors, (SELECT count(*) FROM clustered WHERE cluster_id = 0) AS num_singletons,
+      count(*) AS num_clusters, CAST(trunc(quantile_cont(support, 0.5)) AS INTEGER) AS median_support, {r('avg(size)')} AS mean_size FROM c WHERE size >= 2"""
+)
 def a6_run_summary(spark, sf_dir):
     found = clustered_blocks(spark, sf_dir)
-    return clusters.run_summary(found, clusters.cluster_summary(found), genes_view(spark, sf_dir))
+    return clusters.run_summary(found, clusters.cluster_summary(found), genes_view(spark, sf_dir)).withColumn("mean_size", X.fixed("mean_size"))
 
 
-def _architecture(name: str, key: str):
+def _architecture(name: str, key: str, sql: str | None = None):
     def run(spark, sf_dir):
         return architecture.run(clustered_blocks(spark, sf_dir), genes_view(spark, sf_dir))[name]
 
     run.__name__ = key
-    return query()(run)
-
-
-g12_members, g11_loci, w11_references = _architecture("members", "g12_block_members"), _architecture("loci", "g11_cluster_loci"), _architecture("references", "w11_cluster_references")
+    return query(sql)(run)
+
+
+g12_members = _architecture(
+    "members", "g12_block_members",
+    f"""WITH RECURSIVE {loci_sql(ANCHORS)}, p AS (SELECT block_id, role, genome, contig, unnest(range(s, e + 1)) AS position_index, unnest(range(0, e - s + 1)) AS anchor_order FROM chosen)
+    SELECT block_id, role, genome, contig, anchor_order, p.position_index, coalesce(gene_id, genome || '_' || contig || '_' || p.position_index) AS gene_id, coalesce(strand, 0) AS strand, g.start AS bp_start, g."end" AS bp_end
+    FROM p LEFT JOIN genes g ON g.sample_id = genome AND g.contig_id = contig AND g.position_index = p.position_index""",
+)
+g11_loci = _architecture("loci", "g11_cluster_loci", f"WITH RECURSIVE {loci_sql(ANCHORS)} SELECT * FROM loci")
+w11_references = _architecture(
+    "references", "w11_cluster_references",
+    f"""WITH RECURSIVE {loci_sql(ANCHORS)}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY support DESC, n_genes DESC, locus_id) AS k FROM loci)
+    SELECT cluster_id, locus_id AS ref_locus, n_genes AS ref_genes FROM k WHERE k = 1""",
+)
 g10_slots, a9_slots, a11_arch = _architecture("assignments", "g10_slot_assignments"), _architecture("slots", "a9_slot_summary"), _architecture("architecture", "a11_architecture")
 
 
@@ -220,18 +271,21 @@ def g17_window_shingles(spark, sf_dir):
 
 @query()
 def g21_sinkhorn_rerank(spark, sf_dir):
-    runs = shingles.windows(genes_view(spark, sf_dir), ["sample_id", "contig_id"], ["position_index"], 5, 5)
-    named = runs.select(F.concat_ws(":", "sample_id", "contig_id", "window").alias("id"), "window", F.col("vectors").alias("vs"))
-    ids = named.select("id", "window")
-    near = ids.withColumnRenamed("id", "a").join(ids.withColumnRenamed("id", "b"), "window").filter("a < b").select("a", "b")
-    return shingles.rerank(near, named.select("id", "vs"), top_k=3).withColumn("cost", X.fixed("cost", 6))
+    """Windows of which genes share at least two projection tokens, by the cost of moving one onto the other."""
+    genes_ = genes_view(spark, sf_dir)
+    runs = shingles.windows(genes_, ["sample_id", "contig_id"], ["position_index"], 5, 5)
+    named = runs.select(F.concat_ws(":", "sample_id", "contig_id", "window").alias("id"), "ids", F.col("vectors").alias("vs"))
+    tokened = shingles.token_windows(genes_.select("gene_id", "emb"), 64, 8, 10)
+    held = named.select("id", F.explode("ids").alias("gene_id")).join(tokened, "gene_id").select("id", F.explode("tokens").alias("token")).distinct()
+    met = held.withColumnRenamed("id", "a").join(held.withColumnRenamed("id", "b"), "token").filter("a < b").groupBy("a", "b").count().filter("count >= 2").select("a", "b")
+    return shingles.rerank(met, named.select("id", "vs"), top_k=3).withColumn("cost", X.fixed("cost", 6))
 
 
 @query()
 def g24_projection(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
     mean, comp, _ = shingles.pca(v, 8)
-    return shingles.project(v, mean, comp).select("vec_id", X.fixed(X.norm("emb"), 4).alias("norm"))
+    return _values(shingles.project(v, mean, comp))
 
 
 # --- intervals
@@ -951,37 +1005,92 @@ def g31_sets_joined(spark, sf_dir):
     return regions.sets_joined(rows)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SEQ}, o AS (SELECT user_id, user_id % 6 AS species, token || ':' || v || ':' || (user_id % 4) AS og, pos FROM seq),
+    pairs AS (SELECT *, lead(og) OVER (PARTITION BY user_id ORDER BY pos) AS nxt FROM o),
+    kept AS (SELECT og AS a, nxt AS b FROM pairs WHERE nxt IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT species) >= 3), links AS (SELECT a, b FROM kept UNION SELECT b, a FROM kept),
+    reach(node, root) AS (SELECT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b), comp AS (SELECT node, min(root) AS root FROM reach GROUP BY 1),
+    cover AS (SELECT a AS og, species FROM pairs JOIN kept ON og = a AND nxt = b UNION SELECT b, species FROM pairs JOIN kept ON og = a AND nxt = b)
+    SELECT root, count(DISTINCT og) AS size, count(DISTINCT species) AS n_species, string_agg(DISTINCT og, ',' ORDER BY og) AS orthogroups FROM comp JOIN cover ON og = node GROUP BY 1"""
+)
 def g32_orthogroup_blocks(spark, sf_dir):
-    seq = event_sequence(spark, sf_dir).withColumn("token", F.concat_ws(":", "token", F.col("pos") % 8))
+    og = F.concat_ws(":", "token", "v", F.col("user_id") % 4)
+    seq = event_sequence(spark, sf_dir).withColumn("og", og)
     w = Window.partitionBy("user_id").orderBy("pos")
-    pairs = seq.select(F.col("token").alias("a"), F.lead("token").over(w).alias("b"), F.col("user_id").alias("genome")).filter("b IS NOT NULL")
+    pairs = seq.select(F.col("og").alias("a"), F.lead("og").over(w).alias("b"), F.col("user_id").alias("genome")).filter("b IS NOT NULL")
     species = seq.select(F.col("user_id").alias("genome"), (F.col("user_id") % 6).alias("species")).distinct()
-    return regions.orthogroup_blocks(pairs, species, 3).drop("orthogroups")
+    return regions.orthogroup_blocks(pairs, species, 3).withColumn("orthogroups", F.array_join("orthogroups", ","))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TOK}, df AS (SELECT token, count(*) AS df FROM tok GROUP BY 1), o AS (SELECT df, row_number() OVER (ORDER BY df) - 1 AS i, count(*) OVER () AS n FROM df),
+    c AS (SELECT df AS cutoff FROM o WHERE i = CAST(floor(0.99 * (n - 1)) AS BIGINT)), kept AS (SELECT doc, token FROM tok JOIN df USING (token), c WHERE NOT (df >= cutoff AND df > 1)),
+    n AS (SELECT count(DISTINCT doc) AS n FROM kept), df2 AS (SELECT token, count(*) AS df FROM kept GROUP BY 1), w AS (SELECT doc, token, ln(1 + n / df) AS idf, df FROM kept JOIN df2 USING (token), n),
+    t AS (SELECT doc, sum(idf) AS total FROM w GROUP BY 1), s AS (SELECT a.doc AS a, b.doc AS b, sum(a.idf) AS shared FROM w a JOIN w b ON a.token = b.token AND a.doc < b.doc GROUP BY 1, 2),
+    edges AS (SELECT * FROM (SELECT a AS u, b AS v, round(shared / (x.total + y.total - shared), 9) AS w FROM s JOIN t x ON x.doc = a JOIN t y ON y.doc = b) WHERE w >= 0.3),
+    two AS (SELECT u, v, w FROM edges UNION ALL SELECT v, u, w FROM edges), near AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY w DESC, v) AS k FROM two),
+    mutual AS (SELECT a.u, a.v FROM near a JOIN near b ON a.u = b.v AND a.v = b.u WHERE a.k <= 5 AND b.k <= 5 AND a.u < a.v),
+    {components_sql("SELECT DISTINCT u AS id FROM (SELECT u FROM mutual UNION SELECT v FROM mutual)", "mutual", "d")},
+    sizes AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, min(node)) AS cluster_id FROM dcomp GROUP BY 1)
+    SELECT doc, coalesce(cluster_id, 0) AS cluster_id FROM (SELECT DISTINCT doc FROM tok) LEFT JOIN dcomp ON node = doc LEFT JOIN sizes USING (root)"""
+)
 def g14_token_clusters(spark, sf_dir):
     return communities.token_clusters(document_tokens(spark, sf_dir), tau=0.3, k=5, ban=0.99)
 
 
-@query()
+@query(
+    f"""WITH k AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a CROSS JOIN embeddings b),
+    n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM k), x AS (SELECT least(i, j) AS u, greatest(i, j) AS v, sim FROM n WHERE r <= 11 AND i <> j)
+    SELECT u, v, {r('max(sim)')} AS w FROM x GROUP BY 1, 2 HAVING count(*) = 2"""
+)
 def g22_reciprocal_graph(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return communities.reciprocal_graph(A.nearest_exact(v, v, 11), 10).withColumn("w", X.fixed("w"))
 
 
+def _values(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.posexplode("emb").alias("i", "x")).withColumn("x", X.fixed("x", 3))
+
+
 @query()
 def g26_all_but_the_top(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
-    return shingles.drop_top_components(v, 3).select("vec_id", X.fixed(X.norm("emb"), 3).alias("norm"))
+    return _values(shingles.drop_top_components(v, 3))
 
 
-@query()
+@query(
+    f"""WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT i, avg(x) AS mean, stddev_pop(x) AS dev FROM x GROUP BY 1),
+    z AS (SELECT vec_id, i, (x - mean) / dev AS z FROM x JOIN m USING (i)), n AS (SELECT vec_id, sqrt(sum(z * z)) AS n FROM z GROUP BY 1) SELECT vec_id, i, {r('z / n', 3)} AS x FROM z JOIN n USING (vec_id)"""
+)
+def g26_standardised(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("emb"))
+    return _values(shingles.standardised(v))
+
+
+TRACKS = f"""{GENES}, nxt AS (SELECT sample_id, lead(sample_id) OVER (ORDER BY sample_id) AS below FROM (SELECT DISTINCT sample_id FROM genes)),
+    met AS (SELECT a.contig_id || ':' || a.sample_id AS view, a.gene_id AS a, b.gene_id AS b, a.position_index AS i, b.position_index AS j, list_cosine_similarity(a.emb, b.emb) AS sim, a.start % 7000 = b.start % 7000 AS same
+      FROM genes a JOIN nxt USING (sample_id) JOIN genes b ON b.sample_id = below AND b.contig_id = a.contig_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TRACKS}, c AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY abs(i - j), a, b) AS k FROM met WHERE same),
+    pick(view, k, a, b, ok, ta, tb) AS (SELECT view, k, a, b, true, [a], [b] FROM c WHERE k = 1
+      UNION ALL SELECT view, k, a, b, ok, CASE WHEN ok THEN list_append(ta, a) ELSE ta END, CASE WHEN ok THEN list_append(tb, b) ELSE tb END FROM (
+        SELECT c.view, c.k, c.a, c.b, ta, tb, NOT (list_contains(ta, c.a) OR list_contains(tb, c.b)) AS ok FROM pick JOIN c ON c.view = pick.view AND c.k = pick.k + 1)),
+    pf AS (SELECT view, a, b FROM pick WHERE ok), co AS (SELECT view, a, b FROM met WHERE sim >= 0.3),
+    both_ AS (SELECT coalesce(co.view, pf.view) AS view, coalesce(co.a, pf.a) AS a, coalesce(co.b, pf.b) AS b, CASE WHEN co.a IS NULL THEN 'pfam' WHEN pf.a IS NULL THEN 'cos' ELSE 'both' END AS kind
+      FROM co FULL JOIN pf ON co.view = pf.view AND co.a = pf.a AND co.b = pf.b)
+    SELECT * FROM both_ UNION ALL SELECT view, a, b, 'fallback' FROM met WHERE i = j AND view NOT IN (SELECT view FROM both_)"""
+)
 def g27_comparative_edges(spark, sf_dir):
+    """Each genome's contigs beside those of the next genome."""
     v = genes_view(spark, sf_dir).withColumn("domains", F.array((F.col("start") % 7000).cast("string")))
-    rows = v.select("contig_id", "sample_id", F.col("gene_id").alias("id"), F.col("position_index").alias("idx"), "emb", "domains").withColumnRenamed("contig_id", "view")
-    return regions.comparative_edges(rows.filter("sample_id = 'g0'"), rows.filter("sample_id = 'g1'"), 0.3)
+    tracks = v.select("sample_id").distinct().withColumn("below", F.lead("sample_id").over(Window.orderBy("sample_id")))  # one row for each genome
+    rows = v.select("contig_id", "sample_id", F.col("gene_id").alias("id"), F.col("position_index").alias("idx"), "emb", "domains")
+    upper = rows.join(tracks.filter("below IS NOT NULL"), "sample_id").withColumn("view", F.concat_ws(":", "contig_id", "sample_id"))
+    under = tracks.filter("below IS NOT NULL").select(F.col("sample_id").alias("above"), F.col("below").alias("sample_id"))
+    lower = rows.join(under, "sample_id").withColumn("view", F.concat_ws(":", "contig_id", "above"))
+    return regions.comparative_edges(upper, lower, 0.3)
 
 
 @query(
