@@ -34,11 +34,23 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_pii that SQL can express."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target of each source, as op5_source_mix takes it."""
+    docs = _table(spark, sf_dir, "documents").select("source", source_mix.word_count(F.col("text")).alias("size"))
+    found = source_mix.targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    return found.withColumn("target", F.round("target", 3))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -71,14 +83,46 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_exact_dedup, op4_pii, op5_source_mix, op6_decontaminate,
-        op7_license_scan, op8_simhash_dedup, op9_chat_format, op10_token_output,
+        op7_license_scan, op8_simhash_dedup, op9_chat_format, op10_token_output, pii_base_spans, source_targets,
     )
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 _ESCAPED = r"replace(replace(coalesce({}, ''), '\', '\b'), '<', '\l')"
 
+# Base patterns of personal data; between the pieces that a pattern splits a text into stand its matches.
+_FOUND = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS_OF = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = """list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[len(d) + 1 - i] AS INTEGER)
+  ELSE CAST(d[len(d) + 1 - i] AS INTEGER) * 2 - 9 * CAST(CAST(d[len(d) + 1 - i] AS INTEGER) > 4 AS INTEGER) END)) % 10 = 0"""
+_FITS = {
+    "email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INTEGER) > 255)) = 0",
+    "card": f"len(d) BETWEEN 16 AND 19 AND {_LUHN}", "phone": "len(d) BETWEEN 8 AND 15",
+}
+_SPANS = " UNION ALL ".join(
+    f"""SELECT doc_id, {n} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (SELECT *, {_DIGITS_OF} AS d FROM (
+      SELECT doc_id, l[i] AS m, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+      FROM (SELECT doc_id, l, g, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS l, string_split_regex(t, '{p}') AS g FROM d)))) WHERE {_FITS[kind]}"""
+    for n, (kind, p) in enumerate(_FOUND.items())
+)
+
 ORACLES: dict[str, str] = {
+    "pii_base_spans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({_SPANS}),
+      n AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _FOUND)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS l FROM spans GROUP BY 1)
+      SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _FOUND)}, sha256(coalesce(l, '')) AS base_sha256 FROM d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "source_targets": f"""WITH RECURSIVE s AS (SELECT source, CAST(sum(coalesce(len({_WORDS}), 0)) AS BIGINT) AS source_size FROM documents GROUP BY 1),
+      o AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER) AS weight FROM s), total AS (SELECT sum(source_size) AS n FROM s),
+      fill(k, stopped) AS (SELECT 0, CAST([] AS INTEGER[]) UNION ALL SELECT k + 1, next FROM (
+        SELECT k, stopped, (SELECT list(i) FROM (SELECT row_number() OVER (ORDER BY source NULLS LAST) AS i, * FROM o) x
+          WHERE 3 * source_size < weight * ((SELECT n FROM total) - coalesce((SELECT sum(3 * source_size) FROM (SELECT row_number() OVER (ORDER BY source NULLS LAST) AS i, * FROM o) WHERE list_contains(stopped, CAST(i AS INTEGER))), 0))
+            / (SELECT sum(weight) FROM (SELECT row_number() OVER (ORDER BY source NULLS LAST) AS i, * FROM o) WHERE NOT list_contains(stopped, CAST(i AS INTEGER)))) AS next FROM fill)
+        WHERE len(next) > len(stopped)),
+      last AS (SELECT stopped FROM fill ORDER BY k DESC LIMIT 1), x AS (SELECT row_number() OVER (ORDER BY source NULLS LAST) AS i, * FROM o),
+      level AS (SELECT ((SELECT n FROM total) - coalesce(sum(3 * source_size) FILTER (list_contains(stopped, CAST(i AS INTEGER))), 0)) / sum(weight) FILTER (NOT list_contains(stopped, CAST(i AS INTEGER))) AS l FROM x, last)
+      SELECT source, source_size, weight, round(CASE WHEN list_contains(stopped, CAST(i AS INTEGER)) THEN 3.0 * source_size ELSE weight * l END, 3) AS target FROM x, last, level""",
     "op1_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
       win AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM starts),
       gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM win WHERE k > 1),
