@@ -900,7 +900,12 @@ def g16_triangle_support(spark, sf_dir):
     return graph.triangle_support(interval_edges(spark, sf_dir)).select("u", "v", "triangles")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {JACCARD}, peel(n, es) AS (SELECT 0, list(struct_pack(u := u, v := v)) FROM edges
+      UNION ALL SELECT n, es FROM (SELECT n + 1 AS n, es AS old, list_filter(es, lambda e: len(list_filter(es, lambda f: f.u = e.u OR f.v = e.u)) >= 2 AND len(list_filter(es, lambda f: f.u = e.v OR f.v = e.v)) >= 2) AS es
+        FROM peel) WHERE len(es) < len(old))
+    SELECT e.u, e.v FROM (SELECT unnest(es) AS e FROM (SELECT es FROM peel ORDER BY n DESC LIMIT 1))"""
+)
 def g16_k_core(spark, sf_dir):
     return graph.k_core(interval_edges(spark, sf_dir), 2)
 
