@@ -20,17 +20,39 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests in local mode) a folder is made and set."""
+    Where it is unset, a folder is made and set in local mode (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[[^,]*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="locusweave-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[str] = []  # folders of this process that nothing has deleted yet
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made_paths() -> list[str]:
+    """The folders that shared_path has named and delete_paths has not deleted."""
+    return list(_made)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate folders; nothing that reads them lazily may be left."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        if path in _made:
+            _made.remove(path)
 
 
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
@@ -73,11 +95,18 @@ def parts(size: int, each: int, least: int = 1) -> int:
 BATCH = 16 << 20  # bytes of an Arrow batch that goes to Python
 
 
+def _bytes(size: str | None) -> int:
+    """A size setting in bytes; unset or not positive is without a limit."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", (size or "").lower())
+    n = int(m[1]) << 10 * " kmgtp".index(m[2] or " ") if m else 0
+    return n if n > 0 else 1 << 62
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after its session's Arrow batches are held to BATCH bytes (long texts make the default of 64 MB
-    batches heavy: a task holds several copies of one)."""
+    batches heavy: a task holds several copies of one).  The setting is read when a plan runs, so it stays."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name) or "") or BATCH + 1) > BATCH:
+    if _bytes(conf.get(name, None)) > BATCH:
         conf.set(name, str(BATCH))
     return df
 

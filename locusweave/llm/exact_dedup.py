@@ -3,12 +3,12 @@
 Each scan task merges equal texts it sees (comparing bytes) and writes entries to
 shared files: one member row per document and one row with the text per local group.  The
 directory starts with one bucket; a bucket over its capacity is split, doubling the
-directory whenever its depth is reached, with counts refined a few key bits at a time.
-Owner tasks then take key ranges, walk the entries of a key in order, chain different texts that
-collide on it and compare their bytes.
+directory whenever its depth is reached, with counts refined a few key bits at a time, from the narrow columns only.
+Each bucket is a key range; owner tasks take buckets (dealt by a hash, so that neighbours spread), walk the entries of a key in
+order, chain different texts that collide on it and compare their bytes.
 
-A text that a third of all rows share reaches its owner as one entry per scan task.
-A bucket whose entries all have one key cannot split and stays an overflow chain.
+A text that a third of all rows share reaches its owner as one entry per scan task (or per HELD bytes of texts of one), and a
+very long text lies whole in its entry.  A bucket whose entries all have one key cannot split and stays an overflow chain.
 
 Defined cases: null text counts as empty; of equal texts the row with the largest
 doc_id stays (null last; of rows with that same doc_id one); extra columns are
@@ -32,7 +32,7 @@ MOST_BUCKETS = 1 << 20  # the driver's directory stays of some MB: beyond, capac
 TASK = 16 << 20  # stored bytes of an owner task
 HELD = 48 << 20  # bytes of texts a scan task holds before it writes its groups
 STEP = 10  # key bits that one refinement of the counts adds
-ENTRY = "uid bigint, rep bigint, doc_id bigint, text_sha256 string, key bigint, body binary, n bigint, best bigint, best_uid bigint"
+ENTRY = "uid bigint, rep bigint, doc_id bigint, text_sha256 string, key bigint, body binary, n bigint, best bigint, best_uid bigint, size bigint"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +54,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "key": pa.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "big") >> 1 for t, _ in some], pa.int64()),
                 "body": pa.array([t for t, _ in some], pa.binary()), "n": pa.array([g[1] for _, g in some], pa.int64()),
                 "best": pa.array([g[2] for _, g in some], pa.int64()), "best_uid": pa.array([g[3] for _, g in some], pa.int64()),
+                "size": pa.array([len(t) + 64 for t, _ in some], pa.int64()),
             })
         groups.clear()
         held = 0
@@ -79,7 +80,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "uid": pa.array(uids, pa.int64()), "rep": pa.array(reps, pa.int64()), "doc_id": pa.array(ids[begin : begin + 2000], pa.int64()),
                 "text_sha256": pa.array(shas, pa.string()), "key": pa.nulls(n, pa.int64()), "body": pa.nulls(n, pa.binary()),
-                "n": pa.nulls(n, pa.int64()), "best": pa.nulls(n, pa.int64()), "best_uid": pa.nulls(n, pa.int64()),
+                "n": pa.nulls(n, pa.int64()), "best": pa.nulls(n, pa.int64()), "best_uid": pa.nulls(n, pa.int64()), "size": pa.nulls(n, pa.int64()),
             })
             if held > HELD:
                 yield from flush()
@@ -133,18 +134,13 @@ class Directory:
 def build_directory(entries: DataFrame, capacity: int = CAPACITY) -> Directory:
     """Counts come to the driver by key prefix: at most 2**STEP for each bucket that is too full."""
     found, bits = Directory(), 0
-    weighed = entries.select("key", (F.octet_length("body") + 64).alias("size"))
+    spark, weighed = entries.sparkSession, entries.select("key", "size")
     while bits < Directory.BITS:
+        full, known = [p for _, p in found.overfull(capacity)], bits  # all as deep as the counts known
         bits = min(Directory.BITS, bits + STEP)
-        full = found.overfull(capacity)
-        prefix = F.shiftright("key", Directory.BITS - bits)
-        counted = weighed.select(prefix.alias("p"), "size")
-        if bits > STEP:
-            inside = [F.col("p").between(p << (bits - d), ((p + 1) << (bits - d)) - 1) for d, p in full]
-            test = inside[0]
-            for x in inside[1:]:
-                test = test | x
-            counted = counted.filter(test)
+        counted = weighed.select(F.shiftright("key", Directory.BITS - bits).alias("p"), F.shiftright("key", Directory.BITS - known).alias("b"), "size")
+        if known:
+            counted = counted.join(spark.createDataFrame([(p,) for p in full], "b bigint"), "b", "left_semi")
         found.grow({r[0]: r[1] for r in counted.groupBy("p").agg(F.sum("size")).toLocalIterator()}, bits, capacity)
         if not found.overfull(capacity):
             break
