@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusweave.llm import decontaminate, language_id, set_dedup, source_mix, token_output
-from locusweave.llm.common import fresh, shared_path
+from locusweave.llm.common import delete_paths, fresh, made_paths, shared_path
 from locusweave.llm.queries import vocabulary
 
 NEAR_SIMILARITY = 0.8
@@ -89,11 +89,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  A stage's intermediate tables are deleted once its result is written; those of the
+    last one stay, as its rows are read when asked for."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read = []
     for number, (name, stage) in enumerate(STAGES):
+        before = set(made_paths())
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             path = shared_path(spark, f"pipeline-{name}")
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            delete_paths(spark, [p for p in made_paths() if p not in before and p != path] + read)
+            docs, read = spark.read.parquet(path), [path]
     return docs
