@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,45 +24,75 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: list[str] = ()) -> DataFrame:
-    """A materialised stage: read if it was finished before, else built and written."""
+def digest_of(*parts: object) -> str:
+    """A short content digest of settings or names."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:12]
+
+
+def input_digest(df: DataFrame) -> str:
+    """Digest of what a table is made from: its columns, its plan, and the names, sizes and times of the files it reads."""
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+    files = df.inputFiles()
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    told = []
+    for f in sorted(files):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        at = p.getFileSystem(conf).getFileStatus(p)
+        told.append((f, at.getLen(), at.getModificationTime()))
+    return digest_of(df.dtypes, plan, told)
+
+
+def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: list[str] = (), key: str = "") -> DataFrame:
+    """A materialised stage: read if it was finished before under the same key (a digest of its input and settings), else built and
+    written."""
+    path = f"{path}-{key}" if key else path
     if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
 
 
 class GeneStore:
-    """A gene table in versions: create, load, add; each version is a folder of its own, so a reader never sees
-    a half-written one."""
+    """A gene table that grows: create, load, add.
+
+    Each addition is a folder part-NNNNNN of its own, with the rows that were not there; nothing is rewritten.  A part counts
+    once its _SUCCESS is there, so a reader never sees a half-written one.  An addition may carry a name (a batch id): the same name is not
+    added twice."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int):
-        self.spark, self.path, self.version = spark, path.rstrip("/"), version
+    def __init__(self, spark: SparkSession, path: str, parts: list[str]):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    @property
+    def version(self) -> int:
+        return len(self.parts) - 1
 
     @classmethod
     def create(cls, genes: DataFrame, path: str) -> GeneStore:
-        self = cls(genes.sparkSession, path, 0)
-        self._write(genes)
-        return self
+        return cls(genes.sparkSession, path, [])._append(genes, None)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> GeneStore:
-        version = 0
-        while exists(spark, f"{path}/v{version + 1}/_SUCCESS"):
-            version += 1
-        return cls(spark, path, version)
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(f.getPath().getName() for f in fs.listStatus(root)) if fs.exists(root) else []
+        return cls(spark, path, [n for n in names if n.startswith("part-") and exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS")])
 
-    def _write(self, genes: DataFrame) -> None:
-        genes.write.mode("overwrite").parquet(f"{self.path}/v{self.version}")
+    def _append(self, rows: DataFrame, batch: str | None) -> GeneStore:
+        name = f"part-{len(self.parts):06d}" + (f"-{batch}" if batch is not None else "")
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return GeneStore(self.spark, self.path, [*self.parts, name])
 
     @property
     def genes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+        """All parts; a part without a column has nulls there."""
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{p}" for p in self.parts])
 
-    def add(self, new: DataFrame) -> GeneStore:
-        merged = append_new(self.genes, new)
-        out = GeneStore(self.spark, self.path, self.version + 1)
-        out._write(merged)
-        return out
+    def add(self, new: DataFrame, batch: str | None = None) -> GeneStore:
+        """The store with the rows of new whose gene_id is not there yet."""
+        if batch is not None and any(p.endswith(f"-{batch}") for p in self.parts):
+            return self
+        rows = new.dropDuplicates(["gene_id"])
+        return self._append(rows.join(self.genes.select("gene_id"), "gene_id", "left_anti") if self.parts else rows, batch)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -69,6 +100,30 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_sqlite(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None, batch: int = 5000) -> None:
+    """Tables in one SQLite file on the driver, streamed partition by partition; nested values become JSON.  keys: columns to
+    index by table.  A table of that name is replaced."""
+    import sqlite3
+
+    kinds = {"string": "TEXT", "double": "REAL", "float": "REAL"}
+    with sqlite3.connect(path) as db:
+        for name, df in tables.items():
+            nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+            flat = df.withColumns({c: F.to_json(c) for c in nested})
+            columns = ", ".join(f'"{c}" {kinds.get(k, "TEXT" if c in nested else "INTEGER")}' for c, k in df.dtypes)
+            db.execute(f'DROP TABLE IF EXISTS "{name}"')
+            db.execute(f'CREATE TABLE "{name}" ({columns})')
+            rows, put = [], f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})'
+            for r in flat.toLocalIterator():
+                rows.append(tuple(r))
+                if len(rows) == batch:
+                    db.executemany(put, rows)
+                    rows = []
+            db.executemany(put, rows)
+            for c in (keys or {}).get(name, []):
+                db.execute(f'CREATE INDEX "{name}_{c}" ON "{name}" ("{c}")')
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink; arrays and maps become JSON."""
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]

@@ -33,24 +33,32 @@ class ChainConfig:
 
 
 def run_chain_pipeline(gene_table: DataFrame, output: str, config: ChainConfig = ChainConfig()) -> DataFrame:
-    """Run all stages and return the one-row summary."""
+    """Run all stages and return the one-row summary.  A stage is read again only if the input and the settings up to it are the same; the
+    folder of a stage carries a digest of both."""
     spark: SparkSession = gene_table.sparkSession
     placed = genes.position_index(genes.fold_vectors(genes.checked(gene_table)))
-    stage = lambda name, build: store.stage(spark, f"{output}/{name}", build)
-    found = stage("anchors", lambda: anchors.cross_genome_anchors(placed, config.k, config.similarity, config.search()))
-    blocks = stage("blocks", lambda: chains.blocks(found, config.max_gap, config.min_size, config.gap_penalty))
-    premerge = stage("premerge", lambda: clusters.cluster_blocks(blocks, config.jaccard, config.mutual_k, config.support))
-    merged, merge_map = clusters.merge_contained(blocks.join(premerge, "block_id"), config.merge_threshold, config.merge_reciprocal)
-    clustered = stage("clustered_blocks", lambda: genes.block_bp_ranges(merged, placed))
+    known: list[object] = [store.input_digest(gene_table)]
+
+    def stage(name: str, build, *settings: object) -> DataFrame:
+        known.append((name, *settings))
+        return store.stage(spark, f"{output}/{name}", build, key=store.digest_of(*known))
+
+    c = config
+    found = stage("anchors", lambda: anchors.cross_genome_anchors(placed, c.k, c.similarity, c.search()), c.k, c.similarity, c.index, c.nprobe)
+    blocks = stage("blocks", lambda: chains.blocks(found, c.max_gap, c.min_size, c.gap_penalty), c.max_gap, c.min_size, c.gap_penalty)
+    premerge = stage("premerge", lambda: clusters.cluster_blocks(blocks, c.jaccard, c.mutual_k, c.support), c.jaccard, c.mutual_k, c.support)
+    merged, merge_map = clusters.merge_contained(blocks.join(premerge, "block_id"), c.merge_threshold, c.merge_reciprocal)
+    clustered = stage("clustered_blocks", lambda: genes.block_bp_ranges(merged, placed), c.merge_threshold, c.merge_reciprocal)
     summary = stage("clusters", lambda: clusters.cluster_summary(clustered))
     merge_map.select(F.col("child").alias("child_cluster"), F.col("parent").alias("merged_into")).write.mode("overwrite").parquet(f"{output}/merge_map")
     store.write_csv(clustered.filter("cluster_id > 0"), f"{output}/blocks_csv")
     store.write_csv(summary, f"{output}/clusters_csv")
-    store.write_tables(architecture.run(clustered, placed, config.min_cluster_size, config.max_slots), f"{output}/architecture")
+    store.write_tables({"blocks": clustered, "cluster_table": summary}, output)
+    store.write_tables(architecture.run(clustered, placed, c.min_cluster_size, c.max_slots), f"{output}/architecture")
     return clusters.run_summary(clustered, summary, placed)
 
 
 def search_locus(locus: DataFrame, gene_table: DataFrame, config: ChainConfig = ChainConfig(), max_results: int = 50) -> DataFrame:
     """Blocks between a locus and all other genomes, best first."""
-    found = chains.blocks(anchors.locus_anchors(locus, gene_table, config.k, config.similarity, config.search()), config.max_gap, config.min_size, config.gap_penalty)
-    return found.orderBy(F.col("chain_score").desc(), "block_id").limit(max_results)
+    near = anchors.locus_anchors(locus, gene_table, config.k, config.similarity, config.search())
+    return chains.blocks(near, config.max_gap, config.min_size, config.gap_penalty).orderBy(F.col("chain_score").desc(), "block_id").limit(max_results)
