@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.operators import graph, tokens
+from locusweave.operators.numbering import numbered_rows
 
 
 def robust_blocks(anchors: DataFrame, block: str, q: str, t: str, spread: float = 3.0, least: int = 3) -> DataFrame:
@@ -18,7 +19,7 @@ def token_clusters(rows: DataFrame, tau: float = 0.3, k: int = 5, ban: float | N
 
     Tokens at or above the document-frequency percentile `ban` are left out; pairs with an IDF-weighted
     Jaccard of tau or more and min_shared tokens that are among each other's k best are edges, edges with too few
-    triangles go; clusters are components (or propagated labels), numbered by size, then least member;
+    triangles go; clusters are components (or modularity communities), numbered by size, then least member;
     documents without an edge get 0."""
     held = rows.select("doc", "token").distinct()
     if ban is not None:
@@ -33,10 +34,9 @@ def token_clusters(rows: DataFrame, tau: float = 0.3, k: int = 5, ban: float | N
     edges = graph.mutual_top_k(pairs, k)
     if triangles:
         edges = graph.triangle_support(edges).filter(F.col("triangles") >= triangles).select("u", "v", "w")
-    nodes = graph.both_ways(edges).select(F.col("u").alias("node")).distinct()
-    named = graph.label_propagation(nodes, edges).withColumnRenamed("label", "root") if communities else graph.connected_components(edges)
+    named = graph.modularity_communities(edges).withColumnRenamed("community", "root") if communities else graph.connected_components(edges)
     sizes = named.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-    ids = sizes.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.col("n").desc(), "first"))).select("root", "cluster_id")
+    ids = numbered_rows(sizes, [-F.col("n"), "first"], "cluster_id", 1).select("root", F.col("cluster_id").cast("int").alias("cluster_id"))
     every = held.select("doc").distinct()
     return every.join(named.join(ids, "root").select(F.col("node").alias("doc"), "cluster_id"), "doc", "left").select("doc", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,27 +115,30 @@ def marker_status(members: DataFrame, markers: list[str], least: int) -> DataFra
     return every.select("block_id", F.when(sides == 2, "both").when(sides == 1, "one").otherwise("none").alias("status"))
 
 
+def _expected_mutual(p: int, q: int, total: int) -> float:
+    """Expected part of the mutual information of one class of p and one of q rows under random labels."""
+    n = np.arange(max(1, p + q - total), min(p, q) + 1)
+    lg = lambda x: np.array([math.lgamma(v + 1) for v in np.atleast_1d(x).tolist()])
+    fixed = lg(p) + lg(q) + lg(total - p) + lg(total - q) - lg(total)
+    chance = np.exp(fixed - lg(n) - lg(p - n) - lg(q - n) - lg(total - p - q + n))
+    return float((n / total * np.log(n * total / (p * q)) * chance).sum())
+
+
 def adjusted_mutual_information(labels: DataFrame, a: str, b: str) -> float:
-    """AMI from the contingency table (its cells come to the driver: labels must be few)."""
-    import math
-
-    cells = {(r[0], r[1]): r[2] for r in labels.groupBy(a, b).count().collect()}
-    rows: dict = {}
-    cols: dict = {}
-    for (x, y), n in cells.items():
-        rows[x], cols[y] = rows.get(x, 0) + n, cols.get(y, 0) + n
-    total = sum(rows.values())
-    entropy = lambda m: -sum(v / total * math.log(v / total) for v in m.values())
-    mutual = sum(n / total * math.log(n * total / (rows[x] * cols[y])) for (x, y), n in cells.items())
-    lg = math.lgamma
-    expected = 0.0
-    for p in rows.values():
-        for q in cols.values():
-            for n in range(max(1, p + q - total), min(p, q) + 1):
-                log_p = lg(p + 1) + lg(q + 1) + lg(total - p + 1) + lg(total - q + 1) - lg(total + 1) - lg(n + 1) - lg(p - n + 1) - lg(q - n + 1) - lg(total - p - q + n + 1)
-                expected += n / total * math.log(n * total / (p * q)) * math.exp(log_p)
-    top = (entropy(rows) + entropy(cols)) / 2
-    return 1.0 if top == expected else (mutual - expected) / (top - expected)
+    """AMI from the contingency table.  Only the numbers of classes of each size come to the driver, at most sqrt(2 rows) a side."""
+    cells = labels.groupBy(a, b).agg(F.count("*").alias("n"))
+    sizes = {c: labels.groupBy(c).agg(F.count("*").alias("size")) for c in (a, b)}
+    total = labels.count()
+    if not total:
+        return 1.0
+    ra, rb = sizes[a].withColumnRenamed("size", "p"), sizes[b].withColumnRenamed("size", "q")
+    met = cells.join(ra, cells[a].eqNullSafe(ra[a])).drop(ra[a]).join(rb, cells[b].eqNullSafe(rb[b]))
+    mutual = met.agg(F.sum(F.col("n") / total * F.log(F.col("n") * F.lit(float(total)) / (F.col("p") * F.col("q"))))).first()[0]
+    hist = {c: {r[0]: r[1] for r in sizes[c].groupBy("size").count().collect()} for c in (a, b)}
+    entropy = lambda c: -sum(k * n / total * math.log(n / total) for n, k in hist[c].items())
+    expected = sum(i * j * _expected_mutual(p, q, total) for p, i in hist[a].items() for q, j in hist[b].items())
+    top = (entropy(a) + entropy(b)) / 2
+    return 1.0 if abs(top - expected) < 1e-15 else (mutual - expected) / (top - expected)
 
 
 def pair_count_check(blocks: DataFrame, expected: dict[str, int], tolerance: float = 0.0) -> DataFrame:

@@ -102,6 +102,31 @@ def merge_assignments(first: DataFrame, second: DataFrame, least: int = 2) -> Da
     return met.select("block_id", F.when(own > 0, own).otherwise(F.coalesce("fill", F.lit(0))).alias("cluster_id"))
 
 
+def having(rows: DataFrame, others: DataFrame, on: dict[str, str]) -> DataFrame:
+    """rows for which some row of others has equal values (row column -> other column)."""
+    asked = others.select(*[F.col(o).alias(c) for c, o in on.items()])
+    return rows.join(asked, list(on), "left_semi")
+
+
+def with_counts(rows: DataFrame, others: DataFrame, key: str, other_key: str, **aggregates: Column) -> DataFrame:
+    """rows with aggregates over the rows of others that have its key; 0 where there are none."""
+    per = others.groupBy(F.col(other_key).alias(key)).agg(*[x.alias(name) for name, x in aggregates.items()])
+    return rows.join(per, key, "left").na.fill(0, list(aggregates))
+
+
+def star_join(facts: DataFrame, *dimensions: tuple[DataFrame, str, str]) -> DataFrame:
+    """facts joined with dimensions (table, column there, its key) one after another; the planner broadcasts those that are small."""
+    for table, column, key in dimensions:
+        facts = facts.join(table, facts[column] == table[key])
+    return facts
+
+
+def top_per_group(rows: DataFrame, group: str, by: str, tie: str, n: int) -> DataFrame:
+    """The n rows of greatest `by` of each group, of equal ones those with the smaller tie."""
+    order = Window.partitionBy(group).orderBy(F.col(by).desc(), tie)
+    return rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k")
+
+
 def cluster_type(mean_length: str | None = None, size: str | None = None) -> Column:
     """Cluster type by mean length (as blocks) or by size (above 100, above 1000)."""
     if mean_length is not None:

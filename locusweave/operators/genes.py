@@ -38,6 +38,19 @@ def position_index(genes: DataFrame) -> DataFrame:
     return genes.withColumn("position_index", F.row_number().over(order) - 1)
 
 
+def ordinal(rows: DataFrame, key: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """rows with their 0-based place within the key."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+
+
+def genes_by_ordinal(genes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Genes between the ordinals of ranges(range_id, sample_id, contig_id, offset, size) of their contig: the fallback where a range names
+    places, not genes."""
+    placed = ordinal(genes, ["sample_id", "contig_id"], ["start", "gene_id"], "pos")
+    spans = ranges.select("range_id", "sample_id", "contig_id", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("size") - 1)).alias("pos")).filter("size > 0")
+    return spans.join(placed.select("sample_id", "contig_id", "pos", "gene_id"), ["sample_id", "contig_id", "pos"]).select("range_id", "gene_id", "pos")
+
+
 def from_embeddings(vectors: DataFrame) -> DataFrame:
     """The genes view of embeddings(vec_id, embedding, label)."""
     return position_index(

@@ -151,8 +151,8 @@ def attach_sinks(sink: DataFrame, members: DataFrame, containment: float = 0.5,
     return ranked.filter((F.col("held") >= containment) & (F.col("shared") >= least) & (F.col("held") - F.col("next") >= margin)).select("block_id", "cluster_id", "held")
 
 
-def pca(vectors: DataFrame, dim: int, vector: str = "emb", whiten: bool = False, shrink: float = 0.0):
-    """(mean, components, explained share) from distributed sums of x and x x^T."""
+def covariance(vectors: DataFrame, vector: str = "emb") -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, covariance) from distributed sums of x and x x^T."""
 
     def partial(batches):
         total, outer, n = 0.0, 0.0, 0
@@ -164,11 +164,38 @@ def pca(vectors: DataFrame, dim: int, vector: str = "emb", whiten: bool = False,
             yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat})
 
     rows = vectors.select(F.col(vector).alias("_v")).mapInPandas(partial, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
-    n = rows[0]
-    d = int(round((-1 + np.sqrt(1 + 4 * (len(rows) - 1))) / 2))
-    mean, cov = rows[1 : d + 1] / n, rows[d + 1 :].reshape(d, d) / n
-    cov = cov - np.outer(mean, mean)
-    cov = (1 - shrink) * cov + shrink * np.eye(d) * np.trace(cov) / d
+    n = rows[0] if len(rows) else 0
+    d = int(round((-1 + np.sqrt(1 + 4 * max(0, len(rows) - 1))) / 2))
+    mean = rows[1 : d + 1] / max(n, 1)
+    return int(n), mean, rows[d + 1 :].reshape(d, d) / max(n, 1) - np.outer(mean, mean)
+
+
+def ledoit_wolf(vectors: DataFrame, vector: str = "emb") -> float:
+    """Shrinkage of the covariance towards a multiple of the identity that minimises the expected squared error (Ledoit and Wolf):
+    one pass for the covariance, one for the fourth powers of the centred norms."""
+    n, mean, cov = covariance(vectors, vector)
+    if not n:
+        return 0.0
+    d = len(mean)
+
+    def fourth(batches):
+        for pdf in batches:
+            x = np.vstack(pdf["_v"].to_numpy()).astype(float) - mean
+            yield pd.DataFrame({"s": [float(((x**2).sum(axis=1) ** 2).sum())]})
+
+    total = vectors.select(F.col(vector).alias("_v")).mapInPandas(fourth, "s double").agg(F.sum("s")).first()[0]
+    spread = (cov**2).sum()
+    noise = (total / n - spread) / (d * n)
+    gap = (spread - np.trace(cov) ** 2 / d) / d
+    return float(min(noise, gap) / gap) if gap > 0 else 0.0
+
+
+def pca(vectors: DataFrame, dim: int, vector: str = "emb", whiten: bool = False, shrink: float | str = 0.0):
+    """(mean, components, explained share); shrink: a share or "auto" for the Ledoit-Wolf estimate."""
+    _, mean, cov = covariance(vectors, vector)
+    d = len(mean)
+    share = ledoit_wolf(vectors, vector) if shrink == "auto" else float(shrink)
+    cov = (1 - share) * cov + share * np.eye(d) * np.trace(cov) / max(d, 1)
     value, vec = np.linalg.eigh(cov)
     order = np.argsort(value)[::-1][:dim]
     comp = vec[:, order].T
@@ -178,6 +205,20 @@ def pca(vectors: DataFrame, dim: int, vector: str = "emb", whiten: bool = False,
     return mean, comp, value[order] / value.sum()
 
 
+def optimised_rotation(vectors: DataFrame, rounds: int = 6, vector: str = "emb") -> np.ndarray:
+    """Rotation that lowers the error of product quantisation (OPQ): on a bounded sample, codes of the rotated vectors and the
+    orthogonal matrix that brings the vectors closest to their decoded codes take turns.  Rotate with `project`, mean 0."""
+    from locusweave.operators.anchors import ProductCode, _sample
+
+    x = _sample(vectors.select(F.monotonically_increasing_id().alias("id"), F.col(vector).alias("v"))).astype(float)
+    turn = np.eye(x.shape[1])
+    for _ in range(rounds):
+        code = ProductCode(x @ turn.T, 4)
+        u, _, vt = np.linalg.svd(code.decode(code.encode(x @ turn.T)).T @ x)
+        turn = u @ vt
+    return turn
+
+
 def project(vectors: DataFrame, mean: np.ndarray, comp: np.ndarray, vector: str = "emb") -> DataFrame:
     """vectors with the vector column projected, centred and of unit norm."""
 
@@ -199,6 +240,5 @@ def drop_top_components(vectors: DataFrame, n: int, vector: str = "emb") -> Data
 
 def standardised(vectors: DataFrame, vector: str = "emb") -> DataFrame:
     """Each dimension centred and divided by its deviation (from distributed sums), unit norm."""
-    mean, comp, share = pca(vectors, 1 << 30, vector)
-    var = vectors.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
-    return project(vectors, mean, np.diag(1 / np.sqrt(np.maximum(var, 1e-12))), vector)
+    _, mean, cov = covariance(vectors, vector)
+    return project(vectors, mean, np.diag(1 / np.sqrt(np.maximum(np.diag(cov), 1e-12))), vector)

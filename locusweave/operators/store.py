@@ -127,7 +127,7 @@ def write_sqlite(tables: dict[str, DataFrame], path: str, keys: dict[str, list[s
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV sink; arrays and maps become JSON."""
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 class Manifest:

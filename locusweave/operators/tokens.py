@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.functions.expr import fixed
@@ -123,6 +123,39 @@ def consensus(seq: DataFrame, block: str, at: str, strand: str, token: str = "to
     return told.filter(F.col("coverage") >= min_coverage).withColumn("color", F.concat(F.lit("#"), F.substring(F.md5(F.col(token)), 1, 6))).drop("n_blocks")
 
 
+def family(token: str) -> Column:
+    """The family of a ribosomal subunit name (Ribosomal_L5_C counts as Ribosomal_L5); other names stay."""
+    found = F.regexp_extract(token, r"(?i)^(Ribosomal_[LS][0-9]+)", 1)
+    return F.when(found != "", found).otherwise(F.col(token))
+
+
+def cluster_consensus(seq: DataFrame, cluster: str, block: str, at: str, strand: str, token: str = "token", min_coverage: float = 0.7, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Consensus of each cluster over all domains of its genes: (tokens, neighbouring pairs).
+
+    seq: (cluster, block, at, strand, token).  Runs of a token are one occurrence; places and strands are averaged over all of them;
+    tokens in at least min_coverage of the cluster's blocks stay, the first `most` by mean place; pairs follow that order, with the
+    blocks that hold both and the share of those in which the first places have the same strand."""
+    rows = seq.withColumn(token, family(token)).filter(F.col(token) != "").withColumn(strand, F.coalesce(strand, F.lit(1)))
+    order = Window.partitionBy(cluster, block).orderBy(at, token)
+    runs = rows.withColumn("_before", F.lag(token).over(order)).filter(F.col("_before").isNull() | (F.col("_before") != F.col(token)))
+    n = F.count("*").over(Window.partitionBy(cluster, block))
+    placed = runs.withColumn("_i", F.row_number().over(order) - 1).withColumn("_place", F.when(n > 1, F.col("_i") / (n - 1)).otherwise(0.0))
+    placed = cut(placed.select(cluster, block, token, strand, "_i", "_place"))
+    blocks = placed.groupBy(cluster).agg(F.countDistinct(block).alias("n_blocks"))
+    told = placed.groupBy(cluster, token).agg(
+        F.countDistinct(block).alias("df"), F.count("*").alias("n_occ"), F.avg("_place").alias("mean_pos"), F.avg((F.col(strand) >= 0).cast("int")).alias("fwd_frac")
+    )
+    told = told.join(blocks, cluster).withColumn("coverage", F.col("df") / F.col("n_blocks")).filter(F.col("coverage") >= min_coverage).drop("n_blocks")
+    by_place = Window.partitionBy(cluster).orderBy("mean_pos", token)
+    told = told.withColumn("rank", F.row_number().over(by_place)).filter(F.col("rank") <= most)
+    told = cut(told.withColumn("color", F.concat(F.lit("#"), F.substring(F.md5(F.col(token)), 1, 6))))
+    pairs = told.select(cluster, "rank", token, F.lead(token).over(Window.partitionBy(cluster).orderBy("rank")).alias("next_token")).filter("next_token IS NOT NULL")
+    first = placed.groupBy(cluster, block, token).agg((F.min_by(strand, "_i") >= 0).alias("_s"))
+    met = pairs.join(first, [cluster, token]).join(first.withColumnsRenamed({token: "next_token", "_s": "_next_s"}), [cluster, block, "next_token"])
+    held = met.groupBy(cluster, "rank", token, "next_token").agg(F.count("*").alias("support"), F.avg((F.col("_s") == F.col("_next_s")).cast("int")).alias("same_frac"))
+    return told, held
+
+
 def adjacent_pairs(seq: DataFrame, block: str, at: str, strand: str, token: str = "token") -> DataFrame:
     """Neighbouring tokens: support and share on the same strand."""
     order = Window.partitionBy(block).orderBy(at)

@@ -80,10 +80,16 @@ def w1_position_index(spark, sf_dir):
     return genes_view(spark, sf_dir).select("sample_id", "contig_id", "gene_id", "position_index")
 
 
+@query(f"WITH {GENES} SELECT a.vec_id AS range_id, g.gene_id, g.position_index AS pos FROM embeddings a JOIN genes x ON x.gene_id = 'v' || a.vec_id JOIN genes g ON g.sample_id = x.sample_id AND g.contig_id = x.contig_id AND g.position_index BETWEEN x.position_index // 2 AND x.position_index // 2 + 2")
+def j9_genes_by_ordinal(spark, sf_dir):
+    every = genes_view(spark, sf_dir)
+    asked = every.select(F.substring("gene_id", 2, 20).cast("bigint").alias("range_id"), "sample_id", "contig_id", F.floor(F.col("position_index") / 2).cast("int").alias("offset"), F.lit(3).alias("size"))
+    return genes.genes_by_ordinal(every, asked)
+
+
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ordinal FROM events")
 def w1_event_ordinal(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(order) - 1).alias("ordinal"))
+    return genes.ordinal(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
 @query(f"SELECT vec_id, {r('sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)))', 6)} AS norm FROM embeddings")
@@ -813,27 +819,27 @@ def u5_merge_assignments(spark, sf_dir):
     SELECT cluster_id, block_id, score FROM c WHERE k <= 3"""
 )
 def t4_top_n_per_cluster(spark, sf_dir):
-    order = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    rows = table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(order)).filter("k <= 3")
+    rows = explorer.top_per_group(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey", 3)
     return rows.select(F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").alias("block_id"), F.col("o_totalprice").alias("score"))
 
 
 @query("SELECT x.o_orderkey, x.o_custkey FROM orders x WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = x.o_orderkey AND l_returnflag = 'R')")
 def j13_exists_semi_join(spark, sf_dir):
-    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(returned, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    return explorer.having(table(spark, sf_dir, "orders"), returned, {"o_orderkey": "l_orderkey"}).select("o_orderkey", "o_custkey")
 
 
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, coalesce((SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey), 0) AS top_price FROM customer")
 def j14_scalar_counts(spark, sf_dir):
-    per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("top_price"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(per, "c_custkey", "left").na.fill(0, ["n_orders", "top_price"])
+    customers, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
+    return explorer.with_counts(customers, orders, "c_custkey", "o_custkey", n_orders=F.count("*"), top_price=F.max("o_totalprice"))
 
 
 @query("SELECT r_name, n_name, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2")
 def j15_star_join(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    rows = rows.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    t = lambda name: table(spark, sf_dir, name)
+    lines = t("lineitem").select("l_suppkey", "l_partkey")
+    rows = explorer.star_join(lines, (t("supplier"), "l_suppkey", "s_suppkey"), (t("nation"), "s_nationkey", "n_nationkey"), (t("region"), "n_regionkey", "r_regionkey"))
     return rows.groupBy("r_name", "n_name").agg(F.count("*").alias("n_lines"), F.countDistinct("l_partkey").alias("n_parts"))
 
 

@@ -5,12 +5,15 @@ Text formats are read by Spark with a record delimiter, so a file of any size sp
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusweave.functions.expr import contig_of_gene, gc_fraction, reverse_complement, translate_to_stop
 from locusweave.operators.genes import checked, fold_vectors
+from locusweave.operators.graph import checkpoint_folder
 
 ID_COLUMNS = ("gene_id", "protein_id", "id")
 ACCESSION_COLUMNS = ("accession", "name", "annotation_id")
@@ -158,7 +161,7 @@ def collinearity(spark: SparkSession, path: str) -> DataFrame:
 
 def block_csv(spark: SparkSession, path: str) -> DataFrame:
     """Blocks written as CSV, in any of three layouts that their columns tell apart."""
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
     names = set(rows.columns)
     if "query_anchor_genes" in names:
         lists = {c: F.from_json(c, "array<string>") for c in ("query_anchor_genes", "target_anchor_genes")}
@@ -171,7 +174,7 @@ def block_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def cluster_csv(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
     """Clusters that have blocks."""
-    rows = spark.read.option("header", True).csv(path).withColumn("cluster_id", F.col("cluster_id").cast("int"))
+    rows = spark.read.option("header", True).option("escape", '"').csv(path).withColumn("cluster_id", F.col("cluster_id").cast("int"))
     return rows.join(blocks.select(F.col("cluster_id").cast("int").alias("cluster_id")), "cluster_id", "left_semi")
 
 
@@ -181,14 +184,27 @@ def landscape(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     return rows.limit(limit) if limit else rows
 
 
-def duckdb_proteins(spark: SparkSession, path: str) -> DataFrame:
-    """Proteins of a DuckDB file (driver-side read, for single-file exports)."""
+def _streamed(spark: SparkSession, path: str, sql: str, rows: int = 200_000) -> DataFrame:
+    """Result of a query on a DuckDB file, batch by batch through the driver into Parquet in the shared folder."""
     import duckdb
+    import pyarrow as pa
 
+    out = f"{checkpoint_folder(spark)}/duckdb-{uuid.uuid4().hex}"
     with duckdb.connect(path, read_only=True) as con:
-        rows = con.execute("SELECT protein_id, contig_id, bin_id, start, end_coord, strand FROM proteins").fetchdf()
-    df = spark.createDataFrame(rows).withColumnsRenamed({"protein_id": "gene_id", "bin_id": "sample_id", "end_coord": "end"})
-    return df.withColumn("strand", F.when(F.col("strand") == "-", -1).otherwise(1))
+        reader = con.sql(sql).to_arrow_reader(rows)
+        empty = True
+        for batch in reader:
+            spark.createDataFrame(pa.Table.from_batches([batch])).write.mode("append").parquet(out)
+            empty = False
+        if empty:
+            spark.createDataFrame(reader.schema.empty_table()).write.parquet(out)
+    return spark.read.parquet(out)
+
+
+def duckdb_proteins(spark: SparkSession, path: str) -> DataFrame:
+    """Proteins of a DuckDB file; the strand - is -1."""
+    df = _streamed(spark, path, "SELECT protein_id AS gene_id, contig_id, bin_id AS sample_id, start, end_coord AS \"end\", CAST(strand AS VARCHAR) AS strand FROM proteins")
+    return df.withColumn("strand", F.when(F.col("strand").startswith("-"), -1).otherwise(1))
 
 
 def duckdb_annotations(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
@@ -197,19 +213,42 @@ def duckdb_annotations(spark: SparkSession, path: str, source: str | None = None
 
     with duckdb.connect(path, read_only=True) as con:
         have = [r[0] for r in con.execute("SELECT column_name FROM information_schema.columns WHERE table_name = 'annotations'").fetchall()]
-        accession = next((c for c in ACCESSION_COLUMNS if c in have), "NULL")
-        more = ", ".join(c if c in have else f"CAST(NULL AS {t}) AS {c}" for c, t in (("description", "VARCHAR"), ("evalue", "DOUBLE"), ("score", "DOUBLE")))
-        rows = con.execute(f"SELECT protein_id, source, {accession} AS accession, {more} FROM annotations").fetchall()
-    df = spark.createDataFrame(rows, "protein_id string, source string, accession string, description string, evalue double, score double")
+    accession = next((c for c in ACCESSION_COLUMNS if c in have), "NULL")
+    more = ", ".join(f"CAST({c if c in have else 'NULL'} AS {t}) AS {c}" for c, t in (("description", "VARCHAR"), ("evalue", "DOUBLE"), ("score", "DOUBLE")))
+    df = _streamed(spark, path, f"SELECT CAST(protein_id AS VARCHAR) AS protein_id, CAST(source AS VARCHAR) AS source, CAST({accession} AS VARCHAR) AS accession, {more} FROM annotations")
     return df.filter(F.col("source") == source) if source else df
 
 
-def vectors_npy(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
-    import numpy as np
+VECTOR_NAMES, VECTOR_IDS = ("embeddings", "emb", "vectors", "X"), ("gene_ids", "protein_ids", "ids", "names")
 
-    x = np.load(path)
-    ids = ids or [str(i) for i in range(len(x))]
-    return spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, x.astype("float32"))], "gene_id string, emb array<float>")
+
+def vector_files(folder: str) -> list[str]:
+    """Candidate vector files of a local folder, by name."""
+    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith((".npy", ".npz")))
+
+
+def vectors_npy(spark: SparkSession, path: str, ids: list[str] | None = None, rows: int = 100_000) -> DataFrame:
+    """(gene_id, emb) of a .npy matrix (read piece by piece from a memory map) or an .npz archive, whose matrix and ids are found by name or, failing
+    that, by their shape; rows without ids are numbered."""
+    import numpy as np
+    import pyarrow as pa
+
+    x = np.load(path, mmap_mode="r")
+    if path.endswith(".npz"):
+        held = {k: x[k] for k in x.files}
+        name = next((k for k in VECTOR_NAMES if k in held), None) or next((k for k, v in held.items() if v.ndim == 2), None)
+        if name is None:
+            raise ValueError(f"{path} holds no matrix")
+        known = next((k for k in VECTOR_IDS if k in held), None)
+        x, ids = held[name], ids or (list(map(str, held[known])) if known else None)
+    out = None
+    for i in range(0, max(1, len(x)), rows):
+        some = np.ascontiguousarray(x[i : i + rows], np.float32)
+        names = ids[i : i + rows] if ids else [str(j) for j in range(i, i + len(some))]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * some.shape[1], pa.int32()), pa.array(some.ravel()))
+        part = spark.createDataFrame(pa.table({"gene_id": pa.array(names, pa.string()), "emb": lists}))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def embeddings_h5(spark: SparkSession, path: str) -> DataFrame:
