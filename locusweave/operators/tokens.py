@@ -9,6 +9,9 @@ from locusweave.functions.expr import fixed
 from locusweave.operators.graph import cut
 
 
+PREFIX_FROM = 0.5  # similarity from which on documents meet by prefixes
+
+
 def explode_list(df: DataFrame, column: str, sep: str, to: str = "token") -> DataFrame:
     """A row per non-empty trimmed entry of a separated list."""
     return df.withColumn(to, F.explode(F.split(column, sep))).withColumn(to, F.trim(to)).filter(F.col(to) != "")
@@ -66,9 +69,9 @@ def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_ma
     join anything and weigh only in the totals, df_max leaves out frequent ones.  among(doc) names the documents to compare, all count for
     the frequencies.
 
-    With tau above 0 only tokens of a document's prefix are joined: rarest first, up to the point from which on the rest
-    weighs less than tau of the whole.  Pairs of similarity tau share one of them, so none is lost, and what all documents hold
-    joins nothing; the shared weight of candidates is then summed exactly."""
+    From PREFIX_FROM on (below, the prefix is most of a document) only tokens of a document's prefix are joined: rarest first, up to the point from which on the rest
+    weighs less than a pair must share.  Pairs of similarity tau share one of them, so none is lost; the higher tau, the rarer the tokens
+    that are joined at all; the shared weight of candidates is then summed exactly."""
     rows = cut(tokens.select(F.col(doc).alias("doc"), "token").distinct())  # read four times below
     n = rows.agg(F.countDistinct("doc").alias("n"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
@@ -77,13 +80,16 @@ def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_ma
     weighed = rows.join(df, "token").crossJoin(F.broadcast(n)).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
     total = weighed.groupBy("doc").agg(F.sum("idf").alias("total"))
     index = weighed.filter(F.col("df") >= df_min)
-    if tau > 0:
+    if tau >= PREFIX_FROM:
         weighed = cut(weighed.select("doc", "token", "df", "idf"))
+        total = cut(weighed.groupBy("doc").agg(F.sum("idf").alias("total")))
         rest = Window.partitionBy("doc").orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        whole = F.sum("idf").over(Window.partitionBy("doc"))
-        lead = weighed.withColumn("_rest", F.sum("idf").over(rest)).withColumn("_all", whole)
-        lead = lead.filter((F.col("_rest") >= tau * F.col("_all") - 1e-9) & (F.col("df") >= df_min))
-        near = lead.select("token", F.col("doc").alias("a")).join(lead.select("token", F.col("doc").alias("b")), "token").filter("a < b").select("a", "b").distinct()
+        lead = weighed.withColumn("_rest", F.sum("idf").over(rest)).join(total, "doc").filter((F.col("_rest") >= tau * F.col("total") - 1e-9) & (F.col("df") >= df_min))
+        # The lighter of two documents shares 2 tau / (1 + tau) of its weight or more, the heavier one tau; weights differ by tau at most.
+        light = lead.filter(F.col("_rest") >= 2 * tau / (1 + tau) * F.col("total") - 1e-9).select("token", F.col("doc").alias("b"), F.col("total").alias("tb"))
+        met = lead.select("token", F.col("doc").alias("a"), F.col("total").alias("ta")).join(light, "token")
+        met = met.filter((F.col("a") != F.col("b")) & (F.col("tb") <= F.col("ta")) & (F.col("tb") >= tau * F.col("ta") - 1e-9))
+        near = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         index = weighed.filter(F.col("df") >= df_min)
         met = near.join(index.select(F.col("doc").alias("a"), "token", "idf"), "a").join(index.select(F.col("doc").alias("b"), "token"), ["b", "token"])
     else:

@@ -550,14 +550,14 @@ def document_tokens(spark, sf_dir) -> DataFrame:
     sets AS (SELECT doc, list_sort(list(token)) AS l FROM tok GROUP BY 1), reps AS (SELECT min(doc) AS doc, count(*) AS size FROM sets GROUP BY l),
     w AS (SELECT doc, size, tok.token, ln(1 + n / df) AS idf FROM tok JOIN reps USING (doc) JOIN df USING (token) CROSS JOIN n),
     t AS (SELECT doc, size, sum(idf) AS total FROM w GROUP BY 1, 2), s AS (SELECT a.doc AS a, b.doc AS b, sum(a.idf) AS shared FROM w a JOIN w b ON a.token = b.token AND a.doc < b.doc GROUP BY 1, 2)
-    SELECT a, b, x.size AS size_a, y.size AS size_b, {r('shared / (x.total + y.total - shared)')} AS jaccard FROM s JOIN t x ON x.doc = a JOIN t y ON y.doc = b WHERE shared / (x.total + y.total - shared) >= 0.3"""
+    SELECT a, b, x.size AS size_a, y.size AS size_b, {r('shared / (x.total + y.total - shared)')} AS jaccard FROM s JOIN t x ON x.doc = a JOIN t y ON y.doc = b WHERE shared / (x.total + y.total - shared) >= 0.8"""
 )
 def j18_idf_weighted_jaccard(spark, sf_dir):
-    """Pairs of different token sets, each named by its least document, with the number of documents that have it."""
-    held = document_tokens(spark, sf_dir)
-    classes = tokens.set_classes(held)
+    """Pairs of different token sets of similarity 0.8 or more, each named by its least document, with the number of documents that have it."""
+    held = graph.cut(document_tokens(spark, sf_dir))
+    classes = graph.cut(tokens.set_classes(held))
     reps = classes.filter("doc = rep").select("doc", "size")
-    pairs = tokens.weighted_jaccard(held, tau=0.3, among=reps).withColumn("jaccard", X.fixed("jaccard"))
+    pairs = tokens.weighted_jaccard(held, tau=0.8, among=reps).withColumn("jaccard", X.fixed("jaccard"))
     size = lambda side: reps.select(F.col("doc").alias(side), F.col("size").alias(f"size_{side}"))
     return pairs.join(size("a"), "a").join(size("b"), "b")
 
