@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts, per_table, small_batches, sorted_groups
+from locusweave.llm.common import as_bytes, estimated_bytes, give_back, materialize, parts, per_table, small_batches, sorted_groups
 from locusweave.llm.simhash_dedup import _majority, close_pairs
 from locusweave.llm.words import mix
 from locusweave.operators.graph import connected_components
@@ -147,6 +147,7 @@ def _tiles(dealt: DataFrame, size: int, similarity: float) -> DataFrame:
             sh = done["sh"] if large else pa.nulls(done.num_rows, pa.binary())
             out = pa.table([done["root"], done["t"], done["node"], done["fp"], sh, done["label"], done["known"]], names=["root", "t", "node", "fp", "sh", "label", "known"])
             yield from out.combine_chunks().to_batches(max_chunksize=1024)
+        give_back()
 
     dealt = dealt.select("root", "t", "tile", "part", "node", "fp", "sh", "known", "side")
     dealt = dealt.repartition(size, "root", "tile", "part").sortWithinPartitions("root", "tile", "part")

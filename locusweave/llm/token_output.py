@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import estimated_bytes, parts, shared_path, small_batches
+from locusweave.llm.common import estimated_bytes, give_back, parts, shared_path, small_batches
 from locusweave.llm.words import word_spans
 
 PARQUET = {
@@ -202,6 +202,7 @@ def write_tokens(
                     "part": pa.array(np.full(len(blobs), part, np.int32)), "doc_id": batch.column(0), "local_start": pa.array(starts),
                     "n_tokens": pa.array(size), "token_ids": pa.ListArray.from_arrays(offsets, ids),
                 })
+        give_back()
 
     dealt.mapInArrow(
         run, "part int, doc_id bigint, local_start bigint, n_tokens bigint, token_ids array<int>"
