@@ -22,6 +22,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def repeat_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat at 20 words, 40, 80, ... until none is left."""
+    return substring_dedup.longest_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -83,7 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_exact_dedup, op4_pii, op5_source_mix, op6_decontaminate,
-        op7_license_scan, op8_simhash_dedup, op9_chat_format, op10_token_output, pii_base_spans, source_targets,
+        op7_license_scan, op8_simhash_dedup, op9_chat_format, op10_token_output, pii_base_spans, repeat_levels, source_targets,
     )
 }
 

@@ -10,7 +10,8 @@ Each bucket reports a star per local component, never all pairs of a group.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Repeated
 rows share a fingerprint.  Rows with a null doc_id link others and get the component
-of their fingerprint.  Extra columns are ignored; an empty table gives no rows."""
+of their fingerprint.  Ties do not arise: the least doc_id names a component.  A very long text is one list of its shingles'
+hashes (8 bytes a word, the words as Python strings beside).  Extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -12,7 +12,8 @@ out too many blocks gives each party its first seats, one that can't hand out to
 bounds its last, and only the few quotients between are ranked.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own,
-last in order; repeated rows count each; an empty table gives no rows."""
+last in order; repeated rows count each (equal rows tie in the seeded order and share one place); a very long text is only
+counted; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 

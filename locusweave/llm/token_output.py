@@ -8,8 +8,9 @@ columns or of a doc_id range touches few pages.  Start positions of whole docume
 come from the sums of the parts, which are read from the narrow columns only.
 
 A null text counts as empty (its row holds the end id alone).  Rows with the same
-doc_id follow each other in order of their text.  Extra columns are ignored; an empty table gives no
-rows."""
+doc_id follow each other in order of their text; they lie in one part, as their ids must follow each other, and so do all rows
+without one.  A very long text is encoded whole and is one row.  Extra columns are ignored; an empty table gives no
+rows.  The starts of the parts are summed in one task: one row for each written file."""
 
 from __future__ import annotations
 

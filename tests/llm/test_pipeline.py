@@ -43,6 +43,11 @@ def test_decontamination_stage(spark, docs, tmp_path):
     assert {r.doc_id for r in docs.exceptAll(out).collect()} == {9} and out.count() == docs.count() - 1
 
 
+def test_decontamination_stage_without_items(spark, docs, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_mixing_stage(spark, docs, sf_dir):
     from locusweave.llm import source_mix
 
