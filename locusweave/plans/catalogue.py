@@ -14,7 +14,7 @@ from locusweave.functions import expr as X
 from locusweave.operators import anchors as A
 from locusweave.operators import architecture, chains, clusters, communities, evaluation, explorer, genes, graph, intervals, regions, shingles, statistics, store, tokens
 from locusweave.plans import pipeline
-from locusweave.plans.chain_sql import blocks_sql, chains_sql, clusters_sql, components_sql, loci_sql, merged_sql
+from locusweave.plans.chain_sql import blocks_sql, chains_sql, clusters_sql, components_sql, loci_sql, merged_sql, slot_rows_sql, slots_sql
 
 TAU = 0.2
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -241,7 +241,7 @@ def a6_run_summary(spark, sf_dir):
 
 def _architecture(name: str, key: str, sql: str | None = None):
     def run(spark, sf_dir):
-        return architecture.run(clustered_blocks(spark, sf_dir), genes_view(spark, sf_dir))[name]
+        return architecture.run(clustered_blocks(spark, sf_dir), genes_view(spark, sf_dir), tables=(name,))[name]
 
     run.__name__ = key
     return query(sql)(run)
@@ -259,7 +259,21 @@ w11_references = _architecture(
     f"""WITH RECURSIVE {loci_sql(ANCHORS)}, k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY support DESC, n_genes DESC, locus_id) AS k FROM loci)
     SELECT cluster_id, locus_id AS ref_locus, n_genes AS ref_genes FROM k WHERE k = 1""",
 )
-g10_slots, a9_slots, a11_arch = _architecture("assignments", "g10_slot_assignments"), _architecture("slots", "a9_slot_summary"), _architecture("architecture", "a11_architecture")
+a9_slots = _architecture("slots", "a9_slot_summary", f"WITH RECURSIVE {slot_rows_sql(ANCHORS)} SELECT * FROM slots")
+a11_arch = _architecture(
+    "architecture", "a11_architecture",
+    f"""WITH RECURSIVE {slot_rows_sql(ANCHORS)}, x AS (SELECT cluster_id, count(*) FILTER (is_insertion) AS n_insertions, count(DISTINCT locus_id) AS n_loci FROM assigned GROUP BY 1),
+    a AS (SELECT cluster_id, count(*) AS n_slots, count(*) FILTER (is_core) AS n_core, sum(CAST(round(occupancy * 1000) AS BIGINT)) / (1000 * count(*)) AS mean, count(*) FILTER (n_types > 1) AS n_hotspots FROM slots GROUP BY 1),
+    c AS (SELECT *, round_even(n_core / n_slots * mean, 4) AS coherence FROM a JOIN x USING (cluster_id))
+    SELECT cluster_id, n_slots, n_core, {r('mean')} AS mean_occupancy, n_hotspots, n_insertions, n_loci, coherence,
+      CASE WHEN coherence >= 0.7 AND n_hotspots = 0 THEN 'coherent' WHEN n_hotspots > 0 THEN 'variable' WHEN coherence >= 0.4 THEN 'moderate' ELSE 'fragmented' END AS label FROM c""",
+)
+
+
+@query(f"WITH RECURSIVE {slots_sql(ANCHORS)} SELECT cluster_id, locus_id, gene_id, position_index, slot, {r('similarity')} AS similarity, is_insertion FROM assigned")
+def g10_slot_assignments(spark, sf_dir):
+    found = architecture.run(clustered_blocks(spark, sf_dir), genes_view(spark, sf_dir), tables=("assignments",))["assignments"]
+    return found.withColumn("similarity", X.fixed("similarity"))
 
 
 @query()

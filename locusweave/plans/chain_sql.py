@@ -104,3 +104,43 @@ def loci_sql(anchors: str) -> str:
     loci AS (SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY genome, contig, a) - 1 AS locus_id, genome, contig, a AS start, b AS "end", b - a + 1 AS n_genes, support,
       CASE WHEN turn >= 0 THEN 1 ELSE -1 END AS orientation FROM (SELECT isl.cluster_id, isl.genome, isl.contig, a, b, count(*) AS support, sum(orientation) AS turn
         FROM isl JOIN chosen c ON c.cluster_id = isl.cluster_id AND c.genome = isl.genome AND c.contig = isl.contig AND c.s <= b AND a <= c.e GROUP BY ALL))"""
+
+
+def slots_sql(anchors: str) -> str:
+    """CTEs lg (genes of loci in order along the reference) and assigned: each locus aligned with its cluster's reference, row by row of the
+    table of best totals (a running maximum), then read back from its end."""
+    return f"""{loci_sql(anchors)},
+    ref AS (SELECT cluster_id, locus_id AS ref_locus FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY support DESC, n_genes DESC, locus_id) AS k FROM loci) WHERE k = 1 AND n_genes <= 50),
+    lg AS (SELECT l.cluster_id, l.locus_id, ref_locus, g.gene_id, g.position_index, g.emb,
+      row_number() OVER (PARTITION BY l.cluster_id, l.locus_id ORDER BY CASE WHEN l.orientation >= 0 THEN g.position_index ELSE -g.position_index END) AS i
+      FROM loci l JOIN ref USING (cluster_id) JOIN genes g ON g.sample_id = l.genome AND g.contig_id = l.contig AND g.position_index BETWEEN l.start AND l."end"),
+    worth AS (SELECT a.cluster_id, a.locus_id, a.i, list(list_cosine_similarity(a.emb, b.emb) ORDER BY b.i) AS s,
+      list(CASE WHEN list_cosine_similarity(a.emb, b.emb) >= 0.3 THEN list_cosine_similarity(a.emb, b.emb) ELSE CAST('-infinity' AS DOUBLE) END ORDER BY b.i) AS w
+      FROM lg a JOIN lg b ON b.cluster_id = a.cluster_id AND b.locus_id = a.ref_locus WHERE a.locus_id <> a.ref_locus GROUP BY 1, 2, 3),
+    fill(cluster_id, locus_id, i, best) AS (SELECT cluster_id, locus_id, CAST(0 AS BIGINT), list_transform(list_prepend(0.0, any_value(w)), lambda x: CAST(0 AS DOUBLE)) FROM worth GROUP BY 1, 2
+      UNION ALL SELECT w.cluster_id, w.locus_id, w.i, list_prepend(CAST(0 AS DOUBLE), list_transform(range(1, len(w.w) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda x: greatest(f.best[x + 1], f.best[x] + w.w[x])))))
+      FROM fill f JOIN worth w ON w.cluster_id = f.cluster_id AND w.locus_id = f.locus_id AND w.i = f.i + 1),
+    trace(cluster_id, locus_id, i, j, pi, pj) AS (SELECT cluster_id, locus_id, max(i), CAST(any_value(len(best)) - 1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM fill GROUP BY 1, 2
+      UNION ALL SELECT cluster_id, locus_id, CASE WHEN hit OR up THEN i - 1 ELSE i END, CASE WHEN hit OR NOT up THEN j - 1 ELSE j END, CASE WHEN hit THEN i ELSE 0 END, CASE WHEN hit THEN j ELSE 0 END FROM (
+        SELECT t.cluster_id, t.locus_id, t.i, t.j, x.best[t.j + 1] = y.best[t.j] + w.w[t.j] AS hit, x.best[t.j + 1] = y.best[t.j + 1] AS up FROM trace t
+        JOIN fill x ON x.cluster_id = t.cluster_id AND x.locus_id = t.locus_id AND x.i = t.i JOIN fill y ON y.cluster_id = t.cluster_id AND y.locus_id = t.locus_id AND y.i = t.i - 1
+        JOIN worth w ON w.cluster_id = t.cluster_id AND w.locus_id = t.locus_id AND w.i = t.i WHERE t.i > 0 AND t.j > 0)),
+    placed AS (SELECT t.cluster_id, t.locus_id, pi AS i, pj AS j, w.s[pj] AS sim FROM trace t JOIN worth w ON w.cluster_id = t.cluster_id AND w.locus_id = t.locus_id AND w.i = pi WHERE pi > 0
+      UNION ALL SELECT cluster_id, locus_id, i, i, 1.0 FROM lg WHERE locus_id = ref_locus),
+    assigned AS (SELECT lg.cluster_id, lg.locus_id, gene_id, position_index, emb, coalesce(max(j) OVER (PARTITION BY lg.cluster_id, lg.locus_id ORDER BY lg.i ROWS UNBOUNDED PRECEDING), 0) - 1 AS slot,
+      coalesce(sim, 0) AS similarity, j IS NULL AS is_insertion FROM lg LEFT JOIN placed p ON p.cluster_id = lg.cluster_id AND p.locus_id = lg.locus_id AND p.i = lg.i)"""
+
+
+def slot_rows_sql(anchors: str) -> str:
+    """slots_sql and CTE slot_rows, the summary of each slot."""
+    return f"""{slots_sql(anchors)},
+    occ AS (SELECT cluster_id, slot, gene_id, list_transform(emb, lambda x: x / sqrt(list_sum(list_transform(emb, lambda y: y * y)))) AS v FROM assigned WHERE NOT is_insertion),
+    mid AS (SELECT cluster_id, slot, list(c ORDER BY d) AS centre FROM (SELECT cluster_id, slot, d, avg(v[d]) AS c FROM (SELECT *, unnest(range(1, len(v) + 1)) AS d FROM occ) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    near_mid AS (SELECT occ.*, list_cosine_similarity(v, centre) AS c FROM occ JOIN mid USING (cluster_id, slot)),
+    first_ AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, slot ORDER BY round(c, 9) DESC, gene_id) AS k FROM near_mid),
+    kinds AS (SELECT a.cluster_id, a.slot, avg(CASE WHEN list_cosine_similarity(a.v, b.v) < 0.4 THEN 1.0 ELSE 0.0 END) AS far, avg(list_cosine_similarity(a.v, b.v)) AS mean
+      FROM occ a JOIN occ b ON a.cluster_id = b.cluster_id AND a.slot = b.slot AND a.gene_id < b.gene_id GROUP BY 1, 2),
+    slot_rows AS (SELECT f.cluster_id, f.slot, count(*) AS n_occupants, any_value(n.n) AS n_loci, count(*) / any_value(n.n) AS share, 1 - avg(c) AS spread, min(CASE WHEN f.k = 1 THEN gene_id END) AS centroid_gene,
+      CASE WHEN count(*) >= 3 AND any_value(far) > 0.4 AND any_value(mean) < 0.6 THEN 2 ELSE 1 END AS n_types
+      FROM first_ f JOIN (SELECT cluster_id, count(*) AS n FROM loci GROUP BY 1) n ON n.cluster_id = f.cluster_id LEFT JOIN kinds k ON k.cluster_id = f.cluster_id AND k.slot = f.slot GROUP BY 1, 2),
+    slots AS (SELECT cluster_id, slot, n_occupants, n_loci, round_even(share, 3) AS occupancy, round_even(spread, 4) AS dispersion, centroid_gene, n_types, share >= 0.7 AND spread < 0.3 AS is_core FROM slot_rows)"""
