@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusweave.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, pii, simhash_dedup, source_mix, substring_dedup, token_output
+from locusweave.llm import (
+    ball_kmeans, chat_format, decontaminate, divergence, exact_dedup, language_id, license_scan, pii, simhash_dedup, source_mix, substring_dedup, token_output, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,11 +86,24 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.tokenize(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_exact_dedup, op4_pii, op5_source_mix, op6_decontaminate,
-        op7_license_scan, op8_simhash_dedup, op9_chat_format, op10_token_output, pii_base_spans, repeat_levels, source_targets,
+        op7_license_scan, op8_simhash_dedup, op9_chat_format, op10_token_output, op11_ball_kmeans, op12_toxicity, op13_divergence,
+        pii_base_spans, repeat_levels, source_targets,
     )
 }
 
@@ -114,7 +129,35 @@ _SPANS = " UNION ALL ".join(
     for n, (kind, p) in enumerate(_FOUND.items())
 )
 
+# Rounds of k-means: d{i} has the cluster of each vector by the centroids c{i}; a centroid is a list, floored towards minus infinity.
+_ROUND = """d{i} AS MATERIALIZED (SELECT r, vec_id, q, a.c AS cluster, a.d AS distance FROM (SELECT r, vec_id, q, min(struct_pack(d := d, c := c)) AS a FROM (
+        SELECT r, vec_id, any_value(q) AS q, c, sum((x - y) * (x - y))::BIGINT AS d FROM (SELECT v.r, v.vec_id, v.q, n.c, unnest(v.q) AS x, unnest(n.q) AS y FROM v, c{i} n) GROUP BY r, vec_id, c) GROUP BY ALL))"""
+_STEP = """c{j} AS MATERIALIZED (SELECT c, coalesce(m.q, n.q) AS q FROM c{i} n LEFT JOIN (SELECT cluster, list(s ORDER BY k) AS q FROM (
+        SELECT cluster, k, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS s FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS k FROM d{i}) GROUP BY ALL) GROUP BY cluster) m ON m.cluster = n.c)"""
+
 ORACLES: dict[str, str] = {
+    "op11_ball_kmeans": f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS c, q FROM v ORDER BY sha256('3:' || vec_id), q LIMIT 8),
+      {", ".join(_ROUND.format(i=i) + ", " + _STEP.format(i=i, j=i + 1) for i in range(10))}, {_ROUND.format(i=10)}
+      SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(n.q, ',')) AS centroid_sha256 FROM d10 JOIN c10 n ON n.c = d10.cluster""",
+    "op13_divergence": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+      w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+      kept AS (SELECT lang, term FROM (SELECT DISTINCT r, lang, term FROM w) GROUP BY ALL HAVING count(*) >= 10),
+      v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+      n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+      size AS (SELECT lang, source, sum(n) AS s FROM n GROUP BY ALL), lsize AS (SELECT lang, sum(s) AS s FROM size GROUP BY ALL), ln AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL),
+      p AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (coalesce(size.s, 0) + 2 * v.v) AS BIGINT) AS p
+        FROM g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term
+        LEFT JOIN size ON size.lang = g.lang AND size.source = g.source),
+      q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (ln.n + 2)) // (lsize.s + 2 * v.v) AS BIGINT) AS q FROM ln JOIN lsize USING (lang) JOIN v USING (lang)),
+      sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+      pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sums.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+      terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+      SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+      QUALIFY part = 'pair' OR rank <= 10""",
     "pii_base_spans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({_SPANS}),
       n AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _FOUND)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS l FROM spans GROUP BY 1)
       SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _FOUND)}, sha256(coalesce(l, '')) AS base_sha256 FROM d LEFT JOIN n ON n.doc_id = d.doc_id""",
