@@ -172,7 +172,10 @@ def divergence(documents: DataFrame, least: int = LEAST_DOCS, best: int = BEST)
     # one entry for each source of a language, as the result has one for each pair of them
     listed = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("groups"))
     whole = kept.groupBy("lang").agg(F.sum("n").alias("size"), F.count("*").alias("terms"))
-    rows = kept.join(listed.join(whole, "lang"), "lang").select("lang", "term", "n", "of", "groups", "size", "terms")
+    # a language may have most of the terms, so its row is sent once for each salt
+    salted = listed.join(whole, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")).join(salted, ["lang", "salt"])
+    rows = rows.select("lang", "term", "n", "of", "groups", "size", "terms")
     told = materialize(rows.mapInArrow(_compared(best), "lang string, source string, part string, item string, value bigint"), "divergence")
 
     sums = told.filter("part = 'pair'").groupBy("lang", F.col("source").alias("a"), F.col("item").alias("b")).agg(F.sum("value").alias("value"))
