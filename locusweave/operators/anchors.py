@@ -1,237 +1,12 @@
-"""Similarity anchors: nearest neighbours by cosine, then cross-genome pairs.
-
-Exact search deals the queries into tiles of some MB; each tile meets one copy of the base as a stream, in order of id, and keeps the
-best k of its rows, so a task holds a tile and a slice of the base, and the base moves once for each tile.  The work is
-quadratic by nature, so larger tables take the inverted-file search: k-means cells, each query looks into its nprobe
-closest cells, an equi-join on the cell; the base may travel as 8-bit or product-quantised codes."""
+"""Similarity anchors: nearest neighbours by cosine, then cross-genome pairs."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.operators.genes import strand
-
-TILE_BYTES = 32 << 20  # of the vectors of a query tile
-SLICE = 4 << 20  # similarities counted at a time
-SPREAD = 512  # queries that a tile has at least, if that makes fewer tiles than there are cores
-EXACT_ROWS = 50_000  # base rows up to which "auto" searches exactly
-CELL_ROWS = 8192  # rows of a cell that one task searches
-SAMPLE_BYTES = 64 << 20  # of the vectors that cells and codes are fitted on
-INDEXES = ("auto", "exact", "ivf_flat", "ivf_sq", "ivf_pq")
-HIT = "i bigint, j bigint, sim double"
-
-
-def _matrix(v: pd.Series) -> np.ndarray:
-    m = np.vstack(v.to_numpy()).astype(np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-
-
-class _Tile:
-    """The best k of a stream of base rows, in order of id, for each query of a tile; ties go to the smaller id."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
-        self.row = np.empty(0, np.int64)
-        self.sim = np.empty(0)
-        self.id = np.empty(0, np.int64)
-        self.least = np.full(len(ids), -np.inf)  # of the k kept, once there are k
-
-    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
-        step = max(1, SLICE // max(1, len(self.ids)))
-        for i in range(0, len(ids), step):
-            sim = self.x @ y[i : i + step].T
-            r, c = np.nonzero(sim > self.least[:, None])
-            row, s, j = np.concatenate([self.row, r]), np.concatenate([self.sim, sim[r, c]]), np.concatenate([self.id, ids[i : i + step][c]])
-            order = np.lexsort((j, -s, row))
-            row, s, j = row[order], s[order], j[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-            keep = rank < self.k
-            self.row, self.sim, self.id = row[keep], s[keep], j[keep]
-            last = rank[keep] == self.k - 1
-            self.least[self.row[last]] = self.sim[last]
-
-    def hits(self) -> pd.DataFrame:
-        return pd.DataFrame({"i": self.ids[self.row], "j": self.id, "sim": self.sim})
-
-
-def _best(ids: np.ndarray, x: np.ndarray, base: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
-    order = np.argsort(base, kind="stable")
-    tile = _Tile(ids, x, k)
-    tile.meet(base[order], y[order])
-    return tile.hits()
-
-
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("i").orderBy(F.col("sim").desc(), "j")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _width(vectors: DataFrame) -> int:
-    """Dimensions of vectors(id, v); 1 for an empty table."""
-    first = vectors.select(F.size("v").alias("n")).first()
-    return max(1, first["n"]) if first else 1
-
-
-def nearest_exact(queries: DataFrame, base: DataFrame, k: int, query_rows: int | None = None) -> DataFrame:
-    """(i, j, sim, rank): for each row of queries(id, v) its k nearest of base(id, v), itself included."""
-    rows = queries.count() if query_rows is None else query_rows
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    tiles = max(1, math.ceil(rows * _width(queries) * 8 / TILE_BYTES), min(cores, math.ceil(rows / SPREAD)))
-    left = queries.select(F.pmod(F.xxhash64("id"), F.lit(tiles)).alias("q"), F.lit(0).alias("side"), "id", "v")
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
-    right = base.select(every.alias("q"), F.lit(1).alias("side"), "id", "v")
-    dealt = left.unionByName(right).repartition(tiles, "q").sortWithinPartitions("q", "side", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, tile = None, [], None
-
-        def done() -> Iterator[pd.DataFrame]:
-            if tile is not None:
-                yield tile.hits()
-
-        for batch in batches:
-            for (q, side), part in batch.groupby(["q", "side"], sort=True):
-                if q != now:
-                    yield from done()
-                    now, held, tile = q, [], None
-                if side == 0:
-                    held.append(part)
-                    continue
-                if tile is None and held:
-                    asked = pd.concat(held)
-                    tile = _Tile(asked["id"].to_numpy(), _matrix(asked["v"]), k)
-                    held = []
-                if tile is not None:
-                    tile.meet(part["id"].to_numpy(), _matrix(part["v"]))
-        yield from done()
-
-    return _top(dealt.mapInPandas(run, HIT), k)
-
-
-def _sample(base: DataFrame, seed: int = 7) -> np.ndarray:
-    """Unit vectors of a bounded, hash-ordered sample of base(id, v)."""
-    n = max(1000, SAMPLE_BYTES // (4 * _width(base)))
-    rows = base.select("v", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(n).select("v").toPandas()
-    return _matrix(rows["v"]).astype(np.float32)
-
-
-def _lloyd(x: np.ndarray, n: int, rounds: int, unit: bool) -> np.ndarray:
-    """n centres of x by k-means; with unit they are scaled to norm 1 and the largest product is the closest."""
-    centre = x[: min(n, len(x))].copy()
-    for _ in range(rounds):
-        own = _closest(x, centre, unit)
-        count = np.bincount(own, minlength=len(centre))
-        order = np.argsort(own, kind="stable")
-        full = np.flatnonzero(count)
-        total = np.add.reduceat(x[order], np.concatenate(([0], np.cumsum(count[full])[:-1])), axis=0)
-        centre[full] = total / count[full, None]
-        if unit:
-            centre[full] /= np.maximum(np.linalg.norm(centre[full], axis=1, keepdims=True), 1e-9)
-    return centre
-
-
-def _closest(x: np.ndarray, centre: np.ndarray, unit: bool) -> np.ndarray:
-    shift = 0 if unit else (centre**2).sum(axis=1) / 2
-    step = max(1, SLICE // len(centre))
-    return np.concatenate([(x[i : i + step] @ centre.T - shift).argmax(axis=1) for i in range(0, len(x), step)])
-
-
-class ScalarCode:
-    """8-bit codes per dimension between the extremes of a sample."""
-
-    def __init__(self, x: np.ndarray):
-        self.low = x.min(axis=0)
-        self.step = np.maximum(x.max(axis=0) - self.low, 1e-9) / 255
-
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint((x - self.low) / self.step), 0, 255).astype(np.uint8)
-
-    def decode(self, code: np.ndarray) -> np.ndarray:
-        return code * self.step + self.low
-
-
-class ProductCode:
-    """One byte for each eight dimensions (the last part may be wider): the closest of 256 centres of a sample."""
-
-    def __init__(self, x: np.ndarray, rounds: int = 8):
-        dim = x.shape[1]
-        parts = max(1, dim // 8)
-        self.edge = [8 * i for i in range(parts)] + [dim]
-        self.centres = [_lloyd(x[:, a:b], 256, rounds, False) for a, b in zip(self.edge, self.edge[1:])]
-
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([_closest(x[:, a:b], c, False) for c, a, b in zip(self.centres, self.edge, self.edge[1:])], axis=1).astype(np.uint8)
-
-    def decode(self, code: np.ndarray) -> np.ndarray:
-        return np.concatenate([c[code[:, i]] for i, c in enumerate(self.centres)], axis=1)
-
-
-def cell_count(n: int) -> int:
-    return max(16, min(math.isqrt(n), 4096))
-
-
-def nearest_ivf(queries: DataFrame, base: DataFrame, k: int, nprobe: int = 32, rows: int | None = None, code: str = "flat") -> DataFrame:
-    """Approximate (i, j, sim, rank) by k-means cells; each query looks into its nprobe closest ones.  code: flat, sq or pq; with the
-    latter two sim is that of the decoded base vector.  A cell of more than CELL_ROWS rows is searched by several tasks; a table smaller
-    than its number of cells is searched exactly."""
-    rows = base.count() if rows is None else rows
-    cells = cell_count(rows)
-    if rows < cells:
-        return nearest_exact(queries, base, k)
-    x = _sample(base)
-    centre = _lloyd(x, cells, 8, True)
-    coder = {"flat": lambda x: None, "sq": ScalarCode, "pq": ProductCode}[code](x)
-    del x
-    probes = min(nprobe, len(centre))
-
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sim = _matrix(pdf["v"]) @ centre.T
-            yield pdf.assign(cell=list(np.argsort(-sim, axis=1, kind="stable")[:, :probes].astype("int32")))
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            y = _matrix(pdf["v"]).astype(np.float32)
-            raw = y if coder is None else coder.encode(y)
-            yield pd.DataFrame({"id": pdf["id"], "cell": _closest(y, centre, True).astype("int32"), "code": [r.tobytes() for r in raw]})
-
-    right = base.select("id", "v").mapInPandas(held, "id bigint, cell int, code binary")
-    parts = right.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).alias("t"))
-    left = queries.select("id", "v").mapInPandas(asked, "id bigint, v array<float>, cell array<int>").withColumn("cell", F.explode("cell"))
-    left = left.join(parts, "cell").withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1))).select("cell", "s", "id", "v")
-    right = right.join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("t")).alias("s"), "id", "code")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # names of their own beside left's
-
-    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})
-        kind = np.float32 if coder is None else np.uint8
-        raw = np.frombuffer(b"".join(b["code"]), kind).reshape(len(b), -1)
-        y = (raw if coder is None else coder.decode(raw)).astype(np.float64)
-        return _best(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), y, k)
-
-    return _top(left.groupBy("cell", "s").cogroup(right.groupBy("cell", "s")).applyInPandas(met, HIT), k)
-
-
-def index_search(index: str = "auto", nprobe: int = 32) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
-    """The search function of an index name: exact, ivf_flat, ivf_sq, ivf_pq, or auto, which is exact up to EXACT_ROWS base rows and
-    ivf_flat beyond."""
-    if index not in INDEXES:
-        raise ValueError(f"index {index!r} is none of {', '.join(INDEXES)}")
-
-    def search(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-        rows = base.count() if index != "exact" else 0
-        if index == "exact" or index == "auto" and rows <= EXACT_ROWS:
-            return nearest_exact(queries, base, k)
-        return nearest_ivf(queries, base, k, nprobe, rows, "flat" if index == "auto" else index.removeprefix("ivf_"))
-
-    return search
+from locusweave.operators.nearest import index_search
 
 
 def orientation(a: Column, b: Column) -> Column:

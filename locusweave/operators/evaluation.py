@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusweave.operators.numbering import running_totals
+from locusweave.operators.statistics import sample_rows
 
 def ann_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     """One row: hits, truth size and recall of found(i, j) against truth(i, j)."""
@@ -21,15 +23,37 @@ def recall_at(first_ranks: DataFrame, ks: list[int]) -> DataFrame:
     return first_ranks.agg(*[(F.count_if(F.col("rank") <= k) / n).alias(f"recall_{k}") for k in ks])
 
 
-def pair_metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """ROC AUC (rank statistic with mean ranks of ties) and average precision of scored pairs; the
-    windows run over distinct scores with their counts, not over the pairs."""
-    by = scored.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    up = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    run = by.withColumn("p0", F.coalesce(F.sum("p").over(up), F.lit(0))).withColumn("q0", F.coalesce(F.sum("q").over(up), F.lit(0)))
-    precision = (F.col("p0") + F.col("p")) / (F.col("p0") + F.col("p") + F.col("q0") + F.col("q"))
-    told = run.agg(F.sum(F.col("q") * (F.col("p0") + F.col("p") / 2)).alias("won"), F.sum("p").alias("P"), F.sum("q").alias("N"), F.sum(F.col("p") * precision).alias("ap"))
-    return told.select((F.col("won") / (F.col("P") * F.col("N"))).alias("roc_auc"), (F.col("ap") / F.col("P")).alias("average_precision"), F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
+def pair_summary(scored: DataFrame, score: str = "score", label: str | None = "label") -> DataFrame:
+    """count, mean, std, min and max of the scores; with a label a row for each class (positive or not), and one for all of them (class null)."""
+    told = [F.count(score).alias("count"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max")]
+    whole = scored.agg(*told)
+    if label is None:
+        return whole
+    return scored.groupBy((F.col(label) > 0).alias("class")).agg(*told).unionByName(whole.withColumn("class", F.lit(None).cast("boolean")))
+
+
+def pair_metrics(scored: DataFrame, score: str = "score", label: str = "label", recall: float = 0.5) -> DataFrame:
+    """ROC AUC (rank statistic with mean ranks of ties), average precision and the best precision at a recall of that or more; null where
+    a class is empty.  Running counts over the distinct scores come from range partitions and their totals, not from one window."""
+    by = scored.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    run = running_totals(by, [-F.col("_s")], {"p0": "p", "q0": "q"})
+    upto = F.col("p0") + F.col("p")
+    precision = upto / (upto + F.col("q0") + F.col("q"))
+    whole = by.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    told = run.crossJoin(F.broadcast(whole)).agg(
+        F.sum(F.col("q") * (F.col("p0") + F.col("p") / 2)).alias("won"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
+        F.sum(F.col("p") * precision).alias("ap"), F.max(F.when(upto >= recall * F.col("n_pos"), precision)).alias("at"),
+    )
+    some = lambda c: F.when(F.col("n_pos") > 0, c)
+    return told.select(
+        some(F.when(F.col("n_neg") > 0, F.col("won") / (F.col("n_pos") * F.col("n_neg")))).alias("roc_auc"), some(F.col("ap") / F.col("n_pos")).alias("average_precision"),
+        "n_pos", "n_neg", some(F.col("at")).alias(f"precision_at_recall_{round(100 * recall)}"),
+    )
+
+
+def sampled_rand(labels: DataFrame, key: str, a: str, b: str, n: int = 5000, seed: int = 42) -> DataFrame:
+    """Adjusted Rand index of the pairs among at most n rows, chosen by a hash of their key (the sampling is the operator)."""
+    return adjusted_rand(sample_rows(labels, key, n, seed), a, b)
 
 
 def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:

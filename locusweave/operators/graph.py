@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the session's shared folder: unlike after cut(), the planner knows its real size, so loops of joins do not
+    multiply estimates."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def both_ways(edges: DataFrame, extra: list[str | Column] = ()) -> DataFrame:
     back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *extra)
     return edges.select("u", "v", *extra).unionByName(back)
@@ -115,8 +124,11 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / m - resolution * squares / (4 * m * m)
 
 
-def _moved(both: DataFrame, degree: DataFrame, labels: DataFrame, m: float, resolution: float, turn: int) -> DataFrame:
-    """One sweep of local moves: nodes of this turn's half go to the neighbouring community of greatest gain, if that is more than
+PATIENCE = 6  # sweeps after which fewer nodes move at once
+
+
+def _moved(both: DataFrame, degree: DataFrame, labels: DataFrame, m: float, resolution: float, sweep: int, turn: int, turns: int) -> DataFrame:
+    """One turn of local moves: nodes of this turn's share go to the neighbouring community of greatest gain, if that is more than
     where they are gains."""
     held = labels.join(degree, "node")
     total = held.groupBy("community").agg(F.sum("k").alias("all"), F.count("*").alias("n"))
@@ -130,30 +142,36 @@ def _moved(both: DataFrame, degree: DataFrame, labels: DataFrame, m: float, reso
         F.max_by(F.struct("community", "n"), F.struct("gain", -F.col("community"))).alias("best"), F.max("gain").alias("most"),
         F.max(F.when(F.col("community") == F.col("own"), F.struct("gain", "n"))).alias("now"),
     )
-    mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    mine = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(turns)) == turn
     swap = (F.col("best.n") == 1) & (F.col("now.n") == 1) & (F.col("best.community") > F.col("community"))  # of two single nodes the larger moves
     goes = mine & (F.col("most") > F.col("now.gain")) & ~swap
     return labels.join(best, "node").select("node", F.when(goes, F.col("best.community")).otherwise(F.col("community")).alias("community"), goes.alias("moved"))
 
 
-def modularity_communities(edges: DataFrame, resolution: float = 1.0, sweeps: int = 12, levels: int = 8) -> DataFrame:
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, sweeps: int = 200, levels: int = 50) -> DataFrame:
     """(node, community) of edges(u < v, w) with bigint nodes: greedy modularity by local moves and aggregation, communities kept connected,
     each named by its least node.
 
-    A sweep has two turns: in each, half of the nodes (by a hash of the sweep) may move at once, so neighbours seldom swap places; moves
-    of a level end with a sweep without one.  What a level finds is split into its connected parts, which are the nodes of the next one."""
+    A sweep has two turns: in each, half of the nodes (by a hash of the sweep) may move at once, so neighbours seldom swap places; every
+    PATIENCE sweeps a turn more, so that moves get rarer until each gains by itself.  Moves of a level end with a sweep without one.  What a
+    level finds is split into its connected parts, which are the nodes of the next one.  A level that needs more than so many sweeps, or a
+    graph that needs more levels, is an error: nothing unfinished is returned."""
     m = edges.agg(F.sum("w")).first()[0]
     now = cut(edges.select("u", "v", F.col("w").cast("double").alias("w")))
     named = cut(both_ways(now).select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")))
     degree = cut(both_ways(now, ["w"]).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
     for _ in range(levels):
-        both, labels, moved = both_ways(now, ["w"]), degree.select("node", F.col("node").alias("community")), False
-        for turn in range(2 * sweeps):
-            step = cut(_moved(both, degree, labels, m, resolution, turn))
-            labels = step.drop("moved")
-            moved = moved and turn % 2 > 0 or not step.filter("moved").isEmpty()
-            if turn % 2 and not moved:  # a whole sweep without a move
+        both, labels = both_ways(now, ["w"]), degree.select("node", F.col("node").alias("community"))
+        for sweep in range(sweeps):
+            turns, moved = 2 + sweep // PATIENCE, False
+            for turn in range(turns):
+                step = cut(_moved(both, degree, labels, m, resolution, sweep, turn, turns))
+                labels = step.drop("moved")
+                moved = not step.filter("moved").isEmpty() or moved
+            if not moved:
                 break
+        else:
+            raise RuntimeError(f"moves did not settle in {sweeps} sweeps")
         side = lambda s: labels.withColumnsRenamed({"node": s, "community": f"c{s}"})  # noqa: E731, B023
         inside = now.join(side("u"), "u").join(side("v"), "v").filter("cu = cv").select("u", "v")
         parts = cut(components_of(labels.select("node"), inside).withColumnRenamed("root", "part"))
@@ -165,11 +183,14 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, sweeps: in
         now = cut(ends.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"), "w").groupBy("u", "v").agg(F.sum("w").alias("w")))
         if now.isEmpty():
             break
+    else:
+        raise RuntimeError(f"communities did not settle in {levels} levels")
     return named
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label) by weighted label propagation with ties to the smaller label."""
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, label) by weighted label propagation with ties to the smaller label.  Labels only fall, so a fixed point is reached; a graph
+    that needs more rounds is an error."""
     labels = cut(nodes.select("node", F.col("node").alias("label")))
     both = both_ways(edges, ["w"])
     for _ in range(rounds):
@@ -179,4 +200,4 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
         if new.exceptAll(labels).isEmpty():
             return new
         labels = new
-    return labels
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")

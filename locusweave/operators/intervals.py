@@ -1,8 +1,9 @@
 """Closed integer intervals: overlap joins over position bins, islands, containment, recall.
 
-A range predicate alone would make Spark compare all rows of a key.  Each interval is
-dealt to the bins it covers and meets only intervals of the same key and bin; a pair is kept in the bin where
-the later of the two starts, so no duplicate arises and no distinct is needed."""
+A range predicate alone would make Spark compare all rows of a key.  Bins come in levels, each eight times as wide as the one before; an
+interval lives in the level whose bins are as long as it is or longer, so it touches two of them at most, however long it is.  Two intervals
+meet in the level of the longer one: each also looks into the wider levels that the other side lives in (one or two rows a level).  A pair
+is kept in the bin where the later of the two starts, so no duplicate arises and no distinct is needed."""
 
 from __future__ import annotations
 
@@ -13,28 +14,35 @@ from pyspark.sql import functions as F
 
 from locusweave.functions.expr import overlap, overlap_fraction
 
+WIDTH = 16  # bins of the lowest level, where a caller names none
+STEP = 8  # times that a level's bins are as wide as the last one's
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
+def _level(start: str, end: str, width: int) -> Column:
+    length = (F.col(end) - F.col(start) + 1) / width
+    return F.greatest(F.lit(0), F.ceil(F.log(length) / math.log(STEP) - 1e-9).cast("int"))
 
-def overlap_join(left: DataFrame, right: DataFrame, key: list[str], width: int, how: str = "inner") -> DataFrame:
-    """Pairs of left(key, l_start, l_end, ...) and right(key, r_start, r_end, ...) that overlap."""
-    a = left.withColumn("_bin", _bins(F.col("l_start"), F.col("l_end"), width))
-    b = right.withColumn("_bin", _bins(F.col("r_start"), F.col("r_end"), width))
-    first = F.floor(F.greatest("l_start", "r_start") / width)
-    meets = (F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end")) & (F.col("_bin") == first)
-    return a.join(b, [*key, "_bin"]).filter(meets).drop("_bin")
 
+def _placed(rows: DataFrame, start: str, end: str, width: int, looks: Column) -> DataFrame:
+    """rows with _bin for each (m, side) of looks: the bins of level m that the interval touches."""
+    wide = F.lit(width) * F.pow(F.lit(STEP), F.col("_at.m")).cast("bigint")
+    seen = rows.withColumn("_at", F.explode(looks)).select("*", "_at.m", "_at.side").withColumn("_wide", wide).drop("_at")
+    return seen.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_wide")), F.floor(F.col(end) / F.col("_wide")))))
 
-def bin_width(*frames: tuple[DataFrame, str]) -> int:
-    """About twice the mean length of the intervals (prefix_start, prefix_end) of some tables: an interval then covers one or two bins
-    on the average."""
-    total = None
-    for df, prefix in frames:
-        one = df.select((F.col(f"{prefix}_end") - F.col(f"{prefix}_start") + 1).cast("double").alias("n"))
-        total = one if total is None else total.unionByName(one)
-    return max(1, math.ceil(2 * (total.agg(F.avg("n")).first()[0] or 1)))
+
+def overlap_join(left: DataFrame, right: DataFrame, key: list[str], width: int = WIDTH) -> DataFrame:
+    """Pairs of left(key, l_start, l_end, ...) and right(key, r_start, r_end, ...) that overlap; width: bins of the lowest level."""
+    a, b = left.withColumn("_own", _level("l_start", "l_end", width)), right.withColumn("_own", _level("r_start", "r_end", width))
+    levels = lambda rows: F.broadcast(rows.agg(F.collect_set("_own").alias("_other")))  # noqa: E731  a row of a dozen numbers
+    at = lambda m, side: F.struct(m.alias("m"), F.lit(side).alias("side"))
+    wider = F.transform(F.filter("_other", lambda x: x > F.col("_own")), lambda x: at(x, 1))
+    as_wide = F.transform(F.filter("_other", lambda x: x >= F.col("_own")), lambda x: at(x, 0))
+    # side 0: left in its own level, right in all that left lives in; side 1: right in its own level, shorter ones of left there
+    a = _placed(a.crossJoin(levels(b)), "l_start", "l_end", width, F.concat(F.array(at(F.col("_own"), 0)), wider)).drop("_own", "_other", "_wide")
+    own = F.when(F.exists("_other", lambda x: x < F.col("_own")), F.array(at(F.col("_own"), 1))).otherwise(F.array().cast("array<struct<m:int,side:int>>"))
+    b = _placed(b.crossJoin(levels(left.withColumn("_own", _level("l_start", "l_end", width)))), "r_start", "r_end", width, F.concat(as_wide, own)).drop("_own", "_other")
+    meets = (F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end")) & (F.col("_bin") == F.floor(F.greatest("l_start", "r_start") / F.col("_wide")))
+    return a.join(b, [*key, "m", "side", "_bin"]).filter(meets).drop("m", "side", "_bin", "_wide")
 
 
 def _by_side(truth: DataFrame, blocks: DataFrame, side: str, width: int) -> DataFrame:
@@ -129,14 +137,14 @@ def _share(side: str) -> Column:
     return overlap_fraction(f"{side}_start", f"{side}_end", f"p_{side}_start", f"p_{side}_end")
 
 
-def range_recall(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int | None = None) -> DataFrame:
+def range_recall(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int = WIDTH) -> DataFrame:
     """Per row of truth(gt_id, RANGE): strict (one block covers both sides), independent (each side by
     some block) and any (one side), with the best shares of each side; contigs are not looked at.  share is above 0."""
     truth, found = truth.select("gt_id", *RANGE), both_directions(blocks)
     none, zero = F.lit(0.0), F.lit(0)
     told = truth.select("gt_id", none.alias("a"), none.alias("b"), zero.alias("strict"))
     for side in ("a", "b"):
-        met = _by_side(truth, found, side, width or bin_width((truth, side), (found, side)))
+        met = _by_side(truth, found, side, width)
         both = ((_share("a") >= share) & (_share("b") >= share)).cast("int")
         told = told.unionByName(met.select("gt_id", _share("a").alias("a"), _share("b").alias("b"), both.alias("strict")))
     out = told.groupBy("gt_id").agg(F.max("a").alias("best_a"), F.max("b").alias("best_b"), F.max("strict").alias("strict"))
@@ -145,7 +153,7 @@ def range_recall(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width:
     )
 
 
-def best_match(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int | None = None) -> DataFrame:
+def best_match(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int = WIDTH) -> DataFrame:
     """Per truth row the block with the largest smaller-side overlap, as a share of the smaller
     range; contigs must agree (contig_a, contig_b beside RANGE).  precision and F1 follow from it.  share is above 0."""
     extra = ["block_id", "contig_a", "contig_b"]
@@ -156,16 +164,16 @@ def best_match(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: i
         least = F.least(F.col(f"{s}_end") - F.col(f"{s}_start"), F.col(f"p_{s}_end") - F.col(f"p_{s}_start")) + 1
         return overlap(f"{s}_start", f"{s}_end", f"p_{s}_start", f"p_{s}_end") / least
 
-    met = _by_side(truth, found, "a", width or bin_width((truth, "a"), (found, "a"))).filter(contigs)
+    met = _by_side(truth, found, "a", width).filter(contigs)
     met = met.withColumn("score", F.least(smaller("a"), smaller("b"))).filter(F.col("score") >= share)
     best = met.groupBy("gt_id").agg(F.max("score").alias("score"), F.max_by("p_block_id", F.struct("score", -F.col("p_block_id"))).alias("block_id"))
     return truth.select("gt_id").join(best, "gt_id", "left")
 
 
-def best_cover(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int | None = None) -> DataFrame:
+def best_cover(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int = WIDTH) -> DataFrame:
     """Per truth row the smallest block (by both spans, then block_id) that covers share (above 0) of both sides."""
     found = both_directions(blocks, "block_id")
-    met = _by_side(truth, found, "a", width or bin_width((truth, "a"), (found, "a"))).filter((_share("a") >= share) & (_share("b") >= share))
+    met = _by_side(truth, found, "a", width).filter((_share("a") >= share) & (_share("b") >= share))
     span = F.col("p_a_end") - F.col("p_a_start") + F.col("p_b_end") - F.col("p_b_start") + 2
     own = F.col("a_end") - F.col("a_start") + F.col("b_end") - F.col("b_start") + 2
     met = met.withColumn("span", span).withColumn("own", own)
@@ -174,13 +182,13 @@ def best_cover(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: i
     )
 
 
-def containers(blocks: DataFrame, least: int = 2, width: int | None = None) -> DataFrame:
+def containers(blocks: DataFrame, least: int = 2, width: int = WIDTH) -> DataFrame:
     """Blocks that hold at least `least` other blocks of their genome pair on both sides; an inner block meets the others in the one
     bin where its first side starts."""
     blocks = blocks.select("block_id", *RANGE)
     inner = blocks.withColumns({"last": F.col("a_end"), "a_end": F.col("a_start")})
     inside = (F.col("p_last") <= F.col("a_end")) & (F.col("b_start") <= F.col("p_b_start")) & (F.col("p_b_end") <= F.col("b_end"))
-    met = _by_side(blocks, inner, "a", width or bin_width((blocks, "a"))).filter(inside & (F.col("block_id") != F.col("p_block_id")))
+    met = _by_side(blocks, inner, "a", width).filter(inside & (F.col("block_id") != F.col("p_block_id")))
     return met.groupBy("block_id").agg(F.count("*").alias("n_inside")).filter(F.col("n_inside") >= least)
 
 

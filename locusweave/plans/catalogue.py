@@ -5,6 +5,7 @@ the same explicit formula on both sides."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions import expr as X
 from locusweave.operators import anchors as A
-from locusweave.operators import architecture, chains, clusters, communities, evaluation, explorer, genes, graph, intervals, regions, shingles, statistics, store, tokens
+from locusweave.operators import architecture, chains, clusters, communities, density, evaluation, explorer, genes, graph, intervals, nearest, regions, shingles, statistics, store, tokens
 from locusweave.plans import pipeline
 from locusweave.plans.chain_sql import blocks_sql, chains_sql, clusters_sql, components_sql, loci_sql, merged_sql, slot_rows_sql, slots_sql
 
@@ -276,10 +277,71 @@ def g10_slot_assignments(spark, sf_dir):
     return found.withColumn("similarity", X.fixed("similarity"))
 
 
+def _rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
 @query()
 def j3_ann_recall(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return evaluation.ann_recall(A.nearest_exact(v, v, 10), A.nearest_ivf(v, v, 10, 16))
+    v = _rows(spark, sf_dir)
+    return evaluation.ann_recall(nearest.nearest_exact(v, v, 10), nearest.nearest_ivf(v, v, 10, recall=0.98))
+
+
+def _reached(spark, sf_dir, search, least: float) -> DataFrame:
+    v = _rows(spark, sf_dir)
+    return evaluation.ann_recall(nearest.nearest_exact(v, v, 10), search(v, v, 10)).select("total", (F.col("recall") >= least).alias("reached"))
+
+
+REACHED = "SELECT count(*) * least(10, count(*)) AS total, true AS reached FROM embeddings"
+
+
+@query(REACHED)
+def j3_flat_recall(spark, sf_dir):
+    """Whether cells, as many as a sample asks for, find 0.95 of the true neighbours."""
+    return _reached(spark, sf_dir, nearest.index_search("ivf_flat", recall=0.98), 0.95)
+
+
+@query(REACHED)
+def j3_codes_recall(spark, sf_dir):
+    """Whether product codes whose shortlist is ranked again find 0.9 of the true neighbours."""
+    return _reached(spark, sf_dir, nearest.index_search("ivf_pq", recall=0.98), 0.9)
+
+
+@query(REACHED)
+def j3_graph_recall(spark, sf_dir):
+    """Whether walks over neighbour graphs find 0.95 of the true neighbours."""
+    return _reached(spark, sf_dir, nearest.index_search("graph"), 0.95)
+
+
+def _nearest_sql(k: int) -> str:
+    return f"""WITH k AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a CROSS JOIN embeddings b),
+      n AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY round(sim, 12) DESC, j) AS INTEGER) AS rank FROM k) SELECT i, j, rank, {r('sim')} AS sim FROM n WHERE rank <= {k}"""
+
+
+@query(_nearest_sql(10))
+def j1_pruned_cells(spark, sf_dir):
+    v = _rows(spark, sf_dir)
+    return nearest.nearest_cells(v, v, 10).withColumn("sim", X.fixed("sim")).select("i", "j", "rank", "sim")
+
+
+@query(_nearest_sql(5))
+def k7_store_search(spark, sf_dir):
+    """A store of two thirds of the vectors and its index; the others are added; all are asked for their neighbours."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("gene_id"), F.col("embedding").alias("emb"))
+    grown = store.GeneStore.create(rows.filter("gene_id % 3 <> 0"), f"{graph.checkpoint_folder(spark)}/store-{uuid.uuid4().hex}").build_index().add(rows)
+    found = grown.search(_rows(spark, sf_dir), 5)
+    return found.select("i", F.col("gene_id").cast("bigint").alias("j"), "rank", X.fixed("sim").alias("sim"))
+
+
+@query()
+def g23_density_clusters(spark, sf_dir):
+    """Clusters of dense places on the sphere, by mutual reachability over the ten nearest; tests compare with a plain implementation."""
+    v = _rows(spark, sf_dir)
+    near = nearest.nearest_exact(v, v, 10).withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))))
+    own = near.filter("i = j").select("i", "j", F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+    others = Window.partitionBy("i").orderBy("rank")
+    rest = near.filter("i <> j").withColumn("rank", F.row_number().over(others) + 1).select("i", "j", "distance", "rank")
+    return density.hdbscan(own.unionByName(rest), 5)
 
 
 @query()
@@ -564,16 +626,19 @@ def document_tokens(spark, sf_dir) -> DataFrame:
     sets AS (SELECT doc, list_sort(list(token)) AS l FROM tok GROUP BY 1), reps AS (SELECT min(doc) AS doc, count(*) AS size FROM sets GROUP BY l),
     w AS (SELECT doc, size, tok.token, ln(1 + n / df) AS idf FROM tok JOIN reps USING (doc) JOIN df USING (token) CROSS JOIN n),
     t AS (SELECT doc, size, sum(idf) AS total FROM w GROUP BY 1, 2), s AS (SELECT a.doc AS a, b.doc AS b, sum(a.idf) AS shared FROM w a JOIN w b ON a.token = b.token AND a.doc < b.doc GROUP BY 1, 2)
-    SELECT a, b, x.size AS size_a, y.size AS size_b, {r('shared / (x.total + y.total - shared)')} AS jaccard FROM s JOIN t x ON x.doc = a JOIN t y ON y.doc = b WHERE shared / (x.total + y.total - shared) >= 0.8"""
+    SELECT a, b, x.size AS size_a, y.size AS size_b, {r('shared / (x.total + y.total - shared)')} AS jaccard FROM s JOIN t x ON x.doc = a JOIN t y ON y.doc = b WHERE shared / (x.total + y.total - shared) >= 0.8
+    UNION ALL SELECT rep, doc, size, size, 1.0 FROM (SELECT doc, min(doc) OVER same AS rep, count(*) OVER same AS size FROM sets WINDOW same AS (PARTITION BY l)) WHERE doc <> rep"""
 )
 def j18_idf_weighted_jaccard(spark, sf_dir):
-    """Pairs of different token sets of similarity 0.8 or more, each named by its least document, with the number of documents that have it."""
+    """Pairs of different token sets of similarity 0.8 or more, each named by its least document, with the number of documents that have it; and
+    every other document of a set, paired with that least one at similarity 1, so that no link is lost."""
     held = graph.cut(document_tokens(spark, sf_dir))
     classes = graph.cut(tokens.set_classes(held))
     reps = classes.filter("doc = rep").select("doc", "size")
     pairs = tokens.weighted_jaccard(held, tau=0.8, among=reps).withColumn("jaccard", X.fixed("jaccard"))
     size = lambda side: reps.select(F.col("doc").alias(side), F.col("size").alias(f"size_{side}"))
-    return pairs.join(size("a"), "a").join(size("b"), "b")
+    members = classes.filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
+    return pairs.join(size("a"), "a").join(size("b"), "b").unionByName(members)
 
 
 @query(
@@ -879,7 +944,28 @@ def j31_set_matches(spark, sf_dir):
 )
 def a34_pair_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("score"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0).alias("label"))
-    return evaluation.pair_metrics(rows).withColumns({c: X.fixed(c) for c in ("roc_auc", "average_precision")})
+    return evaluation.pair_metrics(rows).withColumns({c: X.fixed(c) for c in ("roc_auc", "average_precision")}).drop("precision_at_recall_50")
+
+
+LABELLED = "s AS (SELECT o_totalprice AS score, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS label FROM orders)"
+
+
+@query(
+    f"""WITH {LABELLED}, k AS (SELECT score, sum(label) AS p, count(*) AS n FROM s GROUP BY 1), c AS (SELECT sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS n FROM k)
+    SELECT {r('max(tp / n)', 6)} AS precision_at_recall_50 FROM c WHERE tp >= 0.5 * (SELECT sum(label) FROM s)"""
+)
+def a34_precision_at_recall(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("score"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0).alias("label"))
+    return evaluation.pair_metrics(rows).select(X.fixed("precision_at_recall_50", 6).alias("precision_at_recall_50"))
+
+
+_TOLD = f"count(*) AS count, {r('avg(score)', 2)} AS mean, {r('stddev_pop(score)', 2)} AS std, min(score) AS min, max(score) AS max"
+
+
+@query(f"WITH {LABELLED} SELECT label > 0 AS class, {_TOLD} FROM s GROUP BY 1 UNION ALL SELECT NULL, {_TOLD} FROM s")
+def a34_pair_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("score"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0).alias("label"))
+    return evaluation.pair_summary(rows).withColumns({c: X.fixed(c, 2) for c in ("mean", "std")})
 
 
 @query(
@@ -1070,7 +1156,7 @@ def g14_token_clusters(spark, sf_dir):
 )
 def g22_reciprocal_graph(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return communities.reciprocal_graph(A.nearest_exact(v, v, 11), 10).withColumn("w", X.fixed("w"))
+    return communities.reciprocal_graph(nearest.nearest_exact(v, v, 11), 10).withColumn("w", X.fixed("w"))
 
 
 def _values(df: DataFrame) -> DataFrame:

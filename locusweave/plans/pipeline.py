@@ -25,8 +25,8 @@ class ChainConfig:
     merge_reciprocal: float = 0.5
     min_cluster_size: int = 3
     max_slots: int = 50
-    index: str = "auto"  # see anchors.INDEXES
-    nprobe: int = 32
+    index: str = "auto"  # see nearest.INDEXES
+    nprobe: int | None = None  # of approximate indexes; None: measured for a recall of 0.95
 
     def search(self):
         return anchors.index_search(self.index, self.nprobe)

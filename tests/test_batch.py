@@ -23,11 +23,11 @@ def test_run_and_resume(spark, sf_dir, tmp_path):
 def test_inverted_file_run_finds_most_anchors(spark, sf_dir):
     from functools import partial
 
-    from locusweave.operators import anchors
+    from locusweave.operators import anchors, nearest
 
     table = catalogue.genes_view(spark, sf_dir)
     exact = anchors.cross_genome_anchors(table, 50, 0.2).count()
-    found = anchors.cross_genome_anchors(table, 50, 0.2, partial(anchors.nearest_ivf, nprobe=16)).count()
+    found = anchors.cross_genome_anchors(table, 50, 0.2, partial(nearest.nearest_ivf, nprobe=16)).count()
     assert 0.9 * exact <= found <= exact
 
 
@@ -40,10 +40,10 @@ def test_search(spark, sf_dir):
 
 
 def test_search_honours_the_index(spark, sf_dir, monkeypatch):
-    from locusweave.operators import anchors
+    from locusweave.operators import anchors, nearest
 
     asked = []
-    monkeypatch.setattr(anchors, "index_search", lambda index, nprobe: asked.append((index, nprobe)) or anchors.nearest_exact)
+    monkeypatch.setattr(anchors, "index_search", lambda index, nprobe: asked.append((index, nprobe)) or nearest.nearest_exact)
     table = catalogue.genes_view(spark, sf_dir)
     locus = table.filter("sample_id = 'g0' AND contig_id = 'c0' AND position_index < 4")
     search_locus(locus, table, ChainConfig(similarity=0.2, index="ivf_sq", nprobe=3)).count()

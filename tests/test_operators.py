@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from locusweave.operators import anchors, evaluation, explorer, intervals, shingles, statistics, tokens
+from locusweave.operators import anchors, evaluation, explorer, intervals, nearest, nearest_graph, shingles, statistics, tokens
 
 
 def vectors(spark, n=300, dim=16, seed=1):
@@ -16,39 +17,143 @@ def exact(x, k):
 
 
 def test_nearest_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(anchors, "TILE_BYTES", 64 * 16 * 8)
-    monkeypatch.setattr(anchors, "SLICE", 700)
+    monkeypatch.setattr(nearest, "TILE_BYTES", 64 * 16 * 8)
+    monkeypatch.setattr(nearest, "SLICE", 700)
     x, df = vectors(spark)
-    got = anchors.nearest_exact(df, df.repartition(3), 5).collect()
+    got = nearest.nearest_exact(df, df.repartition(3), 5).collect()
     assert {(r.i, r.j) for r in got} == exact(x, 5) and sorted({r["rank"] for r in got}) == [1, 2, 3, 4, 5]
-    assert {(r.i, r.j) for r in anchors.index_search("exact")(df, df, 5).collect()} == exact(x, 5)
+    assert {(r.i, r.j) for r in nearest.index_search("exact")(df, df, 5).collect()} == exact(x, 5)
 
 
 def test_nearest_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)], "id long, v array<float>")
     got = {}
-    for r in anchors.nearest_exact(df, df, 3).collect():
+    for r in nearest.nearest_exact(df, df, 3).collect():
         got.setdefault(r.i, []).append((r["rank"], r.j))
     assert all([j for _, j in sorted(v)] == [i % 2, i % 2 + 2, i % 2 + 4] for i, v in got.items())
     none = df.limit(0)
-    assert anchors.nearest_exact(none, df, 3).count() == 0 == anchors.nearest_exact(df, none, 3).count()
+    assert nearest.nearest_exact(none, df, 3).count() == 0 == nearest.nearest_exact(df, none, 3).count()
 
 
-@pytest.mark.parametrize("index,least", [("ivf_flat", 0.95), ("ivf_sq", 0.9), ("ivf_pq", 0.6)])
+def frame(spark, x):
+    return spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+
+
+def crowds(n=6400, centres=400, dim=32, spread=0.35, seed=4):
+    rng = np.random.default_rng(seed)
+    return np.repeat(rng.standard_normal((centres, dim)), n // centres, axis=0) + spread * rng.standard_normal((n, dim))
+
+
+def same_rows(a, b):
+    told = lambda df: sorted((r.i, r["rank"], r.j, r.sim) for r in df.collect())
+    return told(a) == told(b)
+
+
+@pytest.mark.parametrize("index,least", [("ivf_flat", 0.95), ("ivf_sq", 0.95), ("ivf_pq", 0.9), ("graph", 0.9)])
 def test_index_recall_over_many_cells(spark, monkeypatch, index, least):
-    """6,400 vectors around 400 centres in 80 cells, 8 of them visited."""
-    monkeypatch.setattr(anchors, "CELL_ROWS", 50)
-    rng = np.random.default_rng(4)
-    x = np.repeat(rng.standard_normal((400, 32)), 16, axis=0) + 0.35 * rng.standard_normal((6400, 32))
-    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
-    found = anchors.index_search(index, 8)(df, df, 10)
+    """6,400 vectors around 400 centres in 80 cells, 8 of them visited; graphs of 1,000 vectors, 4 visited."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 50)
+    monkeypatch.setattr(nearest_graph, "PIECE_ROWS", 1000)
+    x = crowds()
+    df = frame(spark, x)
+    found = nearest.index_search(index, 4 if index == "graph" else 8)(df, df, 10)
     truth = spark.createDataFrame(sorted(exact(x, 10)), "i long, j long")
     assert evaluation.ann_recall(truth, found).first().recall >= least
 
 
+@pytest.mark.parametrize("index", ["ivf_flat", "ivf_sq", "ivf_pq"])
+def test_measured_probes_reach_the_recall(spark, monkeypatch, index):
+    """Without structure most cells are needed: nprobe follows the data."""
+    monkeypatch.setattr(nearest, "PROBED", 120)
+    x, df = vectors(spark, 900, 24)
+    found = nearest.index_search(index)(df, df, 10)
+    truth = spark.createDataFrame(sorted(exact(x, 10)), "i long, j long")
+    assert evaluation.ann_recall(truth, found).first().recall >= 0.93
+    held = nearest.fitted(df, 30)
+    cells = nearest.Cells.measured(*held)
+    few, many = (nearest.measured_probes(df, held[1], cells, 10, r) for r in (0.5, 0.99))
+    assert 1 <= few < many <= 30
+
+
+@pytest.mark.parametrize("data", ["crowds", "noise", "copies", "zeros"])
+def test_pruned_cells_equal_tiles(spark, monkeypatch, data):
+    monkeypatch.setattr(nearest, "CELL_ROWS", 60)
+    monkeypatch.setattr(nearest, "CELL_QUERIES", 90)
+    rng = np.random.default_rng(3)
+    x = {"crowds": crowds(1600, 40, 16, 0.1), "noise": rng.standard_normal((500, 12)), "copies": np.repeat(rng.standard_normal((9, 8)), 60, axis=0), "zeros": np.concatenate([np.zeros((30, 6)), rng.standard_normal((300, 6))])}[data]
+    df = frame(spark, x)
+    some = df.filter("id % 3 = 0")
+    told = []
+    got = nearest.nearest_cells(some, df, 7, told=told)
+    assert same_rows(got, nearest.nearest_exact(some, df, 7))
+    if data == "crowds":  # of 40 cells, a query needs a few
+        assert told[0]["spared"] > 4 * told[0]["visits"]
+    held = nearest.fitted(df, 20)
+    assert same_rows(nearest.search_cells(some, held[1], nearest.Cells.measured(*held), 7), nearest.nearest_exact(some, df, 7))  # without the way back to tiles
+
+
+def test_auto_does_not_change_with_the_size(spark, monkeypatch):
+    df = frame(spark, crowds(800, 50, 8, 0.3))
+    small = nearest.index_search("auto")(df, df, 5)
+    monkeypatch.setattr(nearest, "TILED_ROWS", 100)
+    assert same_rows(small, nearest.index_search("auto")(df, df, 5))
+
+
+def test_cells_of_small_and_empty_tables(spark):
+    x, df = vectors(spark, 12, 4)
+    none = df.limit(0)
+    assert same_rows(nearest.nearest_cells(df, df, 20), nearest.nearest_exact(df, df, 20))
+    for index in ("cells", "graph", "ivf_flat"):
+        search = nearest.index_search(index)
+        assert search(none, df, 3).count() == 0 == search(df, none, 3).count()
+
+
+def test_codes_score_by_tables():
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((30, 18)), rng.standard_normal((700, 18))
+    for coder in (nearest.ScalarCode(y), nearest.ProductCode(y)):
+        code = coder.encode(y)
+        assert np.allclose(coder.scores(x, code), x @ coder.decode(code).T)
+
+
+def test_graphs_are_connected_and_walks_find():
+    rng = np.random.default_rng(1)
+    far = np.concatenate([rng.standard_normal((60, 10)) * 0.01 + c for c in np.eye(10)[:5]] + [np.ones((40, 10))])  # clouds far apart, and copies
+    x = (far / np.linalg.norm(far, axis=1, keepdims=True)).astype(np.float32)
+    lists = nearest_graph.build_links(x)
+    seen, edge = set(), set(nearest_graph.entries(len(x)).tolist())
+    while edge:
+        seen |= edge
+        edge = {int(j) for i in edge for j in lists[i]} - seen
+    assert len(seen) == len(x)
+    links = np.full((len(x) + 1, max(map(len, lists))), len(x))
+    for r, a in enumerate(lists):
+        links[r, : len(a)] = a
+    places, sims, met = nearest_graph.walk(x, links, x, 5, 20)
+    assert (np.abs(sims[:, 0] - 1) < 1e-5).all() and (met <= len(x)).all() and (places < len(x)).all()
+    assert nearest_graph.build_links(x[:1])[0].size == 0 and nearest_graph.walk(x[:1], np.full((2, 1), 1), x[:1], 3, 4)[0].tolist() == [[0, 1, 1]]
+
+
+def test_graph_index_on_the_drivers_vectors(spark):
+    """Recall at 10 of 0.95 or more with a tenth of the rows visited, read back from Parquet."""
+    import os
+    import tempfile
+
+    found = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(found):
+        pytest.skip("driver tables are absent")
+    v = spark.read.parquet(found).selectExpr("vec_id AS id", "embedding AS v")
+    path = tempfile.mkdtemp()
+    index = nearest_graph.GraphIndex.build(v, f"{path}/g")
+    again = nearest_graph.GraphIndex.load(spark, f"{path}/g")
+    raw = again.visited(v, 10)
+    rows, share = v.count(), raw.groupBy("i").agg(F.max("met").alias("met")).agg(F.avg("met")).first()[0]
+    assert evaluation.ann_recall(nearest.nearest_exact(v, v, 10), index.search(v, 10)).first().recall >= 0.95 and share <= 0.1 * rows
+
+
 def test_unknown_index_is_an_error():
     with pytest.raises(ValueError):
-        anchors.index_search("tree")
+        nearest.index_search("tree")
 
 
 def test_own_genome_counts_in_k(spark):
