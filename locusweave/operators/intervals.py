@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.functions.expr import overlap, overlap_fraction
+from locusweave.operators.graph import written
 
 WIDTH = 16  # bins of the lowest level, where a caller names none
 STEP = 8  # times that a level's bins are as wide as the last one's
@@ -140,7 +141,7 @@ def _share(side: str) -> Column:
 def range_recall(truth: DataFrame, blocks: DataFrame, share: float = 0.5, width: int = WIDTH) -> DataFrame:
     """Per row of truth(gt_id, RANGE): strict (one block covers both sides), independent (each side by
     some block) and any (one side), with the best shares of each side; contigs are not looked at.  share is above 0."""
-    truth, found = truth.select("gt_id", *RANGE), both_directions(blocks)
+    truth, found = written(truth.select("gt_id", *RANGE)), both_directions(written(blocks.select(*RANGE)))  # read for the levels and the pairs of both sides
     none, zero = F.lit(0.0), F.lit(0)
     told = truth.select("gt_id", none.alias("a"), none.alias("b"), zero.alias("strict"))
     for side in ("a", "b"):

@@ -1,7 +1,10 @@
 import math
 from collections import Counter
 
-from locusweave.operators import communities, evaluation, explorer, genes, regions, shingles
+import numpy as np
+from pyspark.sql import functions as F
+
+from locusweave.operators import communities, evaluation, explorer, genes, intervals, regions, shingles
 
 
 def test_trimmed_ids(spark):
@@ -116,3 +119,16 @@ def test_markers_and_coverage(spark):
     rows = [(1, "g1", "Ribosomal L2"), (1, "g2", None), (2, "g1", "x")]
     got = {r.cluster_id: (r.coverage, r.ribosomal_share, r.is_best) for r in evaluation.cluster_coverage(spark.createDataFrame(rows, "cluster_id int, genome string, annotation string"), ["g1", "g2"]).collect()}
     assert got == {1: (1.0, 0.5, True), 2: (0.5, 0.0, False)}
+
+
+def test_overlaps_of_mixed_lengths(spark):
+    """Rows of bins grow with the levels, not with the length; the pairs are those of a comparison of all."""
+    rng = np.random.default_rng(5)
+    made = lambda n, top: [("c", int(s), int(s + rng.integers(0, 8 ** rng.integers(0, 6)))) for s in rng.integers(-500, top, n)]
+    left, right = made(120, 40_000) + [("c", 0, 10**8), ("d", 5, 4)], made(150, 40_000) + [("c", -(10**8), 10**8), ("d", 0, 9)]
+    a = spark.createDataFrame([(i, *r) for i, r in enumerate(left)], "a int, k string, l_start long, l_end long")
+    b = spark.createDataFrame([(i, *r) for i, r in enumerate(right)], "b int, k string, r_start long, r_end long")
+    got = sorted((r.a, r.b) for r in intervals.overlap_join(a, b, ["k"], 4).collect())
+    assert got == sorted((i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+    level = F.array(F.struct(intervals._level("l_start", "l_end", 16).alias("m"), F.lit(0).alias("side")))
+    assert intervals._placed(a.filter("l_end > 1000000"), "l_start", "l_end", 16, level).count() <= 2
