@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from locusweave.functions.expr import contig_of_gene, gc_fraction, reverse_complement, translate_to_stop
 from locusweave.operators.genes import checked, fold_vectors
 from locusweave.operators.graph import checkpoint_folder
+from locusweave.sources import split
 
 ID_COLUMNS = ("gene_id", "protein_id", "id")
 ACCESSION_COLUMNS = ("accession", "name", "annotation_id")
@@ -147,8 +148,9 @@ def hmm_hits(spark: SparkSession, path: str, evalue: float = 1e-5, score: float
 
 def collinearity(spark: SparkSession, path: str) -> DataFrame:
     """Gene pairs of `## Alignment N: ... a&b plus|minus` blocks: alignment, contig_a, contig_b,
-    orientation, gene_a, gene_b, evalue.  A file is one ordered text (wholetext), a block its split."""
-    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^## Alignment ")).alias("b")).filter(F.col("b").rlike(r"^\d+:"))
+    orientation, gene_a, gene_b, evalue.  A record ends where the next block begins, so a file of any size splits."""
+    records = spark.read.option("lineSep", "\n## Alignment ").text(path)
+    blocks = records.select(F.regexp_replace("value", r"(?s)^(?:.*\n)?## Alignment ", "").alias("b")).filter(F.col("b").rlike(r"^\d+:"))
     head = F.substring_index("b", "\n", 1)
     pairs = blocks.select(
         F.regexp_extract(head, r"^(\d+):", 1).cast("int").alias("alignment"), F.regexp_extract(head, r"(\S+)&(\S+)\s+(plus|minus)", 1).alias("contig_a"),
@@ -178,9 +180,13 @@ def cluster_csv(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
     return rows.join(blocks.select(F.col("cluster_id").cast("int").alias("cluster_id")), "cluster_id", "left_semi")
 
 
-def landscape(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """landscape.blocks[] of a JSON document."""
-    rows = spark.read.option("multiLine", True).json(path).select(F.explode("landscape.blocks").alias("b")).select("b.*")
+def landscape(spark: SparkSession, path: str, limit: int | None = None, size: int = split.BYTES) -> DataFrame:
+    """landscape.blocks[] of a JSON document; a single file is read in ranges of whole objects of about `size` bytes."""
+    if os.path.isfile(path):
+        held = split.registered(spark).read.format("json_objects").options(path=path, keys="landscape.blocks", bytes=size).load()
+        rows = spark.read.json(held.rdd.map(lambda r: r.value))
+    else:
+        rows = spark.read.option("multiLine", True).json(path).select(F.explode("landscape.blocks").alias("b")).select("b.*")
     return rows.limit(limit) if limit else rows
 
 
@@ -201,9 +207,21 @@ def _streamed(spark: SparkSession, path: str, sql: str, rows: int = 200_000) ->
     return spark.read.parquet(out)
 
 
+def _duckdb(spark: SparkSession, path: str, table: str, columns: str, schema: str, rows: int = split.ROWS) -> DataFrame:
+    """Columns of a table of a DuckDB file, read by the tasks in ranges of row numbers; a view has none and is streamed."""
+    import duckdb
+
+    with duckdb.connect(path, read_only=True) as con:
+        kind = con.execute("SELECT table_type FROM information_schema.tables WHERE table_name = ?", [table]).fetchone()
+    if kind and kind[0] == "VIEW":
+        return _streamed(spark, path, f"SELECT {columns} FROM {table}")
+    return split.registered(spark).read.format("duckdb_rows").options(path=path, table=table, columns=columns, rows=rows).schema(schema).load()
+
+
 def duckdb_proteins(spark: SparkSession, path: str) -> DataFrame:
     """Proteins of a DuckDB file; the strand - is -1."""
-    df = _streamed(spark, path, "SELECT protein_id AS gene_id, contig_id, bin_id AS sample_id, start, end_coord AS \"end\", CAST(strand AS VARCHAR) AS strand FROM proteins")
+    columns = "CAST(protein_id AS VARCHAR) AS gene_id, CAST(contig_id AS VARCHAR) AS contig_id, CAST(bin_id AS VARCHAR) AS sample_id, start, end_coord AS \"end\", CAST(strand AS VARCHAR) AS strand"
+    df = _duckdb(spark, path, "proteins", columns, "gene_id string, contig_id string, sample_id string, start bigint, `end` bigint, strand string")
     return df.withColumn("strand", F.when(F.col("strand").startswith("-"), -1).otherwise(1))
 
 
@@ -215,51 +233,36 @@ def duckdb_annotations(spark: SparkSession, path: str, source: str | None = None
         have = [r[0] for r in con.execute("SELECT column_name FROM information_schema.columns WHERE table_name = 'annotations'").fetchall()]
     accession = next((c for c in ACCESSION_COLUMNS if c in have), "NULL")
     more = ", ".join(f"CAST({c if c in have else 'NULL'} AS {t}) AS {c}" for c, t in (("description", "VARCHAR"), ("evalue", "DOUBLE"), ("score", "DOUBLE")))
-    df = _streamed(spark, path, f"SELECT CAST(protein_id AS VARCHAR) AS protein_id, CAST(source AS VARCHAR) AS source, CAST({accession} AS VARCHAR) AS accession, {more} FROM annotations")
+    columns = f"CAST(protein_id AS VARCHAR) AS protein_id, CAST(source AS VARCHAR) AS source, CAST({accession} AS VARCHAR) AS accession, {more}"
+    df = _duckdb(spark, path, "annotations", columns, "protein_id string, source string, accession string, description string, evalue double, score double")
     return df.filter(F.col("source") == source) if source else df
 
 
-VECTOR_NAMES, VECTOR_IDS = ("embeddings", "emb", "vectors", "X"), ("gene_ids", "protein_ids", "ids", "names")
-
-
 def vector_files(folder: str) -> list[str]:
     """Candidate vector files of a local folder, by name."""
     return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith((".npy", ".npz")))
 
 
-def vectors_npy(spark: SparkSession, path: str, ids: list[str] | None = None, rows: int = 100_000) -> DataFrame:
-    """(gene_id, emb) of a .npy matrix (read piece by piece from a memory map) or an .npz archive, whose matrix and ids are found by name or, failing
-    that, by their shape; rows without ids are numbered."""
-    import numpy as np
-    import pyarrow as pa
+def vectors_npy(spark: SparkSession, path: str, ids: list[str] | None = None, rows: int = split.ROWS) -> DataFrame:
+    """(gene_id, emb) of a .npy matrix or an .npz archive, whose matrix and ids are found by name or, failing that, by their shape; the tasks read
+    ranges of rows.  Rows without ids are numbered; ids: names of the rows in order."""
+    found = split.registered(spark).read.format("vector_matrix").options(path=path, rows=rows, numbered=ids is not None).load()
+    if ids is None:
+        return found
+    named = spark.createDataFrame([(str(i), n) for i, n in enumerate(ids)], "at string, name string")
+    return found.withColumnRenamed("gene_id", "at").join(named, "at").select(F.col("name").alias("gene_id"), "emb")
 
-    x = np.load(path, mmap_mode="r")
-    if path.endswith(".npz"):
-        held = {k: x[k] for k in x.files}
-        name = next((k for k in VECTOR_NAMES if k in held), None) or next((k for k, v in held.items() if v.ndim == 2), None)
-        if name is None:
-            raise ValueError(f"{path} holds no matrix")
-        known = next((k for k in VECTOR_IDS if k in held), None)
-        x, ids = held[name], ids or (list(map(str, held[known])) if known else None)
-    out = None
-    for i in range(0, max(1, len(x)), rows):
-        some = np.ascontiguousarray(x[i : i + rows], np.float32)
-        names = ids[i : i + rows] if ids else [str(j) for j in range(i, i + len(some))]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * some.shape[1], pa.int32()), pa.array(some.ravel()))
-        part = spark.createDataFrame(pa.table({"gene_id": pa.array(names, pa.string()), "emb": lists}))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def embeddings_h5(spark: SparkSession, path: str, rows: int = split.ROWS) -> DataFrame:
+    """(gene_id, emb) of protein_ids and embeddings of an HDF5 file (needs h5py); the tasks read ranges of rows."""
+    split.Matrix(path)  # an error here, where h5py is absent
+    return split.registered(spark).read.format("vector_matrix").options(path=path, rows=rows).load()
 
 
-def embeddings_h5(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("HDF5 sources need h5py") from e
-    with h5py.File(path) as f:
-        ids = [x.decode() if isinstance(x, bytes) else x for x in f["protein_ids"][:]]
-        x = f["embeddings"][:]
-    return spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, x.astype("float32"))], "gene_id string, emb array<float>")
+def half_float_output(df: DataFrame, path: str) -> None:
+    """Parquet at path (which the executors reach) whose float columns are half floats; half_float_parquet reads it."""
+    split.registered(df.sparkSession)
+    df.write.format("half_float_parquet").mode("append").options(path=path).save()
 
 
 def merge_config(base: dict, over: dict) -> dict:
