@@ -113,6 +113,39 @@ def degree_cap(edges: DataFrame, cap: int) -> DataFrame:
     return mutual_top_k(edges, cap)
 
 
+def either_cap(edges: DataFrame, cap: int) -> DataFrame:
+    """edges(u < v, w) that are among the cap heaviest of one of their ends (w desc, then id)."""
+    order = Window.partitionBy("u").orderBy(F.col("w").desc(), "v")
+    top = both_ways(edges, ["w"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap)
+    return top.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").groupBy("u", "v").agg(F.max("w").alias("w"))
+
+
+def greedy_cap(edges: DataFrame, cap: int, rounds: int = 1000) -> DataFrame:
+    """The edges (u < v, w) that one keeps who walks them from the heaviest on (ties by u, then v) and takes each whose ends both have
+    fewer than cap edges so far.
+
+    In rounds: an edge that stands, among the edges left at both its ends, within the room there is taken by that walk whatever
+    becomes of the others, so all such edges are taken at once; edges of an end without room go.  The heaviest edge left is always taken."""
+    now = written(edges.filter("u < v").groupBy("u", "v").agg(F.max("w").alias("w")))
+    room = written(both_ways(now).select(F.col("u").alias("node")).distinct().withColumn("room", F.lit(cap)))
+    taken: DataFrame | None = None
+    for _ in range(rounds):
+        if now.isEmpty():
+            return now if taken is None else taken
+        order = Window.partitionBy("node").orderBy(F.col("w").desc(), "u", "v")
+        ends = now.select("u", "v", "w", F.explode(F.array("u", "v")).alias("node")).withColumn("rank", F.row_number().over(order)).join(room, "node")
+        fits = ends.groupBy("u", "v", "w").agg(F.bool_and(F.col("rank") <= F.col("room")).alias("fits"))
+        judged = written(fits)
+        won = judged.filter("fits").select("u", "v", "w")
+        taken = won if taken is None else taken.unionByName(won)
+        used = won.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+        room = written(room.join(used, "node", "left").select("node", (F.col("room") - F.coalesce("used", F.lit(0))).cast("int").alias("room")))
+        free = room.filter("room > 0").select("node")
+        left = judged.filter("NOT fits").select("u", "v", "w")
+        now = written(left.join(free.withColumnRenamed("node", "u"), "u", "left_semi").join(free.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v", "w"))
+    raise RuntimeError(f"the walk did not end in {rounds} rounds")
+
+
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
     """Modularity of labels(node, community) over edges(u < v, w)."""
     named = edges.join(labels.withColumnsRenamed({"node": "u", "community": "cu"}), "u").join(labels.withColumnsRenamed({"node": "v", "community": "cv"}), "v")
@@ -157,6 +190,8 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, sweeps: in
     level finds is split into its connected parts, which are the nodes of the next one.  A level that needs more than so many sweeps, or a
     graph that needs more levels, is an error: nothing unfinished is returned."""
     m = edges.agg(F.sum("w")).first()[0]
+    if m is None:  # no edge
+        return edges.select(F.col("u").alias("node"), F.col("u").alias("community")).limit(0)
     now = cut(edges.select("u", "v", F.col("w").cast("double").alias("w")))
     named = cut(both_ways(now).select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")))
     degree = cut(both_ways(now, ["w"]).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))

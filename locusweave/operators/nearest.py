@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine: exact by tiles, exact by pruned cells, and approximate on request.
 
 Tiles: the queries are dealt into tiles of some MB; each tile meets one copy of the base as a stream and keeps the best k of its rows, so the
-base moves once for each tile.
+base moves once for each tile.  A few queries go to the base instead, which stays where it is.
 
 Cells: k-means on the sphere, fitted on a bounded sample; each cell keeps its reach, the widest angle of a member to the centre.  The angle of a query
 to the centre less the reach bounds what the cell can hold.  A query looks into its closest cells first; a second round fetches
@@ -99,7 +99,10 @@ def _tiles(queries: DataFrame, rows: int) -> int:
 
 def nearest_exact(queries: DataFrame, base: DataFrame, k: int, query_rows: int | None = None) -> DataFrame:
     """(i, j, sim, rank): for each row of queries(id, v) its k nearest of base(id, v), itself included."""
-    tiles = _tiles(queries, queries.count() if query_rows is None else query_rows)
+    rows = queries.count() if query_rows is None else query_rows
+    tiles = _tiles(queries, rows)
+    if tiles == 1 and rows <= SPREAD:
+        return _nearest_of_few(queries, base, k)
     left = queries.select(F.pmod(F.xxhash64("id"), F.lit(tiles)).alias("q"), F.lit(0).alias("side"), "id", "v")
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
     right = base.select(every.alias("q"), F.lit(1).alias("side"), "id", "v")
@@ -131,6 +134,23 @@ def nearest_exact(queries: DataFrame, base: DataFrame, k: int, query_rows: int |
     return top(dealt.mapInPandas(run, HIT), k)
 
 
+def _nearest_of_few(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """nearest_exact of at most SPREAD queries in one tile: they go to the base, which does not move."""
+    asked = queries.select("id", "v").toPandas()
+    if asked.empty:
+        return top(queries.sparkSession.createDataFrame([], HIT), k)
+    ids, x = asked["id"].to_numpy(), unit(asked["v"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile = _Tile(ids, x, k)
+        for pdf in batches:
+            if len(pdf):
+                tile.meet(pdf["id"].to_numpy(), unit(pdf["v"]))
+        yield tile.hits()
+
+    return top(base.select("id", "v").mapInPandas(run, HIT), k)
+
+
 def sample(base: DataFrame, seed: int = 7) -> np.ndarray:
     """Unit vectors of a bounded, hash-ordered sample of base(id, v)."""
     n = max(1000, SAMPLE_BYTES // (4 * width(base)))
@@ -447,7 +467,7 @@ def index_search(index: str = "auto", nprobe: int | None = None, recall: float =
         if index == "exact":
             return nearest_exact(queries, base, k)
         rows = base.count()
-        if index == "auto" and rows <= TILED_ROWS:
+        if index == "auto" and (rows <= TILED_ROWS or queries.limit(SPREAD + 1).count() <= SPREAD):
             return nearest_exact(queries, base, k)
         if index in ("auto", "cells"):
             return nearest_cells(queries, base, k, rows)

@@ -208,9 +208,9 @@ def pca(vectors: DataFrame, dim: int, vector: str = "emb", whiten: bool = False,
 def optimised_rotation(vectors: DataFrame, rounds: int = 6, vector: str = "emb") -> np.ndarray:
     """Rotation that lowers the error of product quantisation (OPQ): on a bounded sample, codes of the rotated vectors and the
     orthogonal matrix that brings the vectors closest to their decoded codes take turns.  Rotate with `project`, mean 0."""
-    from locusweave.operators.anchors import ProductCode, _sample
+    from locusweave.operators.nearest import ProductCode, sample
 
-    x = _sample(vectors.select(F.monotonically_increasing_id().alias("id"), F.col(vector).alias("v"))).astype(float)
+    x = sample(vectors.select(F.monotonically_increasing_id().alias("id"), F.col(vector).alias("v"))).astype(float)
     turn = np.eye(x.shape[1])
     for _ in range(rounds):
         code = ProductCode(x @ turn.T, 4)

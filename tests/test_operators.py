@@ -92,10 +92,20 @@ def test_pruned_cells_equal_tiles(spark, monkeypatch, data):
     assert same_rows(nearest.search_cells(some, held[1], nearest.Cells.measured(*held), 7), nearest.nearest_exact(some, df, 7))  # without the way back to tiles
 
 
+def test_few_queries_go_to_the_base(spark, monkeypatch):
+    df = frame(spark, np.concatenate([crowds(400, 40, 8, 0.3), np.repeat(crowds(4, 4, 8, 0.3), 5, axis=0)]))
+    some = df.filter("id % 50 = 0")
+    few = nearest.nearest_exact(some, df, 6)
+    assert few.count() == 6 * some.count()
+    monkeypatch.setattr(nearest, "SPREAD", 1)
+    assert same_rows(few, nearest.nearest_exact(some, df, 6))
+
+
 def test_auto_does_not_change_with_the_size(spark, monkeypatch):
     df = frame(spark, crowds(800, 50, 8, 0.3))
     small = nearest.index_search("auto")(df, df, 5)
     monkeypatch.setattr(nearest, "TILED_ROWS", 100)
+    monkeypatch.setattr(nearest, "SPREAD", 50)
     assert same_rows(small, nearest.index_search("auto")(df, df, 5))
 
 
