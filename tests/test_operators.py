@@ -247,3 +247,46 @@ def test_projection_explains_variance(spark):
 def test_deterministic_sample(spark):
     df = spark.range(100)
     assert statistics.sample_rows(df, "id", 5).collect() == statistics.sample_rows(df.repartition(7), "id", 5).collect()
+
+
+def test_a_tile_sorts_seldom_and_keeps_the_best(monkeypatch):
+    """What small batches bring waits: a sort for each batch would cost a tile its whole length at every step."""
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((700, 16)), np.repeat(rng.standard_normal((1500, 16)), 2, axis=0)
+    x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+    y[5] = np.nan
+    sorts, plain = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda *a, **b: sorts.append(1) or plain(*a, **b))
+    tile = nearest._Tile(np.arange(700), x, 9)
+    for a in range(0, len(y), 25):
+        tile.meet(np.arange(a, a + 25), y[a : a + 25])
+    found = tile.hits()
+    assert len(sorts) < 60
+    sim = np.round(x @ y.T, 9)
+    want = {(i, int(j)) for i in range(700) for j in plain((np.arange(len(y)), -np.where(np.isnan(sim[i]), -2, sim[i])))[:9]}
+    assert set(zip(found["i"], found["j"])) == want
+
+
+@pytest.mark.parametrize("code", ["flat", "pq"])
+def test_probes_of_most_cells_send_few_hits(spark, monkeypatch, code):
+    """A query that looks into many cells keeps its best over all of a tile, instead of k for each cell."""
+    _, df = vectors(spark, 900, 24)
+    sent, plain = [], nearest.top
+    monkeypatch.setattr(nearest, "top", lambda hits, k: sent.append((hits, k)) or plain(hits, k))
+    found = nearest.nearest_ivf(df, df, 10, 25, code=code)
+    hits, k = sent[0]
+    assert hits.count() <= 900 * k and found.count() == 9000
+
+
+def test_pieces_of_probed_cells_equal_tiles(spark, monkeypatch):
+    _, df = vectors(spark, 900, 24)
+    tiled = nearest.nearest_ivf(df, df, 10, 20)
+    monkeypatch.setattr(nearest, "_tiles", lambda queries, rows: 1000)
+    assert same_rows(tiled, nearest.nearest_ivf(df, df, 10, 20))
+
+
+def test_data_without_structure_goes_to_tiles_at_once(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "TILED_ROWS", 100)
+    _, df = vectors(spark, 900, 24)
+    monkeypatch.setattr(nearest, "search_cells", None)
+    assert same_rows(nearest.nearest_cells(df, df, 7), nearest.nearest_exact(df, df, 7))
