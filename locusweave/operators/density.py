@@ -18,7 +18,7 @@ density a weight of LEAST allows; repeated edges count once."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.operators.graph import components_of, written
@@ -28,6 +28,18 @@ ROUNDS = 10_000  # more are an error
 _FIRST = -(1 << 63)  # stands before all merges
 
 
+def itself_first(neighbours: DataFrame) -> DataFrame:
+    """neighbours(i, j, distance, rank) with each point its own first, at distance 0, and the others from rank 2 on: copies of a point may
+    stand before it, or fill its list.
+
+    One window, not a union of both kinds: Spark zips the parts of a union whose sides it takes for equally partitioned, and fails where one of
+    them was split."""
+    own = (F.col("i") == F.col("j")).cast("int")
+    every, order = Window.partitionBy("i"), Window.partitionBy("i").orderBy(own.desc(), "rank")
+    rank = F.row_number().over(order) + 1 - F.max(own).over(every)
+    return neighbours.select("i", "j", F.when(own == 1, 0.0).otherwise(F.col("distance")).alias("distance"), rank.alias("rank"))
+
+
 def mutual_reachability(neighbours: DataFrame, min_samples: int) -> DataFrame:
     """(u < v, w) of neighbours(i, j, distance, rank), each point its own first: core distance is that of rank min_samples (or the last)."""
     core = neighbours.filter(F.col("rank") <= min_samples).groupBy("i").agg(F.max("distance").alias("core"))

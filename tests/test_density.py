@@ -125,3 +125,12 @@ def test_defined_cases(spark):
     assert {r.point: r.label for r in density.hdbscan(alone).collect()} == {5: -1, 6: -1}
     with pytest.raises(ValueError):
         density.hdbscan(none, 1)
+
+
+def test_itself_first_without_a_union(spark):
+    """A point's own row is its first, wherever copies put it; where copies fill the list, the others begin at rank 2.  A union of own
+    rows and others failed on tables of many parts."""
+    near = spark.createDataFrame([(1, 2, 0.0, 1), (1, 1, 0.1, 2), (1, 3, 0.5, 3), (4, 2, 0.0, 1), (4, 3, 0.2, 2)], "i long, j long, distance double, rank int")
+    told = density.itself_first(near)
+    assert sorted((r.i, r["rank"], r.j, r.distance) for r in told.collect()) == [(1, 1, 1, 0.0), (1, 2, 2, 0.0), (1, 3, 3, 0.5), (4, 2, 2, 0.0), (4, 3, 3, 0.2)]
+    assert "Union" not in told._jdf.queryExecution().toString()
