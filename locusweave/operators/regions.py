@@ -3,6 +3,12 @@ fragmentation, stitching, comparative edges and multi-locus views."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from heapq import heapify, heappop, heappush
+from itertools import count
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +17,8 @@ from locusweave.functions.expr import cosine, overlap_fraction
 from locusweave.operators import graph
 from locusweave.operators.intervals import RANGE, both_directions, merge_islands, overlap_join
 
+PIECE_ROWS = 4096  # genes of a side of a view that one task compares
+
 
 def match_trimmed_ids(wanted: DataFrame, known: DataFrame, steps: int = 4, sep: str = "_") -> DataFrame:
     """wanted(block_id, name) to known(gene_id): the name itself, else with leading parts dropped one by
@@ -104,32 +112,138 @@ def stitch_sinks(sinks: DataFrame, clustered: DataFrame, gap: int = 2, most: int
     return met.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select("block_id", "neighbour", "d")
 
 
-def _greedy_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken_a, taken_b, kept = set(), set(), []
-    for r in pdf.sort_values(["score", "distance", "a", "b"], ascending=[False, True, True, True]).itertuples(index=False):
-        if r.a not in taken_a and r.b not in taken_b:
-            taken_a.add(r.a)
-            taken_b.add(r.b)
-            kept.append(r)
-    return pd.DataFrame(kept, columns=pdf.columns)
+class _Free:
+    """The genes (idx, id) of one kind that are not taken yet, in that order."""
+
+    def __init__(self, genes: list[tuple[int, str]]):
+        self.genes = sorted(genes)
+        self.at = [i for i, _ in self.genes]
+        self.after, self.before = list(range(len(genes) + 1)), list(range(len(genes) + 1))  # before is shifted by one: 0 is none
+
+    @staticmethod
+    def _end(way: list[int], p: int) -> int:
+        while way[p] != p:
+            way[p] = way[way[p]]
+            p = way[p]
+        return p
+
+    def take(self, p: int) -> None:
+        self.after[p], self.before[p + 1] = p + 1, p
+
+    def nearest(self, i: int) -> tuple[int, str] | None:
+        """(distance, id) of the free gene closest to place i, the smaller id among equals."""
+        p = bisect_left(self.at, i)
+        right, left = self._end(self.after, p), self._end(self.before, p) - 1
+        found = []
+        if right < len(self.at):
+            found.append((self.at[right] - i, self.genes[right][1]))
+        if left >= 0:
+            first = self._end(self.after, bisect_left(self.at, self.at[left]))
+            found.append((i - self.at[left], self.genes[first][1]))
+        return min(found, default=None)
+
+
+def greedy_pairs(a: list[tuple[str, int, frozenset]], b: list[tuple[str, int, frozenset]]) -> list[tuple[str, str]]:
+    """One-to-one pairs of genes (id, idx, domains) that one takes who walks all pairs with a shared domain by (most shared, distance, a, b).
+
+    No list of pairs is made: each gene of a waits with the best partner it had when it was last looked at.  Partners only go, so a gene
+    whose partner is still free when its turn comes has the best pair left."""
+    kinds: dict[frozenset, list[tuple[int, str]]] = {}
+    for g, i, d in b:
+        kinds.setdefault(d, []).append((i, g))
+    free = {d: _Free(genes) for d, genes in kinds.items()}
+    spots: dict[str, list[tuple[frozenset, int]]] = {}
+    for d, f in free.items():
+        for p, (_, g) in enumerate(f.genes):
+            spots.setdefault(g, []).append((d, p))
+    having: dict[str | None, list[frozenset]] = {}
+    for d in kinds:
+        for x in d:
+            having.setdefault(x, []).append(d)
+    levels: dict[frozenset, list[tuple[int, list[frozenset]]]] = {}
+    for d in {d for _, _, d in a}:
+        shared = Counter(k for x in d for k in having.get(x, ()))
+        by: dict[int, list[frozenset]] = {}
+        for k, n in shared.items():
+            by.setdefault(n, []).append(k)
+        levels[d] = sorted(by.items(), reverse=True)
+
+    def best(g: str, i: int, d: frozenset) -> tuple | None:
+        for n, some in levels[d]:
+            if found := min((near for k in some if (near := free[k].nearest(i))), default=None):
+                return -n, found[0], g, found[1], next(number), i, d
+        return None
+
+    number = count()  # sets have no order
+    heap = [e for g, i, d in a if (e := best(g, i, d))]
+    heapify(heap)
+    kept: dict[str, str] = {}
+    while heap:
+        _, _, g, h, _, i, d = heappop(heap)
+        if g in kept:
+            continue
+        if h in spots:
+            kept[g] = h
+            for k, p in spots.pop(h):
+                free[k].take(p)
+        elif e := best(g, i, d):
+            heappush(heap, e)
+    return list(kept.items())
+
+
+def _close_pairs(a: DataFrame, b: DataFrame, tau: float) -> DataFrame:
+    """(view, a, b) with a cosine of tau or more of a(view, a, va) and b(view, b, vb): pieces of both sides of a view meet as matrices."""
+    pieces = lambda df, n: df.groupBy("view").agg(F.ceil(F.count("*") / PIECE_ROWS).alias(n))
+    both = pieces(a, "na").join(pieces(b, "nb"), "view")
+    deal = lambda g, n: F.pmod(F.xxhash64(g), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = a.join(both, "view").withColumns({"pa": deal("a", "na"), "pb": each("nb")}).select("view", "pa", "pb", "a", "va")
+    right = b.join(both, "view").withColumns({"pb": deal("b", "nb"), "pa": each("na")}).select("view", "pa", "pb", "b", "vb")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"view": x["view"][:0], "a": x["a"][:0], "b": y["b"][:0]})
+        if x.empty or y.empty:
+            return out
+        u, v = (np.vstack(m.to_numpy()).astype(np.float64) for m in (x["va"], y["vb"]))
+        with np.errstate(all="ignore"):
+            u, v = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (u, v))
+        thin, slack = v.astype(np.float32).T, 2.4e-7 * (u.shape[1] + 8)  # of products of single precision
+        found = [out]
+        for i in range(0, len(u), 512):
+            r, c = np.nonzero(u[i : i + 512].astype(np.float32) @ thin >= tau - slack)
+            keep = np.einsum("nd,nd->n", u[i + r], v[c]) >= tau
+            r, c = i + r[keep], c[keep]
+            found.append(pd.DataFrame({"view": x["view"].to_numpy()[r], "a": x["a"].to_numpy()[r], "b": y["b"].to_numpy()[c]}))
+        return pd.concat(found)
+
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+    key = ("view", "pa", "pb")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, ", ".join(f"{c} {kinds[c]}" for c in ("view", "a", "b")))
 
 
 def comparative_edges(left: DataFrame, right: DataFrame, tau: float = 0.8) -> DataFrame:
     """Edges between two loci of a view: (view, a, b, kind) for genes (view, id, idx, emb, domains array).
 
     cos: cosine at least tau; pfam: greedy one-to-one by shared domains, then index distance; both where they
-    agree; a view without either is paired by rank (fallback)."""
+    agree; a view without either is paired by rank (fallback).  Neither kind lists the pairs that it does not keep."""
     a = left.select("view", F.col("id").alias("a"), F.col("idx").alias("i"), F.col("emb").alias("va"), F.col("domains").alias("da"))
     b = right.select("view", F.col("id").alias("b"), F.col("idx").alias("j"), F.col("emb").alias("vb"), F.col("domains").alias("db"))
-    met = a.join(b, "view")
-    cos = met.filter(cosine("va", "vb") >= tau).select("view", "a", "b", F.lit(1).alias("cos"))
-    shared = F.size(F.array_intersect("da", "db"))
-    pf = met.select("view", "a", "b", shared.alias("score"), F.abs(F.col("i") - F.col("j")).alias("distance")).filter("score > 0")
-    kinds = dict(pf.dtypes)
-    pf = pf.groupBy("view").applyInPandas(_greedy_pairs, ", ".join(f"{c} {kinds[c]}" for c in pf.columns)).select("view", "a", "b", F.lit(1).alias("pfam"))
+    cos = _close_pairs(a.filter("va IS NOT NULL").select("view", "a", "va"), b.filter("vb IS NOT NULL").select("view", "b", "vb"), tau).withColumn("cos", F.lit(1))
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+
+    def greedy(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        rows = lambda t: [(g, int(i), frozenset(d)) for g, i, d in t.itertuples(index=False)]
+        kept = greedy_pairs(rows(x[["a", "i", "da"]]), rows(y[["b", "j", "db"]]))
+        view = x["view"].iloc[:1].tolist() * len(kept)
+        return pd.DataFrame({"view": pd.Series(view, dtype=x["view"].dtype), "a": pd.Series([g for g, _ in kept], dtype=x["a"].dtype), "b": pd.Series([h for _, h in kept], dtype=y["b"].dtype)})
+
+    some = a.filter("size(da) > 0").select("view", "a", "i", "da").groupBy("view").cogroup(b.filter("size(db) > 0").select("view", "b", "j", "db").groupBy("view"))
+    pf = some.applyInPandas(greedy, ", ".join(f"{c} {kinds[c]}" for c in ("view", "a", "b"))).withColumn("pfam", F.lit(1))
     both = cos.join(pf, ["view", "a", "b"], "full").withColumn("kind", F.when(F.col("cos").isNotNull() & F.col("pfam").isNotNull(), "both").when(F.col("cos").isNotNull(), "cos").otherwise("pfam"))
-    rank = met.filter("i = j").join(both.select("view").distinct(), "view", "left_anti").select("view", "a", "b", F.lit("fallback").alias("kind"))
-    return both.select("view", "a", "b", "kind").unionByName(rank)
+    both = graph.written(both.select("view", "a", "b", "kind"))  # read twice
+    ranked = a.select("view", "a", "i").join(b.select("view", "b", F.col("j").alias("i")), ["view", "i"])
+    rank = ranked.join(both.select("view").distinct(), "view", "left_anti").select("view", "a", "b", F.lit("fallback").alias("kind"))
+    return both.unionByName(rank)
 
 
 def track_order(similarity: dict[tuple[str, str], float], tracks: list[str]) -> list[str]:

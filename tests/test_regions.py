@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -132,3 +133,34 @@ def test_overlaps_of_mixed_lengths(spark):
     assert got == sorted((i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
     level = F.array(F.struct(intervals._level("l_start", "l_end", 16).alias("m"), F.lit(0).alias("side")))
     assert intervals._placed(a.filter("l_end > 1000000"), "l_start", "l_end", 16, level).count() <= 2
+
+
+def test_greedy_pairs_equal_the_walk_over_all_pairs():
+    rng = random.Random(5)
+    for _ in range(60):
+        side = lambda p, n: [(f"{p}{k}", rng.randrange(12), frozenset(rng.sample("vwxyz", rng.randrange(1, 4)))) for k in range(n)]  # noqa: E731, B023
+        a, b = side("a", rng.randrange(0, 14)), side("b", rng.randrange(0, 14))
+        walk = sorted((-len(d & e), abs(i - j), g, h) for g, i, d in a for h, j, e in b if d & e)
+        met, taken = {}, set()
+        for _, _, g, h in walk:
+            if g not in met and h not in taken:
+                met[g] = h
+                taken.add(h)
+        assert dict(regions.greedy_pairs(a, b)) == met
+
+
+def test_comparative_edges_keep_to_their_pieces(spark, monkeypatch):
+    """Neither all pairs of a view nor all pairs with a shared domain are listed; pieces of a view give what the whole gives."""
+    rng = np.random.default_rng(2)
+    side = lambda p, n: [(1, f"{p}{k}", k, [float(x) for x in rng.standard_normal(4)], ["x"]) for k in range(n)]
+    names = "view int, id string, idx int, emb array<double>, domains array<string>"
+    a, b = side("a", 60), side("b", 50)
+    want = {(g[1], h[1]) for g in a for h in b if np.dot(g[3], h[3]) / (np.linalg.norm(g[3]) * np.linalg.norm(h[3])) >= 0.5}
+    monkeypatch.setattr(regions, "PIECE_ROWS", 16)
+    found = regions.comparative_edges(spark.createDataFrame(a, names), spark.createDataFrame(b, names), 0.5).collect()
+    assert {(r.a, r.b) for r in found if r.kind != "pfam"} == want
+    assert {(r.a, r.b) for r in found if r.kind != "cos"} == {(f"a{k}", f"b{k}") for k in range(50)}
+    sent, plain = [], regions.graph.written
+    monkeypatch.setattr(regions.graph, "written", lambda df: sent.append(df) or plain(df))
+    regions.comparative_edges(spark.createDataFrame(a, names), spark.createDataFrame(b, names), 0.5)
+    assert "CartesianProduct" not in (plan := sent[0]._jdf.queryExecution().toString()) and plan.count("FlatMapCoGroupsInPandas") >= 2
