@@ -290,3 +290,10 @@ def test_data_without_structure_goes_to_tiles_at_once(spark, monkeypatch):
     _, df = vectors(spark, 900, 24)
     monkeypatch.setattr(nearest, "search_cells", None)
     assert same_rows(nearest.nearest_cells(df, df, 7), nearest.nearest_exact(df, df, 7))
+
+
+def test_graph_search_widens_its_beam_to_the_recall(spark):
+    """Without structure a beam of 16 in a large piece misses many; the beam follows the data."""
+    x, df = vectors(spark, 4000, 48)
+    truth = spark.createDataFrame(sorted(exact(x, 10)), "i long, j long")
+    assert evaluation.ann_recall(truth, nearest.index_search("graph")(df, df, 10)).first().recall >= 0.95
