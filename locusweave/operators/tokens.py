@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusweave.functions.expr import fixed
-from locusweave.operators.graph import cut
+from locusweave.operators.graph import cut, written
 
 
 PREFIX_FROM = 0.5  # similarity from which on documents meet by prefixes
@@ -72,7 +72,7 @@ def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_ma
     From PREFIX_FROM on (below, the prefix is most of a document) only tokens of a document's prefix are joined: rarest first, up to the point from which on the rest
     weighs less than a pair must share.  Pairs of similarity tau share one of them, so none is lost; the higher tau, the rarer the tokens
     that are joined at all; the shared weight of candidates is then summed exactly."""
-    rows = cut(tokens.select(F.col(doc).alias("doc"), "token").distinct())  # read four times below
+    rows = written(tokens.select(F.col(doc).alias("doc"), "token").distinct())  # read four times below; as Parquet, as checkpoints are not packed
     n = rows.agg(F.countDistinct("doc").alias("n"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     df = df.filter(F.col("df") <= df_max) if df_max else df
@@ -81,8 +81,8 @@ def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_ma
     total = weighed.groupBy("doc").agg(F.sum("idf").alias("total"))
     index = weighed.filter(F.col("df") >= df_min)
     if tau >= PREFIX_FROM:
-        weighed = cut(weighed.select("doc", "token", "df", "idf"))
-        total = cut(weighed.groupBy("doc").agg(F.sum("idf").alias("total")))
+        weighed = written(weighed.select("doc", "token", "df", "idf"))
+        total = written(weighed.groupBy("doc").agg(F.sum("idf").alias("total")))
         rest = Window.partitionBy("doc").orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, 0)
         lead = weighed.withColumn("_rest", F.sum("idf").over(rest)).join(total, "doc").filter((F.col("_rest") >= tau * F.col("total") - 1e-9) & (F.col("df") >= df_min))
         # The lighter of two documents shares 2 tau / (1 + tau) of its weight or more, the heavier one tau; weights differ by tau at most.

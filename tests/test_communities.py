@@ -87,3 +87,12 @@ def test_cluster_types(spark):
 def test_contig_stats(spark):
     contigs = spark.createDataFrame([("s", "c", "GGCCAT"), ("s", "d", "AT")], "sample_id string, contig_id string, seq string")
     assert [(r.contig_id, r.length, round(r.gc, 3)) for r in files.contig_stats(contigs).orderBy("contig_id").collect()] == [("c", 6, 0.667), ("d", 2, 0.0)]
+
+
+def test_similarity_packs_its_tables(spark, monkeypatch):
+    """Checkpoints are not packed and took several times the input on disk."""
+    from locusweave.operators import tokens
+
+    rows = spark.createDataFrame([(d, t) for d, ts in ((1, "abcde"), (2, "abcde"), (3, "xyz")) for t in ts], "doc long, token string")
+    monkeypatch.setattr(tokens, "cut", None)
+    assert [(r.a, r.b, round(r.jaccard, 9)) for r in tokens.weighted_jaccard(rows, tau=0.8).collect()] == [(1, 2, 1.0)]
