@@ -18,24 +18,16 @@ def token_clusters(
     rows: DataFrame, tau: float = 0.3, k: int = 5, ban: float | None = 0.99, min_shared: int = 1, triangles: int = 0, communities: bool = False,
     cap: int | None = None, either: bool = False, lengths: DataFrame | None = None, small: int = 6,
 ) -> DataFrame:
-    """(doc, cluster_id) of token sets rows(doc: bigint, token).
+    """(doc, cluster_id) of token sets rows(doc: bigint, token or tokens).
 
     Tokens at or above the document-frequency percentile `ban` are left out; pairs with an IDF-weighted
     Jaccard of tau or more and min_shared tokens that are among each other's k best are edges; a cap leaves each document that many, by
     the greedy walk from the heaviest edge on or (either) the best of each end; edges with too few triangles go (with lengths(doc, n): only those
     with an end of fewer than small); clusters are components (or modularity communities), numbered by size, then least member;
     documents without an edge get 0."""
-    held = rows.select("doc", "token").distinct()
-    if ban is not None:
-        banned = tokens.percentile_ban(tokens.document_frequency(held), ban).filter("df > 1").select("token")
-        kept = held.join(banned, "token", "left_anti")
-    else:
-        kept = held
-    pairs = tokens.weighted_jaccard(kept, tau=tau).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("jaccard").alias("w"))
-    if min_shared > 1:
-        both = kept.select("token", F.col("doc").alias("u")).join(kept.select("token", F.col("doc").alias("v")), "token").filter("u < v").groupBy("u", "v").count()
-        pairs = pairs.join(both.filter(F.col("count") >= min_shared).select("u", "v"), ["u", "v"])
-    edges = graph.written(graph.mutual_top_k(graph.written(pairs), k))  # each step reads its edges several times
+    listed = tokens.token_lists(rows)
+    sets, n, entries = tokens.token_sets(listed, ban)
+    edges = graph.written(graph.mutual_best(tokens.most_alike(sets, n, entries, k, tau, min_shared), k))  # read several times
     if cap:
         edges = graph.written(graph.either_cap(edges, cap)) if either else graph.greedy_cap(edges, cap)
     if triangles:
@@ -50,7 +42,7 @@ def token_clusters(
     named = graph.modularity_communities(edges).withColumnRenamed("community", "root") if communities else graph.connected_components(edges)
     sizes = named.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     ids = numbered_rows(sizes, [-F.col("n"), "first"], "cluster_id", 1).select("root", F.col("cluster_id").cast("int").alias("cluster_id"))
-    every = held.select("doc").distinct()
+    every = listed.select("doc")
     return every.join(named.join(ids, "root").select(F.col("node").alias("doc"), "cluster_id"), "doc", "left").select("doc", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
 
 

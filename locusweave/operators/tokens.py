@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,10 @@ from locusweave.operators.graph import cut, written
 
 
 PREFIX_FROM = 0.5  # similarity from which on documents meet by prefixes
+TILE_TOKENS = 8 << 20  # tokens of the documents of a tile
+TILE_DOCS = 512  # documents that a tile has at least, if that makes fewer tiles than there are cores
+MEETINGS = 2 << 20  # tokens in common that a tile counts at a time
+BANNED = 500_000  # banned tokens that are broadcast
 
 
 def explode_list(df: DataFrame, column: str, sep: str, to: str = "token") -> DataFrame:
@@ -64,6 +73,140 @@ def set_classes(tokens: DataFrame, doc: str = "doc") -> DataFrame:
     return listed.join(same, "_set").select("doc", "rep", "size")
 
 
+def token_lists(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, tokens): the distinct tokens of each document, as a table in the shared folder; rows hold a token or an array of tokens."""
+    every = F.array_distinct(F.flatten(F.collect_list("tokens"))) if "tokens" in rows.columns else F.collect_set("token")
+    return written(rows.groupBy(F.col(doc).alias("doc")).agg(every.alias("tokens")))
+
+
+def token_sets(listed: DataFrame, ban: float | None = None) -> tuple[DataFrame, int, int]:
+    """((doc, total, ids, dfs), documents, entries) of token_lists: ids and document frequencies of the tokens that another document has
+    too, total the IDF weight of all.  Tokens of more than one document at or above the frequency percentile ban are left out, and documents of none."""
+    each = listed.select("doc", F.explode("tokens").alias("token"))
+    known = written(each.groupBy("token").agg(F.count("*").alias("df")).withColumn("id", F.monotonically_increasing_id()))
+    kept = known
+    if ban is not None:
+        banned = percentile_ban(known.select("token", "df"), ban).filter("df > 1").select("token")
+        few = banned.limit(BANNED + 1).count() <= BANNED
+        each = each.join(F.broadcast(banned) if few else banned, "token", "left_anti")  # most entries, before they move
+        kept = known.join(banned, "token", "left_anti")
+    held = each.join(kept, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "df"))).alias("held"))
+    held = written(held.select("doc", F.filter("held", lambda x: x["df"] > 1).alias("held"), F.transform("held", lambda x: x["df"]).alias("every")))
+    n, entries = held.agg(F.count("*"), F.coalesce(F.sum(F.size("held")), F.lit(0))).first()
+    total = F.aggregate("every", F.lit(0.0), lambda t, df: t + F.log(1 + F.lit(n) / df))
+    return held.select("doc", total.alias("total"), F.col("held.id").alias("ids"), F.col("held.df").alias("dfs")), n, entries
+
+
+class _SetTile:
+    """Token sets of the documents of a tile, by token.  Other documents stream past; of both sides each keeps its k best."""
+
+    def __init__(self, held: pd.DataFrame, n: int, k: int, tau: float, least: int):
+        self.docs, self.total, self.k, self.tau, self.least = held["doc"].to_numpy(np.int64), held["total"].to_numpy(float), k, tau, least
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in held["ids"]])
+        ids, dfs = np.concatenate(held["ids"].to_list()), np.concatenate(held["dfs"].to_list())
+        order = np.argsort(ids, kind="stable")
+        self.owner = owner[order]
+        self.token, self.start = np.unique(ids[order], return_index=True)
+        self.size = np.diff(np.append(self.start, len(ids)))
+        self.idf = np.log(1 + n / dfs[order][self.start])
+        self.shared, self.common = np.zeros(0), np.zeros(0, np.int64)
+        self.found, self.waiting = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+
+    def meet(self, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids = np.concatenate(part["ids"].to_list())
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part["ids"]])
+        if not len(self.token) or not len(ids):
+            return
+        at = np.minimum(np.searchsorted(self.token, ids), len(self.token) - 1)
+        hit = self.token[at] == ids
+        row, at = row[hit], at[hit]
+        docs, total, own = part["doc"].to_numpy(np.int64), part["total"].to_numpy(float), part["own"].to_numpy(bool)
+        upto = np.cumsum(np.bincount(row, self.size[at], minlength=len(part)))
+        a = 0
+        while a < len(part):  # as many documents as have so many tokens in common with the tile, one at least
+            b = max(a + 1, min(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MEETINGS, "right")), a + max(1, MEETINGS * 4 // len(self.docs))))
+            lo, hi = np.searchsorted(row, (a, b))
+            yield self._alike(row[lo:hi] - a, at[lo:hi], docs[a:b], total[a:b], own[a:b])
+            a = b
+
+    def _alike(self, row: np.ndarray, at: np.ndarray, docs: np.ndarray, total: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        size, width = self.size[at], len(self.docs)
+        if len(self.shared) < len(docs) * width:
+            self.shared, self.common = np.zeros(len(docs) * width), np.zeros(len(docs) * width if self.least > 1 else 0, np.int64)
+        place = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        key = np.repeat(row * width, size) + self.owner[place]
+        np.add.at(self.shared, key, np.repeat(self.idf[at], size))
+        shared = self.shared[key]
+        r, c = np.divmod(key, width)
+        near = shared >= (self.tau - 1e-9) * (total[r] + self.total[c] - shared)
+        if self.least > 1:
+            np.add.at(self.common, key, 1)
+            near &= self.common[key] >= self.least
+            self.common[key] = 0
+        near &= ~own[r] | (self.docs[c] < docs[r])
+        _, one = np.unique(key[near], return_index=True)
+        r, c, shared = r[near][one], c[near][one], shared[near][one]
+        self.shared[key] = 0
+        w = np.round(shared / (total[r] + self.total[c] - shared), 9)
+        good = w >= self.tau
+        r, c, w = r[good], c[good], w[good]
+        self.found.append((c, docs[r], w))
+        self.waiting += len(c)
+        if self.waiting > 2 * self.k * width:
+            self._settle()
+        r, v, w = self._best(r, self.docs[c], w)
+        return pd.DataFrame({"u": docs[r], "v": v, "w": w})
+
+    def _best(self, x: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((v, -w, x))
+        x, v, w = x[order], v[order], w[order]
+        keep = np.arange(len(x)) - np.searchsorted(x, x, "left") < self.k
+        return x[keep], v[keep], w[keep]
+
+    def _settle(self) -> None:
+        self.found, self.waiting = [self._best(*(np.concatenate(p) for p in zip(*self.found)))], 0
+
+    def hits(self) -> pd.DataFrame:
+        self._settle()
+        c, v, w = self.found[0]
+        return pd.DataFrame({"u": self.docs[c], "v": v, "w": w})
+
+
+def most_alike(sets: DataFrame, n: int, entries: int, k: int, tau: float, min_shared: int = 1) -> DataFrame:
+    """(u, v, w) in both directions, among them the k best of each document u (w desc, then v) of token_sets: IDF-weighted Jaccard, to nine
+    places, of tau or more, with min_shared tokens in common.
+
+    The documents are dealt into tiles; each pair of tiles meets once, in the one of them that holds its documents by token.  What documents
+    have in common is counted there, so no table of pairs arises; a tile sends k rows of each document it has met."""
+    spark = sets.sparkSession
+    tiles = max(1, math.ceil(entries / TILE_TOKENS), min(spark.sparkContext.defaultParallelism, math.ceil(n / TILE_DOCS)))
+    own = sets.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(tiles)).cast("int"))
+    left = own.withColumnRenamed("p", "q").withColumns({"side": F.lit(0), "own": F.lit(True)})
+    right = own.drop("dfs").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(tiles // 2)))).filter((F.col("d") * 2 != tiles) | (F.col("p") * 2 < tiles))  # opposite tiles meet once
+    right = right.withColumns({"q": ((F.col("p") + F.col("d")) % tiles).cast("int"), "side": F.lit(1), "own": F.col("d") == 0}).drop("p", "d")
+    dealt = left.unionByName(right, allowMissingColumns=True).repartitionById(tiles, "q").sortWithinPartitions("q", "side", "doc")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, tile = None, [], None
+        for batch in batches:
+            for (q, side), part in batch.groupby(["q", "side"], sort=True):
+                if q != now:
+                    if tile is not None:
+                        yield tile.hits()
+                    now, held, tile = q, [], None
+                if side == 0:
+                    held.append(part)
+                    continue
+                if tile is None and held:
+                    tile, held = _SetTile(pd.concat(held), n, k, tau, min_shared), []
+                if tile is not None:
+                    yield from tile.meet(part)
+        if tile is not None:
+            yield tile.hits()
+
+    return dealt.mapInPandas(run, "u bigint, v bigint, w double")
+
+
 def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_max: int | None = None, tau: float = 0.0, among: DataFrame | None = None) -> DataFrame:
     """(a < b, jaccard): IDF-weighted Jaccard of documents by an inverted index, tau or more; tokens of one document can't
     join anything and weigh only in the totals, df_max leaves out frequent ones.  among(doc) names the documents to compare, all count for

@@ -96,3 +96,46 @@ def test_similarity_packs_its_tables(spark, monkeypatch):
     rows = spark.createDataFrame([(d, t) for d, ts in ((1, "abcde"), (2, "abcde"), (3, "xyz")) for t in ts], "doc long, token string")
     monkeypatch.setattr(tokens, "cut", None)
     assert [(r.a, r.b, round(r.jaccard, 9)) for r in tokens.weighted_jaccard(rows, tau=0.8).collect()] == [(1, 2, 1.0)]
+
+
+def test_most_alike_lists_no_pairs(spark, monkeypatch):
+    """All documents with a token in common were joined: a table of all pairs.  Tiles send k rows a document and the best are those of all pairs."""
+    import math
+    import random
+
+    from locusweave.operators import graph, tokens
+
+    rng = random.Random(5)
+    docs = {d: frozenset(["all", *(f"t{rng.randrange(40)}" for _ in range(rng.randint(1, 9)))]) for d in range(150)} | dict.fromkeys(range(150, 260), frozenset("xyz"))
+    rows = spark.createDataFrame([(d, t) for d, ts in docs.items() for t in ts], "doc long, token string")
+    df = {}
+    for ts in docs.values():
+        for t in ts:
+            df[t] = df.get(t, 0) + 1
+    idf = {t: math.log(1 + len(docs) / n) for t, n in df.items()}
+    monkeypatch.setattr(tokens, "TILE_DOCS", 64)
+    monkeypatch.setattr(tokens, "MEETINGS", 500)
+    for size, least in ((8 << 20, 1), (150, 1), (320, 2)):
+        monkeypatch.setattr(tokens, "TILE_TOKENS", size)
+        sets, n, entries = tokens.token_sets(tokens.token_lists(rows))
+        found = tokens.most_alike(sets, n, entries, 3, 0.3, least).cache()
+        tiles = max(math.ceil(entries / size), 4)
+        assert n == len(docs) and found.count() <= 3 * n * (tiles // 2 + 2) < n * (n - 1) // 2
+        want = {}
+        for a, x in docs.items():
+            near = [(round(sum(idf[t] for t in x & y) / sum(idf[t] for t in x | y), 9), b) for b, y in docs.items() if a != b and len(x & y) >= least]
+            want[a] = sorted(((-w, b) for w, b in near if w >= 0.3))[:3]
+        edges = {(a, b): -w for a in want for w, b in want[a] if a < b and any(c == a for _, c in want[b])}
+        got = {(r.u, r.v): round(r.w, 9) for r in graph.mutual_best(found, 3).collect()}
+        assert got == edges
+        found.unpersist()
+
+
+def test_token_lists(spark):
+    from locusweave.operators import tokens
+
+    want = {1: ["a", "b", "c"], 2: ["c"]}
+    one = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (1, "c"), (2, "c")], "doc long, token string")
+    many = spark.createDataFrame([(1, ["a", "b", "a"]), (1, ["c", "b"]), (2, ["c"])], "doc long, tokens array<string>")
+    for rows in (one, many):
+        assert {r.doc: sorted(r.tokens) for r in tokens.token_lists(rows).collect()} == want
