@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SETS = 4096  # vector sets of a tile
+SPREAD = 64  # sets that a tile has at least, if that makes fewer pairs of tiles than there are cores
+MOVED = 1024  # pairs of which the transport is found at a time
+
 
 def windows(genes: DataFrame, key: list[str], order: list[str], k: int, stride: int = 1, vector: str = "emb") -> DataFrame:
     """(key, window, ids, vectors): runs of k genes at every stride-th start."""
@@ -132,6 +138,104 @@ def rerank(pairs: DataFrame, vectors: DataFrame, eps: float = 0.1, rounds: int =
     return met.select("a", "b", "va", "vb").mapInPandas(run, f"a {kinds['a']}, b {kinds['b']}, cost double")
 
 
+def sinkhorn_many(a: np.ndarray, b: np.ndarray, eps: float = 0.1, rounds: int = 50, top_k: int | None = None) -> np.ndarray:
+    """sinkhorn of each pair of sets a (pairs, n, dim) and b (pairs, m, dim); the pairs are the last axis, so each step is one array operation.
+    Equally close columns (to 12 places) are taken from the left."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=2, keepdims=True), 1e-9)
+    cost = 1 - np.moveaxis(unit(a) @ unit(b).transpose(0, 2, 1), 0, 2)
+    cost = np.ascontiguousarray(cost)
+    kernel = np.exp(-cost / eps)
+    if top_k is not None and top_k < cost.shape[1]:
+        np.put_along_axis(kernel, np.argsort(np.round(cost, 12), axis=1, kind="stable")[:, top_k:], 0.0, axis=1)
+    n, m, size = cost.shape
+    u, v = np.ones((n, size)), np.ones((m, size))
+    for _ in range(rounds):
+        u = (1 / n) / np.maximum((kernel * v).sum(axis=1), 1e-300)
+        v = (1 / m) / np.maximum((kernel * u[:, None]).sum(axis=0), 1e-300)
+    plan = u[:, None] * kernel * v
+    return (plan * cost).sum(axis=(0, 1)) / np.maximum(plan.sum(axis=(0, 1)), 1e-300)
+
+
+def _sharing(x: list[np.ndarray], y: list[np.ndarray], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in x, places in y) of the token sets with `least` tokens in common, counted for some of x at a time."""
+    owner = np.repeat(np.arange(len(y)), [len(t) for t in y])
+    every, place = np.unique(np.concatenate(y), return_inverse=True)
+    owner = owner[np.argsort(place, kind="stable")]
+    size = np.bincount(place, minlength=len(every))
+    start = np.cumsum(size) - size
+    for i, tokens in enumerate(x):
+        at = np.minimum(np.searchsorted(every, tokens), len(every) - 1)
+        at = at[every[at] == tokens]
+        if len(at):
+            met = np.concatenate([owner[start[t] : start[t] + size[t]] for t in at])
+            near = np.flatnonzero(np.bincount(met, minlength=len(y)) >= least)
+            yield np.full(len(near), i), near
+
+
+def rerank_sharing(sets: DataFrame, least: int = 2, eps: float = 0.1, rounds: int = 50, top_k: int | None = None) -> DataFrame:
+    """(a < b, cost): rerank of all pairs of sets(id, tokens, vs) with `least` distinct tokens in common.
+
+    Sets are dealt into tiles, and each two tiles meet in one task, where common tokens are counted and costs found: vectors move
+    once for each tile, not for each pair, and no pair moves."""
+    cores, n = sets.sparkSession.sparkContext.defaultParallelism, sets.count()
+    tiles = max(1, math.ceil(n / SETS), min(math.ceil(math.sqrt(4 * cores)), math.ceil(n / SPREAD)))
+    own = sets.select("id", F.array_distinct("tokens").alias("tokens"), "vs", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("mine"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.withColumn("meeting", F.least("mine", "other") * tiles + F.greatest("mine", "other")).drop("other")
+
+    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        first = pdf["mine"].min()
+        x, y = pdf[pdf["mine"] == first], pdf[pdf["mine"] == pdf["mine"].max()]
+        if x["mine"].iloc[0] * tiles + y["mine"].iloc[0] != pdf["meeting"].iloc[0]:
+            return  # one of the tiles is empty
+        x, y = ({"id": p["id"].to_numpy(), "tokens": p["tokens"].to_list(), "vs": [np.vstack(v).astype(float) for v in p["vs"]]} for p in (x, y))
+        same = len(pdf["mine"].unique()) == 1
+        held, waiting = [], 0
+
+        def costs() -> pd.DataFrame:
+            i, j = (np.concatenate(p) for p in zip(*held))
+            keep = i < j if same else np.full(len(i), True)
+            i, j = i[keep], j[keep]
+            swap = x["id"][i] > y["id"][j]
+            a, b = np.where(swap, y["id"][j], x["id"][i]), np.where(swap, x["id"][i], y["id"][j])
+            va = [y["vs"][q] if s else x["vs"][p] for p, q, s in zip(i, j, swap)]
+            vb = [x["vs"][p] if s else y["vs"][q] for p, q, s in zip(i, j, swap)]
+            shape = np.array([(len(p), len(q)) for p, q in zip(va, vb)]).reshape(-1, 2)
+            cost = np.zeros(len(i))
+            for some in np.unique(shape, axis=0):
+                where = np.flatnonzero((shape == some).all(axis=1))
+                for c in range(0, len(where), MOVED):
+                    part = where[c : c + MOVED]
+                    cost[part] = sinkhorn_many(np.stack([va[p] for p in part]), np.stack([vb[p] for p in part]), eps, rounds, top_k)
+            return pd.DataFrame({"a": a, "b": b, "cost": cost})
+
+        for i, j in _sharing(x["tokens"], y["tokens"], least):
+            held.append((i, j))
+            waiting += len(i)
+            if waiting >= 16 * MOVED:
+                yield costs()
+                held, waiting = [], 0
+        if waiting:
+            yield costs()
+
+    kind = dict(sets.dtypes)["id"]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for batch in batches:
+            for meeting, part in batch.groupby("meeting", sort=True):
+                if meeting != now and kept:
+                    yield from run(pd.concat(kept))
+                    kept = []
+                now = meeting
+                kept.append(part)
+        if kept:
+            yield from run(pd.concat(kept))
+
+    spread = dealt.repartition(tiles * (tiles + 1) // 2, "meeting").sortWithinPartitions("meeting")
+    return spread.mapInPandas(each, f"a {kind}, b {kind}, cost double")
+
+
 def hybrid_weight(cosine: str, cost: str, lam: float = 0.5, tau: float = 0.1):
     return lam * F.col(cosine) + (1 - lam) * F.exp(-F.col(cost) / tau)
 

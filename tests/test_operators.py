@@ -297,3 +297,18 @@ def test_graph_search_widens_its_beam_to_the_recall(spark):
     x, df = vectors(spark, 4000, 48)
     truth = spark.createDataFrame(sorted(exact(x, 10)), "i long, j long")
     assert evaluation.ann_recall(truth, nearest.index_search("graph")(df, df, 10)).first().recall >= 0.95
+
+
+def test_rerank_sharing_equals_rerank(spark, monkeypatch):
+    """Pairs were joined with their vectors and solved one by one; tiles meet and are solved many at a time."""
+    rng = np.random.default_rng(3)
+    sets = [(f"w{i}", [int(t) for t in rng.integers(0, 25, rng.integers(1, 7))], rng.standard_normal((int(rng.integers(2, 5)), 4)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(sets, "id string, tokens array<long>, vs array<array<float>>")
+    pairs = [(a, b) for a, x, _ in sets for b, y, _ in sets if a < b and len(set(x) & set(y)) >= 2]
+    monkeypatch.setattr(shingles, "MOVED", 16)
+    for size, top in ((4096, None), (20, 2)):
+        monkeypatch.setattr(shingles, "SETS", size)
+        want = {(r.a, r.b): round(r.cost, 9) for r in shingles.rerank(spark.createDataFrame(pairs, "a string, b string"), df.select("id", "vs"), top_k=top).collect()}
+        got = shingles.rerank_sharing(df, 2, top_k=top).collect()
+        assert len(got) == len(pairs) and {(r.a, r.b): round(r.cost, 9) for r in got} == want
+    assert shingles.rerank_sharing(df.limit(0), 2).isEmpty()
