@@ -29,6 +29,7 @@ from locusweave.llm.common import as_bytes, estimated_bytes, materialize, parts,
 from locusweave.llm.words import chunks, inside, minimizers, window_hashes, word_hashes
 
 BLOCK = 6 << 20  # stored bytes of a block
+WHOLE = "g1 bigint, g2 bigint, block int, doc bigint, twice boolean"
 
 
 def _ordered(table: pa.Table) -> tuple[list, list[bytes]]:
@@ -111,7 +112,7 @@ def _candidates(blocks: DataFrame, window: int) -> DataFrame:
         sampled = _of_blocks(blocks, known, _sampled, "h bigint, block int, twice boolean", window, run, below)
         known = sampled.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1 or twice").select("block", "h")
         below = run
-    return _of_blocks(blocks, known, _whole, "g1 bigint, g2 bigint, block int, doc bigint, twice boolean", window, below)
+    return _of_blocks(blocks, known, _whole, WHOLE, window, below)
 
 
 def _of_blocks(blocks: DataFrame, known: DataFrame | None, fn, kind: str, *sizes: int) -> DataFrame:
@@ -136,10 +137,11 @@ def later_windows(blocks: DataFrame, window: int) -> DataFrame:
     return places.withColumn("n", F.row_number().over(first)).filter("n > 1").select("block", "g1")
 
 
-def repeated_windows(blocks: DataFrame, window: int) -> DataFrame:
-    """(block, g1): windows of the block that start anywhere else too."""
+def repeated_windows(blocks: DataFrame, window: int, sift: bool = True) -> DataFrame:
+    """(block, g1): windows of the block that start anywhere else too.  sift: whether runs are looked up before windows."""
     again = F.count("*").over(Window.partitionBy("g1", "g2"))
-    return _candidates(blocks, window).withColumn("n", again).filter("n > 1 or twice").select("block", "g1")
+    places = _candidates(blocks, window) if sift else _of_blocks(blocks, None, _whole, WHOLE, window, 0)
+    return places.withColumn("n", again).filter("n > 1 or twice").select("block", "g1")
 
 
 def remove_repeats(
@@ -200,11 +202,12 @@ def longest_repeats(
     cover, for level start, 2*start, ... until no candidate survives.
 
     Only passages in which two adjoining windows of a level are repeated go on to the next
-    level, as texts of their own, so each level reads what the last one left."""
+    level, as texts of their own, so each level reads what the last one left.  There shorter runs are repeated nearly all: they
+    are looked up at the first level alone."""
     left = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.lit(0).cast("bigint").alias("_at"), F.col(text_col).alias("_text"))
     told, level = [], start
     while True:
-        found = materialize(_level(left, level), "repeats")
+        found = materialize(_level(left, level, level == start), "repeats")
         told.append(found.filter("not going").select(F.col("_id").alias(id_col), F.lit(level).alias("level"), F.col("_at").alias("first_word"), F.col("n").alias("n_words")))
         left = found.filter("going").select("_id", "_at", "_text")
         if left.isEmpty():
@@ -216,12 +219,13 @@ def longest_repeats(
     return out
 
 
-def _level(texts: DataFrame, window: int) -> DataFrame:
+def _level(texts: DataFrame, window: int, first: bool) -> DataFrame:
     """Passages of texts(_id, _at, _text) covered by repeated windows (going false, no text), and those that can
     hold a repeated window of twice the length (going true)."""
-    n = parts(estimated_bytes(texts), BLOCK, 2)
+    # what repeats is packed tightly, so its stored size says little of the work that is left
+    n = parts(estimated_bytes(texts), BLOCK, 2 if first else max(2, texts.sparkSession.sparkContext.defaultParallelism))
     blocks = texts.select("_id", "_at", "_text", F.pmod(F.xxhash64("_id", "_at"), F.lit(4 * n)).cast("int").alias("block")).repartition(n, "block")
-    again = repeated_windows(blocks, window)
+    again = repeated_windows(blocks, window, first)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, ats, docs = left["_id"].to_pylist(), left["_at"].to_pylist(), as_bytes(left["_text"])

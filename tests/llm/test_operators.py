@@ -83,6 +83,16 @@ def test_longest_repeats(spark):
     assert got == [(1, 20, 2, 90), (1, 40, 2, 90), (1, 80, 2, 90), (2, 20, 0, 90), (2, 40, 0, 90), (2, 80, 0, 90)]
 
 
+def test_longest_repeats_sifts_once(spark, monkeypatch):
+    """Each level looked up shorter runs, which are repeated in all that a level leaves to the next."""
+    words = [f"w{i}" for i in range(130)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["x", *words]))], "doc_id long, text string")
+    levels, sift = [], substring_dedup._candidates
+    monkeypatch.setattr(substring_dedup, "_candidates", lambda blocks, window: levels.append(window) or sift(blocks, window))
+    got = sorted(map(tuple, substring_dedup.longest_repeats(df).collect()))
+    assert got == [(d, n, d - 1, 130) for d in (1, 2) for n in (20, 40, 80)] and levels == [20]
+
+
 def test_longest_repeats_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK", 3_000)
     rng = np.random.default_rng(9)
