@@ -267,6 +267,42 @@ def test_a_tile_sorts_seldom_and_keeps_the_best(monkeypatch):
     assert set(zip(found["i"], found["j"])) == want
 
 
+def test_a_block_sorts_once_and_compares_few_rows_twice(monkeypatch):
+    """Only the end sorts, and double precision sees few rows beside those that were once among the best, k (1 + log(n / k)) a query."""
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((100, 8)), rng.standard_normal((50_000, 8))
+    x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+    sorts, twice, lexsort, einsum = [], [], np.lexsort, np.einsum
+    monkeypatch.setattr(np, "lexsort", lambda *a, **k: sorts.append(1) or lexsort(*a, **k))
+    monkeypatch.setattr(np, "einsum", lambda kind, a, b: twice.append(len(a)) or einsum(kind, a, b))
+    tile = nearest._Tile(np.arange(100), x, 20)
+    for i in range(0, len(y), 5000):
+        tile.meet(np.arange(i, i + 5000), y[i : i + 5000])
+    got = tile.hits()
+    assert len(sorts) == 1 and sum(twice) < 1.3 * 100 * 20 * (1 + np.log(len(y) / 20))
+    assert {(i, j) for i, j in zip(got["i"], got["j"])} == {(i, int(j)) for i in range(100) for j in np.argsort(-np.round(y @ x[i], 12), kind="stable")[:20]}
+
+
+def test_a_block_with_piles_of_ties_keeps_the_smaller_ids():
+    """Queries without direction tie with every row, others with every third."""
+    x, y = np.zeros((30, 4)), np.zeros((9000, 4))
+    x[::2, 0], y[::3, 0], y[1::3, 1], y[2::3, 0] = 1, 1, 1, 0.5
+    tile = nearest._Tile(np.arange(30), x, 7)
+    for part in np.array_split(np.random.default_rng(5).permutation(9000), 9):
+        tile.meet(part, y[part])
+    got = tile.hits()
+    assert [got[got["i"] == i]["j"].tolist() for i in (0, 1)] == [list(range(0, 21, 3)), list(range(7))]
+    assert max(len(b.found[0][0]) for b in tile.blocks) == 30 * 7
+
+
+def test_few_true_places_are_all_found():
+    rng = np.random.default_rng(6)
+    for shape in ((1, 3), (7, 11), (40, 2048), (512, 2048), (513, 777)):
+        for share in (0, 0.0005, 0.3, 1):
+            mask = rng.random(shape) < share
+            assert np.array_equal(nearest.true_places(mask), np.flatnonzero(mask))
+
+
 @pytest.mark.parametrize("code", ["flat", "pq"])
 def test_probes_of_most_cells_send_few_hits(spark, monkeypatch, code):
     """A query that looks into many cells keeps its best over all of a tile, instead of k for each cell."""
