@@ -24,7 +24,7 @@ class ChainConfig:
     merge_threshold: float = 0.8
     merge_reciprocal: float = 0.5
     min_cluster_size: int = 3
-    max_slots: int = 50
+    max_slots: int | None = 50  # None: clusters with references of any length
     index: str = "auto"  # see nearest.INDEXES
     nprobe: int | None = None  # of approximate indexes; None: measured for a recall of 0.95
 
