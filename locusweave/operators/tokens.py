@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ TILE_TOKENS = 8 << 20  # tokens of the documents of a tile
 TILE_DOCS = 512  # documents that a tile has at least, if that makes fewer tiles than there are cores
 MEETINGS = 2 << 20  # tokens in common that a tile counts at a time
 BANNED = 500_000  # banned tokens that are broadcast
+COMMON = 200_000  # most frequent tokens, which each task looks up for itself
+COMMON_IDS = 1 << 62  # their ids are from here on, above those of the others
+CANDIDATES = 1_000_000  # documents of candidate pairs that are broadcast
+PAIRS = 1 << 16  # candidate pairs of a group that one tile takes
 
 
 def explode_list(df: DataFrame, column: str, sep: str, to: str = "token") -> DataFrame:
@@ -66,11 +72,11 @@ def percentile_ban(df: DataFrame, p: float) -> DataFrame:
     return df.join(F.broadcast(cutoff), F.col("df") >= F.col("cutoff")).select("token", "df", "cutoff")
 
 
-def set_classes(tokens: DataFrame, doc: str = "doc") -> DataFrame:
-    """(doc, rep, size): documents with equal token sets, their least one and their number."""
-    listed = tokens.select(F.col(doc).alias("doc"), "token").distinct().groupBy("doc").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("token"))), 256).alias("_set"))
-    same = listed.groupBy("_set").agg(F.min("doc").alias("rep"), F.count("*").alias("size"))
-    return listed.join(same, "_set").select("doc", "rep", "size")
+def set_classes(listed: DataFrame) -> DataFrame:
+    """(doc, rep, size) of token_lists: documents with equal token sets, their least one and their number."""
+    told = written(listed.select("doc", F.unhex(F.sha2(F.to_json(F.sort_array("tokens")), 256)).alias("_set")))
+    same = told.groupBy("_set").agg(F.min("doc").alias("rep"), F.count("*").alias("size"))
+    return told.join(same, "_set").select("doc", "rep", "size")
 
 
 def token_lists(rows: DataFrame, doc: str = "doc") -> DataFrame:
@@ -79,6 +85,11 @@ def token_lists(rows: DataFrame, doc: str = "doc") -> DataFrame:
     return written(rows.groupBy(F.col(doc).alias("doc")).agg(every.alias("tokens")))
 
 
+def single_lists(rows: DataFrame) -> DataFrame:
+    """token_lists of rows(doc, tokens), tokens distinct; where no document has a second row, no row moves."""
+    return written(rows, compression="zstd") if rows.groupBy("doc").count().filter("count > 1").isEmpty() else token_lists(rows)
+
+
 def token_sets(listed: DataFrame, ban: float | None = None) -> tuple[DataFrame, int, int]:
     """((doc, total, ids, dfs), documents, entries) of token_lists: ids and document frequencies of the tokens that another document has
     too, total the IDF weight of all.  Tokens of more than one document at or above the frequency percentile ban are left out, and documents of none."""
@@ -207,6 +218,149 @@ def most_alike(sets: DataFrame, n: int, entries: int, k: int, tau: float, min_sh
     return dealt.mapInPandas(run, "u bigint, v bigint, w double")
 
 
+class _CommonTokens:
+    """The most frequent tokens, most frequent first, with their document frequencies; n: documents."""
+
+    def __init__(self, words: list[str], dfs: np.ndarray, n: int, df_min: int, df_max: int | None):
+        self.words, self.dfs = words, dfs
+        known = np.ones(len(dfs), bool) if df_max is None else dfs <= df_max
+        self.idf = np.where(known, np.log(1 + n / np.maximum(dfs, 1)), 0.0)
+        self.shareable = known & (dfs >= df_min)
+
+    def places(self, lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(tokens, the list of each, its place among the common tokens or -1)"""
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        return flat, row, pc.fill_null(pc.index_in(flat, value_set=pa.array(self.words, flat.type)), -1).to_numpy()
+
+    def ordered(self, row: np.ndarray, at: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        """The common tokens of each list in the order of their places, from the last on if sign is -1."""
+        n = len(self.words)
+        key = np.sort(row[at >= 0] * n + (at[at >= 0] if sign > 0 else n - 1 - at[at >= 0]))
+        row, at = np.divmod(key, max(1, n))
+        return row, at if sign > 0 else n - 1 - at
+
+    def lead(self, batches: Iterator[pa.RecordBatch], spare: float) -> Iterator[pa.RecordBatch]:
+        """(doc, weight, ids, dfs, rare): the weight of a document's common tokens, the rarest of them, up to the share spare of that weight, and its other tokens."""
+        for batch in batches:
+            n = batch.num_rows
+            flat, row, at = self.places(batch.column("tokens"))
+            rare = flat.filter(pa.array(at < 0))
+            of_rare = np.bincount(row[at < 0], minlength=n)
+            row, at = self.ordered(row, at, -1)
+            weight = np.bincount(row, self.idf[at], minlength=n).astype(float)  # whole numbers if there are none
+            upto = np.cumsum(self.idf[at]) - self.idf[at]
+            start = np.searchsorted(row, np.arange(n))
+            before = upto - np.append(upto, 0)[start][row]
+            keep = self.shareable[at] & (before <= spare * weight[row] + 1e-6)
+            row, at = row[keep], at[keep]
+            ends = lambda counts: pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            of_lead = ends(np.bincount(row, minlength=n))
+            ids, dfs = pa.array(COMMON_IDS + len(self.words) - 1 - at.astype(np.int64)), pa.array(self.dfs[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), pa.array(weight), pa.ListArray.from_arrays(of_lead, ids), pa.ListArray.from_arrays(of_lead, dfs), pa.ListArray.from_arrays(ends(of_rare), rare)], ["doc", "weight", "ids", "dfs", "rare"]
+            )
+
+    def common(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of a document's common tokens instead of its tokens."""
+        for batch in batches:
+            _, row, at = self.places(batch.column("tokens"))
+            row, at = self.ordered(row, at, 1)
+            row, at = row[self.shareable[at]], at[self.shareable[at]].astype(np.int32)
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows))).astype(np.int32)
+            rest = [c for c in batch.schema.names if c != "tokens"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(ends), pa.array(at))], [*rest, "common"])
+
+    def verified(self, batches: Iterator[pd.DataFrame], n: int, tau: float) -> Iterator[pd.DataFrame]:
+        """(a, b, jaccard) of the pairs of each tile, whose documents' common tokens (side 0) and other ones (side 1) come before them."""
+        now, common, other = None, {}, {}
+        for batch in batches:
+            found = []
+            for (*key, side), part in batch.groupby(["home", "x", "y", "side"], sort=False):
+                if key != now:
+                    now, common, other = key, {}, {}
+                if side == 0:
+                    common |= dict(zip(part["a"], part["common"]))
+                elif side == 1:
+                    other |= {d: (t, i, np.log(1 + n / f)) for d, t, i, f in zip(part["a"], part["total"], part["ids"], part["dfs"])}
+                else:
+                    for a, b in zip(part["a"], part["b"]):
+                        (ta, ia, wa), (tb, ib, _) = other[a], other[b]
+                        shared = self.idf[np.intersect1d(common[a], common[b], True)].sum() + wa[np.isin(ia, ib)].sum()
+                        found.append((a, b, shared / (ta + tb - shared)))
+            yield pd.DataFrame([x for x in found if x[2] >= tau], columns=["a", "b", "jaccard"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, tau: float) -> Iterator[pa.RecordBatch]:
+    """(token, doc, total, rest) of similar_sets' sets: a document's rarest tokens, as long as the rest of them, themselves included, weighs tau of its total."""
+    for batch in batches:
+        lists = {c: batch.column(c) for c in ("ids", "rare_ids", "dfs", "rare_dfs")}
+        row = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(lists[c].offsets.to_numpy())) for c in ("ids", "rare_ids")])
+        token, df = (np.concatenate([lists[c].flatten().to_numpy() for c in pair]) for pair in (("ids", "rare_ids"), ("dfs", "rare_dfs")))
+        order = np.lexsort((token, df, row))
+        row, token, weight = row[order], token[order], np.log(1 + n / df[order])
+        upto = np.cumsum(weight) - weight
+        before = upto - np.append(upto, 0)[np.searchsorted(row, np.arange(batch.num_rows))][row]
+        total, ones = batch.column("total").to_numpy(), batch.column("ones").to_numpy()
+        rest = (total - ones)[row] - before
+        keep = rest >= tau * total[row] - 1e-6
+        row = row[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column("doc").take(pa.array(row)), pa.array(total[row]), pa.array(rest[keep])], ["token", "doc", "total", "rest"])
+
+
+def similar_sets(listed: DataFrame, tau: float, among: DataFrame | None = None, df_min: int = 2, df_max: int | None = None) -> DataFrame:
+    """(a < b, jaccard) of token_lists: IDF-weighted Jaccard of tau or more; see weighted_jaccard.  tau must not be 0.
+
+    The COMMON most frequent tokens are looked up by each task, so that just the rare ones move to
+    learn their frequencies.  Documents meet by their prefixes; the sets of those that meet are read again and go once to each group of documents (all that have the
+    same least candidate) that needs them, where pairs are verified.  No pair carries tokens."""
+    spark = listed.sparkSession
+    listed = listed.select("doc", "tokens")
+    n = listed.agg(F.count("doc")).first()[0]
+    each = listed.select("doc", F.explode("tokens").alias("token"))
+    known = written(each.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1").withColumn("id", F.monotonically_increasing_id()))
+    often = known.orderBy(F.col("df").desc(), "id").select("token", "df").limit(COMMON).toPandas()
+    held = spark.sparkContext.broadcast(_CommonTokens(often["token"].to_list(), often["df"].to_numpy(np.int32), n, df_min, df_max))
+    first = written(listed.mapInArrow(lambda batches: held.value.lead(batches, 1 - tau), f"doc {dict(listed.dtypes)['doc']}, weight double, ids array<bigint>, dfs array<int>, rare array<string>"))
+    first = first.join(among.select("doc"), "doc", "left_semi") if among is not None else first
+    idf = F.log(1 + F.lit(n) / F.coalesce("df", F.lit(1)))
+    rare = first.select("doc", F.explode("rare").alias("token")).join(known, "token", "left")
+    rare = rare if df_max is None else rare.filter(F.coalesce("df", F.lit(1)) <= df_max)
+    can = F.col("df") >= max(2, df_min)
+    rare = rare.groupBy("doc").agg(F.sum(idf).alias("more"), F.sum(F.when(can, 0.0).otherwise(idf)).alias("ones"), F.collect_list(F.when(can, F.col("id"))).alias("rare_ids"), F.collect_list(F.when(can, F.col("df"))).alias("rare_dfs"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    sets = first.drop("rare").join(rare, "doc", "left").withColumn("total", F.col("weight") + F.coalesce("more", F.lit(0.0)))
+    sets = written(sets.select("doc", "total", F.coalesce("ones", F.lit(0.0)).alias("ones"), "ids", "dfs", empty("rare_ids", "bigint"), empty("rare_dfs", "int")))
+
+    # Rarest first, a document's prefix ends where what is left weighs less than a pair must share.
+    lead = sets.mapInArrow(lambda batches: _prefixes(batches, n, tau), f"token bigint, doc {dict(listed.dtypes)['doc']}, total double, rest double")
+    # The lighter of two documents shares 2 tau / (1 + tau) of its weight or more, the heavier one tau; weights differ by tau at most.
+    light = lead.filter(F.col("rest") >= 2 * tau / (1 + tau) * F.col("total") - 1e-6).select("token", F.col("doc").alias("b"), F.col("total").alias("tb"))
+    met = lead.select("token", F.col("doc").alias("a"), F.col("total").alias("ta")).join(light, "token")
+    met = met.filter((F.col("a") != F.col("b")) & (F.col("tb") <= F.col("ta")) & (F.col("tb") >= tau * F.col("ta") - 1e-6))
+    near = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    # A pair belongs to the least candidate of either document; large groups are cut into tiles.
+    least = near.select(F.col("b").alias("doc"), "a").groupBy("doc").agg(F.min("a").alias("least"))
+    of = lambda side: least.select(F.col("doc").alias(side), F.col("least").alias(f"_{side}"))
+    homed = near.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.least("a", "_a", "_b").alias("home"))
+    cuts = homed.groupBy("home").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).cast("int").alias("cuts"))
+    tile = lambda c: F.pmod(F.xxhash64(c), F.col("cuts")).cast("int")
+    pairs = written(homed.join(cuts, "home").select("a", "b", "home", tile("a").alias("x"), tile("b").alias("y")))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc"), "home", "x", "y").distinct()
+    few = asked.limit(CANDIDATES + 1).count() <= CANDIDATES
+    key = f"doc {dict(listed.dtypes)['doc']}"
+    if few:
+        texts = listed.join(F.broadcast(asked), "doc").mapInArrow(lambda batches: held.value.common(batches), f"{key}, home {dict(pairs.dtypes)['home']}, x int, y int, common array<int>")
+    else:
+        texts = listed.mapInArrow(lambda batches: held.value.common(batches), f"{key}, common array<int>").join(asked, "doc")
+    others = sets.join(F.broadcast(asked) if few else asked, "doc").select(F.col("doc").alias("a"), "home", "x", "y", F.lit(1).alias("side"), "total", F.col("rare_ids").alias("ids"), F.col("rare_dfs").alias("dfs"))
+    dealt = texts.select(F.col("doc").alias("a"), "home", "x", "y", F.lit(0).alias("side"), "common").unionByName(others, allowMissingColumns=True)
+    dealt = dealt.unionByName(pairs.withColumn("side", F.lit(2)), allowMissingColumns=True)
+    dealt = dealt.repartition(spark.sparkContext.defaultParallelism * 4, "home", "x", "y").sortWithinPartitions("home", "x", "y", "side")
+    return dealt.mapInPandas(lambda batches: held.value.verified(batches, n, tau), f"a {key[4:]}, b {key[4:]}, jaccard double")
+
+
 def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_max: int | None = None, tau: float = 0.0, among: DataFrame | None = None) -> DataFrame:
     """(a < b, jaccard): IDF-weighted Jaccard of documents by an inverted index, tau or more; tokens of one document can't
     join anything and weigh only in the totals, df_max leaves out frequent ones.  among(doc) names the documents to compare, all count for
@@ -214,7 +368,9 @@ def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_ma
 
     From PREFIX_FROM on (below, the prefix is most of a document) only tokens of a document's prefix are joined: rarest first, up to the point from which on the rest
     weighs less than a pair must share.  Pairs of similarity tau share one of them, so none is lost; the higher tau, the rarer the tokens
-    that are joined at all; the shared weight of candidates is then summed exactly."""
+    that are joined at all; the shared weight of candidates is then summed exactly (similar_sets)."""
+    if tau >= PREFIX_FROM:
+        return similar_sets(token_lists(tokens, doc), tau, among, df_min, df_max)
     rows = written(tokens.select(F.col(doc).alias("doc"), "token").distinct())  # read four times below; as Parquet, as checkpoints are not packed
     n = rows.agg(F.countDistinct("doc").alias("n"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
@@ -223,20 +379,7 @@ def weighted_jaccard(tokens: DataFrame, doc: str = "doc", df_min: int = 2, df_ma
     weighed = rows.join(df, "token").crossJoin(F.broadcast(n)).withColumn("idf", F.log(1 + F.col("n") / F.col("df")))
     total = weighed.groupBy("doc").agg(F.sum("idf").alias("total"))
     index = weighed.filter(F.col("df") >= df_min)
-    if tau >= PREFIX_FROM:
-        weighed = written(weighed.select("doc", "token", "df", "idf"))
-        total = written(weighed.groupBy("doc").agg(F.sum("idf").alias("total")))
-        rest = Window.partitionBy("doc").orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        lead = weighed.withColumn("_rest", F.sum("idf").over(rest)).join(total, "doc").filter((F.col("_rest") >= tau * F.col("total") - 1e-9) & (F.col("df") >= df_min))
-        # The lighter of two documents shares 2 tau / (1 + tau) of its weight or more, the heavier one tau; weights differ by tau at most.
-        light = lead.filter(F.col("_rest") >= 2 * tau / (1 + tau) * F.col("total") - 1e-9).select("token", F.col("doc").alias("b"), F.col("total").alias("tb"))
-        met = lead.select("token", F.col("doc").alias("a"), F.col("total").alias("ta")).join(light, "token")
-        met = met.filter((F.col("a") != F.col("b")) & (F.col("tb") <= F.col("ta")) & (F.col("tb") >= tau * F.col("ta") - 1e-9))
-        near = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        index = weighed.filter(F.col("df") >= df_min)
-        met = near.join(index.select(F.col("doc").alias("a"), "token", "idf"), "a").join(index.select(F.col("doc").alias("b"), "token"), ["b", "token"])
-    else:
-        met = index.select("token", F.col("doc").alias("a"), "idf").join(index.select("token", F.col("doc").alias("b")), "token").filter("a < b")
+    met = index.select("token", F.col("doc").alias("a"), "idf").join(index.select("token", F.col("doc").alias("b")), "token").filter("a < b")
     shared = met.groupBy("a", "b").agg(F.sum("idf").alias("shared"))
     both = shared.join(total.withColumnsRenamed({"doc": "a", "total": "ta"}), "a").join(total.withColumnsRenamed({"doc": "b", "total": "tb"}), "b")
     j = F.col("shared") / (F.col("ta") + F.col("tb") - F.col("shared"))

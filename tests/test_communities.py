@@ -98,6 +98,50 @@ def test_similarity_packs_its_tables(spark, monkeypatch):
     assert [(r.a, r.b, round(r.jaccard, 9)) for r in tokens.weighted_jaccard(rows, tau=0.8).collect()] == [(1, 2, 1.0)]
 
 
+@pytest.mark.parametrize("common, pairs, candidates", [(200_000, 1 << 16, 1_000_000), (12, 3, 0), (0, 1, 10)])
+def test_similar_sets_against_all_pairs(spark, monkeypatch, common, pairs, candidates):
+    """A row for each token of each document, and for each token of each candidate pair, was written or shuffled: several times the input on disk."""
+    import math
+    import random
+
+    from locusweave.operators import tokens
+
+    rng = random.Random(3)
+    docs = {}
+    for d in range(0, 240, 4):
+        base = [f"t{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(3, 30))]
+        for e in range(4):  # near copies; a token of its own now and then
+            docs[d + e] = frozenset(["all", *rng.sample(base, max(1, len(base) - rng.randint(0, 2))), *([f"own{d + e}"] if e == 3 else [])])
+    docs |= dict.fromkeys(range(240, 250), frozenset(["all"]))
+    df = {}
+    for ts in docs.values():
+        for t in ts:
+            df[t] = df.get(t, 0) + 1
+    idf = {t: math.log(1 + len(docs) / n) for t, n in df.items()}
+    some = [d for d in docs if d % 7]
+    weight = lambda ts: sum(idf[t] for t in ts)
+    want = {(a, b): round(weight(docs[a] & docs[b]) / weight(docs[a] | docs[b]), 9) for a in some for b in some if a < b}
+    want = {k: w for k, w in want.items() if w >= 0.8}
+    sizes, put = [], tokens.written
+    monkeypatch.setattr(tokens, "written", lambda *a, **b: (made := put(*a, **b), sizes.append(made.count()))[0])
+    monkeypatch.setattr(tokens, "COMMON", common, raising=False)
+    monkeypatch.setattr(tokens, "PAIRS", pairs, raising=False)
+    monkeypatch.setattr(tokens, "CANDIDATES", candidates, raising=False)
+    rows = spark.createDataFrame([(d, t) for d, ts in docs.items() for t in ts], "doc long, token string")
+    found = tokens.weighted_jaccard(rows, tau=0.8, among=spark.createDataFrame([(d,) for d in some], "doc long"))
+    assert {(r.a, r.b): round(r.jaccard, 9) for r in found.collect()} == want and len(want) > 100
+    assert max(sizes) < sum(map(len, docs.values()))
+
+
+def test_classes_of_equal_sets(spark):
+    """Rows of one document are one set; rows of single documents stay as they are."""
+    from locusweave.operators import tokens
+
+    for rows in ([(1, ["b", "a"]), (2, ["a", "b"]), (5, ["c"])], [(1, ["b"]), (1, ["a"]), (2, ["a", "b"]), (5, ["c"])]):
+        listed = tokens.single_lists(spark.createDataFrame(rows, "doc long, tokens array<string>"))
+        assert {tuple(r) for r in tokens.set_classes(listed).collect()} == {(1, 1, 2), (2, 1, 2), (5, 5, 1)}
+
+
 def test_most_alike_lists_no_pairs(spark, monkeypatch):
     """All documents with a token in common were joined: a table of all pairs.  Tiles send k rows a document and the best are those of all pairs."""
     import math
