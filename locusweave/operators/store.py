@@ -274,13 +274,13 @@ class GeneStore:
 
     def search(self, queries: DataFrame, k: int, told: list[dict] | None = None) -> DataFrame:
         """(i, gene_id, sim, rank): for each row of queries(id, v) its k nearest genes of the index, exactly; only the files of
-        cells that may hold them are read."""
+        cells that may hold them are read.  Where bounds spare so little that each query would move to most cells, tiles are searched."""
         cells, index = self.cells(), self.state["index"]
         live = [int(c) for c in np.flatnonzero(cells.rows)]
         if not live:
             return self.spark.createDataFrame([], "i bigint, gene_id string, sim double, rank int")
         held = self._held(index).filter(F.col("cell").isin(live))
-        found = nearest.search_cells(queries.select("id", F.col("v").cast("array<double>").alias("v")), held, cells, k, told=told)
+        found = nearest.search_held(queries.select("id", F.col("v").cast("array<double>").alias("v")), held, cells, k, held.select("id", "v"), told)
         return found.join(self.keys.select(F.xxhash64("gene_id").alias("j"), "gene_id"), "j").select("i", "gene_id", "sim", "rank")
 
     # --- upkeep

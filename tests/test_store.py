@@ -83,3 +83,26 @@ def test_additions_read_keys_alone(spark, tmp_path):
     grown = store.add(genes(spark, range(15, 25)))
     shutil.move(str(tmp_path / "away"), str(tmp_path / "s" / store.parts[0]))
     assert grown.genes.count() == 25
+
+
+def test_unstructured_vectors_are_searched_by_tiles(spark, tmp_path, monkeypatch):
+    """Every query moved to nearly every cell, a copy of its vector for each: disk grew with the square of the store."""
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i}", [float(x) for x in rng.standard_normal(24)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "gene_id string, emb array<float>")
+    monkeypatch.setattr(nearest, "CELL_ROWS", 30)
+    store = GeneStore.create(table, str(tmp_path / "s")).build_index()
+    queries = asked(table)
+    as_double = queries.selectExpr("id", "CAST(v AS array<double>) AS v")
+    want = sorted((r.i, r["rank"], r.sim) for r in nearest.nearest_exact(as_double, as_double, 5).collect())
+    moved = []
+    meet, nearest_exact = nearest.meet_cells, nearest.nearest_exact
+    monkeypatch.setattr(nearest, "meet_cells", lambda asked, *rest, **more: moved.append(sum(nearest.visits(asked).values())) or meet(asked, *rest, **more))
+    monkeypatch.setattr(nearest, "nearest_exact", lambda *a, **b: moved.append(0) or nearest_exact(*a, **b))
+    for rows_of_tiles in (50_000, 100):  # the first round goes to cells; or nothing does
+        monkeypatch.setattr(nearest, "TILED_ROWS", rows_of_tiles)
+        moved.clear()
+        assert [(i, r, s) for i, r, _, s in told(store.search(queries, 5))] == want
+        live = int((store.cells().rows > 0).sum())
+        assert 0 in moved and sum(moved) < 0.7 * 400 * live
+    assert not any(moved)
