@@ -335,6 +335,20 @@ def test_graph_search_widens_its_beam_to_the_recall(spark):
     assert evaluation.ann_recall(truth, nearest.index_search("graph")(df, df, 10)).first().recall >= 0.95
 
 
+def test_walks_that_spare_little_go_to_tiles(spark, monkeypatch):
+    """Without structure every query walked past a quarter of the base and more; only the sample does, and no neighbour is lost."""
+    x, df = vectors(spark, 900, 48)
+    truth = spark.createDataFrame(sorted(exact(x, 10)), "i long, j long")
+    monkeypatch.setattr(nearest_graph, "PIECE_ROWS", 300)
+    walked, plain = [], nearest_graph.GraphIndex.visited
+    monkeypatch.setattr(nearest_graph.GraphIndex, "visited", lambda self, queries, *a: walked.append(queries.count()) or plain(self, queries, *a))
+    for share, most in ((0.1, 256), (1.0, 900)):
+        monkeypatch.setattr(nearest_graph, "WALKED", share, raising=False)
+        walked.clear()
+        assert evaluation.ann_recall(truth, nearest.index_search("graph")(df, df, 10)).first().recall >= 0.95
+        assert max(walked) == most
+
+
 def test_rerank_sharing_equals_rerank(spark, monkeypatch):
     """Pairs were joined with their vectors and solved one by one; tiles meet and are solved many at a time."""
     rng = np.random.default_rng(3)
